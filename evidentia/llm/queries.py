@@ -17,12 +17,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = f"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 g AS (
   SELECT r, doc_id, text, w, len(w) AS n_words,
-         CASE WHEN len(w) < 5 THEN [] ELSE list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i + 4], ' ')) END AS g,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+         CASE WHEN len(w) < 5 THEN [] ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END AS g,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM w),
 windows AS (SELECT r, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM g),
 repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
@@ -31,7 +31,7 @@ m AS (
   SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-         len(list_filter(w, x -> x IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))}))) AS n_stop,
+         len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))}))) AS n_stop,
          len(regexp_extract_all(text, '!')) AS n_exclaim, len(l) AS n_lines
   FROM g LEFT JOIN covered USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
