@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one step of an Arrow function handles at once.
 BATCH_BYTES = 8 << 20
@@ -59,3 +60,60 @@ def byte_slices(sizes: list[int], limit: int = BATCH_BYTES):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def map_texts(docs: DataFrame, text: str, added: dict[str, str], start, keep: list[str] | None = None, also: tuple = ()) -> DataFrame:
+    """Adds the columns `added` (name: SQL type), made from whole texts in byte-bounded slices by an Arrow function.
+
+    `start()` runs once in each task and returns f(texts: list[bytes]) -> one list for each added column; a null text
+    reaches it as b"". `keep` names the columns that go on (default: all but those that `added` replaces); the columns
+    `also` reach f as further lists.
+    """
+    small_batches(docs.sparkSession)
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in added]
+    names, at = [f"c{i}" for i in range(len(keep))], len(keep)
+    # columns travel under names of their own, so that no name can clash on the way
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").cast("binary").alias("t"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(also)])
+    kinds = [f.dataType for f in plain.schema.fields[:at]]
+    out = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)] + [T.StructField(f"a{i}", T._parse_datatype_string(k)) for i, k in enumerate(added.values())])
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        f = start()
+        new = [x.type for x in to_arrow_schema(out)][at:]
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+            for a, b in byte_slices(sizes):
+                part = batch.slice(a, b - a)
+                made = f([x or b"" for x in part.column(at).to_pylist()], *[c.to_pylist() for c in part.columns[at + 1 :]])
+                arrays = [pa.array(v, k) for v, k in zip(made, new, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *arrays], names=[*names, *[f"a{i}" for i in range(len(arrays))]])
+
+    done = plain.mapInArrow(run, out)
+    return done.toDF(*keep, *added)
+
+
+class Memo:
+    """A bounded cache in two generations: what was used since the last turn survives the next one.
+
+    Turns happen in `missing` only, so that all that a slice needs stays until its next call.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys) -> list:
+        """The keys that must be learnt; the others are in `young` afterwards."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if (v := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    young[k] = v
+        return out
