@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, segment_bpe, simhash, token_counts
+from . import chat_format, decontaminate, pii, quality_rules, segment_bpe, simhash, token_counts
 from .common import read
 
 
@@ -19,6 +19,32 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT CAST(-7 AS BIGINT) AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role FROM range(2)").withColumn("text", F.lit(said))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat_format.read_back(chat_format.format_chats(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), digest(F.col("loss_text")).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+OP2_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(regexp_replace(text, '(###|</turn>)', '.\1', 'g')) + length('### : ') + length('</turn>') + 2) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(read(spark, sf_dir, "documents"), shingle=3, radius=3)
     return groups.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -36,6 +62,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "longest_match")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.extract(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    digest = F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return out.select("doc_id", *map(n, ("email", "ip", "card", "phone")), digest, pii.joined(F.col("spans")).alias("spans"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -73,5 +106,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_token_counts, op6_decontaminate, op8_quality_rules, op10_segment_bpe)}
-ORACLES = {"op8_quality_rules": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_simhash, op5_token_counts, op6_decontaminate, op7_pii, op8_quality_rules, op10_segment_bpe)}
+ORACLES = {"op2_chat_format": OP2_SQL, "op8_quality_rules": OP8_SQL}
