@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, pii, quality_rules, segment_bpe, simhash, token_counts
+from . import chat_format, decontaminate, line_dedup, pii, quality_rules, segment_bpe, simhash, token_counts, warc
 from .common import read
 
 
@@ -19,6 +19,12 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.sql("SELECT CAST(-7 AS BIGINT) AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role FROM range(2)").withColumn("text", F.lit(said))
@@ -50,6 +56,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    _, directory = warc.archive(pages, dedup_from=0)
+    return warc.look_up(pages, directory)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, vocabulary(), limit=2048)
@@ -106,5 +118,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_simhash, op5_token_counts, op6_decontaminate, op7_pii, op8_quality_rules, op10_segment_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_simhash, op4_warc, op5_token_counts, op6_decontaminate, op7_pii, op8_quality_rules, op10_segment_bpe)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op8_quality_rules": OP8_SQL}
