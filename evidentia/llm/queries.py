@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, pii, quality_rules, segment_bpe, simhash, token_counts, warc
+from . import chat_format, decontaminate, license_scan, line_dedup, pii, quality_rules, segment_bpe, simhash, token_counts, warc
 from .common import read
 
 
@@ -86,6 +86,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = license_scan.scan(docs, license_scan.train(license_scan.negative_sample(docs)))
+    known = F.filter("licences", lambda x: x["family"] != "unknown")
+    n = lambda a: F.size(a).cast("long")
+    return out.select(
+        "doc_id", "n_paragraphs", n(F.col("licences")).alias("n_licence_paragraphs"), n(known).alias("n_confirmed"),
+        F.array_join(F.sort_array(F.array_distinct(known["family"])), ",").alias("families"),
+    )
+
+
 def op10_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = segment_bpe.encode(docs, vocabulary())
@@ -118,5 +129,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_simhash, op4_warc, op5_token_counts, op6_decontaminate, op7_pii, op8_quality_rules, op10_segment_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_simhash, op4_warc, op5_token_counts, op6_decontaminate, op7_pii, op8_quality_rules, op9_license_scan, op10_segment_bpe)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op8_quality_rules": OP8_SQL}
