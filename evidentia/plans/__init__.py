@@ -1 +1 @@
-"""See README.md."""
+"""Registered queries of the library's own operators."""
