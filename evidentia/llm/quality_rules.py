@@ -93,7 +93,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("_q_4", _joined("_q_2", "_q_2", 2))
     d = d.withColumn("_q_h", _joined("_q_4", "_q_1", WINDOW - 1))
     n = lambda c: c.cast("long")
-    d = d.withColumns({
+    made = {
         "n_words": n(F.size("_q_w")),
         "word_chars": n(F.char_length(F.array_join("_q_w", ""))),
         "n_symbols": n(F.regexp_count(body, F.lit(r"[#*$%&|<>]"))),
@@ -102,8 +102,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_stop": n(F.size("_q_w") - F.size(F.filter("_q_w", lambda w: ~w.isin(*dict.fromkeys(STOP_WORDS))))),
         "n_exclaim": n(F.regexp_count(body, F.lit("!"))),
         "n_lines": n(F.size("_q_l")),
-    })
-    return d.drop("_q_w", "_q_l", "_q_1", "_q_2", "_q_4", "_q_h")
+    }
+    # a later filter would be pushed below a projection and would repeat these expressions; it stays above a generator
+    row = F.array(F.struct(*[v.alias(k) for k, v in made.items()]))
+    return d.select(*[f"`{c}`" for c in docs.columns if c not in made], F.inline(row))
 
 
 def verdict(rules) -> Column:
