@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines.
 
 Lines are hashed, and a rolling hash over the last `WINDOW` line hashes ends a chunk where it is divisible by
-`DIVISOR`; a line of `min_words` words or more is a chunk of its own and starts the rolling hash anew. Boundaries
+`DIVISOR` and the chunk has `MIN_LINES`; a line of `min_words` words or more is a chunk of its own and starts the rolling hash anew. Boundaries
 thus depend on nearby lines only, and text that is put in or taken out elsewhere does not move them. A chunk counts
 if it has several lines with a word among them, or one line of `min_words` words or more. Chunks meet by hash and by
 their bytes (grouping by both is the byte comparison); a hash that two different chunks share is left alone. Of a
@@ -22,8 +22,8 @@ from .common import byte_slices, map_texts, small_batches
 WINDOW = 2
 DIVISOR = 2
 MIN_WORDS = 50
-#: A chunk has this many lines at most.
-MAX_LINES = 64
+#: A chunk has so many lines at least (but for long lines and a text's end) and at most.
+MIN_LINES, MAX_LINES = 2, 64
 
 _MASK = (1 << 64) - 1
 
@@ -47,7 +47,7 @@ def boundaries(hashes: list[int], alone: list[bool]) -> list[int]:
         if since >= WINDOW:
             rolling ^= _turn(hashes[i - WINDOW], WINDOW)
         since, size = since + 1, size + 1
-        if rolling % DIVISOR == 0 or size == MAX_LINES:
+        if size >= MIN_LINES and (rolling % DIVISOR == 0 or size == MAX_LINES):
             ends.append(i + 1)
             size = 0
     if size:
