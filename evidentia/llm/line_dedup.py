@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_texts, small_batches
+from .common import byte_slices, map_texts, small_batches, stored
 
 WINDOW = 2
 DIVISOR = 2
@@ -117,7 +117,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with its text without repeated chunks, and n_lines, n_removed_lines and n_removed_chunks (long)."""
     own = _spread(docs, doc_id, text, min_words, False)
-    met = own.join(repeated(docs, doc_id, text, min_words), "hash")
+    # a table of its own, so that the join's sides are both plain exchanges and a hot chunk's rows can be split
+    met = own.join(stored(repeated(docs, doc_id, text, min_words), "repeated"), "hash")
     first = F.col("doc_id").eqNullSafe(F.col("first_doc"))
     # the first document keeps one occurrence, and is named only where it has more
     gone = met.filter(~first | (F.col("rest") > 1)).groupBy(F.col("doc_id").alias("_l_id")).agg(F.collect_set(F.struct("hash", first.alias("first"))).alias("_l_gone"))
