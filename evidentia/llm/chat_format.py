@@ -60,7 +60,9 @@ def parse(rendered: Column) -> Column:
     def turn(p: Column) -> Column:
         at = F.locate(MID, p, len(OPEN) + 1)
         body = F.substring(p, at + len(MID), F.length(p))
-        broken = ~p.startswith(OPEN) | (at == 0) | body.rlike(r"(?<!\\)" + CONTROL)
+        # escaped control strings are taken out from the left, as they were put in, before looking for bare ones
+        bare = F.regexp_replace(body, r"\\++" + CONTROL, " ").rlike(CONTROL)
+        broken = ~p.startswith(OPEN) | (at == 0) | bare
         role = F.substring(p, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)
         return F.struct(_role_in(role).alias("role"), F.when(~broken, unescaped(body)).alias("text"))
 
