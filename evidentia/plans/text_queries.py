@@ -130,13 +130,19 @@ def content_addresses(x):
 
 
 @query("H4 D1", r"""
-SELECT lang, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint, count(*) AS documents FROM documents GROUP BY lang""")
+WITH b AS (SELECT lang, doc_id // 1000 AS bucket, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS d, count(*) AS n FROM documents GROUP BY ALL)
+SELECT lang, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS fingerprint, CAST(sum(n) AS BIGINT) AS documents FROM b GROUP BY lang""")
 def snapshot_fingerprint(x):
-    """One digest of all members of a generation, in order; only ids and digests are gathered, not texts."""
+    """A digest of all members of a generation, in order, as a tree of two levels: a bucket of a thousand ids has a digest
+    of its members' ids and digests, a generation one of its buckets'. No group holds more than a bucket's lines or the
+    buckets' digests."""
     line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2(F.col("text").cast("binary"), 256))
-    rows = x.documents.select("lang", "doc_id", line.alias("line"))
-    g = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("doc_id", "line"))).alias("m"), F.count("*").alias("documents"))
-    return g.select("lang", F.sha2(F.array_join("m.line", "\n").cast("binary"), 256).alias("fingerprint"), "documents")
+    rows = x.documents.select("lang", F.floor(F.col("doc_id") / 1000).alias("bucket"), "doc_id", line.alias("line"))
+    whole = lambda c: F.sha2(F.array_join(c, "\n").cast("binary"), 256)
+    b = rows.groupBy("lang", "bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "line"))).alias("m"), F.count("*").alias("n"))
+    b = b.select("lang", "bucket", whole("m.line").alias("d"), "n")
+    g = b.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "d"))).alias("m"), F.sum("n").alias("documents"))
+    return g.select("lang", whole("m.d").alias("fingerprint"), "documents")
 
 
 @query("T1 T2", r"""
