@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialized
+
 
 def closure(spark, seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(seed, node, hop): the nodes reachable from each seed within `hops`, at their least distance. Each step expands only the nodes found last."""
-    seen = frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    """(seed, node, hop): the nodes reachable from each seed within `hops`, at their least distance.
+
+    Each step expands only the nodes found last. Steps are tables of their own, so that the plan does not double with
+    each one, and an empty step ends the search.
+    """
+    frontier = materialized(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop")), "closure")
+    seen, forward = frontier, edges.select(F.col("src").alias("node"), "dst")
     for h in range(1, hops + 1):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(h))
+        step = frontier.select("seed", "node").join(forward, "node").select("seed", F.col("dst").alias("node")).distinct()
+        fresh = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(h))
+        frontier = materialized(fresh, "closure")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

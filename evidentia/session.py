@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", memory: str = "12g", partitions: int | None = None) -> SparkSession:
@@ -14,3 +17,15 @@ def local_session(cpus: int | str = "*", memory: str = "12g", partitions: int |
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """`df` written once to the shared folder of spark.checkpoint.dir and read back, for plans that grow step by step.
+
+    Only where that setting is missing, on a single machine, a temporary folder stands in for it.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-")
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
