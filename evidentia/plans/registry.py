@@ -11,6 +11,16 @@ ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 
+#: Tables of long texts, whose rows cost far more to work on than to move.
+TEXTS = ("documents", "pages")
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """`table`, dealt out anew only where its files split into fewer partitions than there are cores."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 class Tables:
     """The parquet tables of one folder, read when first named."""
 
@@ -19,6 +29,9 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in TEXTS:
+            # the columns that a query drops are pruned below the exchange
+            table = spread(table)
         setattr(self, name, table)
         return table
 
