@@ -7,6 +7,12 @@ if it has several lines with a word among them, or one line of `min_words` words
 their bytes (grouping by both is the byte comparison); a hash that two different chunks share is left alone. Of a
 chunk that occurs more than once the first occurrence stays, by doc_id and then by place; all others are removed.
 
+Where a passage is cut depends on the lines before it, so its chunks may differ from copy to copy. With `runs` all
+runs of consecutive shorter lines that reach `min_words` words are compared as well, by hash and bytes like chunks,
+from every start and to every end; longer runs are unions of these. A line goes where any repeated chunk or run holds
+it, and always has an earlier copy; of one document's overlapping copies the first stays. n_removed_chunks counts
+chunks alone. Runs end at lines of `min_words` words, so short lines beside a repeated long one stay.
+
 Defined results: null and empty texts have no chunks and stay as they are; rows that share a doc_id (or have none)
 count as one document whose own first occurrence stays in each row; an empty table gives an empty result; other columns
 pass through, except the added ones.
@@ -72,8 +78,56 @@ def chunks(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, int, int
     return out
 
 
-def _spread(docs: DataFrame, doc_id: str, text: str, min_words: int, bodies: bool) -> DataFrame:
-    """One row per counting chunk: doc_id, hash and its bytes, or instead of them how often the document has it."""
+def run_bounds(words: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(first line, end) of the runs of lines under `min_words` words that reach it: the shortest from each start and to each end."""
+    found: set[tuple[int, int]] = set()
+    a = 0
+    while a < len(words):
+        if words[a] >= min_words:
+            a += 1
+            continue
+        end = a
+        while end < len(words) and words[end] < min_words:
+            end += 1
+        total, b = 0, a
+        for k in range(a, end):
+            while b < end and total < min_words:
+                total, b = total + words[b], b + 1
+            if total < min_words:
+                break
+            found.add((k, b))
+            total -= words[k]
+        total, b = 0, end
+        for k in range(end, a, -1):
+            while b > a and total < min_words:
+                b -= 1
+                total += words[b]
+            if total < min_words:
+                break
+            found.add((b, k))
+            total -= words[k - 1]
+        a = end
+    return sorted(found)
+
+
+def passages(text: bytes, min_words: int = MIN_WORDS, runs: bool = False) -> list[tuple[int, int, int | None, bytes, bool]]:
+    """The chunks as `chunks` gives them, True; with `runs` also the runs that are no counting chunks, False; by place."""
+    from xxhash import xxh64_intdigest
+
+    out = [(*x, True) for x in chunks(text, min_words)]
+    if runs:
+        lines, known = text.split(b"\n"), {(a, b) for a, b, h, *_ in out if h is not None}
+        for a, b in run_bounds([len(x.split()) for x in lines], min_words):
+            if (a, b) not in known:
+                body = b"\n".join(lines[a:b])
+                h = xxh64_intdigest(body, 1)
+                out.append((a, b, h - (1 << 64) if h >> 63 else h, body, False))
+        out.sort(key=lambda x: x[:2])
+    return out
+
+
+def _spread(docs: DataFrame, doc_id: str, text: str, min_words: int, bodies: bool, runs: bool = False) -> DataFrame:
+    """One row per counting passage: doc_id, hash and its bytes, or instead of them how often the document has it."""
     small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -92,7 +146,7 @@ def _spread(docs: DataFrame, doc_id: str, text: str, min_words: int, bodies: boo
                 for i, t in enumerate(part.column(1).to_pylist()):
                     if not t:
                         continue
-                    found = [(h, body) for _, _, h, body in chunks(t, min_words) if h is not None]
+                    found = [(h, body) for _, _, h, body, _ in passages(t, min_words, runs) if h is not None]
                     if not bodies:
                         times: dict[int, int] = {}
                         for h, _ in found:
@@ -107,18 +161,18 @@ def _spread(docs: DataFrame, doc_id: str, text: str, min_words: int, bodies: boo
     return own.mapInArrow(run, f"doc_id {kind}, hash long, rest {'binary' if bodies else 'long'}")
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(hash, first_doc) of the chunks that occur more than once, byte for byte."""
-    same = _spread(docs, doc_id, text, min_words, True).groupBy("hash", "rest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
+    """(hash, first_doc) of the passages that occur more than once, byte for byte."""
+    same = _spread(docs, doc_id, text, min_words, True, runs).groupBy("hash", "rest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     by_hash = same.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"))
     return by_hash.filter("kinds = 1 and n > 1").select("hash", "first_doc")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with its text without repeated chunks, and n_lines, n_removed_lines and n_removed_chunks (long)."""
-    own = _spread(docs, doc_id, text, min_words, False)
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
+    """`docs` with its text without repeated chunks (and `runs`), and n_lines, n_removed_lines and n_removed_chunks (long)."""
+    own = _spread(docs, doc_id, text, min_words, False, runs)
     # a table of its own, so that the join's sides are both plain exchanges and a hot chunk's rows can be split
-    met = own.join(stored(repeated(docs, doc_id, text, min_words), "repeated"), "hash")
+    met = own.join(stored(repeated(docs, doc_id, text, min_words, runs), "repeated"), "hash")
     first = F.col("doc_id").eqNullSafe(F.col("first_doc"))
     # the first document keeps one occurrence, and is named only where it has more
     gone = met.filter(~first | (F.col("rest") > 1)).groupBy(F.col("doc_id").alias("_l_id")).agg(F.collect_set(F.struct("hash", first.alias("first"))).alias("_l_gone"))
@@ -126,22 +180,22 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     held = held.withColumn("_l_text", F.col(text))
 
     def start():
-        def strip(texts, gone):
+        def strip(texts, found):
             out = [[], [], [], []]
-            for t, g in zip(texts, gone, strict=True):
+            for t, g in zip(texts, found, strict=True):
                 lines = t.split(b"\n") if t else []
                 kept, cut, n = t, 0, 0
                 if g:
-                    spare = {x["hash"]: x["first"] for x in g}
-                    parts = []
-                    for a, b, h, body in chunks(t, min_words):
-                        if h in spare and not spare[h]:
-                            cut, n = cut + b - a, n + 1
-                            continue
-                        if h in spare:
-                            spare[h] = False
-                        parts.append(body)
-                    kept = b"\n".join(parts)
+                    other = {x["hash"] for x in g if not x["first"]}
+                    ends = {x["hash"]: None for x in g if x["first"]}
+                    gone = bytearray(len(lines))
+                    for a, b, h, _, chunk in passages(t, min_words, runs):
+                        if h in ends and (ends[h] is None or a < ends[h]):
+                            ends[h] = ends[h] or b
+                        elif h in ends or h in other:
+                            gone[a:b] = b"\1" * (b - a)
+                            n += chunk
+                    kept, cut = b"\n".join(x for x, y in zip(lines, gone, strict=True) if not y), sum(gone)
                 for column, value in zip(out, (kept.decode("utf-8", "replace"), len(lines), cut, n), strict=True):
                     column.append(value)
             return out

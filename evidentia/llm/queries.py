@@ -20,7 +20,7 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), runs=True)
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
