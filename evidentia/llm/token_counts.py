@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,12 @@ ENCODE_BYTES = 1 << 20
 _TAIL = (b",", b".", b";", b":", b"!", b"?")
 
 
+def _letters(piece: bytes) -> bool:
+    """Letters alone, also once lower-cased: U+0130 leaves a combining dot, which joins the mark that follows."""
+    x = piece.decode("utf-8", "replace")
+    return x.isalpha() and (x.isascii() or unicodedata.normalize("NFC", x).lower().isalpha())
+
+
 class PieceCounter:
     """Token counts of texts for one vocabulary file (.json: tokenizers, .model: sentencepiece)."""
 
@@ -70,7 +77,7 @@ class PieceCounter:
         known = self.lengths.young
         if new := self.lengths.missing(set().union(*cut)):
             known = self.lengths.young
-            tails = {p for p in new if p[-1:] in _TAIL and p[:-1].decode("utf-8", "replace").isalpha()} if self.tails else set()
+            tails = {p for p in new if p[-1:] in _TAIL and _letters(p[:-1])} if self.tails else set()
             self._learn([p for p in {*(x for x in new if x not in tails), *(x[:-1] for x in tails), *(x[-1:] for x in tails)} if p not in known])
             known.update({p: known[p[:-1]] + known[p[-1:]] for p in tails})
         look = known.__getitem__

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import line_dedup, queries
+from evidentia.llm import line_dedup, queries, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,11 @@ def test_overlapping_runs_keep_the_first(spark):
     rows = spark.createDataFrame([(1, "\n".join([line] * 3)), (2, "\n".join(["other", *[line] * 3]))], "doc_id long, text string")
     got = {r.doc_id: (r.text.count(line), r.n_removed_lines) for r in line_dedup.dedup_lines(rows, runs=True).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_removed_lines").collect()}
     assert got[2] == (0, 3) and got[1][0] >= 2
+
+
+@pytest.mark.parametrize("text", ["ALİ.", "ALİ,", "ALİ:", "ALİ!", "İ?", "ali. ALİ; Straße. ÉTÉ, ǰ."])
+def test_marks_after_a_capital_with_a_dot(text):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.vocabulary())
+    assert token_counts.PieceCounter(queries.vocabulary()).counts([text.encode()]) == [len(lib.encode(text, add_special_tokens=False).ids)]
