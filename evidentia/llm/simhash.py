@@ -178,7 +178,19 @@ def _labelled(prints: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of `docs`, as they are, whose doc_id is the smallest of its group; rows without a doc_id stay."""
-    groups = near_groups(docs.filter(F.col(doc_id).isNotNull()), text, doc_id, shingle, radius)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_g")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_g"), "left_anti")
+    """One row of each group, as it is: of the smallest doc_id (nulls last), and of rows that share it the one of least hash."""
+    key = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    keyed = docs.withColumn("_g_key", key)
+    prints = stored(fingerprints(keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "_g_key"), "text", shingle), "prints")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_g_key"))
+    own = prints.groupBy("fingerprint").agg(F.min(rank).alias("least"))
+    rooted = own.join(components(links(prints, radius)).withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    named = rooted.join(first, "root").select("fingerprint", "first")
+    out = prints.join(named, "fingerprint").filter(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_g"), F.col("_g_key").alias("_k")).distinct()
+    same = lambda d: F.col(doc_id).eqNullSafe(d["_g"]) & (F.col("_g_key") == d["_k"])
+    left = keyed.join(out, same(out), "left_anti")
+    # equal rows share id and hash: one of them stays
+    twice = stored(prints.groupBy(F.col("doc_id").alias("_g"), F.col("_g_key").alias("_k")).count().filter("count > 1").select("_g", "_k"), "twice")
+    single, copies = left.join(twice, same(twice), "left_anti"), left.join(twice, same(twice), "left_semi")
+    return single.unionByName(copies.dropDuplicates([doc_id, "_g_key"])).select(*[F.col(f"`{c}`") for c in docs.columns])

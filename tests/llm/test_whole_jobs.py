@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import line_dedup, queries, token_counts
+from evidentia.llm import line_dedup, queries, simhash, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +65,13 @@ def test_marks_after_a_capital_with_a_dot(text):
 
     lib = Tokenizer.from_file(queries.vocabulary())
     assert token_counts.PieceCounter(queries.vocabulary()).counts([text.encode()]) == [len(lib.encode(text, add_special_tokens=False).ids)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "x"), (None, a, "x"), (None, b, "x"), (None, b, "x"), (None, b, "y"), (1, c, "x"), (3, c, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = simhash.keep_one(docs, shingle=3)
+    assert out.columns == docs.columns
+    kept = sorted((r.text[0], r.doc_id) for r in out.collect())
+    assert kept == [("a", 1), ("b", None), ("c", 1)]
