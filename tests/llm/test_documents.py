@@ -267,3 +267,35 @@ def test_small_blocks_and_repeated_captures(spark):
     directory = warc.build_index(captures, folder, block_rows=3)
     out = warc.look_up(pages, directory).collect()
     assert len(out) == 80 and all(r.record_type == "response" for r in out)
+
+
+def test_one_url_with_many_captures(spark, monkeypatch):
+    """Pages without a URL share one key: a lookup still reads few blocks, and revisits of one payload find its response."""
+    pages = spark.range(6000).selectExpr("id AS page_id", "CAST(NULL AS STRING) AS url", "IF(id % 3 = 0, NULL, concat('text ', id)) AS html")
+    folder = warc.shared_path(spark, "warc")
+    captures = warc.write(pages, folder)
+    directory = warc.build_index(captures, folder, block_rows=100)
+    out = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.look_up(pages, directory).collect()}
+    assert out == {i: (0 if i % 3 == 0 else len(f"text {i}"), "response" if i % 3 or i == 0 else "revisit", None if i % 3 or i == 0 else 0) for i in range(6000)}
+    reader, read = warc.Reader(directory), []
+    monkeypatch.setattr(reader, "bytes_at", lambda *a, own=reader.bytes_at: (read.append(a), own(*a))[1])
+    entries = reader.span(("", "=3001"), ("", "=3002"))
+    assert len(entries) <= 2 and len([*reader.captures(entries, (b"", b"=3001"))]) == 1 and len(read) == 1
+
+
+def test_pages_of_any_type(spark):
+    rows = [("a b%c\n", None, "x"), ("", None, "x"), (None, None, "x"), ("z", "http://q/é%41?x=1\t2", "y"), ("zz", "http://q", "y"), ("1", "http://q", None)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    _, directory = warc.archive(pages)
+    out = sorted(((r.page_id is not None, r.page_id, r.record_type, r.refers_to) for r in warc.look_up(pages, directory).collect()), key=str)
+    assert out == sorted([(True, "a b%c\n", "revisit", ""), (True, "", "response", None), (False, None, "revisit", ""), (True, "z", "response", None), (True, "zz", "revisit", "z"), (True, "1", "response", None)], key=str)
+
+
+def test_a_revisit_is_read_through_its_response(spark):
+    """Size and digest of a revisit come from the payload that it refers to: without that response there is no result."""
+    pages = spark.createDataFrame([(1, "http://a.b", "same"), (2, "http://c.d", "same")], "page_id long, url string, html string")
+    folder = warc.shared_path(spark, "warc")
+    captures = warc.write(pages, folder)
+    alone = warc.build_index(captures.filter("page = '=2'"), folder)
+    with pytest.raises(Exception, match="no capture of page 1"):
+        warc.look_up(pages.filter("page_id = 2"), alone).collect()
