@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        # only local sessions get here; a cluster names its own folder
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(spark, "_evidentia_shared", None) or tempfile.mkdtemp(prefix="evidentia-")
         spark._evidentia_shared = path
     return path.rstrip("/")
@@ -32,7 +34,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df`, written once to the shared folder and read back: lineage ends there and survives lost executors."""
+    """`df`, written once to the shared folder and read back: lineage ends there and survives lost executors.
+
+    This runs a job at once, so operators that store tables do work when their DataFrame is made.
+    """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -43,13 +48,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Cap the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
-
-
 def byte_slices(sizes: list[int], limit: int = BATCH_BYTES):
     """(start, end) runs of about `limit` bytes each; a longer row is a run of its own."""
     start = total = 0
@@ -69,7 +67,6 @@ def map_texts(docs: DataFrame, text: str, added: dict[str, str], start, keep: li
     reaches it as b"". `keep` names the columns that go on (default: all but those that `added` replaces); the columns
     `also` reach f as further lists.
     """
-    small_batches(docs.sparkSession)
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in added]
     names, at = [f"c{i}" for i in range(len(keep))], len(keep)
     # columns travel under names of their own, so that no name can clash on the way
@@ -97,23 +94,42 @@ def map_texts(docs: DataFrame, text: str, added: dict[str, str], start, keep: li
 
 
 class Memo:
-    """A bounded cache in two generations: what was used since the last turn survives the next one.
+    """A cache in two generations, bounded by bytes: what was used since the last turn survives the next one.
 
-    Turns happen in `missing` only, so that all that a slice needs stays until its next call.
+    A turn comes where the keys of one generation reach `size` bytes, and happens in `missing` only, so that all that a
+    slice needs stays until its next call. Keys beyond `LONG` characters are kept for that call alone.
     """
 
+    LONG = 64
+
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+        self.size, self.young, self.old, self.used, self.seen, self.long = size, {}, {}, 0, 0, []
 
     def missing(self, keys) -> list:
         """The keys that must be learnt; the others are in `young` afterwards."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
+        for k in self.long:
+            self.young.pop(k, None)
+        if self.used > self.size:
+            self.old, self.young, self.used = self.young, {}, 0
         young, old, out = self.young, self.old, []
+        moved = []
         for k in keys:
             if k not in young:
                 if (v := old.get(k)) is None:
                     out.append(k)
                 else:
                     young[k] = v
+                    moved.append(k)
+        self.long = []
+        self.note(moved)
+        self.note(out)
         return out
+
+    def note(self, keys) -> None:
+        """Counts keys that go into `young`."""
+        for k in keys:
+            if len(k) > self.LONG:
+                self.long.append(k)
+            else:
+                # an entry's value and its place in the table weigh about 150 bytes besides its key
+                self.used += len(k) + 150

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_texts, small_batches, stored
+from .common import byte_slices, map_texts, stored
 
 WINDOW = 2
 DIVISOR = 2
@@ -128,7 +128,6 @@ def passages(text: bytes, min_words: int = MIN_WORDS, runs: bool = False) -> lis
 
 def _spread(docs: DataFrame, doc_id: str, text: str, min_words: int, bodies: bool, runs: bool = False) -> DataFrame:
     """One row per counting passage: doc_id, hash and its bytes, or instead of them how often the document has it."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
 

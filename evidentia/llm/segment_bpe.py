@@ -27,7 +27,8 @@ from .common import Memo, map_texts
 INFINITE = 1 << 62
 #: Words beyond this length have a tree of their own.
 SIDE_BY_SIDE = 32
-CACHE_WORDS = 250_000
+#: Bytes of words, and of chunks, that a worker remembers in each of two generations.
+CACHE_BYTES = 40 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -195,7 +196,7 @@ def merge_rows(v: Vocabulary, rows: np.ndarray) -> list[list[int]]:
 class Codec:
     """Encodes and decodes texts; ids are little-endian unsigned 32-bit integers, packed."""
 
-    def __init__(self, path: str, cache: int = CACHE_WORDS):
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         self.v = Vocabulary(path)
         self.chunks, self.words = Memo(cache), Memo(cache)
 

@@ -5,17 +5,26 @@ sequence where there are fewer, none: zero); a bit is 1 where over half of the s
 
 Links, fingerprints at `radius` or fewer differing bits, are searched among distinct fingerprints. With the 64 bits in
 radius + 2 parts, two linked fingerprints agree on at least two of them; so every fingerprint goes to one shard for
-each pair of parts, keyed by their bits, and no link is lost. A shard is a BK-tree, children keyed by their distance
-to the parent; the fingerprints of the shard walk it together and follow only edges within the radius. All trees
-together grow with the corpus, so a tree is not broadcast to all but sent to the tasks that hold its queries: a shard
-of up to `SHARD` fingerprints is tree and queries at once, a larger one is dealt into trees of about that size, each
-sent to each block of the shard's queries. A task emits a spanning forest of its links, never all pairs.
+each pair of parts, keyed by their bits, and no link is lost. A shard of more than `SHARD` fingerprints is cut again:
+its free bits in radius + 1 parts, of which linked fingerprints agree on one, and so on; since a shard whose
+fingerprints have 11 free bits holds 2048 at most, every shard ends within the bound and none is compared with another.
+A shard is a BK-tree, children keyed by their distance to the parent; the fingerprints of the shard walk it together
+and follow only edges within the radius. Where a shard holds two fingerprints its tree is one edge, read by Spark's own
+functions. All trees together grow with the corpus, so a tree is not broadcast: it goes to the one task that holds its
+queries. A task emits a spanning forest of its links, never all pairs.
+
+`keep_similar` is for similarities that no small radius reaches. Its fingerprints have 256 bits, of five-word shingles
+of folded words; shards are keyed by `BANDS` bands of `ROWS` minimum hashes, in which documents of a Jaccard similarity
+of 0.8 meet with a probability of 0.998; the trees find links within a wide radius, of which the closest that join a
+shard stay (a minimum spanning forest) and are then confirmed by the exact similarity of the two documents. Shards
+beyond `SHARD` are dealt into trees of about that size, which share `PIVOTS` documents.
 
 Components come from alternating large-star and small-star steps on tables in the shared folder.
 
-Defined results: null texts have no words (fingerprint zero); repeated rows are copies; where a doc_id is null its
-row belongs to its fingerprint's component without naming it; an empty table gives an empty result; other columns
-pass through `fingerprints`, except fingerprint itself.
+Defined results: null texts have no words (fingerprint zero; for `keep_similar` texts without words are all alike);
+texts of any length are worked on whole, in slices of 65,536 shingles; repeated rows are copies; where a doc_id is
+null its row belongs to its fingerprint's component without naming it; an empty table gives an empty result; other
+columns pass through `fingerprints`, except fingerprint itself. Operators that find components run jobs when called.
 """
 
 from __future__ import annotations
@@ -27,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, stored
+from .decontaminate import split_words
 
 SHARD = 2048
 
@@ -60,12 +70,14 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataF
 
 
 class BKTree:
-    """Children of a node by their integer Hamming distance to it."""
+    """Children of a node by their integer Hamming distance to it; values are rows of 64-bit words."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values.astype("<i8").view("<u8")
+        self.values = np.ascontiguousarray(values).view("<u8").reshape(len(values), -1)
         self.children: list[dict[int, int]] = []
-        plain = self.values.tolist()
+        width = 8 * self.values.shape[1]
+        raw = self.values.tobytes()
+        plain = [int.from_bytes(raw[k : k + width], "little") for k in range(0, len(raw), width)]
         for i, x in enumerate(plain):
             self.children.append({})
             node = 0
@@ -78,15 +90,15 @@ class BKTree:
                 node = below
 
     def search(self, queries: np.ndarray, radius: int):
-        """(node, numbers of the queries within the radius of it), for each node that any query reaches."""
-        queries = queries.astype("<i8").view("<u8")
+        """(node, numbers of the queries within the radius of it, their distances), for each node that any query reaches."""
+        queries = np.ascontiguousarray(queries).view("<u8").reshape(len(queries), -1)
         stack = [(0, np.arange(len(queries)))] if len(self.values) else []
         while stack:
             node, own = stack.pop()
-            d = np.bitwise_count(queries[own] ^ self.values[node]).astype(np.int64)
-            near = own[d <= radius]
-            if len(near):
-                yield node, near
+            d = np.bitwise_count(queries[own] ^ self.values[node]).sum(axis=1, dtype=np.int64)
+            near = d <= radius
+            if near.any():
+                yield node, own[near], d[near]
             for edge, child in self.children[node].items():
                 # a value below that edge is within the radius only of queries that differ from it by that much at most
                 follow = own[np.abs(d - edge) <= radius]
@@ -94,38 +106,70 @@ class BKTree:
                     stack.append((child, follow))
 
 
-def forest(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Links that join the components of one tree and its queries (default: the tree's own values)."""
-    values = tree if queries is None else np.concatenate([tree, queries])
-    shift = 0 if queries is None else len(tree)
-    if queries is None and len(tree) == 2:
-        return [(int(tree[0]), int(tree[1]))] if int(np.bitwise_count(tree[0] ^ tree[1])) <= radius else []
+def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Numbers of linked values, enough links to join the components of one tree."""
     label, out = np.arange(len(values)), []
-    for node, near in BKTree(tree).search(tree if queries is None else queries, radius):
-        near = near + shift
+    for node, near, _ in BKTree(values).search(values, radius):
         other = near[label[near] != label[node]]
         if len(other):
             labels, first = np.unique(label[other], return_index=True)
-            out += [(int(values[node]), int(values[other[k]])) for k in first]
+            out += [(node, int(other[k])) for k in first]
             label[np.isin(label, labels)] = label[node]
     return out
 
 
+def closest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """As `forest`, but the closest links that join the components: a minimum spanning forest."""
+    ends: list = [(node, near[near > node], d[near > node]) for node, near, d in BKTree(values).search(values, radius)]
+    a = np.concatenate([np.full(len(n), node) for node, n, _ in ends])
+    b, apart = np.concatenate([n for _, n, _ in ends]), np.concatenate([d for _, _, d in ends])
+    label, out = np.arange(len(values)), []
+    for d in np.unique(apart):
+        x, y = a[apart == d], b[apart == d]
+        while len(x := x[open_ := label[x] != label[y]]):
+            y = y[open_]
+            # of the links of this length one for each component at a time
+            _, first = np.unique(label[x], return_index=True)
+            for k in first:
+                if label[x[k]] != label[y[k]]:
+                    out.append((int(x[k]), int(y[k])))
+                    label[label == label[y[k]]] = label[x[k]]
+    return out
+
+
+def _cut(mask: int, parts: int) -> list[int]:
+    """`mask` with each of `parts` parts of its free bits."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * k // parts for k in range(parts + 1)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:])]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def links(prints: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     """(a, b): links between distinct fingerprints of `prints` that join all that belong together."""
-    parts = radius + 2
-    cuts = [64 * k // parts for k in range(parts + 1)]
-    bits = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    masks = [x - (1 << 64) if x >> 63 else x for x in (bits[i] | bits[j] for i, j in combinations(range(parts), 2))]
-    keyed = prints.select("fingerprint").distinct().select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "key"))
-    large = keyed.groupBy("part", "key").count().filter(F.col("count") > shard).withColumnRenamed("count", "n")
-    dealt = keyed.join(large, ["part", "key"], "left").withColumn("shard", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("fingerprint"), F.ceil(F.col("n") / shard))))
-    trees = dealt.groupBy("part", "key", "shard").agg(F.collect_list("fingerprint").alias("tree"), F.first("n").alias("n"))
-    alone = trees.filter("n is null and size(tree) > 1").select("tree", F.lit(None).cast("array<bigint>").alias("queries"))
-    whole = trees.filter("n is not null")
-    blocks = whole.select("part", "key", F.col("shard").alias("block"), F.col("tree").alias("queries"))
-    met = whole.join(blocks, ["part", "key"]).filter("shard <= block")
-    met = met.repartition("part", "key", "shard", "block").select("tree", F.when(F.col("shard") < F.col("block"), F.col("queries")).alias("queries"))
+    if shard < 2 << radius:
+        raise ValueError("a shard must be able to hold every value of its last radius + 1 bits")
+    spark = prints.sparkSession
+    one = _cut(0, radius + 2)
+    masks = [a | b for a, b in combinations(one, 2)]
+    keyed = prints.select("fingerprint").distinct().select("fingerprint", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    pairs, trees = [], []
+    while True:
+        keyed = keyed.withColumn("key", F.col("fingerprint").bitwiseAND(F.col("mask")))
+        large = stored(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > shard), "large").select("mask", "key")
+        small = keyed.join(large, ["mask", "key"], "left_anti").groupBy("mask", "key").agg(F.collect_list("fingerprint").alias("tree"))
+        pairs.append(small.filter("size(tree) = 2").select(F.col("tree")[0].alias("a"), F.col("tree")[1].alias("b")))
+        trees.append(small.filter("size(tree) > 2").select("tree"))
+        masks = [m for m in masks if m.bit_count() < 64]
+        if not masks or large.isEmpty():
+            break
+        finer = spark.createDataFrame([(_signed(m), [_signed(x) for x in dict.fromkeys(_cut(m, radius + 1)) if x != m]) for m in masks], "mask long, finer array<long>")
+        masks = [*dict.fromkeys(x for m in masks for x in _cut(m, radius + 1) if x != m)]
+        rest = keyed.join(large, ["mask", "key"]).join(F.broadcast(finer), "mask")  # at most 10 * 4^7 masks
+        keyed = stored(rest.select("fingerprint", F.explode("finer").alias("mask")).distinct(), "finer")
 
     def run(batches):
         import pyarrow as pa
@@ -133,15 +177,18 @@ def links(prints: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
         for batch in batches:
             a: list[int] = []
             b: list[int] = []
-            trees, queries = batch.column(0), batch.column(1)
-            for k in range(len(batch)):
-                own = trees[k].values.to_numpy()
-                for x, y in forest(own, queries[k].values.to_numpy() if queries[k].is_valid else None, radius):
-                    a.append(x)
-                    b.append(y)
+            for tree in batch.column(0):
+                own = tree.values.to_numpy()
+                for x, y in forest(own, radius):
+                    a.append(int(own[x]))
+                    b.append(int(own[y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return alone.unionByName(met).mapInArrow(run, "a long, b long").distinct()
+    found = None
+    for p, t in zip(pairs, trees, strict=True):
+        own = p.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).unionByName(t.mapInArrow(run, "a long, b long"))
+        found = own if found is None else found.unionByName(own)
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,18 +226,170 @@ def _labelled(prints: DataFrame, found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, radius: int = 3) -> DataFrame:
     """One row of each group, as it is: of the smallest doc_id (nulls last), and of rows that share it the one of least hash."""
-    key = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    keyed = docs.withColumn("_g_key", key)
-    prints = stored(fingerprints(keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "_g_key"), "text", shingle), "prints")
+    prints = stored(fingerprints(_keyed(docs, text, doc_id), "text", shingle), "prints")
+    return _first_of_each(docs, doc_id, prints, components(links(prints, radius)))
+
+
+def _row_key(docs: DataFrame):
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, text and a hash of the whole row as _g_key."""
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), _row_key(docs).alias("_g_key"))
+
+
+def _first_of_each(docs: DataFrame, doc_id: str, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of `docs` that stays of each group; prints: doc_id, _g_key, fingerprint; found: (node, root)."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_g_key"))
     own = prints.groupBy("fingerprint").agg(F.min(rank).alias("least"))
-    rooted = own.join(components(links(prints, radius)).withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    rooted = own.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    named = rooted.join(first, "root").select("fingerprint", "first")
+    named = stored(rooted.join(first, "root").select("fingerprint", "first"), "firsts")
     out = prints.join(named, "fingerprint").filter(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_g"), F.col("_g_key").alias("_k")).distinct()
-    same = lambda d: F.col(doc_id).eqNullSafe(d["_g"]) & (F.col("_g_key") == d["_k"])
+    keyed = docs.withColumn("_g_key", _row_key(docs))
+    same = lambda d: F.col(f"`{doc_id}`").eqNullSafe(d["_g"]) & (F.col("_g_key") == d["_k"])
     left = keyed.join(out, same(out), "left_anti")
     # equal rows share id and hash: one of them stays
     twice = stored(prints.groupBy(F.col("doc_id").alias("_g"), F.col("_g_key").alias("_k")).count().filter("count > 1").select("_g", "_k"), "twice")
     single, copies = left.join(twice, same(twice), "left_anti"), left.join(twice, same(twice), "left_semi")
     return single.unionByName(copies.dropDuplicates([doc_id, "_g_key"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: Bands of minimum hashes and the hashes of a band; bits of a wide fingerprint in words of 64; its radius.
+BANDS, ROWS, WIDE, WIDE_RADIUS = 16, 5, 4, 64
+#: Documents that all trees of a dealt shard share, about.
+PIVOTS = 256
+_ODD = (np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit words (multiply and shift)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
+def shingle_hashes(words: list[bytes], shingle: int, known: dict) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted; `known` remembers those of words."""
+    from xxhash import xxh64_intdigest
+
+    for w in {*words}.difference(known):
+        known[w] = xxh64_intdigest(w)
+    h = np.array([*map(known.__getitem__, words)], np.uint64)
+    size = min(shingle, len(h))
+    if not size:
+        return h
+    n = len(h) - size + 1
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = _mixed(out + h[k : k + n])
+    return np.unique(out)
+
+
+def wide_print(grams: np.ndarray) -> tuple[bytes, list[int]]:
+    """A SimHash of 64 * WIDE bits, and the keys of the bands of minimum hashes."""
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    ones = np.zeros(64 * WIDE, np.int64)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(grams), 4096):
+            part = grams[a : a + 4096]
+            least = np.minimum(least, ((part[:, None] + _ODD) * _ODD).min(axis=0))
+            bits = np.stack([_mixed(part + np.uint64(k)) for k in range(WIDE)], axis=1)
+            ones += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bands = least.reshape(BANDS, ROWS)
+        key = np.arange(BANDS, dtype=np.uint64)
+        for k in range(ROWS):
+            key = _mixed(key + bands[:, k])
+    return np.packbits(2 * ones > len(grams), bitorder="little").tobytes(), key.view(np.int64).tolist()
+
+
+def _known(known: dict) -> dict:
+    """The dictionary of words, emptied where it has grown beyond 200,000."""
+    if len(known) > 200_000:
+        known.clear()
+    return known
+
+
+def similar_links(prints: DataFrame, radius: int = WIDE_RADIUS, shard: int = SHARD, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b): candidate links between distinct wide fingerprints (fingerprint binary, bands array<long>) of shared bands."""
+    keyed = prints.groupBy("fingerprint").agg(F.min("bands").alias("bands")).select("fingerprint", F.explode("bands").alias("band"))
+    sizes = stored(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
+    met = keyed.join(sizes, "band")
+    trees = F.ceil(F.col("n") / shard).cast("int")
+    pivot = (F.col("n") > shard) & (F.pmod(F.xxhash64("fingerprint", "band"), F.ceil(F.col("n") / pivots)) == 0)
+    dealt = F.when(pivot, F.sequence(F.lit(0), trees - 1)).otherwise(F.array(F.pmod(F.xxhash64("fingerprint"), trees).cast("int")))
+    rows = met.select("band", "fingerprint", F.explode(dealt).alias("tree_no"))
+    # the same documents meet in many bands: each set of them is searched once
+    packed = rows.groupBy("band", "tree_no").agg(F.sort_array(F.collect_list("fingerprint")).alias("tree")).filter("size(tree) > 1").select("tree").distinct()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a: list[bytes] = []
+            b: list[bytes] = []
+            for tree in batch.column(0).to_pylist():
+                own = np.frombuffer(b"".join(tree), "<u8").reshape(len(tree), -1)
+                for x, y in closest(own, radius):
+                    a.append(tree[x])
+                    b.append(tree[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return packed.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The pairs (a, b) whose texts (fingerprint, text) have a Jaccard similarity of their shingles of `similarity` or more."""
+    one = texts.select(F.col("fingerprint").alias("a"), F.col("text").cast("binary").alias("x"))
+    two = texts.select(F.col("fingerprint").alias("b"), F.col("text").cast("binary").alias("y"))
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        known: dict = {}
+        for batch in batches:
+            last: tuple = (None, None)
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                known = _known(known)
+                own = last[1] if last[0] == x else shingle_hashes(split_words(x or b""), shingle, known)
+                last = (x, own)
+                other = shingle_hashes(split_words(y or b""), shingle, known)
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(shared >= similarity * (len(own) + len(other) - shared))
+            yield batch.select([0, 1]).filter(pc.equal(keep, True)) if keep else batch.select([0, 1])
+
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    return met.mapInArrow(run, "a binary, b binary")
+
+
+def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of documents of that similarity, chosen as by `keep_one`, in the columns of `docs`."""
+
+    def start():
+        known: dict = {}
+
+        def run(texts):
+            out: list[list] = [[], []]
+            for t in texts:
+                found, bands = wide_print(shingle_hashes(split_words(t), shingle, _known(known)))
+                out[0].append(found)
+                out[1].append(bands)
+            return out
+
+        return run
+
+    keyed = _keyed(docs, text, doc_id)
+    prints = stored(map_texts(keyed, "text", {"fingerprint": "binary", "bands": "array<long>"}, start, ["doc_id", "_g_key"]), "prints")
+    pairs = stored(similar_links(prints), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
+    # one row stands for each fingerprint that has a candidate; its text is looked up by id and row hash
+    stand = prints.join(ends, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "_g_key")).alias("r"))
+    stand = stored(stand.select("fingerprint", F.col("r.doc_id").alias("_s_id"), F.col("r._g_key").alias("_s_key")), "stand")
+    texts = keyed.join(stand, keyed["_g_key"] == stand["_s_key"]).filter(F.col("doc_id").eqNullSafe(F.col("_s_id")))
+    texts = stored(texts.select("fingerprint", "text").dropDuplicates(["fingerprint"]), "texts")
+    found = components(confirmed(pairs, texts, shingle, similarity))
+    return _first_of_each(docs, doc_id, prints, found)

@@ -4,7 +4,7 @@ Texts are cut at safe boundaries, places where the library itself always cuts be
 a text is the sum over its pieces. Distinct pieces go to the library in batches balanced by bytes, and a bounded
 cache carries their lengths on. Where no safe boundary is known the whole text is one piece.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows count alike; an empty table gives an
+Defined results: a null or empty text has 0 bytes and 0 tokens; a text of any length is counted whole; repeated rows count alike; an empty table gives an
 empty result; input columns pass through, except that n_bytes, n_tokens and over_limit are replaced.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import Memo, map_texts
 
-#: Pieces whose lengths a worker remembers; the cache empties when it is full.
-CACHE_PIECES = 300_000
+#: Bytes of pieces whose lengths a worker remembers, in each of two generations.
+CACHE_BYTES = 48 << 20
 ENCODE_BYTES = 1 << 20
 
 #: Punctuation that, after letters alone, is always a piece of its own (no contraction and no special token has it).
@@ -36,7 +36,7 @@ def _letters(piece: bytes) -> bool:
 class PieceCounter:
     """Token counts of texts for one vocabulary file (.json: tokenizers, .model: sentencepiece)."""
 
-    def __init__(self, path: str, cache: int = CACHE_PIECES):
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         self.lengths, self.tails, self.cut = Memo(cache), False, None
         if path.endswith(".model"):
             import sentencepiece
@@ -78,7 +78,9 @@ class PieceCounter:
         if new := self.lengths.missing(set().union(*cut)):
             known = self.lengths.young
             tails = {p for p in new if p[-1:] in _TAIL and _letters(p[:-1])} if self.tails else set()
-            self._learn([p for p in {*(x for x in new if x not in tails), *(x[:-1] for x in tails), *(x[-1:] for x in tails)} if p not in known])
+            parts = {*(x[:-1] for x in tails), *(x[-1:] for x in tails)}
+            self.lengths.note([p for p in parts if p not in known])
+            self._learn([p for p in {*(x for x in new if x not in tails), *parts} if p not in known])
             known.update({p: known[p[:-1]] + known[p[-1:]] for p in tails})
         look = known.__getitem__
         return [sum(map(look, pieces)) for pieces in cut]

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, stored
+from .common import shared_path, stored
 
 BLOCK_ROWS = 1000
 #: Archived bytes and captures that one task of an index or a lookup takes.
@@ -114,7 +114,6 @@ def _page(name: str = "page_id"):
 
 def write(pages: DataFrame, folder: str, dedup_from: int = 0) -> DataFrame:
     """Writes the archives below `folder`; returns captures: key, page (see `_page`), file, offset, length."""
-    small_batches(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", body.alias("payload")).withColumn("same", F.concat(F.sha2("payload", 256), F.octet_length("payload").cast("string")))
     order = F.when(F.col("page_id").isNotNull(), F.struct(F.col("page_id"), F.coalesce("url", F.lit(""))))
@@ -157,7 +156,6 @@ def _tasks(spark, rows: int, size: int) -> int:
 def build_index(captures: DataFrame, folder: str, block_rows: int = BLOCK_ROWS) -> str:
     """Packs sorted captures into compressed blocks below `folder`; returns where the block directory is stored."""
     spark = captures.sparkSession
-    small_batches(spark)
     rows, size = captures.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     ordered = captures.repartitionByRange(_tasks(spark, rows, size), "key", "page", "offset").sortWithinPartitions("key", "page", "file", "offset")
 
@@ -316,7 +314,6 @@ def _places(rows: DataFrame, url: str, *others) -> DataFrame:
 def look_up(wanted: DataFrame, directory: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to for each row (url, page_id) of `wanted`; runs jobs."""
     spark = wanted.sparkSession
-    small_batches(spark)
     kind = wanted.schema["page_id"].dataType.simpleString()
     keyed = _places(wanted, "url", _page().alias("page"), F.lit(None).cast("string").alias("digest"))
     # the captures are as many as the rows asked for; their bytes follow from the directory's tail of each file

@@ -44,6 +44,23 @@ def components(prints, radius):
     return {d: find(parent, d) for d in prints}
 
 
+def similar(docs, shingle=5, similarity=0.8):
+    """{doc_id: component_id} for docs [(doc_id, text)] by the Jaccard similarity of word shingles, all pairs."""
+    sets = {}
+    for d, text in docs:
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
+        n = min(shingle, len(w))
+        sets[d] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+    parent = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            shared = len(sets[a] & sets[b])
+            if a < b and shared >= similarity * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((find(parent, a), find(parent, b)))
+                parent[y] = x
+    return {d: find(parent, d) for d in sets}
+
+
 def contamination(docs, items, width=10):
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
     windows = {}

@@ -95,10 +95,10 @@ def test_bk_tree_and_shards(spark):
     values = sorted({int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False)) for c in centre for _ in range(150)})
     tree = simhash.BKTree(np.array(values, np.int64))
     for q in values[:20]:
-        found = {values[n] for n, near in tree.search(np.array([q], np.int64), 3) if len(near)}
+        found = {values[n] for n, near, _ in tree.search(np.array([q], np.int64), 3) if len(near)}
         assert found == {v for v in values if (v ^ q).bit_count() <= 3}
     prints = spark.createDataFrame([(v,) for v in values], "fingerprint long")
-    # shards far smaller than the groups: trees are dealt out and meet all queries
+    # shards far smaller than the groups are cut again and again
     roots = {r.node: r.root for r in simhash.components(simhash.links(prints, 3, shard=16)).collect()}
     want = ref.components({v: v for v in values}, 3)
     assert {v: roots.get(v, v) for v in values} == want

@@ -32,10 +32,8 @@ def test_stages(spark):
         elif name == "line dedup":
             want = {d: t for d, t in ref.dedup_lines(pairs, line_dedup.chunks).items() if t.strip(" \t\n\r\x0b\x0c")}
         elif name == "near duplicates":
-            want = {d: t for d, t in pairs if ref.simhash(pairs, 3, 3)[d][1] == d} if len(pairs) < 60 else None
-            if want is None:
-                all_ = ref.simhash(pairs, 3, 3)
-                want = {d: t for d, t in pairs if all_[d][1] == d}
+            group = ref.similar(pairs)
+            want = {d: t for d, t in pairs if group[d] == d}
         else:
             hit = ref.contamination(pairs, bench)
             want = {d: t for d, t in pairs if not hit[d][-1]}

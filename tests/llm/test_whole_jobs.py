@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import line_dedup, queries, simhash, token_counts
 
+from . import reference as ref
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -75,3 +77,53 @@ def test_one_row_of_each_group_stays(spark):
     assert out.columns == docs.columns
     kept = sorted((r.text[0], r.doc_id) for r in out.collect())
     assert kept == [("a", 1), ("b", None), ("c", 1)]
+
+
+def copies(rng, words, n, changes):
+    """`n` copies of a text, each with some words of its own."""
+    out = []
+    for k in range(n):
+        own = list(words)
+        for at in rng.sample(range(len(own)), changes):
+            own[at] = f"new{k}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_similar_documents_by_brute_force(spark):
+    """Groups of near copies around the threshold, beside unrelated texts: every group that all pairs give, and no other."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for g in range(40):
+        rows += copies(rng, [f"g{g}w{k}" for k in range(rng.choice([30, 120, 400]))], rng.choice([1, 2, 5]), rng.choice([0, 1, 2, 4]))
+    docs = [(i, t) for i, t in enumerate(rows)]
+    kept = {r.doc_id for r in simhash.keep_similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    group = ref.similar(docs)
+    assert kept == {d for d in group if group[d] == d} and len(kept) < len(docs)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Beyond a tree's bound a shard is dealt out; the group still falls to one document, or nearly."""
+    import random
+
+    rng = random.Random(6)
+    docs = [(i, t) for i, t in enumerate(copies(rng, [f"w{k}" for k in range(300)], 300, 2))]
+    prints = simhash.map_texts(spark.createDataFrame(docs, "doc_id long, text string"), "text", {"fingerprint": "binary", "bands": "array<long>"}, lambda: lambda ts: [*zip(*[simhash.wide_print(simhash.shingle_hashes(simhash.split_words(t), 5, {})) for t in ts])], ["doc_id"])
+    dealt = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.similar_links(prints, shard=40, pivots=10).collect()}
+    parent = {bytes(r.fingerprint): bytes(r.fingerprint) for r in prints.collect()}
+    for a, b in map(sorted, dealt):
+        x, y = ref.find(parent, a), ref.find(parent, b)
+        parent[max(x, y)] = min(x, y)
+    assert len({ref.find(parent, x) for x in parent}) == 1
+
+
+def test_similar_documents_of_awkward_rows(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a, 1), (1, a, 1), (2, a.upper() + "!", 2), (None, a, 3), (None, b, 4), (None, b, 4), (5, None, 5), (6, "", 6), (7, " .. ", 7), (8, "one", 8), (9, "One.", 9), (10, "x " * 300_000, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint long")
+    out = simhash.keep_similar(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.fingerprint, r.doc_id) for r in out.collect()) == [(1, 1), (4, None), (5, 5), (8, 8), (10, 10)]
+    assert simhash.keep_similar(docs.filter("false")).count() == 0
