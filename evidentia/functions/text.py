@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 PART = r"[\p{L}\p{N}]+"
-#: Words that a registry search ignores.
-SEARCH_STOP_WORDS = ("a", "an", "and", "are", "for", "in", "is", "of", "on", "the", "to", "was", "what", "who", "with")
+#: Words that a registry search ignores; the last eight say what is searched.
+SEARCH_STOP_WORDS = (
+    "a", "about", "and", "are", "at", "by", "does", "for", "from", "in", "is", "it", "job", "of", "on", "or", "please", "role", "the", "this", "to", "what", "when", "where", "which", "who", "whose",
+    "chapter", "discuss", "discusses", "recording", "speaker", "timestamp", "video", "watch", "webinar",
+)
 
 
 def plain(text: Column) -> Column:
@@ -72,6 +75,14 @@ def conservative_tokens(text: Column) -> Column:
     return F.aggregate(F.transform(pieces, cost), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def passage_cost(text: Column, title: Column, locator: Column, headers: Column) -> Column:
+    """Tokens of a passage in a request: its text, its title, place and headers as a JSON list, and 32 for the frame."""
+    quoted = lambda c: F.to_json(F.array(F.coalesce(c, F.lit(""))))
+    inside = lambda c: F.substring(quoted(c), F.lit(2), F.char_length(quoted(c)) - 2)
+    own = F.concat(F.lit("["), inside(title), F.lit(", "), inside(locator), F.lit(", "), F.replace(F.to_json(headers), F.lit('","'), F.lit('", "')), F.lit("]"))
+    return 32 + conservative_tokens(text) + conservative_tokens(own)
+
+
 def digest(*parts: Column) -> Column:
     """SHA-256 of the parts, each followed by a NUL."""
     return F.sha2(F.concat(*[x for p in parts for x in (p.cast("string"), F.lit("\0"))]).cast("binary"), 256)

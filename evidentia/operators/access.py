@@ -1,10 +1,33 @@
-"""Access control: principals, validity, wildcard grants, deny before allow. Sets are DataFrames; `at` is an argument."""
+"""Access control: principals, system roles, validity, wildcard grants, deny before allow. Sets are DataFrames; `at` is an argument.
+
+Verdicts stay symbolic: a grant for `*` is one row however many resources there are, and only what is asked for, or what
+grants name, is joined. Nothing here is a product of users and resources.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What each system role may do.
+ROLE_PERMISSIONS = {
+    "administrator": ("*",),
+    "corpus_manager": (
+        "question.ask", "document.search", "document.read", "document.cite", "document.manage", "video.search", "video.metadata.read", "video.open", "video.manage",
+        "org_role.search", "org_role.read", "org_role.manage", "identity.manage", "corpus.manage", "trace.read_own",
+    ),
+    "researcher": (
+        "question.ask", "document.search", "document.read", "document.cite", "video.search", "video.metadata.read", "video.open", "org_role.search", "org_role.read", "trace.read_own",
+    ),
+    "viewer": ("question.ask", "document.search", "document.read", "document.cite", "video.search", "video.metadata.read", "org_role.search", "org_role.read", "trace.read_own"),
+    "guest": ("question.ask", "document.search", "document.read", "document.cite", "video.search", "video.metadata.read", "org_role.search", "org_role.read"),
+    "trace_auditor": ("trace.read_any", "audit.read"),
+}
+#: Reading, finding and citing a document are asked for together.
+DOCUMENT_ACTIONS = ("document.search", "document.read", "document.cite")
+
 
 def valid(at: Column, start: Column, end: Column) -> Column:
     """start <= at < end, null meaning unbounded."""
@@ -12,27 +35,133 @@ def valid(at: Column, start: Column, end: Column) -> Column:
 
 
 def principal_keys(users: DataFrame, memberships: DataFrame, at: Column) -> DataFrame:
-    """(user_id, principal_type, principal_id): the user itself and the active groups it is a member of at that time."""
+    """(user_id, principal_type, principal_id): the active user itself and the active groups it is a member of at that time."""
     own = users.filter("active").select("user_id", F.lit("user").alias("principal_type"), F.col("user_id").alias("principal_id"))
     m = memberships.filter(F.col("group_active") & valid(at, F.col("valid_from"), F.col("valid_until")))
     groups = m.join(users.filter("active").select("user_id"), "user_id", "left_semi").select("user_id", F.lit("group").alias("principal_type"), F.col("group_id").alias("principal_id"))
     return own.unionByName(groups).distinct()
 
 
-def decisions(principals: DataFrame, resources: DataFrame, grants: DataFrame, action: str, at: Column) -> DataFrame:
-    """(user_id, resource_id, allowed) for every pair that a grant in force touches; one denial outweighs all permissions.
+def role_table(spark) -> DataFrame:
+    """(role_name, permission) of the system roles."""
+    return spark.createDataFrame([(k, v) for k, vs in ROLE_PERMISSIONS.items() for v in vs], "role_name string, permission string")
+
+
+def held_roles(principals: DataFrame, assigned: DataFrame, at: Column) -> DataFrame:
+    """(user_id, role_name) of the roles in force of the user and its groups."""
+    live = assigned.filter(valid(at, F.col("valid_from"), F.col("valid_until")))
+    return principals.join(live, ["principal_type", "principal_id"]).select("user_id", "role_name").distinct()
+
+
+def permissions(principals: DataFrame, assigned: DataFrame, at: Column) -> DataFrame:
+    """(user_id, permission) from the system roles in force."""
+    return held_roles(principals, assigned, at).join(F.broadcast(role_table(principals.sparkSession)), "role_name").select("user_id", "permission").distinct()  # a fixed table of 50 rows
+
+
+def gated(held: DataFrame, action: str) -> DataFrame:
+    """user_id of those whose roles hold the action or `*`."""
+    return held.filter(F.col("permission").isin("*", action)).select("user_id").distinct()
+
+
+def in_force(grants: DataFrame, at: Column) -> DataFrame:
+    return grants.filter(~F.col("revoked") & valid(at, F.col("valid_from"), F.col("valid_until")))
+
+
+def verdicts(principals: DataFrame, grants: DataFrame, action: str, at: Column) -> DataFrame:
+    """(user_id, resource_type, resource_id, deny, allow) of the grants in force for the action; types and ids may be `*`."""
+    live = in_force(grants, at).filter(F.col("action").isin("*", action))
+    # grants of a principal are merged before they meet its members, who may be many
+    own = live.groupBy("principal_type", "principal_id", "resource_type", "resource_id").agg(F.bool_or(F.col("effect") == "deny").alias("deny"), F.bool_or(F.col("effect") == "allow").alias("allow"))
+    held = principals.join(own, ["principal_type", "principal_id"])
+    return held.groupBy("user_id", "resource_type", "resource_id").agg(F.bool_or("deny").alias("deny"), F.bool_or("allow").alias("allow"))
+
+
+def can(requests: DataFrame, principals: DataFrame, held: DataFrame, resources: DataFrame, grants: DataFrame, action: str, at: Column) -> DataFrame:
+    """`requests` (user_id, resource_type, resource_id and others) with `allowed`, for one action.
+
+    Allowed are active users whose roles hold the action, on active resources that a grant in force allows and none
+    denies; a grant may name `*` for the type, the resource or the action. An owner may read its own traces.
+    """
+    asked = requests.select("user_id", "resource_type", "resource_id").distinct()
+    asked = asked.join(gated(held, action), "user_id", "left_semi").join(resources.filter("active").select("resource_type", "resource_id", "owner"), ["resource_type", "resource_id"])
+    # a request meets the grants under four keys, each an equality
+    forms = F.explode(F.array(*[F.struct(t.alias("t"), i.alias("i")) for t in (F.col("resource_type"), F.lit("*")) for i in (F.col("resource_id"), F.lit("*"))]))
+    keyed = asked.withColumn("form", forms).select("user_id", "resource_type", "resource_id", "owner", F.col("form.t").alias("t"), F.col("form.i").alias("i"))
+    v = verdicts(principals, grants, action, at).withColumnsRenamed({"resource_type": "t", "resource_id": "i"})
+    met = keyed.join(v, ["user_id", "t", "i"], "left").groupBy("user_id", "resource_type", "resource_id").agg(F.bool_or("deny").alias("deny"), F.bool_or("allow").alias("allow"), F.first("owner").alias("owner"))
+    own = (F.col("resource_type") == "trace") & F.lit(action == "trace.read_own") & F.col("owner").eqNullSafe(F.col("user_id"))
+    met = met.select("user_id", "resource_type", "resource_id", (~F.coalesce("deny", F.lit(False)) & (F.coalesce("allow", F.lit(False)) | own)).alias("allowed"))
+    return requests.join(met, ["user_id", "resource_type", "resource_id"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+
+
+def has_permission(principals: DataFrame, held: DataFrame, grants: DataFrame, action: str, at: Column) -> DataFrame:
+    """user_id of those who hold the action for all resources: by a role, and by a `*` grant of its type that nothing denies."""
+    v = verdicts(principals, grants, action, at).filter((F.col("resource_id") == "*") & F.col("resource_type").isin("*", action.split(".")[0]))
+    g = v.groupBy("user_id").agg(F.bool_or("deny").alias("deny"), F.bool_or("allow").alias("allow")).filter("allow and not deny")
+    return g.join(gated(held, action), "user_id", "left_semi").select("user_id")
+
 
-    A grant names a resource or `*`, an action or `*`. The two resource forms are joined apart, so that both stay
-    equi-joins on the resource's type (or its type and id).
+def document_scope(principals: DataFrame, held: DataFrame, grants: DataFrame, at: Column, actions: tuple = DOCUMENT_ACTIONS) -> DataFrame:
+    """(user_id, resource_id, allowed): who may do all of `actions` on which documents, before the resources are looked at.
+
+    The row of resource_id `*` holds for every document that has no row of its own for that user.
     """
-    live = grants.filter(~F.col("revoked") & valid(at, F.col("valid_from"), F.col("valid_until")) & F.col("action").isin("*", action))
-    held = principals.join(live, ["principal_type", "principal_id"]).select("user_id", "resource_type", "resource_id", "effect")
-    held = held.groupBy("user_id", "resource_type", "resource_id").agg(F.bool_or(F.col("effect") == "deny").alias("deny"), F.bool_or(F.col("effect") == "allow").alias("allow"))
-    own = resources.filter("active").select("resource_type", "resource_id")
-    exact = held.filter("resource_id <> '*'").join(own, ["resource_type", "resource_id"])
-    wide = held.filter("resource_id = '*'").drop("resource_id").join(own, "resource_type").select(*exact.columns)
-    g = exact.unionByName(wide).groupBy("user_id", "resource_id").agg(F.bool_or("deny").alias("deny"), F.bool_or("allow").alias("allow"))
-    return g.select("user_id", "resource_id", (~F.col("deny") & F.col("allow")).alias("allowed"))
+
+    def one(action: str) -> DataFrame:
+        v = verdicts(principals, grants, action, at).filter(F.col("resource_type").isin("*", "document")).join(gated(held, action), "user_id", "left_semi")
+        return v.groupBy("user_id", "resource_id").agg(F.bool_or("deny").alias("deny"), F.bool_or("allow").alias("allow")).withColumn("action", F.lit(action))
+
+    every = reduce(DataFrame.unionByName, [one(a) for a in actions])
+    flag = lambda c, a: F.coalesce(F.bool_or(F.when(F.col("action") == a, F.col(c))), F.lit(False))
+    per = every.groupBy("user_id", "resource_id").agg(*[flag(c, a).alias(f"{c}{k}") for k, a in enumerate(actions) for c in ("deny", "allow")])
+    wide = per.filter("resource_id = '*'").select("user_id", *[F.col(f"{c}{k}").alias(f"{c}_all{k}") for k in range(len(actions)) for c in ("deny", "allow")])
+    none = lambda c: F.coalesce(F.col(c), F.lit(False))
+    each = [~none(f"deny_all{k}") & ~F.col(f"deny{k}") & (F.col(f"allow{k}") | none(f"allow_all{k}")) for k in range(len(actions))]
+    return per.join(wide, "user_id", "left").select("user_id", "resource_id", reduce(Column.__and__, each).alias("allowed"))
+
+
+def in_scope(asked: DataFrame, scope: DataFrame) -> DataFrame:
+    """The rows of `asked` (user_id, resource_id and others) that a scope allows; resources are the caller's to check."""
+    own = scope.filter("resource_id <> '*'").withColumnRenamed("allowed", "_own")
+    rest = scope.filter("resource_id = '*'").select("user_id", F.col("allowed").alias("_rest"))
+    met = asked.join(own, ["user_id", "resource_id"], "left").join(rest, "user_id", "left")
+    return met.filter(F.coalesce("_own", "_rest", F.lit(False))).drop("_own", "_rest")
+
+
+def scope_sizes(users: DataFrame, scope: DataFrame, documents: DataFrame) -> DataFrame:
+    """(user_id, n_documents): how many of `documents` (resource_id of active ones) a scope allows each user, without listing them."""
+    named = scope.filter("resource_id <> '*'").join(documents.select("resource_id"), "resource_id")
+    named = named.groupBy("user_id").agg(F.count_if("allowed").alias("yes"), F.count("*").alias("named"))
+    rest = scope.filter("resource_id = '*'").select("user_id", F.col("allowed").alias("rest"))
+    total = documents.agg(F.count("*").alias("total"))
+    j = users.select("user_id").join(named, "user_id", "left").join(rest, "user_id", "left").crossJoin(F.broadcast(total))  # one row
+    unnamed = F.when(F.coalesce("rest", F.lit(False)), F.col("total") - F.coalesce("named", F.lit(0))).otherwise(0)
+    return j.select("user_id", (F.coalesce("yes", F.lit(0)) + unnamed).cast("long").alias("n_documents"))
+
+
+def reauthorized(dependencies: DataFrame, principals: DataFrame, held: DataFrame, resources: DataFrame, grants: DataFrame, at: Column) -> DataFrame:
+    """`dependencies` (answer, user_id, resource_type, resource_id, opened) with `allowed`: what delivery checks afresh.
+
+    A document must be searchable, readable and citable; a role entry readable by one who may search roles; a video's
+    metadata readable by one who may search videos, and the video openable if the answer holds its address. Whoever may
+    not ask has nothing; other types are never allowed.
+    """
+    pairs = dependencies.select("user_id", "resource_type", "resource_id").distinct()
+
+    def checked(kind: str, action: str) -> DataFrame:
+        return can(pairs.filter(F.col("resource_type") == kind), principals, held, resources, grants, action, at).filter("allowed").select("user_id", "resource_type", "resource_id")
+
+    def all_of(kind: str, actions: tuple, also: str | None = None) -> DataFrame:
+        out = reduce(DataFrame.intersect, [checked(kind, a) for a in actions])
+        return out.join(has_permission(principals, held, grants, also, at), "user_id", "left_semi") if also else out
+
+    plain = all_of("document", DOCUMENT_ACTIONS).unionByName(all_of("org_role", ("org_role.read",), "org_role.search")).unionByName(all_of("video", ("video.metadata.read",), "video.search"))
+    plain = plain.join(has_permission(principals, held, grants, "question.ask", at), "user_id", "left_semi").withColumn("_ok", F.lit(True))
+    opens = checked("video", "video.open").withColumn("_open", F.lit(True))
+    key = ["user_id", "resource_type", "resource_id"]
+    met = dependencies.join(plain, key, "left").join(opens, key, "left")
+    need = F.col("opened") & (F.col("resource_type") == "video")
+    return met.withColumn("allowed", F.coalesce("_ok", F.lit(False)) & (~need | F.coalesce("_open", F.lit(False)))).drop("_ok", "_open")
 
 
 def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:

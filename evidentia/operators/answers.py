@@ -40,3 +40,24 @@ def rates(checks: DataFrame, passed: Column) -> DataFrame:
     """Numerator, denominator and rate by method, by method and category, and by method and regime, in one pass."""
     g = checks.groupingSets([["method"], ["method", "category"], ["method", "regime"]], "method", "category", "regime")
     return g.agg(F.count_if(passed).alias("numerator"), F.count("*").alias("denominator"), F.round(F.avg(passed.cast("double")), 6).alias("rate"))
+
+
+def merged_evidence(rows: DataFrame, group: str, order: str, span: str, budget: int = 10_000, most: int = 128) -> DataFrame:
+    """Evidence of each group after a merge: the prior rows, then those whose span is new while they fit.
+
+    rows: group, order, span, prior (boolean) and cost. A row that does not fit is left out and the next one is tried. Adds
+    alias (P1, P2, ... in order) and used, the cost so far. The rows of a group, an answer's evidence, are one array.
+    """
+    first = rows.groupBy(group, span).agg(F.min(F.struct(order, "prior", "cost")).alias("r")).select(group, span, "r.*")
+    packed = first.groupBy(group).agg(F.sort_array(F.collect_list(F.struct((~F.col("prior")).alias("new"), F.col(order), F.col(span).alias("span"), "prior", F.col("cost").cast("long").alias("cost")))).alias("rows"))
+    kept = "array<struct<span:{0},prior:boolean,used:bigint>>".format(rows.schema[span].dataType.simpleString())
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kept).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["used"] + x["cost"]
+        fits = x["prior"] | ((F.size(acc["kept"]) < most) & (total <= budget))
+        taken = F.struct(total.alias("used"), F.concat(acc["kept"], F.array(F.struct(x["span"].alias("span"), x["prior"].alias("prior"), total.alias("used")))).alias("kept"))
+        return F.when(fits, taken).otherwise(acc)
+
+    out = packed.select(group, F.posexplode(F.aggregate("rows", start, step, lambda acc: acc["kept"])).alias("n", "x"))
+    return out.select(group, F.col("x.span").alias(span), F.concat(F.lit("P"), (F.col("n") + 1).cast("string")).alias("alias"), F.col("x.prior").alias("prior"), F.col("x.used").alias("used"))

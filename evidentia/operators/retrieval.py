@@ -1,19 +1,22 @@
-"""Retrieval: passages, postings, BM25 and dense lanes, reciprocal-rank fusion, and the ordering of evidence.
+"""Retrieval: passages, BM25 and dense lanes, reciprocal-rank fusion, and the ordering of evidence.
 
 Statistics are always those of the rows handed in, so an authorization semi-join comes first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import materialized
 
 #: Fixed values of the ranking formulas.
 K1, B, RRF_K, LANE = 1.2, 0.75, 60, 128
-#: A block of query vectors that one broadcast may hold.
-QUERY_BLOCK = 4096
+#: A block of query vectors that one broadcast may hold, and the scores that a task computes at once.
+QUERY_BLOCK, SCORES = 4096, 1 << 22
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 160, overlap: int = 32) -> DataFrame:
@@ -27,18 +30,6 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     return rows.select("doc_id", F.col("seq").cast("long"), start.cast("long").alias("word_start"), end.cast("long").alias("word_end"), F.array_join(F.slice("w", start + 1, F.lit(size)), " ").alias("passage_text"))
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl): dl is the length of the whole document, so one shuffle serves both."""
-    w = docs.select(F.col(doc_id).alias("doc_id"), t.words(F.col(text)).alias("w"))
-    rows = w.select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-
-
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: n and the mean length over all rows handed in, 1 where that is 0."""
-    return docs.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg(F.size(t.words(F.col(text)))), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-
-
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
     return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(t.words(F.col(text)))).alias("term"))
 
@@ -46,18 +37,21 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", lane: int = LANE) -> DataFrame:
     """The lexical lane: query_id, doc_id, score and rank, the best `lane` documents of each query.
 
-    Only postings of query terms are counted, in the map-side aggregation; the terms are a semi-join, not a broadcast by
-    hand.
+    Texts are tokenised once: each gives its terms and a mark (the empty term), so that one aggregation has the
+    frequencies of the queries' terms and the lengths of all documents; it is a table of its own, which the document
+    frequencies, the mean length and the scores read. Terms are a semi-join, not a broadcast by hand.
     """
     terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
+    wanted = terms.select("term").unionByName(queries.sparkSession.sql("SELECT '' AS term")).distinct()
     w = docs.select(F.col(doc_id).alias("doc_id"), t.words(F.col(text)).alias("w"))
-    rows = w.select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
-    tf = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").join(corpus_stats(docs, text))
+    rows = w.select("doc_id", F.size("w").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term")).join(wanted, "term", "left_semi")
+    tf = materialized(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")), "postings")
+    df = tf.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    stats = tf.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    weighted = tf.filter("term <> ''").join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    average = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
     scores = weighted.withColumn("part", part).join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
     return ranked(scores.withColumn("score", F.round("score", 9)), "doc_id", lane)
 
@@ -89,27 +83,46 @@ def dense(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedd
 
 
 def _dense_block(vectors: DataFrame, shared, lane: int) -> DataFrame:
+    key = vectors.schema["vec_id"].dataType.simpleString()
+
     def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         if not shared.value:
             return
-        ids = np.array([q for q, _ in shared.value])
+        ids = [q for q, _ in shared.value]
         matrix = np.array([v for _, v in shared.value])
-        best = None
-        for rows in batches:
-            if not len(rows):
-                continue
-            score = matrix @ np.stack(rows["embedding"].to_numpy()).T
-            found = pd.DataFrame({"query_id": np.repeat(ids, len(rows)), "vec_id": np.tile(rows["vec_id"].to_numpy(), len(ids)), "score": score.ravel()})
-            best = found if best is None else pd.concat([best, found])
-            best["score"] = best["score"].round(12)
-            best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(lane)
-        if best is not None:
-            yield best
-
-    return vectors.mapInPandas(run, "query_id long, vec_id long, score double")
+        step = max(1, SCORES // len(ids))
+        # the best of each query so far: query number, score, vector id
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))
+        for batch in batches:
+            every, own = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for a in range(0, len(every), step):
+                score = np.round(matrix @ np.array(every[a : a + step]).T, 9)
+                if score.shape[1] > lane:
+                    # what reaches the lane-th score of its query, ties included
+                    least = np.partition(score, -lane, axis=1)[:, -lane]
+                    q, v = np.nonzero(score >= least[:, None])
+                else:
+                    q, v = np.indices(score.shape).reshape(2, -1)
+                names = np.array(own[a : a + step], object)[v]
+                q, s, names = (np.concatenate(x) for x in zip(best, (q, score[q, v], names), strict=True))
+                order = np.lexsort((names, -s, q))
+                q, s, names = q[order], s[order], names[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                best = (q[nth < lane], s[nth < lane], names[nth < lane])
+        kind = vectors_kind(key)
+        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in best[0]], pa.int64()), pa.array(best[2].tolist(), kind), pa.array(best[1])], names=["query_id", "vec_id", "score"])
+
+    return vectors.mapInArrow(run, f"query_id long, vec_id {key}, score double")
+
+
+def vectors_kind(simple: str):
+    """The Arrow type of a key: integers or text."""
+    import pyarrow as pa
+
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]
 
 
 def fuse(lanes: list[DataFrame], limit: int = LANE, k: int = RRF_K) -> DataFrame:
@@ -121,6 +134,51 @@ def fuse(lanes: list[DataFrame], limit: int = LANE, k: int = RRF_K) -> DataFrame
     return ranked(scores.withColumn("score", F.round("score", 9)), "key", limit)
 
 
+def search(passages: DataFrame, queries: DataFrame, encode: Callable[[Column], Column] | None = None, limit: int = 32, k: int = RRF_K) -> DataFrame:
+    """Hybrid search over passages (key, text; only those that the asker may see) for the query variants of each question.
+
+    queries: question, query_id (one for each variant) and text. A lexical lane for every variant and, with an encoder,
+    a dense one; every rank adds 1 / (k + rank) to its passage's score for the question. The best `limit` passages of a
+    question: question, key, score, rank and evidence (query_id, lexical_rank, lexical_score, dense_rank, dense_score of
+    the variants that found it). `encode` makes a unit vector (array<double>) of a text column; without one, or where it
+    is not to be had, the lexical lane stands alone.
+    """
+    asked = queries.select("query_id", "text")
+    lexical = bm25(passages, asked, "key").select("query_id", F.col("doc_id").alias("key"), F.col("rank").alias("lexical_rank"), F.col("score").alias("lexical_score"))
+    none = [F.lit(None).cast("long").alias("dense_rank"), F.lit(None).cast("double").alias("dense_score")]
+    if encode is None:
+        found = lexical.select("*", *none)
+    else:
+        vectors = passages.select("key", encode(F.col("text")).alias("embedding"))
+        near = dense(vectors, asked.select("query_id", encode(F.col("text")).alias("embedding")), "key")
+        near = near.select("query_id", F.col("vec_id").alias("key"), F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
+        found = lexical.join(near, ["query_id", "key"], "full")
+    one = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
+    found = found.join(queries.select("question", "query_id"), "query_id").withColumn("part", one("lexical_rank") + one("dense_rank"))
+    evidence = F.sort_array(F.collect_list(F.struct("query_id", "lexical_rank", "lexical_score", "dense_rank", "dense_score")))
+    g = found.groupBy("question", "key").agg(F.round(F.sum("part"), 9).alias("score"), evidence.alias("evidence"))
+    w = Window.partitionBy("question").orderBy(F.desc("score"), "key")
+    return g.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
+
+
+def letter_vector(size: int = 16) -> Callable[[Column], Column]:
+    """An encoder without a model, for fixtures: how many words have each length (modulo `size`), plus 0.2, as a unit vector."""
+
+    def encode(text: Column) -> Column:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(t.words(text), lambda w: F.char_length(w) % size == k)) + 0.2)
+        return F.transform(F.array(counts), lambda v: F.transform(v, lambda c: c / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))))[0]
+
+    return encode
+
+
+def lane_checks(vectors: DataFrame, size: int, embedding: str = "embedding") -> DataFrame:
+    """`vectors` with `ok`: right size, finite, of unit length within 2e-3."""
+    e = F.col(embedding).cast("array<double>")
+    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, v: a + v * v))
+    finite = ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return vectors.withColumn("ok", F.coalesce((F.size(e) == size) & finite & (F.abs(norm - 1) <= 0.002), F.lit(False)))
+
+
 def diversified(hits: DataFrame, group: str, weight: float = 0.12) -> DataFrame:
     """Re-ranks hits of a query with a penalty for each better hit of the same group."""
     nth = F.row_number().over(Window.partitionBy("query_id", group).orderBy("rank")) - 1
@@ -129,16 +187,28 @@ def diversified(hits: DataFrame, group: str, weight: float = 0.12) -> DataFrame:
 
 
 def overlapping(spans: DataFrame, least: float = 0.65) -> DataFrame:
-    """Pairs of spans of a block that share `least` of the shorter one. Spans meet in buckets of the longest length, so
-    that only near ones are compared: block, a_start, a_end, b_start, b_end, shared."""
-    longest = spans.agg(F.greatest(F.max(F.col("end") - F.col("start")), F.lit(1)).alias("longest"))
-    s = spans.join(longest).withColumn("bucket", F.floor(F.col("start") / F.col("longest")))
-    a = s.select("block", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "bucket")
-    b = s.select("block", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
-    met = a.join(b, ["block", "bucket"]).filter("a_start < b_start or (a_start = b_start and a_end < b_end)")
+    """Pairs of spans of a block that share `least` of the shorter one: block, a_start, a_end, b_start, b_end, shared.
+
+    Spans meet by length class (the power of two above the length) in buckets of that width: a span visits the buckets of
+    its own class that it touches, three at most, and one bucket of every longer class for each end. So one long span
+    makes no block all-pairs.
+    """
+    length = F.greatest(F.col("end") - F.col("start"), F.lit(1))
+    s = spans.select("block", "start", "end").distinct().withColumn("class", F.ceil(F.log2(length)).cast("int"))
+    classes = s.groupBy("block").agg(F.collect_set("class").alias("classes"))
+    width = lambda c: F.pow(F.lit(2), c)
+    bucket = lambda v, c: F.floor(v / width(c)).cast("long")
+    own = s.select("*", F.explode(F.sequence(bucket(F.col("start"), F.col("class")), bucket(F.greatest(F.col("end") - 1, F.col("start")), F.col("class")))).alias("bucket"))
+    asked = s.join(classes, "block").select("block", "start", "end", F.col("class").alias("own_class"), F.explode("classes").alias("class")).filter("class >= own_class")
+    ends = F.array_distinct(F.array(bucket(F.col("start"), F.col("class")), bucket(F.greatest(F.col("end") - 1, F.col("start")), F.col("class"))))
+    asked = asked.select("block", F.col("start").alias("s2"), F.col("end").alias("e2"), "class", F.explode(ends).alias("bucket"))
+    met = own.join(asked, ["block", "class", "bucket"]).filter("start <> s2 or end <> e2").select("block", "start", "end", "s2", "e2").distinct()
+    first = F.struct("start", "end") < F.struct(F.col("s2"), F.col("e2"))
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    met = met.select("block", pick("start", "s2").alias("a_start"), pick("end", "e2").alias("a_end"), pick("s2", "start").alias("b_start"), pick("e2", "end").alias("b_end")).distinct()
     shared = F.greatest(F.lit(0), F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
     shorter = F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
-    return met.withColumn("shared", shared).filter(F.col("shared") >= least * shorter).select("block", "a_start", "a_end", "b_start", "b_end", "shared").distinct()
+    return met.withColumn("shared", shared).filter(F.col("shared") >= least * shorter)
 
 
 def fitting_prefix(rows: DataFrame, group: str, order: list, cost: str, budget: int) -> DataFrame:

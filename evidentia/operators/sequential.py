@@ -14,49 +14,55 @@ from pyspark.sql import types as T
 
 
 def select_evidence(hits: list[dict], budget: int, overlap: float = 0.65, share: float = 0.8, weight: float = 0.12) -> list[dict]:
-    """Chooses hits (facet, rank, score, doc, block, start, end, cost) within the budget.
+    """Chooses hits (facet, rank, score, passage, doc, block, start, end, cost, near) within the budget.
 
     The first fitting hit of every facet; then by score, less `weight` for each one already taken from its document, up
-    to `share` of the budget; then the rest by that order. A hit that overlaps a chosen one of its block by `overlap`
-    of the shorter is passed over.
+    to `share` of the budget; then, for each hit chosen so far, the passages `near` it (dicts like hits, nearest first);
+    then the hits passed over, in their order. A passage that was chosen, or that overlaps a chosen one of its block by
+    `overlap` of the shorter, is passed over.
     """
     chosen: list[dict] = []
     taken: dict = {}
-    used = 0
+    used, seen = 0, set()
 
     def fits(h: dict, ceiling: float) -> bool:
-        if used + h["cost"] > ceiling:
+        if h["passage"] in seen or used + h["cost"] > ceiling:
             return False
         for c in chosen:
             if c["block"] == h["block"]:
-                shared = min(c["end"], h["end"]) - max(c["start"], h["start"])
-                if (c["start"], c["end"]) == (h["start"], h["end"]) or shared > 0 and shared >= overlap * min(c["end"] - c["start"], h["end"] - h["start"]):
+                shared = max(0, min(c["end"], h["end"]) - max(c["start"], h["start"]))
+                if shared >= overlap * min(c["end"] - c["start"], h["end"] - h["start"]):
                     return False
         return True
 
-    def take(h: dict, reason: str) -> None:
+    def take(h: dict, facet, reason: str) -> None:
         nonlocal used
-        chosen.append(h | {"position": len(chosen) + 1, "reason": reason})
+        chosen.append(h | {"facet": facet, "position": len(chosen) + 1, "reason": reason})
         used += h["cost"]
+        seen.add(h["passage"])
         taken[h["doc"]] = taken.get(h["doc"], 0) + 1
 
     by_facet: dict = {}
     for h in sorted(hits, key=lambda h: (h["facet"], h["rank"])):
         by_facet.setdefault(h["facet"], []).append(h)
-    for own in by_facet.values():
+    for facet, own in by_facet.items():
         if first := next((h for h in own if fits(h, budget)), None):
-            take(first, "facet")
+            take(first, facet, "facet")
     rest, passed = [h for own in by_facet.values() for h in own], []
     while rest:
         best = min(rest, key=lambda h: (-h["score"] / (1 + weight * taken.get(h["doc"], 0)), h["rank"], h["facet"]))
         rest.remove(best)
         if fits(best, max(used, int(budget * share))):
-            take(best, "diversity")
+            take(best, best["facet"], "diversity")
         else:
             passed.append(best)
+    for h in [*chosen]:
+        for near in h.get("near") or ():
+            if fits(near, budget):
+                take(near | {"score": 0.0, "rank": None}, h["facet"], "adjacent")
     for h in passed:
         if fits(h, budget):
-            take(h, "remaining")
+            take(h, h["facet"], "remaining")
     return chosen
 
 
@@ -81,14 +87,14 @@ def by_group(rows: DataFrame, key: str, step, schema: str) -> DataFrame:
 
 
 def greedy_select(hits: DataFrame, question: str, budget: int) -> DataFrame:
-    """select_evidence for each question: question, facet, rank, doc, block, start, end, position, reason."""
-    names = ["facet", "rank", "doc", "block", "start", "end", "position", "reason"]
+    """select_evidence for each question: question, facet, passage, doc, position, reason, cost."""
+    names = ["facet", "passage", "doc", "position", "reason", "cost"]
 
     def step(key, rows):
         return [(key, *[h[n] for n in names]) for h in select_evidence(rows, budget)]
 
     kinds = dict(hits.dtypes)
-    return by_group(hits, question, step, f"{question} {kinds[question]}, facet {kinds['facet']}, rank long, doc {kinds['doc']}, block {kinds['block']}, start long, end long, position long, reason string")
+    return by_group(hits, question, step, f"{question} {kinds[question]}, facet {kinds['facet']}, passage {kinds['passage']}, doc {kinds['doc']}, position long, reason string, cost long")
 
 
 def close_over(seeds: list, edges: dict) -> list:
@@ -176,20 +182,6 @@ def split_block(text: str, most: int) -> list[str]:
     return [*packed(sentences, most, lambda s: packed(s.split(), most))]
 
 
-def spatial_rows(regions: list[dict]) -> str:
-    """Text of OCR regions (text, x0, y0, x1, y1): rows whose centres are within half the lower height, left to right."""
-    rows: list[list[dict]] = []
-    for r in sorted(regions, key=lambda r: (r["y0"], r["x0"])):
-        if rows:
-            head = rows[-1][0]
-            apart = abs((r["y0"] + r["y1"]) - (head["y0"] + head["y1"])) / 2
-            if apart <= min(r["y1"] - r["y0"], head["y1"] - head["y0"]) / 2:
-                rows[-1].append(r)
-                continue
-        rows.append([r])
-    return "\n".join("    ".join(r["text"] for r in sorted(row, key=lambda r: r["x0"])) for row in rows)
-
-
 def strict_json(text: str):
     """A JSON value; duplicate keys and non-finite numbers are errors."""
 

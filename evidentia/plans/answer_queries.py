@@ -173,8 +173,9 @@ def snapshot_documents(x):
     return j.select("doc_id", "lang", "source", "quality", F.coalesce("j", F.lit(False)).alias("judged"))
 
 
-@query("SC19 PF7", "SELECT item_id AS pos, d.doc_id, n_chars FROM benchmark b JOIN documents d ON d.doc_id = (b.item_id * 7) % 1000 ORDER BY item_id")
+@query("SC19 PF7", "SELECT item_id AS pos, d.doc_id, n_chars FROM benchmark b JOIN documents d ON d.doc_id = (b.item_id * 7919) % (SELECT max(doc_id) + 1 FROM documents) ORDER BY item_id")
 def point_lookups(x):
     """Rows by a list of ids, in the caller's order, repeated ids kept."""
-    asked = x.benchmark.select(F.col("item_id").alias("pos"), ((F.col("item_id") * 7) % 1000).alias("doc_id"))
+    top = x.documents.agg((F.max("doc_id") + 1).alias("top"))
+    asked = x.benchmark.crossJoin(F.broadcast(top)).select(F.col("item_id").alias("pos"), ((F.col("item_id") * 7919) % F.col("top")).alias("doc_id"))  # one row
     return asked.join(x.documents.select("doc_id", "n_chars"), "doc_id").orderBy("pos").select("pos", "doc_id", "n_chars")

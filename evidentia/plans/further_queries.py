@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
+from ..operators import drafts
 from ..operators import graph as g
-from ..operators import sequential as q
 from ..sources import documents as docs
 from ..sources import generations
 from .registry import query
@@ -56,11 +56,12 @@ def finish_work(x):
 
 
 @query("C6", """
-WITH a AS (SELECT c_custkey AS id, c_acctbal > 0 AS approved, (c_custkey * 13) % 1500 AS other FROM customer)
+WITH a AS (SELECT c_custkey AS id, c_acctbal > 0 AS approved, (c_custkey * 13) % (SELECT count(*) FROM customer) AS other FROM customer)
 SELECT a.id, CASE WHEN a.approved THEN 'approved' ELSE 'hint' END AS status, CASE WHEN b.approved THEN a.other END AS distinct_from FROM a LEFT JOIN a b ON b.id = a.other""")
 def identity_targets(x):
     """Approved and merely lexical identities; `distinct from` stays only among approved ones."""
-    a = x.customer.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("approved"), ((F.col("c_custkey") * 13) % 1500).alias("other"))
+    n = x.customer.agg(F.count("*").alias("n"))
+    a = x.customer.crossJoin(F.broadcast(n)).select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("approved"), ((F.col("c_custkey") * 13) % F.col("n")).alias("other"))  # one row
     b = a.filter("approved").select(F.col("id").alias("other"), F.col("other").alias("_"), F.lit(True).alias("ok"))
     j = a.join(b.drop("_"), "other", "left")
     return j.select("id", F.when(F.col("approved"), "approved").otherwise("hint").alias("status"), F.when(F.col("ok"), F.col("other")).alias("distinct_from"))
@@ -79,12 +80,17 @@ def plan_audit(x):
     return s.withColumn("pos", pos).select("audit", "n", "k", F.coalesce("reason", F.when(F.col("pos") > 2, "claim limit").otherwise("planned")).alias("status"))
 
 
-@query("C13 C14 RL8", """
-SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > 90 THEN 'partial' ELSE 'ok' END AS status, sha256(props) = sha256(event_type) AS same_epoch FROM events""")
+@query("C13 RL8", """
+WITH f AS (SELECT user_id, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN CAST(json_extract_string(e.props, '$.k') AS BIGINT) > 90 THEN 'partial' ELSE 'ok' END AS status, CAST(json_extract_string(e.props, '$.k') AS BIGINT) % 4 = CAST(json_extract_string(f.props, '$.k') AS BIGINT) % 4 AS same_epoch FROM events e JOIN f USING (user_id)""")
 def call_status(x):
+    """The state of each call, and whether its epoch's descriptor (a fourth of `k`) has the digest that the user's first call stored."""
     k = F.get_json_object("props", "$.k").cast("long")
     status = F.when(F.col("event_type") == "error", "error").when(k > 90, "partial").otherwise("ok")
-    return x.events.select("event_id", status.alias("status"), (F.sha2(F.col("props").cast("binary"), 256) == F.sha2(F.col("event_type").cast("binary"), 256)).alias("same_epoch"))
+    descriptor = F.sha2((k % 4).cast("string").cast("binary"), 256)
+    e = x.events.select("event_id", "user_id", status.alias("status"), descriptor.alias("digest"))
+    first = e.groupBy("user_id").agg(F.min_by("digest", "event_id").alias("stored"))
+    return e.join(first, "user_id").select("event_id", "status", (F.col("digest") == F.col("stored")).alias("same_epoch"))
 
 
 @query("C39 AC6", """
@@ -132,24 +138,23 @@ def answer_units(x):
     return u.select("doc_id", "ordinal", F.col("section_path").cast("long").alias("start"), F.col("locator").cast("long").alias("end"))
 
 
-@query("F1 F11")
+@query("F1", r"""
+SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY term""")
 def folded_vocabulary(x):
-    """Document frequencies of words under full case folding."""
+    """Document frequencies of words under compatibility normalization and full case folding."""
     w = x.documents.select("doc_id", spans.applied(lambda t: sorted({*spans.folded_words(t)}), "array<string>", F.col("text")).alias("w"))
     return w.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query("F14 K1 K2")
+@query("F14", """
+WITH q AS (SELECT doc_id, text, trim(substr(text, 31, 40)) AS quote FROM documents WHERE length(text) > 80)
+SELECT doc_id, CAST(strpos(text, quote) - 1 AS BIGINT) AS start, CAST(strpos(text, quote) - 1 + length(quote) AS BIGINT) AS "end" FROM q WHERE quote <> '' AND NOT regexp_matches(quote, '\\s{2}|[\\t\\n\\r]')""")
 def quote_places(x):
-    """Where each benchmark item's first words stand in the document of its id."""
-    b = x.benchmark.select(F.col("item_id").alias("doc_id"), F.col("text").alias("quote")).join(x.documents.select("doc_id", "text"), "doc_id")
-    pair = F.to_json(F.struct("text", "quote"))
-
-    def place(p):
-        v = q.strict_json(p)
-        return [*(spans.locate_quote(v["text"], v["quote"]) or ())]
-
-    return b.select("doc_id", spans.applied(place, "array<long>", pair).alias("place"))
+    """Where a piece of each document stands in it first, asked for with wider blanks than it has."""
+    piece = F.trim(F.substring("text", 31, 40))
+    q = x.documents.filter("length(text) > 80").select("doc_id", "text", piece.alias("piece")).filter((F.col("piece") != "") & ~F.col("piece").rlike(r"\s{2}|[\t\n\r]"))
+    wide = q.select("doc_id", "text", F.replace("piece", F.lit(" "), F.lit("  ")).alias("quote"))
+    return drafts.parsed(wide, "doc_id", ["text", "quote"], lambda d, t, v: [(d, *(drafts.find_quote(t, v) or (None, None)))], "doc_id long, start long, end long")
 
 
 @query("SK5 D26 PF15 K9 PF12")

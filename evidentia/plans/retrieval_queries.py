@@ -147,18 +147,6 @@ def prefix_fit(x):
     return r.fitting_prefix(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "cost", 200).select("l_orderkey", "l_linenumber", "running")
 
 
-@query("S6 A34", """
-WITH c AS (SELECT l_orderkey AS q, l_linenumber AS pos, l_partkey % 50 AS span, l_linenumber <= 2 AS prior FROM lineitem),
-u AS (SELECT *, row_number() OVER (PARTITION BY q, span ORDER BY pos) AS seen FROM c)
-SELECT q, span, 'P' || CAST(row_number() OVER (PARTITION BY q ORDER BY pos, span) AS VARCHAR) AS alias, prior FROM u WHERE seen = 1""")
-def merge_evidence(x):
-    """Prior evidence keeps its place; spans not seen before follow, each with a fresh alias."""
-    c = x.lineitem.select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 50).alias("span"), (F.col("l_linenumber") <= 2).alias("prior"))
-    u = c.withColumn("seen", F.row_number().over(Window.partitionBy("q", "span").orderBy("pos"))).filter("seen = 1")
-    n = F.row_number().over(Window.partitionBy("q").orderBy("pos", "span")).cast("string")
-    return u.select("q", "span", F.concat(F.lit("P"), n).alias("alias"), "prior")
-
-
 _MATCH = r"SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents"
 _TOKENS = ["the", "of", "that"]
 

@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval as r
 from ..operators import sequential as q
 from ..sources import documents as docs
+from ..session import shared_dir
 from ..streaming import runs
 from .registry import query
 
 
-@query("G1 W4 W5 A13")
-def greedy_select(x):
-    """Evidence for four-facet questions out of the fused hits of their items, 32 for each facet."""
-    items = x.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    hits = r.bm25(x.documents, items, lane=32)
-    # a hit's place stands for its span: the fixture's documents are single blocks
-    rows = hits.join(x.documents.select("doc_id", "n_chars", "source"), "doc_id").select(
-        F.floor(F.col("query_id") / 4).alias("question"), F.col("query_id").alias("facet"), "rank", "score", F.col("source").alias("doc"),
-        F.col("doc_id").alias("block"), F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), (32 + F.ceil(F.col("n_chars") / 4)).alias("cost"),
-    )
-    return q.greedy_select(rows, "question", 10_000)
-
-
 @query("G4 G7 G8 U5")
 def pack_closed(x):
     """Packets of an order's lines, each with the line that it refers to (half its number)."""
@@ -85,25 +71,50 @@ def markdown_blocks(x):
     return docs.parsed(x.documents, "doc_id", "text", docs.markdown_blocks)
 
 
-def _drain(x, make, mode="append"):
-    """The stream's result over the events that there are; its checkpoint is in the shared folder."""
-    base = x.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-stream-")
-    schema = x.events.schema
-    found = runs.event_stream(x.spark, x.folder, schema, pathGlobFilter="events.parquet")
-    name = f"s{uuid.uuid4().hex}"
-    return runs.drained(make(found), name, f"{base}/{name}", mode)
+def _drain(x, make):
+    """The stream's result over the events that there are; its tables are in the shared folder."""
+    found = runs.event_stream(x.spark, x.folder, x.events.schema, pathGlobFilter="events.parquet")
+    return runs.drained(found, make, f"{shared_dir(x.spark)}/stream-{uuid.uuid4().hex}")
 
 
-@query("ST1 RL1 ST6")
+@query("ST1 RL1 ST6", """
+SELECT date_trunc('hour', ts) AS hour, user_id, max_by(CASE WHEN regexp_matches(event_type, '^[a-z][a-z0-9_.]{0,39}$') THEN event_type ELSE 'other' END, event_id) AS state, max(event_id) AS last_event, count(*) AS n_events FROM events GROUP BY ALL""")
 def stream_run_state(x):
-    return _drain(x, runs.run_states)
+    return _drain(x, runs.run_states).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query("ST3")
+@query("ST3", """
+WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(x):
-    return _drain(x, runs.idle_sessions)
+    s = _drain(x, runs.idle_sessions)
+    return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("began", "ended")})
 
 
-@query("ST2 RL3")
+@query("ST2 RL3", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, CASE WHEN event_type = 'signup' THEN 'done' ELSE event_type END AS event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM events),
+w(user_id, n, until, event_id, verdict) AS (
+  SELECT user_id, n, CASE WHEN event_type = 'done' THEN 0 ELSE t + 900 END, event_id, CASE WHEN event_type = 'done' THEN 'released' ELSE 'claimed' END FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN event_type = 'done' THEN 0 WHEN t >= until THEN t + 900 ELSE until END, e.event_id, CASE WHEN event_type = 'done' THEN 'released' WHEN t >= until THEN 'claimed' ELSE 'refused' END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, event_id, verdict FROM w""")
 def stream_leases(x):
-    return _drain(x, runs.leases)
+    """Sign-ups stand for work that is done."""
+    return _drain(x, lambda e: runs.leases(e.withColumn("event_type", F.when(F.col("event_type") == "signup", "done").otherwise(F.col("event_type")))))
+
+
+@query("ST4 RL5", """
+SELECT user_id, date_trunc('hour', ts) AS hour, date_trunc('hour', ts) + INTERVAL 2 HOUR AS expires, count(*) AS n_jobs, max(event_id) AS last_job FROM events WHERE event_type = 'purchase' GROUP BY ALL""")
+def stream_expired_jobs(x):
+    """Finished jobs by hour, and when their hour of grace ends."""
+    return _drain(x, runs.expired_jobs).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("hour", "expires")})
+
+
+@query("ST5", """
+WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM events),
+c AS (SELECT *, coalesce(max(CASE WHEN event_type = 'error' THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS cleared FROM e)
+SELECT c.user_id, c.event_id, least(6, n - cleared) AS remembered, CASE WHEN n > cleared THEN (SELECT o.event_id FROM e o WHERE o.user_id = c.user_id AND o.n = c.n - least(6, c.n - c.cleared) + 1) END AS oldest FROM c""")
+def stream_recent(x):
+    """How much of a session is remembered after each event, and its oldest part."""
+    return _drain(x, runs.recent)

@@ -37,8 +37,8 @@ def conservative_costs(x):
 
 
 @query("F2 F3", r"""
-SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) > 1 AND w NOT IN ('a','an','and','are','for','in','is','of','on','the','to','was','what','who','with')), ' ') AS search_tokens,
-  len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS n_distinct FROM documents""")
+SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) > 1 AND w NOT IN (STOP)), ' ') AS search_tokens,
+  len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS n_distinct FROM documents""".replace("STOP", ",".join(f"'{w}'" for w in t.SEARCH_STOP_WORDS)))
 def search_token_lists(x):
     parts = F.regexp_extract_all(F.lower("text"), F.lit(t.PART), F.lit(0))
     return x.documents.select("doc_id", F.array_join(t.search_tokens(F.col("text")), " ").alias("search_tokens"), F.size(F.array_distinct(parts)).cast("long").alias("n_distinct"))
@@ -123,10 +123,12 @@ def recent_turns(x):
 
 
 @query("H1 PF23 H3", r"""
-SELECT doc_id, 'doc_' || substr(sha256(source || chr(0) || CAST(doc_id AS VARCHAR) || chr(0)), 1, 24) AS logical_id, sha256(text) AS text_sha256, sha256(text) = sha256(text || '') AS source_ok FROM documents""")
+SELECT doc_id, 'doc_' || substr(sha256(source || chr(0) || CAST(doc_id AS VARCHAR) || chr(0)), 1, 24) AS logical_id, sha256(text) AS text_sha256, length(text) = n_chars AS source_ok FROM documents""")
 def content_addresses(x):
+    """Ids and digests of contents; a source is as it was stored if the digest of its text of the stored length agrees."""
+    stored = F.sha2(F.rpad("text", F.col("n_chars").cast("int"), F.lit("\0")).cast("binary"), 256)
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    return x.documents.select("doc_id", F.concat(F.lit("doc_"), F.substring(t.digest(F.col("source"), F.col("doc_id")), 1, 24)).alias("logical_id"), sha.alias("text_sha256"), (sha == F.sha2(F.concat("text", F.lit("")).cast("binary"), 256)).alias("source_ok"))
+    return x.documents.select("doc_id", F.concat(F.lit("doc_"), F.substring(t.digest(F.col("source"), F.col("doc_id")), 1, 24)).alias("logical_id"), sha.alias("text_sha256"), (sha == stored).alias("source_ok"))
 
 
 @query("H4 D1", r"""

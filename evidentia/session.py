@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,13 +20,19 @@ def local_session(cpus: int | str = "*", memory: str = "12g", partitions: int |
     return s
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the shared folder of spark.checkpoint.dir and read back, for plans that grow step by step.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session may go without and gets one of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = getattr(spark, "_evidentia_folder", None) or tempfile.mkdtemp(prefix="evidentia-")
+        spark._evidentia_folder = path
+    return path.rstrip("/")
+
 
-    Only where that setting is missing, on a single machine, a temporary folder stands in for it.
-    """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """`df` written once to the shared folder and read back, for plans that grow step by step. Runs a job at once."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

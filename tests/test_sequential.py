@@ -6,7 +6,7 @@ from evidentia.operators import sequential as q
 
 
 def hit(facet, rank, score, doc, block, start=0, end=100, cost=50):
-    return {"facet": facet, "rank": rank, "score": score, "doc": doc, "block": block, "start": start, "end": end, "cost": cost}
+    return {"facet": facet, "rank": rank, "score": score, "passage": (block, start), "doc": doc, "block": block, "start": start, "end": end, "cost": cost, "near": []}
 
 
 def test_every_facet_first_then_diversity():
@@ -54,10 +54,58 @@ def test_split_block():
     assert q.split_block("short", 20) == ["short"]
 
 
-def test_spatial_rows():
-    box = lambda t, x, y: {"text": t, "x0": x, "y0": y, "x1": x + 10, "y1": y + 10}
-    assert q.spatial_rows([box("b", 50, 1), box("a", 0, 0), box("c", 0, 40)]) == "a    b\nc"
-    assert q.spatial_rows([]) == ""
+def test_neighbours_follow_the_chosen():
+    near = [hit(None, None, 0.0, "a", 1, 100, 200), hit(None, None, 0.0, "a", 1, 200, 300)]
+    hits = [hit(1, 1, 1.0, "a", 1) | {"near": near}, hit(1, 2, 0.5, "b", 2, cost=900), hit(1, 3, 0.4, "c", 3)]
+    out = q.select_evidence(hits, 200)
+    # 80 % of the budget holds two hits; their neighbours come before what was passed over
+    assert [(h["block"], h["start"], h["reason"]) for h in out] == [(1, 0, "facet"), (3, 0, "diversity"), (1, 100, "adjacent"), (1, 200, "adjacent")]
+    assert [h["facet"] for h in out] == [1, 1, 1, 1]
+
+
+def test_greedy_select_by_brute_force(spark):
+    """The registered query against a second reading of the rule over the hits that it starts from."""
+    from evidentia.plans import catalog, passage_queries
+    from evidentia.plans.registry import Tables
+
+    folder = "/root/testdata/sf0.001"
+    rows = {}
+    for r in passage_queries._hits(Tables(spark, folder)).collect():
+        rows.setdefault(r.answer, []).append(r.asDict(recursive=True))
+    got = {}
+    for r in catalog.QUERIES["greedy_select"](spark, folder).collect():
+        got.setdefault(r.answer, []).append((r.position, r.facet, r.passage, r.reason))
+    for answer, hits in rows.items():
+        picked, log = [], []
+
+        def admit(h, facet, reason, ceiling):
+            for p in picked:
+                same = p["block"] == h["block"]
+                overlap = min(p["end"], h["end"]) - max(p["start"], h["start"])
+                if p["passage"] == h["passage"] or same and overlap > 0 and overlap / min(p["end"] - p["start"], h["end"] - h["start"]) >= 0.65:
+                    return False
+            if sum(p["cost"] for p in picked) + h["cost"] > ceiling:
+                return False
+            picked.append(h)
+            log.append((len(picked), facet, h["passage"], reason))
+            return True
+
+        order = sorted(hits, key=lambda h: (h["facet"], h["rank"]))
+        for facet in sorted({h["facet"] for h in hits}):
+            any(admit(h, facet, "facet", 4000) for h in order if h["facet"] == facet)
+        left, later = list(order), []
+        while left:
+            weight = lambda h: h["score"] / (1 + 0.12 * sum(p["doc"] == h["doc"] for p in picked))
+            left.sort(key=lambda h: (-weight(h), h["rank"], h["facet"]))
+            h = left.pop(0)
+            if not admit(h, h["facet"], "diversity", max(sum(p["cost"] for p in picked), 3200)):
+                later.append(h)
+        for h, (_, facet, _, _) in list(zip(picked, log)):
+            for near in h["near"]:
+                admit(near, facet, "adjacent", 4000)
+        for h in later:
+            admit(h, h["facet"], "remaining", 4000)
+        assert sorted(got[answer]) == log
 
 
 def test_json():

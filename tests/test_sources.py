@@ -3,7 +3,6 @@
 from evidentia.operators import access
 from evidentia.sources import documents as d
 from evidentia.sources import generations as g
-from evidentia.streaming import runs
 
 
 def test_decode():
@@ -56,42 +55,65 @@ def test_generations(spark, tmp_path):
     assert g.traced(spark.createDataFrame([("r", "long answer", "secret")], "run string, answer string, evidence string"), "answer", 4).collect()[0].asDict() == {"run": "r", "answer": "long"}
 
 
-def test_lease_stream_matches_a_fold(spark, tmp_path):
-    sf = "/root/testdata/sf0.001"
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    out = runs.drained(runs.leases(runs.event_stream(spark, sf, schema, pathGlobFilter="events.parquet")), "leases", str(tmp_path / "c"))
-    until, want = {}, {}
-    for r in sorted(spark.read.parquet(f"{sf}/events.parquet").collect(), key=lambda r: (int(r.ts.timestamp()), r.event_id)):
-        import datetime
+def grants_of(spark, rows):
+    none = "CAST(NULL AS TIMESTAMP)"
+    body = ", ".join(f"('{pt}', '{p}', '{rt}', '{r}', '{e}', '{a}', {none}, {none}, false)" for pt, p, rt, r, e, a in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} t(principal_type, principal_id, resource_type, resource_id, effect, action, valid_from, valid_until, revoked)")
 
-        at = int(r.ts.replace(tzinfo=datetime.timezone.utc).timestamp())
-        if r.event_type == "done":
-            until[r.user_id], want[r.event_id] = 0, "released"
-        elif at >= until.get(r.user_id, 0):
-            until[r.user_id], want[r.event_id] = at + 900, "claimed"
-        else:
-            want[r.event_id] = "refused"
-    assert {r.event_id: r.verdict for r in out.collect()} == want
 
+def access_fixture(spark):
+    none = "CAST(NULL AS TIMESTAMP)"
+    users = spark.sql("SELECT * FROM VALUES ('u', true), ('v', true), ('w', false) t(user_id, active)")
+    members = spark.sql(f"SELECT 'u' AS user_id, 'g' AS group_id, true AS group_active, {none} AS valid_from, TIMESTAMP '2026-01-01' AS valid_until")
+    roles = spark.sql(f"SELECT * FROM VALUES ('user', 'u', 'viewer', {none}, {none}), ('user', 'w', 'administrator', {none}, {none}) t(principal_type, principal_id, role_name, valid_from, valid_until)")
+    things = spark.sql("SELECT * FROM VALUES ('document', 'r', true, null), ('document', 's', true, null), ('document', 'gone', false, null), ('trace', 't', true, 'u'), ('video', 'x', true, null) t(resource_type, resource_id, active, owner)")
+    return users, members, roles, things
 
-def test_closed_sessions_match_batch(spark, tmp_path):
-    from evidentia.plans import catalog
 
-    sf = "/root/testdata/sf0.001"
-    batch = {(r.user_id, r.began, r.n) for r in catalog.QUERIES["session_windows"](spark, sf).collect()}
-    stream = {(r.user_id, str(r.began)[:19], r.n) for r in catalog.QUERIES["stream_sessions"](spark, sf).collect()}
-    assert stream <= batch and len(batch) - len(stream) <= 10
+def test_access_rules(spark):
+    import pyspark.sql.functions as F
 
+    users, members, roles, things = access_fixture(spark)
+    allow, read = ("user", "u", "*", "*", "allow", "*"), "document.read"
 
-def test_deny_outweighs_allow_at_the_boundary(spark):
+    def may(grants, user, kind, thing, action, at="2025-06-01"):
+        t = F.lit(at).cast("timestamp")
+        keys = access.principal_keys(users, members, t)
+        asked = spark.createDataFrame([(user, kind, thing)], "user_id string, resource_type string, resource_id string")
+        out = access.can(asked, keys, access.permissions(keys, roles, t), things, grants_of(spark, grants), action, t)
+        return out.collect()[0].allowed
+
+    denied = ("group", "g", "document", "r", "deny", read)
+    assert may([allow], "u", "document", "r", read) and not may([allow], "u", "document", "gone", read) and not may([allow], "u", "document", "none", read)
+    # a denial of the group outweighs, until the membership ends
+    assert not may([allow, denied], "u", "document", "r", read) and may([allow, denied], "u", "document", "r", read, "2026-01-01")
+    # no role holds the action; an inactive user has nothing
+    assert not may([("user", "v", "*", "*", "allow", "*")], "v", "document", "r", read) and not may([("user", "w", "*", "*", "allow", "*")], "w", "document", "r", read)
+    assert not may([allow], "u", "video", "x", "video.open") and may([allow], "u", "video", "x", "video.metadata.read")
+    # an owner reads its own trace without a grant, unless one denies
+    assert may([("user", "u", "video", "x", "allow", "*")], "u", "trace", "t", "trace.read_own")
+    assert not may([("user", "u", "trace", "*", "deny", "*")], "u", "trace", "t", "trace.read_own")
+
+
+def test_document_scopes(spark):
     import pyspark.sql.functions as F
 
-    none = "CAST(NULL AS TIMESTAMP)"
-    users = spark.sql("SELECT 'u' AS user_id, true AS active")
-    members = spark.sql(f"SELECT 'u' AS user_id, 'g' AS group_id, true AS group_active, {none} AS valid_from, TIMESTAMP '2026-01-01' AS valid_until")
-    things = spark.sql("SELECT 'document' AS resource_type, 'r' AS resource_id, true AS active")
-    grants = spark.sql(f"""SELECT * FROM VALUES ('user', 'u', 'document', '*', 'allow', '*', {none}, {none}, false),
-      ('group', 'g', 'document', 'r', 'deny', 'read', {none}, {none}, false) t(principal_type, principal_id, resource_type, resource_id, effect, action, valid_from, valid_until, revoked)""")
-    for at, want in (("2025-12-31", False), ("2026-01-01", True)):
-        t = F.lit(at).cast("timestamp")
-        assert access.decisions(access.principal_keys(users, members, t), things, grants, "read", t).collect()[0].allowed is want
+    users, members, roles, things = access_fixture(spark)
+    t = F.lit("2025-06-01").cast("timestamp")
+    keys = access.principal_keys(users, members, t)
+    held = access.permissions(keys, roles, t)
+    docs = things.filter("active and resource_type = 'document'")
+
+    def seen(grants):
+        scope = access.document_scope(keys, held, grants_of(spark, grants), t)
+        sizes = {r.user_id: r.n_documents for r in access.scope_sizes(users, scope, docs).collect()}
+        listed = access.in_scope(docs.select("resource_id").crossJoin(users.select("user_id")), scope).groupBy("user_id").count().collect()
+        assert {k: n for k, n in sizes.items() if n} == {r.user_id: r["count"] for r in listed}
+        return sizes["u"]
+
+    own = lambda kind, thing, effect, action: ("user", "u", kind, thing, effect, action)
+    assert seen([own("*", "*", "allow", "*")]) == 2 and seen([own("document", "r", "allow", "*"), own("document", "gone", "allow", "*")]) == 1
+    assert seen([own("document", "*", "allow", "*"), own("document", "r", "deny", "document.cite")]) == 1
+    assert seen([own("document", "*", "allow", "*"), own("*", "*", "deny", "document.search")]) == 0
+    assert seen([own("document", "*", "allow", "document.read"), own("document", "*", "allow", "document.search")]) == 0
+    assert seen([own("document", "*", "allow", "document.read"), own("document", "*", "allow", "document.search"), own("document", "s", "allow", "document.cite")]) == 1
