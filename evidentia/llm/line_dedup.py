@@ -1,21 +1,24 @@
 """Line dedup by content-defined chunks of lines.
 
 Lines are hashed, and a rolling hash over the last `WINDOW` line hashes ends a chunk where it is divisible by
-`DIVISOR` and the chunk has `MIN_LINES`; a line of `min_words` words or more is a chunk of its own and starts the rolling hash anew. Boundaries
-thus depend on nearby lines only, and text that is put in or taken out elsewhere does not move them. A chunk counts
-if it has several lines with a word among them, or one line of `min_words` words or more. Chunks meet by hash and by
-their bytes (grouping by both is the byte comparison); a hash that two different chunks share is left alone. Of a
-chunk that occurs more than once the first occurrence stays, by doc_id and then by place; all others are removed.
-
-Where a passage is cut depends on the lines before it, so its chunks may differ from copy to copy. With `runs` all
-runs of consecutive shorter lines that reach `min_words` words are compared as well, by hash and bytes like chunks,
-from every start and to every end; longer runs are unions of these. A line goes where any repeated chunk or run holds
-it, and always has an earlier copy; of one document's overlapping copies the first stays. n_removed_chunks counts
-chunks alone. Runs end at lines of `min_words` words, so short lines beside a repeated long one stay.
-
-Defined results: null and empty texts have no chunks and stay as they are; rows that share a doc_id (or have none)
-count as one document whose own first occurrence stays in each row; an empty table gives an empty result; other columns
-pass through, except the added ones.
+`DIVISOR` and the chunk has `MIN_LINES`. Boundaries thus depend on nearby lines only, and text that is put in or taken
+out elsewhere does not move them. A chunk counts if it has several lines with a word among them, or `min_words` words.
+Chunks meet by hash, by digest and by their bytes: grouping by the bytes is the comparison. Of a chunk that occurs more
+than once the first occurrence stays, by document and then by place; all others are removed.
+
+Where a passage is cut depends on the lines before it, so its ends may differ from copy to copy. With `runs` all runs
+of consecutive lines that reach `min_words` words are compared as well, from every start and to every end; longer runs
+are unions of these, so every line of a repeated passage of `min_words` words goes. Runs overlap, and their bytes would
+be many times the text's; they meet by hash, length and SHA-256 instead. A line goes where any repeated chunk or run
+holds it, and always has an earlier copy; of one document's overlapping copies the first stays. n_removed_chunks counts
+chunks alone.
+
+Texts are cut once; the passages are a table of their own, from which the repeated ones give the lines to remove.
+
+Defined results: null and empty texts have no chunks and stay as they are; a document is a doc_id (null: last) with its
+text, so rows that repeat both count as one whose first occurrence stays in each row; a text of any length is cut whole
+and a chunk or run is at most the text; an empty table gives an empty result; other columns pass through, except the
+added ones. Calling the operator runs jobs.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from .common import byte_slices, map_texts, stored
 WINDOW = 2
 DIVISOR = 2
 MIN_WORDS = 50
-#: A chunk has so many lines at least (but for long lines and a text's end) and at most.
-MIN_LINES, MAX_LINES = 2, 64
+#: A chunk has so many lines at least, but for a text's end.
+MIN_LINES = 2
 
 _MASK = (1 << 64) - 1
 
@@ -39,21 +42,15 @@ def _turn(x: int, k: int) -> int:
     return ((x << k) | (x >> (64 - k))) & _MASK if k else x
 
 
-def boundaries(hashes: list[int], alone: list[bool]) -> list[int]:
-    """Ends (exclusive) of the chunks; `alone` marks lines that are chunks of their own."""
-    ends, rolling, since, size = [], 0, 0, 0
+def boundaries(hashes: list[int]) -> list[int]:
+    """Ends (exclusive) of the chunks."""
+    ends, rolling, size = [], 0, 0
     for i, h in enumerate(hashes):
-        if alone[i]:
-            if size:
-                ends.append(i)
-            ends.append(i + 1)
-            rolling = since = size = 0
-            continue
         rolling = _turn(rolling, 1) ^ h
-        if since >= WINDOW:
+        if i >= WINDOW:
             rolling ^= _turn(hashes[i - WINDOW], WINDOW)
-        since, size = since + 1, size + 1
-        if size >= MIN_LINES and (rolling % DIVISOR == 0 or size == MAX_LINES):
+        size += 1
+        if size >= MIN_LINES and rolling % DIVISOR == 0:
             ends.append(i + 1)
             size = 0
     if size:
@@ -61,149 +58,130 @@ def boundaries(hashes: list[int], alone: list[bool]) -> list[int]:
     return ends
 
 
-def chunks(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, int, int | None, bytes]]:
-    """(first line, end, signed hash or None where the chunk does not count, bytes) of all chunks, in order."""
+def run_bounds(words: list[int], min_words: int = MIN_WORDS) -> set[tuple[int, int]]:
+    """(first line, end) of the runs of lines that reach `min_words` words: the shortest from each start and to each end."""
+    found: set[tuple[int, int]] = set()
+    total, b = 0, 0
+    for a in range(len(words)):
+        while b < len(words) and total < min_words:
+            total, b = total + words[b], b + 1
+        if total < min_words:
+            break
+        found.add((a, b))
+        total -= words[a]
+    total, a = 0, len(words)
+    for b in range(len(words), 0, -1):
+        while a > 0 and total < min_words:
+            a -= 1
+            total += words[a]
+        if total < min_words:
+            break
+        found.add((a, b))
+        total -= words[b - 1]
+    return found
+
+
+def passages(text: bytes, min_words: int = MIN_WORDS, runs: bool = False) -> list[tuple[int, int, int, bytes, bool]]:
+    """(first line, end, hash, bytes, whether a chunk) of all chunks that count and, with `runs`, of the runs."""
     from xxhash import xxh64_intdigest
 
     lines = text.split(b"\n")
     words = [len(x.split()) for x in lines]
-    out, a = [], 0
-    for b in boundaries([xxh64_intdigest(x) for x in lines], [n >= min_words for n in words]):
-        body = b"\n".join(lines[a:b])
+    total = sum(words)
+    if not total:
+        return []
+    places, a = [], 0
+    for b in boundaries([xxh64_intdigest(x) for x in lines]):
         n = sum(words[a:b])
-        counts = n >= min_words or (b - a > 1 and n > 0)
-        h = xxh64_intdigest(body, 1) if counts else None
-        out.append((a, b, h - (1 << 64) if h is not None and h >> 63 else h, body))
+        if n >= min_words or (b - a > 1 and n > 0):
+            places.append((a, b, True))
         a = b
+    if runs and total >= min_words:
+        places += [(a, b, False) for a, b in run_bounds(words, min_words)]
+    # a passage is a slice of the text, by where its lines begin
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+    out = []
+    for a, b, chunk in sorted(places):
+        body = text[starts[a] : starts[b] - 1]
+        out.append((a, b, xxh64_intdigest(body, 1), body, chunk))
     return out
 
 
-def run_bounds(words: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(first line, end) of the runs of lines under `min_words` words that reach it: the shortest from each start and to each end."""
-    found: set[tuple[int, int]] = set()
-    a = 0
-    while a < len(words):
-        if words[a] >= min_words:
-            a += 1
-            continue
-        end = a
-        while end < len(words) and words[end] < min_words:
-            end += 1
-        total, b = 0, a
-        for k in range(a, end):
-            while b < end and total < min_words:
-                total, b = total + words[b], b + 1
-            if total < min_words:
-                break
-            found.add((k, b))
-            total -= words[k]
-        total, b = 0, end
-        for k in range(end, a, -1):
-            while b > a and total < min_words:
-                b -= 1
-                total += words[b]
-            if total < min_words:
-                break
-            found.add((b, k))
-            total -= words[k - 1]
-        a = end
-    return sorted(found)
-
-
-def passages(text: bytes, min_words: int = MIN_WORDS, runs: bool = False) -> list[tuple[int, int, int | None, bytes, bool]]:
-    """The chunks as `chunks` gives them, True; with `runs` also the runs that are no counting chunks, False; by place."""
-    from xxhash import xxh64_intdigest
-
-    out = [(*x, True) for x in chunks(text, min_words)]
-    if runs:
-        lines, known = text.split(b"\n"), {(a, b) for a, b, h, *_ in out if h is not None}
-        for a, b in run_bounds([len(x.split()) for x in lines], min_words):
-            if (a, b) not in known:
-                body = b"\n".join(lines[a:b])
-                h = xxh64_intdigest(body, 1)
-                out.append((a, b, h - (1 << 64) if h >> 63 else h, body, False))
-        out.sort(key=lambda x: x[:2])
-    return out
+def _document(doc_id: str, text: str) -> list:
+    """What names a document: its id and a hash of its text."""
+    return [F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key")]
 
 
-def _spread(docs: DataFrame, doc_id: str, text: str, min_words: int, bodies: bool, runs: bool = False) -> DataFrame:
-    """One row per counting passage: doc_id, hash and its bytes, or instead of them how often the document has it."""
+def spread(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
+    """One row for each passage: doc_id, text_key, start and end (lines), chunk, hash, digest, and for chunks body."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    own = docs.select(*_document(doc_id, text), F.col(f"`{text}`").cast("binary").alias("text"))
 
     def run(batches):
+        import hashlib
+
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for a, b in byte_slices(sizes):
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+            for a, b in byte_slices(sizes, 1 << 20):
                 part = batch.slice(a, b - a)
                 rows: list[int] = []
-                hashes: list[int] = []
-                rest: list = []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    if not t:
-                        continue
-                    found = [(h, body) for _, _, h, body, _ in passages(t, min_words, runs) if h is not None]
-                    if not bodies:
-                        times: dict[int, int] = {}
-                        for h, _ in found:
-                            times[h] = times.get(h, 0) + 1
-                        found = [*times.items()]
-                    rows += [i] * len(found)
-                    hashes += [h for h, _ in found]
-                    rest += [x for _, x in found]
-                ids = part.column(0).take(pa.array(rows, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes, pa.int64()), pa.array(rest, pa.binary() if bodies else pa.int64())], names=["doc_id", "hash", "rest"])
-
-    return own.mapInArrow(run, f"doc_id {kind}, hash long, rest {'binary' if bodies else 'long'}")
-
-
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
-    """(hash, first_doc) of the passages that occur more than once, byte for byte."""
-    same = _spread(docs, doc_id, text, min_words, True, runs).groupBy("hash", "rest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    by_hash = same.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"))
-    return by_hash.filter("kinds = 1 and n > 1").select("hash", "first_doc")
+                out: list[list] = [[] for _ in range(6)]
+                for i, t in enumerate(part.column(2).to_pylist()):
+                    for first, end, h, body, chunk in passages(t or b"", min_words, runs):
+                        rows.append(i)
+                        digest = hashlib.sha256(body).digest()
+                        for column, value in zip(out, (first, end, chunk, h - (1 << 64) if h >> 63 else h, digest, body if chunk else None), strict=True):
+                            column.append(value)
+                at = pa.array(rows, pa.int32())
+                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *[pa.array(v, t) for v, t in zip(out, kinds, strict=True)]], names=["doc_id", "text_key", "start", "end", "chunk", "hash", "digest", "body"])
+
+    return own.mapInArrow(run, f"doc_id {kind}, text_key long, start int, end int, chunk boolean, hash long, digest binary, body binary")
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """(chunk, hash, digest, first) of the passages that occur more than once; first: where the occurrence is that stays."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"), F.col("end"))
+    same = found.groupBy("chunk", "hash", "digest", "body").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    return same.filter("n > 1").select("chunk", "hash", "digest", "first")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """`docs` with its text without repeated chunks (and `runs`), and n_lines, n_removed_lines and n_removed_chunks (long)."""
-    own = _spread(docs, doc_id, text, min_words, False, runs)
-    # a table of its own, so that the join's sides are both plain exchanges and a hot chunk's rows can be split
-    met = own.join(stored(repeated(docs, doc_id, text, min_words, runs), "repeated"), "hash")
-    first = F.col("doc_id").eqNullSafe(F.col("first_doc"))
-    # the first document keeps one occurrence, and is named only where it has more
-    gone = met.filter(~first | (F.col("rest") > 1)).groupBy(F.col("doc_id").alias("_l_id")).agg(F.collect_set(F.struct("hash", first.alias("first"))).alias("_l_gone"))
-    held = docs.join(gone, docs[doc_id].eqNullSafe(gone["_l_id"]), "left").drop("_l_id")
-    held = held.withColumn("_l_text", F.col(text))
+    found = stored(spread(docs, doc_id, text, min_words, runs), "passages")
+    # a table of its own, so that the join's sides are both plain exchanges and a hot passage's rows can be split
+    met = found.drop("body").join(stored(repeated(found), "repeated"), ["chunk", "hash", "digest"])
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = met.filter(~own | (F.col("start") >= F.col("first.end")))
+    gone = gone.groupBy(F.col("doc_id").alias("_l_id"), F.col("text_key").alias("_l_key")).agg(F.collect_set(F.struct("start", "end", "chunk")).alias("_l_gone"))
+    held = docs.select("*", *[c.alias(n) for c, n in zip(_document(doc_id, text), ("_l_doc", "_l_text_key"), strict=True)])
+    held = held.join(gone, held["_l_doc"].eqNullSafe(gone["_l_id"]) & (held["_l_text_key"] == gone["_l_key"]), "left")
+    held = held.withColumn("_l_text", F.col(f"`{text}`"))
 
     def start():
         def strip(texts, found):
             out = [[], [], [], []]
             for t, g in zip(texts, found, strict=True):
                 lines = t.split(b"\n") if t else []
-                kept, cut, n = t, 0, 0
+                kept, cut = t, 0
                 if g:
-                    other = {x["hash"] for x in g if not x["first"]}
-                    ends = {x["hash"]: None for x in g if x["first"]}
                     gone = bytearray(len(lines))
-                    for a, b, h, _, chunk in passages(t, min_words, runs):
-                        if h in ends and (ends[h] is None or a < ends[h]):
-                            ends[h] = ends[h] or b
-                        elif h in ends or h in other:
-                            gone[a:b] = b"\1" * (b - a)
-                            n += chunk
+                    for x in g:
+                        gone[x["start"] : x["end"]] = b"\1" * (x["end"] - x["start"])
                     kept, cut = b"\n".join(x for x, y in zip(lines, gone, strict=True) if not y), sum(gone)
-                for column, value in zip(out, (kept.decode("utf-8", "replace"), len(lines), cut, n), strict=True):
+                for column, value in zip(out, (kept.decode("utf-8", "replace"), len(lines), cut, sum(x["chunk"] for x in g or ())), strict=True):
                     column.append(value)
             return out
 
         return strip
 
     added = {"_l_new": "string", "n_lines": "long", "n_removed_lines": "long", "n_removed_chunks": "long"}
-    keep = [c for c in held.columns if c not in ("_l_gone", "_l_text", *added)]
-    keep = [c for c in keep if c != text]
+    keep = [c for c in docs.columns if c not in added and c != text]
     done = map_texts(held, "_l_text", added, start, keep, ("_l_gone",))
     order = [c for c in docs.columns if c not in added]
-    return done.withColumnRenamed("_l_new", text).select(*order, "n_lines", "n_removed_lines", "n_removed_chunks")
+    return done.select(*[F.col("_l_new").alias(c) if c == text else F.col(f"`{c}`") for c in order], "n_lines", "n_removed_lines", "n_removed_chunks")

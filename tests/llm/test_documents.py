@@ -59,19 +59,35 @@ def test_quality_keeps_clean_documents(spark, docs):
     assert judged.filter("not kept").count() == 0
 
 
-def test_line_dedup(table):
-    got = line_dedup.dedup_lines(table)
-    assert {r.doc_id: r.text for r in got.collect()} == {d: (t or "" if not t else t) for d, t in ref.dedup_lines(pairs(table), line_dedup.chunks).items()}
+@pytest.mark.parametrize("runs", [False, True])
+def test_line_dedup(table, runs):
+    got = line_dedup.dedup_lines(table, runs=runs)
+    assert {r.doc_id: r.text or "" for r in got.collect()} == ref.dedup_lines(pairs(table), runs)
     assert got.columns[: len(table.columns)] == table.columns
 
 
 def test_chunks_resist_shifts():
     body = [f"line number {i} of a long shared passage" for i in range(40)]
-    a = {x[3] for x in line_dedup.chunks("\n".join(["lead in", *body, "tail"]).encode())}
-    b = {x[3] for x in line_dedup.chunks("\n".join(["quite another", "beginning here", *body, "end"]).encode())}
+    a = {x[3] for x in line_dedup.passages("\n".join(["lead in", *body, "tail"]).encode())}
+    b = {x[3] for x in line_dedup.passages("\n".join(["quite another", "beginning here", *body, "end"]).encode())}
     assert sum(len(x) for x in a & b) > 0.8 * len("\n".join(body))
-    for text in (b"", b"\n\n\n", b"one"):
-        assert b"\n".join(x[3] for x in line_dedup.chunks(text)) == text
+    for text in (b"", b"\n\n\n"):
+        assert line_dedup.passages(text, runs=True) == []
+
+
+def test_line_dedup_of_awkward_columns(spark):
+    two = "first line of two\nsecond line of two"
+    rows = spark.createDataFrame([(1, two, 5, "x"), (2, two, 6, None), (3, None, 7, "")], "`a.id` long, `a.b` string, n_lines long, `_l_x` string")
+    out = line_dedup.dedup_lines(rows, "a.id", "a.b")
+    assert out.columns == ["a.id", "a.b", "_l_x", "n_lines", "n_removed_lines", "n_removed_chunks"]
+    assert sorted((r["a.id"], r["a.b"], r.n_lines) for r in out.collect()) == [(1, two, 2), (2, "", 2), (3, "", 0)]
+
+
+def test_equal_ids_with_different_texts(spark):
+    two = "first line of two\nsecond line of two"
+    rows = spark.createDataFrame([(1, f"{two}\nown end"), (1, two), (1, f"other start\n{two}")], "doc_id long, text string")
+    out = [r.text for r in line_dedup.dedup_lines(rows).collect()]
+    assert any("other start" in t for t in out) and any("own end" in t for t in out) and sum("first line" in t for t in out) >= 1
 
 
 def test_repeated_ids_count_as_one_document(spark):
@@ -107,8 +123,8 @@ def test_bk_tree_and_shards(spark):
 def test_decontamination(spark, table):
     items = [(1, PASSAGE), (2, "x " + PASSAGE), (3, None), (4, ""), (5, "two words"), (1, "other text, the same id"), (None, "word")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = ref.contamination(pairs(table), [(i, t) for i, t in items if i is not None])
-    for block in (1 << 20, 40):  # one block, and several passes
+    want = ref.contamination(pairs(table), items)
+    for block in (1 << 20, 40):  # one block, and several
         out = decontaminate.contamination(table, bench, block_bytes=block)
         digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
         assert by_id(out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("s"), "contaminated"), "n_words", "n_hit", "n_items", "s", "contaminated") == want
@@ -117,14 +133,31 @@ def test_decontamination(spark, table):
     assert decontaminate.clean(table, bench.filter("false")).count() == table.count()
 
 
+def test_a_long_item_in_pieces(spark):
+    words = [f"w{k}" for k in range(400)]
+    docs = [(k, " ".join(["lead", *words[k : k + 25], "tail"])) for k in range(0, 370, 7)]
+    items = [(1, " ".join(words)), (2, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13")]
+    out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=300)
+    got = by_id(out.select("doc_id", "n_words", "n_hit", F.size("items").alias("n")), "n_words", "n_hit", "n")
+    assert got == {d: w[:3] for d, w in ref.contamination(docs, items).items()}
+
+
+def judged(texts, test):
+    found = [([], set(), 0) for _ in texts]
+    decontaminate.judge([decontaminate.split_words(t) for t in texts], test, found)
+    return found
+
+
 def test_longest_match():
-    test = decontaminate.TestSet([("1", PASSAGE.encode())], 10)
-    out = decontaminate.judge([f"a {PASSAGE} b".encode(), b"nothing", b""], test)
-    assert out[3] == [12, 0, 0] and out[1][0] == [{"start": 1, "end": 13}]
+    import pickle
+
+    test = pickle.loads(pickle.dumps(decontaminate.TestSet([("1", PASSAGE.encode(), 0)], 10)))
+    out = judged([f"a {PASSAGE} b".encode(), b"nothing", b""], test)
+    assert [f[2] for f in out] == [12, 0, 0] and out[0][0] == [[1, 13]]
 
 
 def test_suffix_array_is_sorted():
-    test = decontaminate.TestSet([("1", b"b a b a b a")], 3)
+    test = decontaminate.TestSet([("1", b"b a b a b a", 0)], 3)
     ids = np.array([test.number.get(w, 0) for w in b"a b a b a b x b a b".split()], np.int64)
     starts, _ = decontaminate.suffix_array(ids, test)
     keys = [tuple(ids[s : s + 3]) for s in starts]
@@ -181,24 +214,115 @@ def test_many_matches_keep_their_places(spark):
     assert [(s.start, s.end) for s in row.base] == [(m.start(), m.end()) for m in re.finditer("a@b.cd", text)]
 
 
-def test_licences(table):
-    model = license_scan.train([])
+@pytest.fixture(scope="module")
+def model():
+    return license_scan.train([])
+
+
+def test_licences(table, model):
     assert model.held_out["accuracy"] > 0.95
     out = {r.doc_id: [(x.paragraph, x.family) for x in r.licences if x.family != "unknown"] for r in license_scan.scan(table, model).collect()}
-    fixed = {"Licensed under CC BY-NC 4.0.": "CC", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache", "This work is licensed under the GNU General Public License, version 3.": "GPL"}
+    fixed = {
+        "Licensed under CC BY-NC 4.0.": "CC", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "proprietary",
+    }
     assert out == {d: [(i, fixed[x]) for i, x in enumerate((t or "").split("\n")) if x in fixed] for d, t in pairs(table)}
 
 
-def test_licence_scores_match_plain_ones(spark):
-    model = license_scan.train([])
-    texts = ["Licensed under the Foo License", "the general public", "All rights reserved.", "Permission is hereby granted, free of charge, to any person"]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.licences for r in license_scan.scan(rows, model).collect()}
-    for i, t in enumerate(texts):
-        p = model.probabilities(t)
-        for x in got[i]:
-            assert abs(x.probability - max(p)) < 1e-3
-        assert bool(got[i]) == (p[0] < 0.5)
+#: Paragraphs as they stand in public files, none of them a training row.
+HELD_OUT = {
+    "MIT": (
+        "This project is open source and available under the terms of the MIT license, see the file COPYING for the full text.", "The library is MIT licensed; contributions are accepted under the MIT License as well.",
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,", "jQuery is provided under the MIT license. Copyright jQuery Foundation and other contributors.", "* SPDX-License-Identifier: MIT */",
+    ),
+    "ISC": ("node-semver is distributed under the ISC License, copyright Isaac Z. Schlueter.", "# SPDX-License-Identifier: ISC", "Copyright notice and this permission notice appear in all copies; permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
+    "BSD": (
+        "Go source is governed by a BSD-style license that can be found in the LICENSE file.", "NumPy is licensed under the BSD license, enabling reuse with few restrictions; see the BSD 3-Clause License.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the", "// SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "Apache": (
+        "Spark is released under the Apache License 2.0 by its contributors.", "limitations under the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "All examples are licensed under the Apache License, Version 2.0, unless a file says otherwise.",
+        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "GPL": (
+        "git is free software; it is covered by the GNU General Public License version 2.", "GNU Emacs is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU General Public License along with GNU Emacs. If not, see <https://www.gnu.org/licenses/>.", "The kernel is licensed under the GNU GPL version 2, with the syscall note.", "// SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "LGPL": ("glib is licensed under the GNU Lesser General Public License; linking is allowed.", "FFmpeg may be used under the terms of the GNU Lesser General Public License v2.1 or later.", "/* SPDX-License-Identifier: LGPL-2.1-or-later */"),
+    "AGPL": ("The server is licensed under the GNU Affero General Public License, unlike the client.", "Our hosted edition is distributed under the terms of AGPLv3.", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    "MPL": (
+        "Firefox is made available to you under the terms of the Mozilla Public License 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0", "- License, v. 2.0. This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    ),
+    "CC": (
+        "Text is available under the Creative Commons Attribution-ShareAlike 4.0 International License; additional terms may apply.", "Photo by J. Doe, licensed under CC BY-SA 4.0 via Wikimedia.",
+        "The documentation is published under CC BY 4.0, the code is not.", "Except where otherwise noted, content is licensed under a Creative Commons Attribution-NonCommercial license.", "Data released under CC0 1.0, no rights reserved.",
+    ),
+    "Unlicense": ("youtube-dl is released into the public domain under the Unlicense by the copyright holders.", "Everything in this directory is free and unencumbered software released into the public domain."),
+    "proprietary": ("Copyright (c) 1999-2021 Example Corp. All rights reserved.", "This file is proprietary and confidential; unauthorized copying of this file, via any medium, is strictly prohibited."),
+}
+NO_FAMILY = (
+    "Eclipse is provided under the Eclipse Public License 2.0.", "Use of the font is subject to the SIL Open Font License.", "Please read the end user license agreement before you install the program.",
+    "Released under the Quux Sharing License, version 7.", "The zlib License covers the compression code.",
+)
+PLAIN = (
+    "He lost his licence after the accident.", "The general spoke in public about the war.", "Permission to land was granted at noon.", "The apache tribe lived in the south-west.", "All her rights were denied by the court.",
+    "The recipe comes with a warranty of good taste.", "We met on the village commons.", "Software eats the world, said the investor.", "The dog license costs ten dollars a year.", "They reserved a table for two.",
+)
+
+
+def test_held_out_licence_paragraphs(spark, model):
+    known = [(t, k) for k, ts in HELD_OUT.items() for t in ts]
+    rows = [*known, *[(t, "unknown") for t in NO_FAMILY], *[(t, None) for t in PLAIN]]
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [x.family for x in r.licences] for r in license_scan.scan(table, model).collect()}
+    wrong = [(t, k, got[i]) for i, (t, k) in enumerate(rows) if got[i] != ([k] if k else [])]
+    assert sum(got[i] == [k] for i, (_, k) in enumerate(known)) >= 0.9 * len(known), wrong
+    # what has no family never gets one, and ordinary sentences are rarely taken for licences
+    assert all(got[i] in ([], ["unknown"]) for i in range(len(known), len(rows))), wrong
+    assert sum(bool(got[i]) for i, (_, k) in enumerate(rows) if k is None) <= 0.2 * len(PLAIN), wrong
+
+
+def plain_licences(text, model, confirm=0.7):
+    """n_paragraphs and (paragraph, family, probability, confirmed), from the definitions."""
+    ls = license_scan
+    out = []
+    lines = (text or "").split("\n")
+    for i, line in enumerate(lines):
+        ws = ls.words(line)
+        if not ls.ANCHORS.intersection(ws):
+            continue
+        p = model.probabilities(line)
+        at = max(range(len(p)), key=lambda k: (p[k], -k))
+        family, pairs = ls.FAMILIES[at], {f"{a} {b}" for a, b in zip(ws, ws[1:])}
+        share = 0.0
+        for whole, t in ls.COMPARED.get(family, ()):
+            n = len({*t} & (pairs if " " in t[0] else {*ws}))
+            share = max(share, n / len(t), n / len(pairs) if whole and len(pairs) >= 5 else 0.0)
+        met = family not in ("none", "unknown") and p[at] >= model.threshold and share >= confirm
+        if family != "none":
+            out.append((i, family if met else "unknown", round(p[at], 3), met))
+    return sum(x != "" for x in lines), out
+
+
+def test_licence_scan_matches_the_plain_version(spark, model, table):
+    rng = np.random.default_rng(3)
+    ts = [t for ts in (*HELD_OUT.values(), NO_FAMILY, PLAIN) for t in ts] + [t for ts in license_scan.texts.TEMPLATES.values() for t in ts]
+    mixed = ["\n".join(" ".join(rng.permutation(w := t.split())[: rng.integers(1, len(w) + 1)]) if rng.random() < 0.5 else t for t in rng.choice(ts, rng.integers(1, 6))) for _ in range(150)]
+    rows = [(None if d is None else int(d), t) for d, t in pairs(table)] + [(10_000 + i, t) for i, t in enumerate(mixed)]
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    got = {r.doc_id: (r.n_paragraphs, [(x.paragraph, x.family, round(x.probability, 3), x.confirmed) for x in r.licences]) for r in out}
+    for d, t in rows:
+        n, want = plain_licences(t, model)
+        assert got[d][0] == n and [(x[0], x[1], x[3]) for x in got[d][1]] == [(x[0], x[1], x[3]) for x in want], t
+        assert all(abs(x[2] - y[2]) < 0.002 for x, y in zip(got[d][1], want))
+
+
+def test_negative_sample(spark):
+    rows = [(i, f"Permission to park here is granted to number {i} only.\nReleased under the MIT License.\nno word of it") for i in range(50)]
+    found = license_scan.negative_sample(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(found) == 50 and all(x.startswith("Permission to park") for x in found)
 
 
 def test_empty_tables(spark, odd):

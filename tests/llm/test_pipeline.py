@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as cp
-from evidentia.llm import line_dedup, quality_rules, queries
+from evidentia.llm import quality_rules, queries
 
 from . import reference as ref
 
@@ -30,7 +30,7 @@ def test_stages(spark):
             want = {d: t for d, t in pairs if d in kept}
             assert all(not ref.quality(t)[-1] for t in want.values())
         elif name == "line dedup":
-            want = {d: t for d, t in ref.dedup_lines(pairs, line_dedup.chunks).items() if t.strip(" \t\n\r\x0b\x0c")}
+            want = {d: t for d, t in ref.dedup_lines(pairs, runs=True).items() if t.strip(" \t\n\r\x0b\x0c")}
         elif name == "near duplicates":
             group = ref.similar(pairs)
             want = {d: t for d, t in pairs if group[d] == d}

@@ -10,28 +10,6 @@ from . import reference as ref
 SF = "/root/testdata/sf0.001"
 
 
-def without_repeats(rows, need=50):
-    """{doc_id: kept lines} by brute force: every repeated chunk, and every repeated run of lines under `need` words that reaches it."""
-    places = {}
-    for d, text in rows:
-        lines = text.split("\n")
-        cut = {(a, b) for a, b, h, _ in line_dedup.chunks(text.encode()) if h is not None} if text else set()
-        short = [len(x.encode().split()) for x in lines]
-        for a in range(len(lines)):
-            for b in range(a + 1, len(lines) + 1):
-                if short[b - 1] >= need:
-                    break
-                if sum(short[a:b]) >= need:
-                    cut.add((a, b))
-        for a, b in cut:
-            places.setdefault("\n".join(lines[a:b]), []).append((d, a, b))
-    gone = set()
-    for own in places.values():
-        (first, _, end), *rest = sorted(own)
-        gone |= {(d, i) for d, a, b in rest if d != first or a >= end for i in range(a, b)}
-    return {d: [x for i, x in enumerate(text.split("\n")) if (d, i) not in gone] for d, text in rows}
-
-
 @pytest.mark.parametrize("n", [2, 3, 5, 8])
 def test_repeated_runs_go_whole(spark, n):
     run = [f"run {n} line {i} " + " ".join(f"w{i}x{k}" for k in range(96 // n)) for i in range(n)]
@@ -49,7 +27,7 @@ def test_repeated_runs_go_whole(spark, n):
 
 def test_op1_query_removes_whole_runs(spark):
     rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    want = {d: len("\n".join(x)) for d, x in without_repeats(rows).items()}
+    want = {d: len(t) for d, t in ref.dedup_lines(rows, runs=True).items()}
     got = {r.doc_id: r.kept_chars for r in queries.op1_line_dedup(spark, SF).collect()}
     assert got == want
 
