@@ -3,17 +3,22 @@ r"""Personal data: base recognisers, and contextual extraction that bootstraps f
 Seeds are the base matches (e-mail, IP address, card, phone) and long hexadecimal or AKIA keys (kind `secret`). The
 text before a seed, its last word with the delimiters up to the seed, is a lexical pattern. Patterns and the instances
 behind them (seeds, and identifiers, words of six or more characters with a digit) form a bipartite graph. Spark
-scores it in rounds: a pattern's confidence is the mean score of the instances behind it, an instance's score is 1 for
-a seed, else 1 - product(1 - confidence) over its patterns. Patterns with at least `support` different seeds and
-`confidence` name the identifiers behind them as further spans, of the kind that most of their seeds have. Patterns
-that end in a delimiter (= : # quotes or brackets) hold one word; those that end in white space hold two, as a single
-word before a blank says little.
+scores it in rounds: a pattern's confidence is the mean score of the occurrences behind it and its support the number
+of its different instances that score `confidence` or more; an instance's score is 1 for a seed, else
+1 - product(1 - confidence) over its patterns of `support`. So identifiers that one round discovers support the
+patterns of the next. Patterns with the support and confidence name the identifiers behind them as further spans, of
+the kind that most of their supporting instances have (a discovered instance has the kind of its best pattern).
+Patterns that end in a delimiter (= : # quotes or brackets) hold one word; those that end in white space hold two, as a
+single word before a blank says little.
 
 Positions come from cutting the text at the matches: a match starts after the gaps and matches before it, prefix
-sums over blocks of 64. Patterns and instances are joined by key; nothing is collected or broadcast by hand.
+sums over blocks of 64. Patterns and instances are joined by key, against tables of their own, so that the rows of a
+hot pattern or instance can be split; nothing is collected or broadcast by hand.
 
-Defined results: null and empty texts have no spans; repeated rows each carry their spans; an empty table gives an
-empty result; of the input only the text and the columns named in `keep` are used.
+Defined results: null and empty texts have no spans; texts of any length are searched whole, and a pattern looks at
+most 72 characters back; repeated rows each carry their spans, and each occurrence counts for confidence but not for
+support; of equally supported kinds the first of KINDS counts; an empty table gives an empty result; of the input only
+the text and the columns named in `keep` are used. Calling `extract` runs jobs.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}+)(?![A-Za-z0-9])",
 }
 IDENTIFIER = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{6,}+"
-CONTEXT = r"""([^\x00-\x20=:#"'(<\[]{1,32}[\x20\t]?[=:#"'(<\[]{1,2}[\x20\t]?["']?|[^\x00-\x20]{1,32}\x20[^\x00-\x20]{1,32}\x20)$"""
+CONTEXT = r"""([^\x00-\x20=:#"'(<\[]{1,32}[\x20\t]?[=:#"'(<\[]{1,2}[\x20\t]?["']?|[^\x00-\x20]{1,32}\x20[^\x00-\x20]{1,32}\x20)\z"""
 BLOCK = 64
 
 
@@ -122,22 +127,23 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bootstrap(edges: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
-    """(context, kind, confidence, seeds) of the patterns to trust, from edges (context, value, kind: null unless a seed)."""
-    e = stored(edges.filter("context <> ''").groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "edges")
-    score = e.groupBy("value").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("score"))
+    """(context, kind, confidence, support) of the patterns to trust, from edges (context, value, kind: null unless a seed)."""
+    e = stored(edges.filter("context <> ''").groupBy("context", "value").agg(F.count("*").alias("n"), F.min("kind").alias("kind")), "edges")
+    seeds = e.groupBy("value").agg(F.min("kind").alias("kind"))
+    score = stored(seeds.select("value", "kind", F.col("kind").isNotNull().alias("seed"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score")), "scores")
     for r in range(rounds):
-        scored = e.join(score, "value")
-        trust = scored.groupBy("context").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("confidence"), F.count("kind").alias("seeds"))
+        scored = e.drop("kind").join(score, "value")
+        # by kind first: the kind that most of the supporting instances have is the pattern's own
+        each = scored.groupBy("context", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("s"), F.sum("n").alias("n"), F.count_if(F.col("score") >= confidence).alias("m"))
+        trust = each.groupBy("context").agg((F.sum("s") / F.sum("n")).alias("confidence"), F.sum("m").alias("support"), F.min_by("kind", F.struct(-F.col("m"), F.col("kind"))).alias("kind"))
+        trust = stored(trust.filter(F.col("support") >= support), "patterns")
         if r + 1 < rounds:
-            # an instance gains only from patterns that seeds support
-            doubt = F.sum(F.log1p(-F.least(F.when(F.col("seeds") >= support, F.col("confidence")).otherwise(0.0), F.lit(0.999999))))
-            seed = F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
-            score = stored(e.join(trust, "context").groupBy("value").agg(F.greatest(seed, 1 - F.exp(doubt)).alias("score")), "scores")
-    trust = trust.filter((F.col("seeds") >= support) & (F.col("confidence") >= confidence))
-    votes = e.filter("kind is not null").groupBy("context", "kind").agg(F.count("*").alias("n"))
-    # the most frequent kind; of equals the first by name
-    kind = votes.groupBy("context").agg(F.min_by("kind", F.struct(-F.col("n"), F.col("kind"))).alias("kind"))
-    return trust.join(kind, "context")
+            doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
+            gained = e.join(trust.select("context", "confidence", F.col("kind").alias("of")), "context").groupBy("value").agg((1 - F.exp(doubt)).alias("gain"), F.min_by("of", F.struct(-F.col("confidence"), F.col("of"))).alias("of"))
+            own = score.join(stored(gained, "gained"), "value", "left")
+            kind, gain = F.when(F.col("seed"), F.col("kind")).otherwise(F.col("of")), F.when(F.col("seed"), 1.0).otherwise(F.coalesce("gain", F.lit(0.0)))
+            score = stored(own.select("value", kind.alias("kind"), "seed", gain.alias("score")), "scores")
+    return trust.filter(F.col("confidence") >= confidence)
 
 
 def extract(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), **how) -> DataFrame:
@@ -151,7 +157,7 @@ def extract(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), **ho
     seeds = found.select(F.explode("seeds").alias("s")).select("s.context", "s.value", F.col("s.at").alias("kind"))
     others = found.select("row", F.explode("identifiers").alias("s")).select("row", "s.*")
     trusted = bootstrap(seeds.unionByName(others.select("context", "value", F.lit(None).cast("int").alias("kind"))), **how)
-    more = others.filter("context <> ''").join(trusted.select("context", "kind"), "context")
+    more = others.filter("context <> ''").join(stored(trusted.select("context", "kind"), "trusted"), "context")
     more = more.groupBy("row").agg(F.collect_list(F.struct(F.col("kind").alias("at"), "start", "end")).alias("more"))
     short = lambda a: F.transform(a, lambda x: F.struct(x["at"].alias("at"), x["start"].alias("start"), x["end"].alias("end")))
     named_kind = F.array(*map(F.lit, KINDS))
