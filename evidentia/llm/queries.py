@@ -71,14 +71,19 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.sort_array("items"), ",").cast("binary"), 256)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "longest_match")
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "longest_match", places.alias("hit_words"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.extract(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    n = lambda c: F.size(c).cast("long")
+    of = lambda k: n(F.filter("base", lambda s: s["kind"] == k)).alias(f"n_{k}")
     digest = F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return out.select("doc_id", *map(n, ("email", "ip", "card", "phone")), digest, pii.joined(F.col("spans")).alias("spans"))
+    return out.select(
+        "doc_id", *map(of, ("email", "ip", "card", "phone")), digest, pii.joined(F.col("spans")).alias("spans"),
+        n(F.col("spans")).alias("n_spans"), (n(F.col("spans")) - n(F.col("base"))).alias("n_found"),
+    )
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,10 @@ def links(prints: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     spark = prints.sparkSession
     one = _cut(0, radius + 2)
     masks = [a | b for a, b in combinations(one, 2)]
-    keyed = prints.select("fingerprint").distinct().select("fingerprint", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    own = stored(prints.select("fingerprint").distinct(), "distinct")
+    # dealt by number, as fingerprints weigh little until they are multiplied by the shards
+    dealt = own.repartition(max(1, own.count() // 20_000))
+    keyed = dealt.select("fingerprint", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     pairs, trees = [], []
     while True:
         keyed = keyed.withColumn("key", F.col("fingerprint").bitwiseAND(F.col("mask")))
