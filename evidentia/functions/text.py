@@ -88,6 +88,27 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*[x for p in parts for x in (p.cast("string"), F.lit("\0"))]).cast("binary"), 256)
 
 
+def json_text(c: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+
+def json_list(c: Column) -> Column:
+    """An array of texts as a JSON list with a blank after each comma."""
+    return F.concat(F.lit("["), F.array_join(F.transform(c, json_text), ", "), F.lit("]"))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON object with sorted keys and a blank after each separator; values are JSON already."""
+    parts = [F.concat(F.lit(f'"{k}": '), fields[k].cast("string")) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def canonical_digest(fields: dict[str, Column]) -> Column:
+    """SHA-256 of the canonical JSON."""
+    return F.sha2(canonical_json(fields).cast("binary"), 256)
+
+
 def escaped(text: Column) -> Column:
     """Text safe inside markup and quotes."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What each system role may do.
@@ -164,6 +164,20 @@ def reauthorized(dependencies: DataFrame, principals: DataFrame, held: DataFrame
     return met.withColumn("allowed", F.coalesce("_ok", F.lit(False)) & (~need | F.coalesce("_open", F.lit(False)))).drop("_ok", "_open")
 
 
+def revised(writes: DataFrame, order: str, key: list[str], block: int = 100_000) -> DataFrame:
+    """`writes` with revision (1, 2, ... in order) and last: whether no later write has the key. `order` is a unique integer.
+
+    Revisions are numbered within blocks of the order and shifted by the blocks before, so that no task holds all writes.
+    """
+    b = writes.withColumn("_b", F.floor(F.col(order) / block))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = b.groupBy("_b").agg(F.count("*").alias("n")).select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))  # one row a block
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(order))
+    newest = writes.groupBy(*key).agg(F.max(order).alias("_newest"))
+    j = b.withColumn("_own", own).join(shift, "_b").join(newest, key)
+    return j.select(*writes.columns, (F.col("_own") + F.col("shift")).cast("long").alias("revision"), (F.col(order) == F.col("_newest")).alias("last"))
+
+
 def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """The row of each key that comes last: an upsert's result."""
     value = F.struct(*[c for c in rows.columns if c not in key])

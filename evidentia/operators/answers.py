@@ -61,3 +61,63 @@ def merged_evidence(rows: DataFrame, group: str, order: str, span: str, budget:
 
     out = packed.select(group, F.posexplode(F.aggregate("rows", start, step, lambda acc: acc["kept"])).alias("n", "x"))
     return out.select(group, F.col("x.span").alias(span), F.concat(F.lit("P"), (F.col("n") + 1).cast("string")).alias("alias"), F.col("x.prior").alias("prior"), F.col("x.used").alias("used"))
+
+
+def case_scores(cases: DataFrame, answers: DataFrame, required, forbidden) -> DataFrame:
+    """Checks of each case: cases have case_id, expected, required and forbidden phrases, secrets and most (citations).
+
+    answers: case_id, status, text and sources (array). `required` and `forbidden` say of a source and a case whether it
+    must, or must not, be cited. A case without an answer is missing and fails what needs one.
+    """
+    j = cases.join(answers.withColumn("_has", F.lit(True)), "case_id", "left")
+    low, own = F.lower(F.coalesce("text", F.lit(""))), F.coalesce("sources", F.array().cast("array<bigint>"))
+    has = F.coalesce("_has", F.lit(False))
+    none_of = lambda phrases, t: ~F.exists(phrases, lambda p: F.contains(t, p))
+    return j.select(
+        "case_id", (~has).alias("missing"), (has & F.coalesce(F.col("status") == F.col("expected"), F.lit(False))).alias("status_ok"),
+        (has & F.forall("required", lambda p: F.contains(low, F.lower(p)))).alias("phrases_ok"), (has & none_of("forbidden", low)).alias("forbidden_ok"),
+        F.exists(own, lambda v: required(v, F.col("case_id"))).alias("required_ok"), (~F.exists(own, lambda v: forbidden(v, F.col("case_id")))).alias("sources_ok"),
+        (F.size(own) <= F.col("most")).alias("cap_ok"), (has & none_of("secrets", F.coalesce("text", F.lit("")))).alias("leak_ok"),
+    )
+
+
+def bound_citations(citations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """`citations` (doc, ordinal, start, end, quote and others) with a verdict against blocks (doc, ordinal, block_text)."""
+    j = citations.join(blocks.select("doc", "ordinal", "block_text"), ["doc", "ordinal"], "left")
+    n = F.col("end") - F.col("start")
+    cut = F.substring("block_text", F.col("start") + 1, n)
+    verdict = F.when(F.col("block_text").isNull(), "unknown block").when((F.col("end") > F.char_length("block_text")) | (n <= 0), "outside").when(cut != F.col("quote"), "text differs").otherwise("ok")
+    return j.withColumn("verdict", verdict).drop("block_text")
+
+
+def omitted(old: DataFrame, new: DataFrame, draft: str, signature: list[str]) -> DataFrame:
+    """Signatures of the old draft's unflagged claims that the new one lacks."""
+    return old.filter("not flagged").select(draft, *signature).distinct().join(new.select(draft, *signature), [draft, *signature], "left_anti")
+
+
+def screening_cutoff(now: Column, deadline: Column, need: Column, share: float = 0.2, ceiling: float = 15.0) -> Column:
+    """Until when screening may run: a fifth of what remains, one and a half calls at least, within the ceiling and the deadline."""
+    remaining = F.greatest(F.lit(0.0), deadline - now)
+    return F.least(deadline, now + F.least(remaining, F.greatest(1.5 * need, F.lit(ceiling)), F.greatest(1.5 * need, remaining * share)))
+
+
+def reader_window(now: Column, hard: Column, soft: Column, need: Column, packets: Column) -> Column:
+    """Seconds for the next read: none if the hard cutoff leaves too few, or the soft one after a first packet."""
+    left, ahead = hard - now, soft - now
+    return F.when((left < need) | ((packets > 0) & (ahead < need)), 0.0).otherwise(F.least(left, F.greatest(need, ahead)))
+
+
+def research_ends(documents: DataFrame, run: str, window_over: Column, catalogue_left: Column, errors: Column) -> DataFrame:
+    """all_unlikely, complete and public notes of each run from its documents (unlikely, done, warned); the columns are of the run."""
+    g = documents.groupBy(run).agg(F.bool_and("unlikely").alias("all_unlikely"), F.bool_and("done").alias("_done"), F.count_if(~F.col("done")).alias("_left"), F.bool_or(F.col("warned") & F.col("done")).alias("_gaps"))
+    ended = F.when((F.col("_left") > 0) & window_over, F.concat(F.lit("window:"), F.col("_left").cast("string"))).when(catalogue_left, "catalogue")
+    notes = F.concat_ws(" ", F.when(F.col("_gaps"), "extraction"), ended, F.when(errors, "errors"))
+    return g.select(run, "all_unlikely", (F.col("_done") & ~catalogue_left).alias("complete"), notes.alias("notes"))
+
+
+def source_rows(rows: DataFrame) -> DataFrame:
+    """Rows (answer, source, quote, seconds) with ids S1, S2, ... and aliases D and T of their sources and quotes, opaque values dropped."""
+    w = lambda *o: Window.partitionBy("answer").orderBy(*o)
+    alias = lambda lead, n: F.concat(F.lit(lead), n.cast("string"))
+    n = F.row_number().over(w("source", "quote", F.coalesce("seconds", F.lit(-1))))
+    return rows.select("answer", alias("S", n).alias("id"), alias("D", F.dense_rank().over(w("source"))).alias("document"), alias("T", F.dense_rank().over(w("quote"))).alias("topic"), "seconds")

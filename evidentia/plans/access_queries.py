@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import access as a
 from .registry import query
 
@@ -249,6 +250,44 @@ def unread_candidates(x):
     return a.in_scope(named, _scope(x, ("document.search",))).select("user_id", "resource_id", "via")
 
 
+@query("PF13", f"WITH {_FIX}, {_rule('ok', 'dep', 'video.open')} SELECT DISTINCT dep.user_id, dep.rid AS resource_id, CASE WHEN ok.user_id IS NOT NULL THEN 'https://media.example/' || dep.rid ELSE '' END AS uri FROM dep LEFT JOIN ok USING (user_id, rt, rid) WHERE rt = 'video'")
+def video_locators(x):
+    """The address of each video that an answer names, blank for readers who may not open it."""
+    asked = _dependencies(x).filter("resource_type = 'video'").select("user_id", "resource_type", "resource_id").distinct()
+    out = a.can(asked, _principals(x), _held(x), _resources(x), _grants(x), "video.open", _at())
+    return out.select("user_id", "resource_id", F.when(F.col("allowed"), F.concat(F.lit("https://media.example/"), "resource_id")).otherwise("").alias("uri"))
+
+
+@query("PF14", f"""WITH {_FIX}, seg AS (SELECT 'g' || CAST(c_nationkey AS VARCHAR) AS grp, string_agg(DISTINCT c_mktsegment, ' | ' ORDER BY c_mktsegment) AS aliases FROM customer GROUP BY c_nationkey)
+SELECT u.user_id, CASE WHEN EXISTS (SELECT 1 FROM pe WHERE pe.user_id = u.user_id AND permission IN ('*', 'identity.manage', 'org_role.read')) THEN aliases ELSE '' END AS aliases FROM u JOIN customer ON user_id = 'u' || CAST(c_custkey AS VARCHAR) JOIN seg ON grp = 'g' || CAST(c_nationkey AS VARCHAR)""")
+def visible_aliases(x):
+    """Aliases of each user's group, for those only who manage identities or may read roles."""
+    seg = x.customer.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_set("c_mktsegment")), " | ").alias("aliases"))
+    may = _held(x).filter(F.col("permission").isin("*", "identity.manage", "org_role.read")).select("user_id").distinct().withColumn("may", F.lit(True))
+    rows = x.customer.join(seg, "c_nationkey").select(_id("u", "c_custkey").alias("user_id"), "aliases").join(may, "user_id", "left")
+    return rows.select("user_id", F.when(F.col("may"), F.col("aliases")).otherwise("").alias("aliases"))
+
+
+@query("H6", f"""WITH {_FIX}, r AS (SELECT user_id, string_agg(DISTINCT '"' || role_name || '"', ', ' ORDER BY '"' || role_name || '"') AS roles FROM pe GROUP BY user_id), g AS (SELECT user_id, string_agg('"' || pid || '"', ', ' ORDER BY pid) FILTER (pt = 'group') AS groups FROM pk GROUP BY user_id)
+SELECT g.user_id, sha256('{{"groups": [' || coalesce(groups, '') || '], "roles": [' || coalesce(roles, '') || '], "user": "' || g.user_id || '"}}') AS scope_hash FROM g LEFT JOIN r USING (user_id)""")
+def scope_hashes(x):
+    """A digest of what decides a user's scope: the user, its groups and its roles, as canonical JSON."""
+    keys = _principals(x)
+    groups = keys.groupBy("user_id").agg(F.sort_array(F.collect_set(F.when(F.col("principal_type") == "group", F.col("principal_id")))).alias("groups"))
+    roles = a.held_roles(keys, _roles(x), _at()).groupBy("user_id").agg(F.sort_array(F.collect_set("role_name")).alias("roles"))
+    j = groups.join(roles, "user_id", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
+    return j.select("user_id", t.canonical_digest({"user": t.json_text(F.col("user_id")), "groups": t.json_list(F.col("groups")), "roles": t.json_list(F.col("roles"))}).alias("scope_hash"))
+
+
+@query("AC6", """
+WITH w AS (SELECT o_orderkey AS write, o_custkey % 400 AS subject, CASE o_orderkey % 3 WHEN 0 THEN 'revoke' ELSE 'grant' END AS action FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY write) AS revision FROM w)
+SELECT write, subject, action, revision, action = 'grant' AND write = max(write) OVER (PARTITION BY subject) AS in_force FROM r""")
+def write_log(x):
+    """Every write has the next revision and its row of audit; what holds for a subject is its last write."""
+    w = x.orders.select(F.col("o_orderkey").alias("write"), (F.col("o_custkey") % 400).alias("subject"), F.when(F.col("o_orderkey") % 3 == 0, "revoke").otherwise("grant").alias("action"))
+    return a.revised(w, "write", ["subject"]).withColumn("in_force", F.col("last") & (F.col("action") == "grant")).drop("last")
+
+
 @query("AC7 J8", "SELECT role_name, permission FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, vs in a.ROLE_PERMISSIONS.items() for v in vs) + ") t(role_name, permission)")
 def role_matrix(x):
     return a.role_table(x.spark)

@@ -63,14 +63,6 @@ def coverage_summary(x):
     return j.groupBy("question").agg(F.countDistinct("doc").alias("documents_read"), F.countDistinct(F.when(F.col("fully"), F.col("doc"))).alias("fully_read"), F.sum("n").alias("blocks"))
 
 
-@query("S7 J22 J30", """
-SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 5""")
-def retention_check(x):
-    """Claims of the old draft that the new one lost."""
-    old = x.lineitem.filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey")
-    return old.subtract(x.lineitem.filter("l_linestatus = 'F' and l_quantity > 5").select("l_orderkey", "l_partkey"))
-
-
 @query("PF24 C38 C19", """
 SELECT o_orderkey, CASE WHEN c > 0 AND g = 0 AND clear AND NOT (ex AND e > 0) THEN 'answer' WHEN c > 0 THEN 'partial' WHEN e > 0 THEN 'error' ELSE 'not_found' END AS status
 FROM (SELECT o_orderkey, o_orderkey % 4 AS c, o_custkey % 3 AS g, o_orderstatus <> 'P' AS clear, o_custkey % 2 AS e, o_orderkey % 5 = 0 AS ex FROM orders)""")
@@ -126,32 +118,6 @@ def discounted_returns(x):
     return s.groupBy("user_id").agg(F.round(F.sum(F.pow(F.lit(0.9), F.col("k")) * (F.col("value") - 0.05)), 4).alias("ret"), F.count("*").alias("steps"))
 
 
-@query("A32", """
-WITH v AS (SELECT label, unnest(generate_series(1, 4)) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), w AS (SELECT label, i, unnest(generate_series(1, 4)) AS j, e FROM v)
-SELECT label, i, j, round(sum(e[i] * e[j]) + max(CASE WHEN i = j THEN 1 ELSE 0 END), 6) AS moment FROM w GROUP BY label, i, j""")
-def ridge_moments(x):
-    """Regularized second moments of the first four features, by action."""
-    e = x.embeddings.select("label", F.col("embedding").cast("array<double>").alias("e"))
-    sums = [F.sum(F.get("e", F.lit(i)) * F.get("e", F.lit(j))).alias(f"m{i}{j}") for i in range(4) for j in range(4)]
-    g = e.groupBy("label").agg(*sums)
-    cells = F.array(*[F.struct(F.lit(i + 1).cast("long").alias("i"), F.lit(j + 1).cast("long").alias("j"), F.round(F.col(f"m{i}{j}") + (1 if i == j else 0), 6).alias("moment")) for i in range(4) for j in range(4)])
-    return g.select("label", F.inline(cells))
-
-
-@query("M7 W18 C33 M8", """
-WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS w FROM embeddings WHERE vec_id = 0),
-s AS (SELECT vec_id, label, round(list_dot_product(w, CAST(embedding AS DOUBLE[])) + 0.5 * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS score FROM embeddings, q)
-SELECT vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank, round(1 / (1 + exp(-score)), 6) AS probability FROM s""")
-def action_scores(x):
-    """w.x + a * sqrt(x.x) for each action, ranked; and a two-class probability."""
-    w = x.embeddings.filter("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("w"))
-    e = x.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e")).join(w)
-    dot = lambda a_, b_: F.aggregate(F.zip_with(a_, b_, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
-    s = e.withColumn("score", F.round(dot("w", "e") + 0.5 * F.sqrt(dot("e", "e")), 6))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")).cast("long")
-    return s.select("vec_id", "score", rank.alias("rank"), F.round(1 / (1 + F.exp(-F.col("score"))), 6).alias("probability"))
-
-
 @query("A33 A35 C27 RL6", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS scopes FROM orders GROUP BY ALL")
 def status_counts(x):
     return x.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("scopes"))

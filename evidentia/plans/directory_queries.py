@@ -53,32 +53,37 @@ def alias_lists(x):
     return g.select("c_nationkey", "aliases", F.when(F.col("c_nationkey") % 2 == 0, F.col("n")).alias("visible"))
 
 
-@query("DV4 J13 M6 W15 D16 R2", """
-WITH c AS (SELECT l_partkey, l_linenumber, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS m FROM lineitem GROUP BY ALL),
-b AS (SELECT l_partkey, max_by(l_linenumber, m * 100 - l_linenumber) AS chapter, max(m) AS best FROM c GROUP BY l_partkey),
-s AS (SELECT p_partkey, p_name, chapter, round(CASE WHEN contains(lower(p_brand), '1') THEN 2 ELSE 0 END + (p_size % 3 + 1.5 * best) / 2.0, 6) AS score FROM part JOIN b ON p_partkey = l_partkey)
-SELECT p_partkey AS video_id, CAST(chapter AS BIGINT) AS chapter, score, row_number() OVER (ORDER BY score DESC, p_name, p_partkey) AS rank FROM s QUALIFY rank <= 100""")
+_VIDEOS = """
+v AS (SELECT p_partkey AS video, p_name AS title, lower(p_name || ' ' || p_type || ' ' || p_brand) AS about FROM part),
+ch AS (SELECT l_partkey AS video, l_linenumber AS ordinal, max(CASE WHEN l_returnflag = 'R' THEN 'cold storage ' ELSE 'notes ' END || CASE WHEN l_linestatus = 'F' THEN 'of the widget' ELSE 'on steel' END) AS about FROM lineitem GROUP BY ALL)"""
+
+
+@query("DV4 J13 M6 W15 D16 R2", f"""WITH {_VIDEOS},
+c AS (SELECT video, ordinal, len(list_filter(['cold', 'widget'], lambda w: list_contains(regexp_extract_all(about, '[\\p{{L}}\\p{{N}}]+'), w))) AS m FROM ch),
+b AS (SELECT video, max(m) AS best, min(ordinal) FILTER (m = top) AS chapter FROM (SELECT *, max(m) OVER (PARTITION BY video) AS top FROM c) GROUP BY video),
+s AS (SELECT v.video, title, len(list_filter(['cold', 'widget'], lambda w: list_contains(regexp_extract_all(about, '[\\p{{L}}\\p{{N}}]+'), w))) AS base, coalesce(best, 0) AS best, chapter, contains(about, 'cold widget') AS phrase FROM v LEFT JOIN b USING (video))
+SELECT video AS video_id, CASE WHEN best > 0 THEN chapter END AS chapter, round(CASE WHEN phrase THEN 2 ELSE 0 END + (base + 1.5 * best) / 2.0, 6) AS score, row_number() OVER (ORDER BY CASE WHEN phrase THEN 2 ELSE 0 END + (base + 1.5 * best) / 2.0 DESC, lower(title), video) AS rank
+FROM s WHERE base > 0 OR best > 0 OR phrase QUALIFY rank <= 100""")
 def video_best_chapter(x):
-    """Videos by score with their best chapter; a hundred at most (the search's own limit)."""
-    m = F.when(F.col("l_returnflag") == "R", 1).otherwise(0) + F.when(F.col("l_linestatus") == "F", 1).otherwise(0)
-    parts = x.lineitem.groupBy("l_partkey", "l_linenumber").agg(F.max(m).alias("m"))
-    best = d.best_part(parts, "l_partkey", "m", "l_linenumber")
-    base = F.when(F.contains(F.lower("p_brand"), F.lit("1")), 2).otherwise(0)
-    s = x.part.join(best, F.col("p_partkey") == F.col("l_partkey")).withColumn("score", F.round(base + (F.col("p_size") % 3 + 1.5 * F.col("m")) / 2.0, 6))
-    top = s.orderBy(F.desc("score"), "p_name", "p_partkey").limit(100)
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "p_name", "p_partkey")).cast("long")
-    return top.select(F.col("p_partkey").alias("video_id"), F.col("l_linenumber").cast("long").alias("chapter"), "score", rank.alias("rank"))
+    """Videos by tokens of title, kind and chapters with their best chapter; a hundred at most (the search's own limit)."""
+    about = F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    v = x.part.select(F.col("p_partkey").alias("video_id"), F.col("p_name").alias("title"), about.alias("about"))
+    text = F.concat(F.when(F.col("l_returnflag") == "R", "cold storage ").otherwise("notes "), F.when(F.col("l_linestatus") == "F", "of the widget").otherwise("on steel"))
+    c = x.lineitem.groupBy(F.col("l_partkey").alias("video_id"), F.col("l_linenumber").alias("ordinal")).agg(F.max(text).alias("about"))
+    return d.search_videos(v, c, F.lit("cold widget"), 100)
 
 
 @query("DV5 C34 PF16", """
-WITH c AS (SELECT l_orderkey AS video, l_linenumber AS ordinal, l_quantity AS s, l_quantity + l_discount * 100 AS e, l_partkey AS k FROM lineitem),
-p AS (SELECT *, lag(e) OVER (PARTITION BY video ORDER BY ordinal, s, e, k) AS prior FROM c)
-SELECT video, ordinal, s, CASE WHEN e <= s THEN 'empty' WHEN prior > s THEN 'overlap' ELSE 'ok' END AS verdict FROM p WHERE e <= s OR prior > s""")
-def video_chapter_violations(x):
-    c = x.lineitem.select(F.col("l_orderkey").alias("video"), F.col("l_linenumber").alias("ordinal"), F.col("l_quantity").alias("s"), (F.col("l_quantity") + F.col("l_discount") * 100).alias("e"), F.col("l_partkey").alias("k"))
-    p = c.withColumn("prior", F.lag("e").over(Window.partitionBy("video").orderBy("ordinal", "s", "e", "k")))
-    v = F.when(F.col("e") <= F.col("s"), "empty").when(F.col("prior") > F.col("s"), "overlap")
-    return p.withColumn("verdict", v).filter("verdict is not null").select("video", "ordinal", "s", "verdict")
+WITH v AS (SELECT p_partkey AS video, p_partkey // 3 * 7 % 101 AS ext, p_name || p_size AS fp, 40 + p_size AS duration FROM part WHERE p_size > 10), k AS (SELECT p_partkey // 3 * 7 % 101 AS ext, p_name || p_size AS fp FROM part WHERE p_size <= 3),
+c AS (SELECT l_partkey AS video, l_linenumber AS ordinal, min(l_quantity) AS s, min(l_quantity) + min(l_discount) * 100 AS e FROM lineitem GROUP BY ALL), p AS (SELECT c.*, duration, lag(e) OVER (PARTITION BY video ORDER BY ordinal) AS prior FROM c JOIN v USING (video))
+SELECT video AS video_id, 'repeated external_id' AS issue FROM v WHERE ext IN (SELECT ext FROM v GROUP BY ext HAVING count(*) > 1) UNION SELECT video, 'known external_id' FROM v WHERE ext IN (SELECT ext FROM k)
+UNION SELECT video, 'repeated fingerprint' FROM v WHERE fp IN (SELECT fp FROM v GROUP BY fp HAVING count(*) > 1) UNION SELECT video, 'known fingerprint' FROM v WHERE fp IN (SELECT fp FROM k)
+UNION SELECT video, 'empty chapter' FROM p WHERE e <= s UNION SELECT video, 'chapter order' FROM p WHERE prior > s UNION SELECT video, 'chapter bounds' FROM p WHERE e > duration OR s < 0""")
+def video_import_issues(x):
+    """What keeps videos from an import: identities that are taken, chapters out of order or out of bounds."""
+    own = x.part.select(F.col("p_partkey").alias("video_id"), (F.floor(F.col("p_partkey") / 3) * 7 % 101).alias("external_id"), F.concat("p_name", F.col("p_size").cast("string")).alias("fingerprint"), (40 + F.col("p_size")).alias("duration"), "p_size")
+    c = x.lineitem.groupBy(F.col("l_partkey").alias("video_id"), F.col("l_linenumber").alias("ordinal")).agg(F.min("l_quantity").alias("start"), (F.min("l_quantity") + F.min("l_discount") * 100).alias("end"))
+    return d.import_issues(own.filter("p_size > 10"), c, own.filter("p_size <= 3"))
 
 
 @query("PF13 F34", """
@@ -89,10 +94,23 @@ def masked_locators(x):
     return s.select("s_suppkey", F.when(ok, F.concat(F.lit("https://media.example/"), F.col("s_suppkey").cast("string"))).otherwise("").alias("uri"), F.concat("s_name", F.lit(" ("), "n_name", F.lit(")"), F.when(ok, "").otherwise(" [locked]")).alias("line"))
 
 
-@query("DV6 A12", f"WITH {_ROLES}, k AS (SELECT person, title, row_number() OVER (PARTITION BY person ORDER BY f DESC, role_id) AS rn, count(*) OVER (PARTITION BY person) AS n FROM roles) SELECT person, string_agg(title, '; ' ORDER BY rn) AS answer, max(n) > 8 AS truncated FROM k WHERE rn <= 8 GROUP BY person")
+@query("DV6 A12 F34", f"""WITH {_ROLES}, c AS (SELECT title, c_nationkey AS org FROM roles JOIN customer ON person = c_custkey GROUP BY ALL HAVING count(DISTINCT person) > 1),
+q AS (SELECT person, role_id, title, f, EXISTS (SELECT 1 FROM c WHERE c.title = roles.title AND c.org = c_nationkey) AS competing FROM roles JOIN customer ON person = c_custkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY f DESC, role_id) AS rn, count(*) OVER (PARTITION BY person) AS n FROM q)
+SELECT person, string_agg(title || ' since ' || f || CASE WHEN competing THEN ' (held by several)' ELSE '' END, chr(10) ORDER BY rn) AS answer, max(n) > 8 AS truncated FROM r WHERE rn <= 8 GROUP BY person""")
 def role_answers(x):
-    """The eight latest roles of each person as one line (the answer's own limit)."""
-    w = Window.partitionBy("person")
-    k = _roles(x).withColumn("rn", F.row_number().over(w.orderBy(F.desc("f"), "role_id"))).withColumn("n", F.count("*").over(w)).filter("rn <= 8")
-    g = k.groupBy("person").agg(F.sort_array(F.collect_list(F.struct("rn", "title"))).alias("t"), F.max("n").alias("n"))
-    return g.select("person", F.array_join("t.title", "; ").alias("answer"), (F.col("n") > 8).alias("truncated"))
+    """The eight latest roles of each person as lines, with a note where others hold the same one (the answer's own limit)."""
+    r = _roles(x).join(x.customer.select(F.col("c_custkey").alias("person"), F.col("c_nationkey").alias("organization")), "person")
+    many = d.competing(r, "title", "organization", "person").select("title", "organization", F.lit(True).alias("many"))
+    r = r.join(many, ["title", "organization"], "left")
+    line = F.concat("title", F.lit(" since "), "f", F.when(F.col("many"), " (held by several)").otherwise(""))
+    return d.answer_lines(r, "person", [F.desc("f"), "role_id"], line, 8)
+
+
+@query("DV6 F34", f"""WITH {_VIDEOS}, n AS (SELECT l_suppkey AS speaker, p_partkey AS video, title FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l JOIN v ON video = l_partkey JOIN part ON p_partkey = video),
+r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY lower(title), video) AS rn, count(*) OVER (PARTITION BY speaker) AS n FROM n)
+SELECT speaker, string_agg(title || ' [' || video || ']', chr(10) ORDER BY rn) AS answer, max(n) > 5 AS truncated FROM r WHERE rn <= 5 GROUP BY speaker""")
+def video_answers(x):
+    """Five videos of each speaker as lines (the answer's own limit)."""
+    v = x.lineitem.select(F.col("l_suppkey").alias("speaker"), F.col("l_partkey").alias("p_partkey")).distinct().join(x.part.select("p_partkey", "p_name"), "p_partkey")
+    return d.answer_lines(v, "speaker", [F.lower("p_name"), "p_partkey"], F.concat("p_name", F.lit(" ["), F.col("p_partkey").cast("string"), F.lit("]")), 5)

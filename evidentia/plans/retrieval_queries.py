@@ -223,18 +223,6 @@ def signature_scores(x):
     return m.join(f, "t").join(sig.agg(F.count("*").alias("s"))).groupBy("doc_id").agg(F.round(F.sum(part) / F.sqrt(1 + F.max("n") / 80.0), 6).alias("score"))
 
 
-@query("W10 W11 W12", r"""
-WITH c AS (SELECT doc_id, lang = 'en' AS prior, len(regexp_extract_all(text, '[0-9]+')) AS spec FROM documents),
-k AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN prior THEN 0 ELSE 1 END, spec DESC, doc_id) AS rn FROM c)
-SELECT doc_id, rn, prior, CAST(spec AS BIGINT) AS spec FROM k WHERE rn <= 200""")
-def candidate_admission(x):
-    """The reading queue: prior documents, then by specificity, then corpus order; capacity 200 (the operator's own)."""
-    c = x.documents.select("doc_id", (F.col("lang") == "en").alias("prior"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).cast("long").alias("spec"))
-    top = c.orderBy(F.when(F.col("prior"), 0).otherwise(1), F.desc("spec"), "doc_id").limit(200)
-    w = Window.orderBy(F.when(F.col("prior"), 0).otherwise(1), F.desc("spec"), "doc_id")
-    return top.select("doc_id", F.row_number().over(w).cast("long").alias("rn"), "prior", "spec")
-
-
 @query("W20", """
 WITH p AS (SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber AS packet FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY packet) AS turn FROM p)
 SELECT doc, packet, turn FROM n WHERE turn <= 25""")

@@ -27,19 +27,6 @@ def pack_closed(x):
     return q.by_group(rows, "l_orderkey", step, "l_orderkey long, packet long, nodes long, cost long, issues long")
 
 
-@query("M9")
-def budget_ledger(x):
-    """Calls of each user, in order of their events, against a budget with reserves."""
-    e = x.events.select("user_id", "event_id", "event_type", F.floor("value").alias("requested"))
-
-    def step(user, rows):
-        calls = [{"event_id": r["event_id"], "kind": r["event_type"], "requested": max(1, r["requested"]), "measured": None if r["event_id"] % 3 else r["requested"], "failed": r["event_id"] % 7 == 0} for r in rows]
-        out = q.budget_ledger(sorted(calls, key=lambda c: c["event_id"]), 1000, 10**6, {"view": 500})
-        return [(user, c["event_id"], c["admitted"], c["charged"], c["total"]) for c in out]
-
-    return q.by_group(e, "user_id", step, "user_id long, event_id long, admitted boolean, charged long, total long")
-
-
 @query("F25 G12")
 def block_splits(x):
     """Documents in pieces of at most 384 estimated tokens."""
