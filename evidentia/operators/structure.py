@@ -40,15 +40,67 @@ def islands(rows: DataFrame, by: str, order: str, inside: Column) -> DataFrame:
     return numbered.withColumn("island", F.col("_n") - F.row_number().over(w)).drop("_n")
 
 
-def table_groups(lines: DataFrame, apart: str = r" \| ", least_rows: int = 3) -> DataFrame:
-    """Runs of lines of two cells or more that make a table: `least_rows` rows, widths within one, a digit or letter row.
+def table_groups(lines: DataFrame, apart: str = r"\s{2,}", least_rows: int = 3) -> DataFrame:
+    """The lines of layout tables: runs of lines with two cells or more, `least_rows` of them, widths within one of each
+    other, and a digit in a row after the first.
 
-    `lines` has doc_id, ordinal and block_text; returns doc_id, first_ordinal, n_rows, least_cells and most_cells.
+    `lines` has doc_id, ordinal (without gaps) and block_text; returns doc_id, table (its first ordinal), ordinal and cells.
     """
-    cells = lines.withColumn("cells", F.size(F.split("block_text", apart)).cast("long"))
-    runs = islands(cells, "doc_id", "ordinal", F.col("cells") >= 2)
-    g = runs.groupBy("doc_id", "island").agg(F.min("ordinal").alias("first_ordinal"), F.count("*").alias("n_rows"), F.min("cells").alias("least_cells"), F.max("cells").alias("most_cells"))
-    return g.filter((F.col("n_rows") >= least_rows) & (F.col("most_cells") - F.col("least_cells") <= 1)).drop("island")
+    cells = F.filter(F.transform(F.split(F.trim("block_text"), apart), lambda c: F.trim(c)), lambda c: c != "")
+    runs = islands(lines.withColumn("cells", cells), "doc_id", "ordinal", F.size("cells") >= 2)
+    w = Window.partitionBy("doc_id", "island")
+    runs = runs.withColumn("table", F.min("ordinal").over(w))
+    digit = F.exists("cells", lambda c: c.rlike("[0-9]")) & (F.col("ordinal") > F.col("table"))
+    n = F.size("cells")
+    kept = runs.withColumns({"_n": F.count("*").over(w), "_low": F.min(n).over(w), "_high": F.max(n).over(w), "_digit": F.bool_or(digit).over(w)})
+    return kept.filter((F.col("_n") >= least_rows) & (F.col("_high") - F.col("_low") <= 1) & F.col("_digit")).select("doc_id", "table", "ordinal", "cells")
+
+
+def table_row_blocks(rows: DataFrame) -> DataFrame:
+    """`rows` of tables (doc_id, table, ordinal, cells) as blocks: the header, then each row with its positional headers."""
+    w = Window.partitionBy("doc_id", "table").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.first("cells").over(w)
+    named = F.zip_with("head", "cells", lambda h, c: F.when(c.isNotNull(), F.concat(F.coalesce(h, F.lit("(no header)")), F.lit(": "), c)))
+    text = F.array_join(F.filter(named, lambda v: v.isNotNull()), "; ")
+    own = rows.withColumn("head", head)
+    first = F.col("ordinal") == F.col("table")
+    return own.select("doc_id", "table", "ordinal", F.when(first, "table_header").otherwise("table_row").alias("kind"), F.when(first, F.array_join("cells", " | ")).otherwise(text).alias("block_text"))
+
+
+def spatial_text(boxes: DataFrame) -> DataFrame:
+    """(page, text) of recognised regions (page, x0, y0, x1, y1, text): rows from the top, each from the left.
+
+    Regions come by their top; one joins the row before it if its centre is within half the lower of the two heights from
+    the centre of the region that opened the row. The regions of a page are one array.
+    """
+    packed = boxes.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "y1", "x1", "text"))).alias("r"))
+    kind = "array<struct<mid:double,tall:double,x:double,row:int,text:string>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("double").alias("mid"), F.lit(None).cast("double").alias("tall"), F.lit(-1).alias("row"))
+
+    def step(acc: Column, r: Column) -> Column:
+        mid, tall = ((r["y0"] + r["y1"]) / 2).cast("double"), (r["y1"] - r["y0"]).cast("double")
+        same = F.coalesce(F.abs(mid - acc["mid"]) <= 0.5 * F.least(tall, acc["tall"]), F.lit(False))
+        row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
+        own = F.struct(mid.alias("mid"), tall.alias("tall"), r["x0"].cast("double").alias("x"), row.alias("row"), r["text"].alias("text"))
+        return F.struct(F.concat(acc["done"], F.array(own)).alias("done"), F.when(same, acc["mid"]).otherwise(mid).alias("mid"), F.when(same, acc["tall"]).otherwise(tall).alias("tall"), row.alias("row"))
+
+    placed = packed.select("page", F.posexplode(F.aggregate("r", start, step, lambda a: a["done"])).alias("n", "v")).select("page", "n", "v.*")
+    line = placed.groupBy("page", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "n", "text"))), lambda v: v["text"]), "    ").alias("line"))
+    return line.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda v: v["line"]), "\n").alias("text"))
+
+
+def render_dimensions(width: Column, height: Column, dpi: int = 200, most_side: int = 4000, most_pixels: int = 8_000_000) -> Column:
+    """struct<width, height>: pixels of a page (in points) under three limits; a scale whose rounding exceeds them shrinks by a thousandth, and again."""
+    scale = F.least(F.lit(dpi / 72), most_side / width, most_side / height, F.sqrt(most_pixels / (width * height)))
+    size = lambda s: (F.ceil(width * s), F.ceil(height * s))
+    steps = F.sequence(F.lit(0), F.lit(12))
+
+    def fits(s: Column) -> Column:
+        w, h = size(s)
+        return (w * h <= most_pixels) & (F.greatest(w, h) <= most_side)
+
+    found = F.filter(F.transform(steps, lambda k: scale * F.pow(F.lit(0.999), k)), fits)[0]
+    return F.struct(size(found)[0].cast("long").alias("width"), size(found)[1].cast("long").alias("height"))
 
 
 def section_rollup(sections: DataFrame) -> DataFrame:

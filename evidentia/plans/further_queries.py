@@ -157,8 +157,11 @@ def quote_places(x):
     return drafts.parsed(wide, "doc_id", ["text", "quote"], lambda d, t, v: [(d, *(drafts.find_quote(t, v) or (None, None)))], "doc_id long, start long, end long")
 
 
-@query("SK5 D26 PF15 K9 PF12")
+@query("SK5 D26 PF15 K9 PF12", """
+SELECT CAST(conv_id AS VARCHAR) AS run, 'ms=' || turn * 10 || ' n=' || length(text) AS metrics, CASE WHEN regexp_matches(text, '[0-9]') THEN regexp_replace(substr(text, 1, 200), '[0-9]', '#', 'g') ELSE substr(text, 1, 200) END AS answer FROM conversations WHERE text IS NOT NULL""")
 def trace_rows(x):
-    """Traces of conversations in the mode that keeps answers and leaves evidence out."""
-    t = x.conversations.select(F.col("conv_id").cast("string").alias("run"), F.lit("1").alias("metrics"), F.col("text").alias("answer"), F.col("role").alias("evidence"))
-    return generations.traced(t, "answer")
+    """Traces in the mode that keeps answers, cut and with their digits masked, and leaves evidence and what is nested in it out."""
+    nested = F.struct(F.col("role").alias("role"), F.col("text").alias("private"))
+    metrics = F.concat(F.lit("ms="), (F.col("turn") * 10).cast("string"), F.lit(" n="), F.char_length("text").cast("string"))
+    t = x.conversations.filter("text is not null").select(F.col("conv_id").cast("string").alias("run"), metrics.alias("metrics"), F.col("text").alias("answer"), nested.alias("evidence"))
+    return generations.traced(t, "answer", 200).withColumn("answer", F.regexp_replace("answer", "[0-9]", "#"))

@@ -37,7 +37,12 @@ def block_splits(x):
     return docs.parsed(x.documents, "doc_id", "text", pieces).select("doc_id", "ordinal", F.char_length("block_text").cast("long").alias("chars"), F.sha2(F.col("block_text").cast("binary"), 256).alias("sha"))
 
 
-@query("F26 D9")
+@query("F26 D9", r"""
+WITH t AS (SELECT doc_id, text, length(text) - length(regexp_replace(text, '^[ \t\n\r\f\x0B]+', '')) AS lead, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+[ \t\n\r\f\x0B]*') AS w FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS n FROM t), p AS (SELECT u.doc_id, n, lead + coalesce(sum(length(u.w)) OVER (PARTITION BY u.doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM u JOIN t USING (doc_id)),
+k AS (SELECT doc_id, text, len(w) AS len, unnest(generate_series(0, greatest(0, CAST(ceil((len(w) - 160) / 128.0) AS BIGINT)))) AS ordinal FROM t WHERE len(w) > 0),
+s AS (SELECT k.doc_id, ordinal, text, CAST(CASE WHEN ordinal = 0 THEN 0 ELSE a.place END AS BIGINT) AS start, CAST(CASE WHEN ordinal * 128 + 160 >= len THEN length(text) ELSE b.place END AS BIGINT) AS "end" FROM k LEFT JOIN p a ON a.doc_id = k.doc_id AND a.n = ordinal * 128 LEFT JOIN p b ON b.doc_id = k.doc_id AND b.n = ordinal * 128 + 160)
+SELECT doc_id, ordinal, start, "end", sha256(substr(text, start + 1, "end" - start)) AS sha FROM s""")
 def passage_spans(x):
     """Exact slices of 160 white-space tokens, 32 shared: offsets in code points."""
 
@@ -53,6 +58,36 @@ def html_blocks(x):
     return docs.parsed(x.pages, "page_id", "html", docs.html_blocks)
 
 
+@query("SC1 SC2 SC3 SC4", r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents), p AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\n[ \t\f\x0B\n]*\n')) AS p FROM t),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(p, chr(160), ' '), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS p FROM p)
+SELECT doc_id, count(*) AS blocks, CAST(sum(length(p)) AS BIGINT) AS chars, CASE doc_id % 4 WHEN 1 THEN 'decoded as utf-16' WHEN 2 THEN 'decoded as utf-32' ELSE '' END AS note FROM c WHERE p <> '' GROUP BY doc_id""")
+def extracted_files(x):
+    """Documents written as files in four encodings, found by suffix, decoded, and parsed into paragraphs."""
+    folder = f"{shared_dir(x.spark)}/files-{uuid.uuid4().hex}"
+
+    def write(batches):
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if re.match(r"[a-z0-9]+:", folder) else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            system.create_dir(base, recursive=True)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codec = ("utf-8", "utf-16", "utf-32", "utf-8-sig")[doc % 4]
+                with system.open_output_stream(f"{base}/{doc}.txt", compression=None) as out:
+                    out.write((text or "").encode(codec))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["doc_id"])
+
+    x.documents.select("doc_id", "text").mapInArrow(write, "doc_id long").agg(F.count("*")).collect()
+    files = docs.decoded(docs.collect_files(x.spark, folder))
+    b = docs.extracted(files).join(files.select(F.col("path").alias("doc_id"), "note"), "doc_id")
+    name = F.regexp_extract("doc_id", r"([0-9]+)\.txt$", 1).cast("long")
+    return b.groupBy(name.alias("doc_id")).agg(F.count("*").alias("blocks"), F.sum(F.char_length("block_text").cast("long")).alias("chars"), F.first("note").alias("note"))
+
+
 @query("SC5 SC2")
 def markdown_blocks(x):
     return docs.parsed(x.documents, "doc_id", "text", docs.markdown_blocks)

@@ -45,25 +45,82 @@ def html_visible_text(x):
     return x.pages.select("page_id", t.alias("t")).select("page_id", F.char_length("t").cast("long").alias("chars"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
 
 
-@query("SC12 SC13 R3", f"""WITH {_BLOCKS}, c AS (SELECT *, len(string_split(block_text, ' | ')) AS cells, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM b),
-i AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS island FROM c WHERE cells >= 2),
-g AS (SELECT doc_id, island, min(ordinal) AS first_ordinal, count(*) AS n_rows, min(cells) AS least_cells, max(cells) AS most_cells FROM i GROUP BY ALL)
-SELECT doc_id, first_ordinal, n_rows, least_cells, most_cells FROM g WHERE n_rows >= 2 AND most_cells - least_cells <= 30""")
-def layout_table_groups(x):
-    """Runs of two or more cell lines; widths may differ by 30, as the fixture's rows are ragged."""
-    cells = s.line_blocks(x.documents).withColumn("cells", F.size(F.split("block_text", r" \| ")).cast("long"))
-    runs = s.islands(cells, "doc_id", "ordinal", F.col("cells") >= 2)
-    g = runs.groupBy("doc_id", "island").agg(F.min("ordinal").cast("long").alias("first_ordinal"), F.count("*").alias("n_rows"), F.min("cells").alias("least_cells"), F.max("cells").alias("most_cells"))
-    return g.filter("n_rows >= 2 and most_cells - least_cells <= 30").drop("island")
+#: Lines of a page in SQL: three or four cells of an order line apart by blanks, some plain.
+_LAYOUT = """
+b AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS ordinal, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+c AS (SELECT doc_id, ordinal, CASE WHEN p % 9 = 0 THEN ['plain words only'] WHEN p % 4 = 0 THEN ['item ' || chr(CAST(97 + p % 26 AS INT)), CASE WHEN q > 25 THEN CAST(q AS VARCHAR) ELSE 'none' END, 'x'] WHEN p % 31 = 0 THEN ['a', 'b', 'c', 'd', 'e'] ELSE ['item ' || chr(CAST(97 + p % 26 AS INT)), CASE WHEN q > 25 THEN CAST(q AS VARCHAR) ELSE 'none' END] END AS cells FROM b),
+i AS (SELECT *, ordinal - row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS island FROM c WHERE len(cells) >= 2),
+f AS (SELECT *, min(ordinal) OVER (PARTITION BY doc_id, island) AS tab FROM i),
+g AS (SELECT doc_id, island FROM f GROUP BY ALL HAVING count(*) >= 3 AND max(len(cells)) - min(len(cells)) <= 1 AND bool_or(ordinal > tab AND len(list_filter(cells, lambda v: regexp_matches(v, '[0-9]'))) > 0))"""
+
 
+def _layout(x):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    p, q = F.col("l_partkey"), F.col("l_quantity").cast("long")
+    item, value = F.concat(F.lit("item "), F.char((97 + p % 26).cast("int"))), F.when(q > 25, q.cast("string")).otherwise("none")
+    text = F.when(p % 9 == 0, "plain words only").when(p % 4 == 0, F.concat_ws("   ", item, value, F.lit("x"))).when(p % 31 == 0, "a  b  c  d  e").otherwise(F.concat_ws("   ", item, value))
+    return x.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).cast("long").alias("ordinal"), text.alias("block_text"))
 
-@query("F30", f"""WITH {_BLOCKS}, c AS (SELECT *, length(block_text) <= 60 AS heading, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM b),
-i AS (SELECT doc_id, ordinal, n - row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS island FROM c WHERE heading)
-SELECT doc_id, min(ordinal) AS first_ordinal, count(*) AS run FROM i GROUP BY doc_id, island HAVING count(*) >= 3""")
-def heading_runs(x):
-    """Runs of three or more short lines: catalogues and tables of contents, not headings."""
-    runs = s.islands(s.line_blocks(x.documents), "doc_id", "ordinal", F.char_length("block_text") <= 60)
-    return runs.groupBy("doc_id", "island").agg(F.min("ordinal").cast("long").alias("first_ordinal"), F.count("*").alias("run")).filter("run >= 3").drop("island")
+
+@query("SC12", f"WITH {_LAYOUT} SELECT doc_id, tab AS first_ordinal, count(*) AS n_rows, min(len(cells)) AS least_cells, max(len(cells)) AS most_cells FROM f JOIN g USING (doc_id, island) GROUP BY ALL")
+def layout_table_groups(x):
+    """Runs of three or more cell lines of like width with a digit below the first."""
+    t = s.table_groups(_layout(x))
+    return t.groupBy("doc_id", F.col("table").alias("first_ordinal")).agg(F.count("*").alias("n_rows"), F.min(F.size("cells")).cast("long").alias("least_cells"), F.max(F.size("cells")).cast("long").alias("most_cells"))
+
+
+@query("SC13 R3", f"""WITH {_LAYOUT}, r AS (SELECT f.*, first_value(cells) OVER (PARTITION BY f.doc_id, tab ORDER BY ordinal) AS head FROM f JOIN g USING (doc_id, island))
+SELECT doc_id, ordinal, CASE WHEN ordinal = tab THEN 'table_header' ELSE 'table_row' END AS kind, CASE WHEN ordinal = tab THEN array_to_string(cells, ' | ') ELSE array_to_string(list_transform(generate_series(1, len(cells)), lambda k: coalesce(head[k], '(no header)') || ': ' || cells[k]), '; ') END AS block_text FROM r""")
+def table_rows(x):
+    """Rows of layout tables as blocks that name each cell by the header of its place."""
+    return s.table_row_blocks(s.table_groups(_layout(x))).select("doc_id", "ordinal", "kind", "block_text")
+
+
+@query("SC16", """
+WITH RECURSIVE b AS (SELECT l_orderkey AS page, CAST(l_extendedprice AS DOUBLE) AS x0, CAST(l_quantity * 4 AS DOUBLE) AS y0, CAST(l_quantity * 4 + 6 + l_partkey % 7 AS DOUBLE) AS y1, 'w' || l_partkey || '.' || l_suppkey AS t FROM lineitem),
+o AS (SELECT *, (y0 + y1) / 2 AS mid, y1 - y0 AS tall, row_number() OVER (PARTITION BY page ORDER BY y0, x0, y1, t) AS n FROM b),
+w(page, n, row, hm, ht, x0, t) AS (SELECT page, n, 0, mid, tall, x0, t FROM o WHERE n = 1 UNION ALL
+  SELECT o.page, o.n, CASE WHEN abs(o.mid - hm) <= 0.5 * least(o.tall, ht) THEN row ELSE row + 1 END, CASE WHEN abs(o.mid - hm) <= 0.5 * least(o.tall, ht) THEN hm ELSE o.mid END, CASE WHEN abs(o.mid - hm) <= 0.5 * least(o.tall, ht) THEN ht ELSE o.tall END, o.x0, o.t FROM w JOIN o ON o.page = w.page AND o.n = w.n + 1),
+l AS (SELECT page, row, string_agg(t, '    ' ORDER BY x0, n) AS line FROM w GROUP BY ALL)
+SELECT page, string_agg(line, chr(10) ORDER BY row) AS text FROM l GROUP BY page""")
+def spatial_text(x):
+    """Recognised regions of a page as lines, from the top and from the left."""
+    q, p = F.col("l_quantity"), F.col("l_partkey")
+    boxes = x.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_extendedprice").cast("double").alias("x0"), (q * 4).cast("double").alias("y0"), (q * 4 + 6 + p % 7).cast("double").alias("y1"), F.col("l_extendedprice").cast("double").alias("x1"), F.concat(F.lit("w"), p.cast("string"), F.lit("."), F.col("l_suppkey").cast("string")).alias("text"))
+    return s.spatial_text(boxes)
+
+
+@query("SC17", """
+WITH p AS (SELECT p_partkey, 100e0 + p_size * 97 AS w, 50e0 + p_partkey % 40 * 83 AS h FROM part), c AS (SELECT *, least(200 / 72e0, 4000 / w, 4000 / h, sqrt(8000000 / (w * h))) AS scale FROM p),
+k AS (SELECT *, unnest(generate_series(0, 12)) AS k FROM c), f AS (SELECT p_partkey, k, CAST(ceil(w * (scale * pow(0.999e0, k))) AS BIGINT) AS width, CAST(ceil(h * (scale * pow(0.999e0, k))) AS BIGINT) AS height FROM k)
+SELECT p_partkey, arg_min(width, k) AS width, arg_min(height, k) AS height FROM f WHERE width * height <= 8000000 AND greatest(width, height) <= 4000 GROUP BY p_partkey""")
+def render_dimensions(x):
+    """Pixels of each page: the least of four bounds, shrunk until rounding keeps to them."""
+    d = s.render_dimensions(100.0 + F.col("p_size") * 97, 50.0 + F.col("p_partkey") % 40 * 83)
+    return x.part.select("p_partkey", d.alias("d")).select("p_partkey", "d.width", "d.height")
+
+
+@query("SC6 SC8 SC5", """
+WITH b AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg, c_nationkey AS n FROM customer),
+e AS (SELECT k, 'html' AS form, unnest(['section_header:' || name, 'prose:about ' || seg || chr(10) || 'and more', 'definition:' || seg || '; alias: the segment', 'orphan_term:lost ' || n, 'table_header:Key | Nation', 'table_row:' || k || ' | ' || n, 'list_item:one ' || n, 'preformatted:a  b' || chr(10) || ' c']) AS block,
+  generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8], 1) - 1 AS ordinal FROM b
+UNION ALL SELECT k, 'md', unnest(['section_header:' || name, 'prose:about ' || seg || ' and more', 'section_header:Part ' || n, 'table_header:Key | Nation', 'table_row:' || k || ' | ' || n, 'list_item:- one', 'list_item:- two ' || n, 'prose:end']), generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8], 1) - 1 FROM b)
+SELECT k, form, ordinal, block FROM e""")
+def parsed_structures(x):
+    """Pages and Markdown texts written from customers, parsed into blocks: headings, prose, definitions, tables, lists."""
+    from ..sources import documents as d
+
+    k, n, name, seg = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")
+    html = F.concat(
+        F.lit("<html><head><style>p{}</style></head><body><h1>"), name, F.lit("</h1><script>var a='<p>';</script><p>about  "), seg, F.lit("<br>and more</p><dl><dt>"), seg, F.lit("</dt><dt>alias</dt><dd>the segment</dd><dt>lost "), n,
+        F.lit("</dt></dl><table><tr><th>Key</th><th>Nation</th></tr><tr><td>"), k, F.lit("</td><td>"), n, F.lit("</td></tr><tr><td></td></tr></table><ul><li>one "), n, F.lit("</li></ul><pre>a  b\n c</pre></body></html>"),
+    )
+    md = F.concat(name, F.lit("\n=====\n\nabout "), seg, F.lit(" and more\n\n## Part "), n, F.lit(" ##\n| Key | Nation |\n|:--|--:|\n| "), k, F.lit(" | "), n, F.lit(" |\n\n- one\n- two "), n, F.lit("\n\nend\n"))
+    out = None
+    for form, text, parser in (("html", html, d.html_blocks), ("md", md, d.markdown_blocks)):
+        found = d.parsed(x.customer.select("c_custkey", text.alias("t")), "c_custkey", "t", parser).select(F.col("doc_id").alias("k"), F.lit(form).alias("form"), "ordinal", F.concat("kind", F.lit(":"), "block_text").alias("block"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("A14 G6 D4", """
@@ -99,7 +156,7 @@ def subtree_blocks(x):
     return b.join(q, (F.col("doc_id") == F.col("item_id")) & F.col("ordinal").between(F.col("lo"), F.col("hi"))).select("item_id", "doc_id", "ordinal")
 
 
-@query("SC15 SC17", """
+@query("SC15", """
 SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS line, round(min(l_extendedprice) * 0.75, 4) AS x0, round(min(l_quantity) * 0.75, 4) AS y0,
   round(max(l_extendedprice + l_quantity) * 0.75, 4) AS x1, round(max(l_quantity + 10) * 0.75, 4) AS y1, count(*) AS n_words FROM lineitem GROUP BY ALL""")
 def ocr_regions(x):

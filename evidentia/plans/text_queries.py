@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions import text as t
 from .registry import query
 
@@ -44,15 +45,37 @@ def search_token_lists(x):
     return x.documents.select("doc_id", F.array_join(t.search_tokens(F.col("text")), " ").alias("search_tokens"), F.size(F.array_distinct(parts)).cast("long").alias("n_distinct"))
 
 
-@query("F4 F5 F6 F7 F8", r"""
+@query("F7 F8", r"""
 SELECT doc_id,
-  sha256(lower(trim(regexp_replace(translate(text, '‘’“”‐‑‒–—−', '''''""------'), '[ \t\n\r\f\x0B]+', ' ', 'g')))) AS surface_sha,
   sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS source_sha,
   sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS pre_sha FROM documents""")
 def normal_forms(x):
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    c = F.col("text")
-    return x.documents.select("doc_id", sha(t.surface(c)).alias("surface_sha"), sha(t.source_text(c)).alias("source_sha"), sha(t.preformatted(c)).alias("pre_sha"))
+    return x.documents.select("doc_id", sha(t.source_text(F.col("text"))).alias("source_sha"), sha(t.preformatted(F.col("text"))).alias("pre_sha"))
+
+
+@query("F4 F5 F6", r"""
+WITH n AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, sha256(replace(lower(replace(translate(t, '‐‑', '--'), '’', chr(39))), 'ß', 'ss')) AS corpus_sha, sha256(replace(t, '’', chr(39))) AS identity_sha, sha256(replace(lower(t), 'ß', 'ss')) AS folded_sha FROM n""")
+def surface_forms(x):
+    """The three forms by which surfaces are compared, under compatibility normalization and full case folding."""
+    forms = F.array(*[spans.applied(f, "string", F.col("text")) for f in (spans.corpus_surface, spans.identity_surface, spans.folded_surface)])
+    d = x.documents.filter("text is not null").select("doc_id", F.transform(forms, lambda v: F.sha2(v.cast("binary"), 256)).alias("s"))
+    return d.select("doc_id", *[F.col("s")[k].alias(n) for k, n in enumerate(("corpus_sha", "identity_sha", "folded_sha"))])
+
+
+@query("F9")
+def literal_surfaces(x):
+    """What ten recognisers find in every document, each normal form once for its kind."""
+    found = spans.applied(lambda v: [list(p) for p in spans.literal_surfaces(v)], "array<array<string>>", F.col("text"))
+    return x.documents.select("doc_id", F.explode(found).alias("p")).select("doc_id", F.col("p")[0].alias("kind"), F.col("p")[1].alias("surface"))
+
+
+@query("F10 F11")
+def question_anchors(x):
+    """What each question names literally, the first 32."""
+    found = spans.applied(spans.question_surfaces, "array<string>", F.col("text"))
+    return x.conversations.filter("role = 'user'").select("conv_id", "turn", F.posexplode(found).alias("position", "anchor"))
 
 
 @query("F9 D7 A37", r"""

@@ -77,6 +77,22 @@ def cells(line: str) -> list[str]:
     return [c.replace(r"\|", "|").strip() for c in re.split(r"(?<!\\)\|", line.strip().removeprefix("|").removesuffix("|"))]
 
 
+def delimiter_row(line: str, width: int) -> bool:
+    """Whether a line parts a table's header of `width` cells from its rows: dashes, with a colon at either end, in every cell."""
+    own = cells(line)
+    return "-" in line and len(own) == width and all(re.fullmatch(":?-+:?", c) for c in own)
+
+
+def list_marker(line: str) -> str | None:
+    """The marker of a list item: a bullet, or at most nine digits and a full stop or bracket, then a blank or the line's end."""
+    head, _, rest = line.expandtabs(4).strip(" ").partition(" ")
+    if len({*head, *rest} - {" "}) == 1 and head[0] in "-*_" and len(head) + len(rest.replace(" ", "")) > 2:
+        return None  # a thematic break
+    bullet = head in ("-", "*", "+")
+    number = len(head) > 1 and head[-1] in ".)" and head[:-1].isascii() and head[:-1].isdecimal() and len(head) <= 10
+    return head if bullet or number else None
+
+
 def table_rows(headers: list[str], rows: list[list[str]]) -> Iterator[tuple[str, str]]:
     """(kind, text) of a table: the header, then rows without the empty ones."""
     yield "table_header", " | ".join(headers)
@@ -89,8 +105,6 @@ def markdown_blocks(text: str) -> Iterator[tuple[str, str, str, str]]:
     """(kind, section_path, locator, text): headings of both styles, pipe tables, lists by item, prose by paragraph."""
     lines = [*text.splitlines(), ""]
     outline, i = Outline(), 0
-    rule = re.compile(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$")
-    item = re.compile(r"^\s*(?:[-*+] |\d+[.)] )")
 
     def role(n: int) -> str:
         line, below = lines[n], lines[n + 1] if n + 1 < len(lines) else ""
@@ -100,7 +114,7 @@ def markdown_blocks(text: str) -> Iterator[tuple[str, str, str, str]]:
             return "underlined"
         if re.match(r"^#{1,6}\s+\S", line):
             return "heading"
-        if "|" in line and rule.match(below):
+        if "|" in line and delimiter_row(below, len(cells(line))):
             return "table"
         return "text"
 
@@ -127,7 +141,7 @@ def markdown_blocks(text: str) -> Iterator[tuple[str, str, str, str]]:
             while role(end) == "text":
                 end += 1
             own = lines[i:end]
-            if all(map(item.match, own)):
+            if all(map(list_marker, own)):
                 for n, x in enumerate(own):
                     yield "list_item", outline.path, f"line {i + n + 1}", _tidy(x)
             else:
@@ -142,49 +156,74 @@ def plain_blocks(text: str) -> Iterator[tuple[str, str, str, str]]:
         yield "prose", "", f"paragraph {n + 1}", p
 
 
+#: Stand-ins for white space inside <pre>, which stays as it is wherever the element stands.
+_KEPT = {" ": "\ue000", "\n": "\ue001", "\t": "\ue002"}
+
+
+def _kept(text: str, back: bool = False) -> str:
+    for a, b in _KEPT.items():
+        text = text.replace(b, a) if back else text.replace(a, b)
+    return text
+
+
 class _Page(HTMLParser):
-    """Events of the visible part of a page: (kind, text), a list of cells for a row, pairs for definitions."""
+    """Events of the visible part of a page: (kind, text), cells joined for a row, terms with their descriptions."""
 
     HIDDEN = {"script", "style", "noscript", "template"}
     OWN = {"p", "li", "pre", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "title"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hidden, self.open, self.found, self.row, self.title, self.terms = 0, [], [], None, "", []
+        self.hidden, self.open, self.found, self.row, self.title, self.terms, self.described, self.kept = 0, [], [], None, "", [], False, 0
+
+    def orphans(self) -> None:
+        """Terms that no description followed."""
+        if self.terms and not self.described:
+            self.found.append(("orphan_term", "; ".join(self.terms)))
+        self.terms, self.described = [], False
 
     def handle_starttag(self, tag, attrs):
         self.hidden += tag in self.HIDDEN
+        self.kept += tag == "pre"
         if tag == "br" and self.open:
             self.open[-1][1].append("\n")
+        elif tag == "dl":
+            self.orphans()
         elif tag == "tr":
-            self.row = []
+            self.row, self.heads = [], 0
         elif tag in ("td", "th") or tag in self.OWN and not (self.open and self.open[-1][0] in ("td", "th", "li", "dd", "pre")):
             self.open.append((tag, []))
 
     def handle_data(self, data):
         if not self.hidden and self.open:
-            self.open[-1][1].append(data)
+            self.open[-1][1].append(_kept(data.replace("\r\n", "\n")) if self.kept else data)
 
     def handle_endtag(self, tag):
         self.hidden -= tag in self.HIDDEN and self.hidden > 0
+        self.kept -= tag == "pre" and self.kept > 0
+        if tag == "dl":
+            self.orphans()
         if tag == "tr" and self.row is not None:
             if any(self.row):
-                self.found.append(("table_row", " | ".join(self.row)))
+                self.found.append(("table_header" if self.heads == len(self.row) else "table_row", " | ".join(self.row)))
             self.row = None
         if not self.open or self.open[-1][0] != tag:
             return
         kind, parts = self.open.pop()
-        text = "".join(parts).replace("\r\n", "\n") if kind == "pre" else _tidy("".join(parts))
+        text = _kept(_tidy("".join(parts)), back=True)
         if kind in ("td", "th"):
             if self.row is not None:
                 self.row.append(text)
+                self.heads += kind == "th"
         elif kind == "title":
             self.title = text
         elif kind == "dt":
+            if self.described:
+                self.orphans()
             self.terms.append(text)
         elif kind == "dd":
-            self.found.append(("definition", f"{'; '.join(self.terms) or '(no term)'}: {text}"))
-            self.terms = []
+            self.found.append(("definition", f"{'; '.join(self.terms)}: {text}") if self.terms else ("orphan_description", text))
+            self.described = bool(self.terms)
         elif text:
             self.found.append((kind, text))
 
@@ -194,6 +233,7 @@ def html_blocks(html: str) -> Iterator[tuple[str, str, str, str]]:
     page, outline = _Page(), Outline()
     page.feed(html)
     page.close()
+    page.orphans()
     if page.title:
         outline.enter(0, page.title)
     for n, (kind, text) in enumerate(page.found):
@@ -204,6 +244,20 @@ def html_blocks(html: str) -> Iterator[tuple[str, str, str, str]]:
             yield {"p": "prose", "li": "list_item", "pre": "preformatted"}.get(kind, kind), outline.path, f"element {n + 1}", text
 
 
+def extracted(files: DataFrame) -> DataFrame:
+    """Blocks of decoded files (path, suffix, sha256, text) by the parser of their suffix: doc_id is the path, sha256 goes along.
+
+    A file whose content changed between two readings has two digests and gives no blocks.
+    """
+    changed = files.groupBy("path").agg(F.countDistinct("sha256").alias("n")).filter("n > 1").select("path")
+    own = files.join(changed, "path", "left_anti")
+    out = None
+    for suffix, parser in PARSERS.items():
+        found = parsed(own.filter(F.col("suffix") == suffix), "path", "text", parser)
+        out = found if out is None else out.unionByName(found)
+    return out.join(own.select(F.col("path").alias("doc_id"), "suffix", "sha256"), "doc_id")
+
+
 PARSERS: dict[str, Callable] = {"md": markdown_blocks, "html": html_blocks, "htm": html_blocks, "txt": plain_blocks}
 
 
