@@ -12,7 +12,7 @@ conversation is parsed once more (`round_trip`).
 
 The rows of a conversation meet in one row, its text; all work on single turns happens before that.
 
-Defined results: null texts and roles are empty; turns go by (turn, role, text), so ties and repeated rows have an
+Defined results: null texts and roles are empty; a text of any length is one body, a conversation one row; turns go by (turn, role, text), so ties and repeated rows have an
 order; a null conv_id is a conversation of its own; an empty table gives an empty result; other columns are not used.
 """
 

@@ -4,7 +4,7 @@ A word is a maximal run of characters other than space and U+0009 to U+000D. `me
 names ratios of them with their bounds; `verdict` compiles the table into one boolean. Nothing shuffles and no
 user function runs.
 
-Defined results: null and empty texts have no words and fail `n_words`; repeated rows are judged alike; an empty
+Defined results: null and empty texts have no words and fail `n_words`; texts of any length are measured whole; repeated rows are judged alike; an empty
 table gives an empty result; other columns pass through, and working columns start with `_q_`, so that names such
 as `n_words` in the input do not clash (the measures replace them in the output).
 """

@@ -10,7 +10,8 @@ Vocabulary files are those of the tokenizers library with an inverted Split, byt
 suffix; no truncation, padding or added tokens. Special strings inside a text become their own token, the library's
 default.
 
-Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows encode alike; an empty
+Defined results: a null or empty text has no ids and decodes to the empty text; a text and a word of any length are
+encoded whole (a long word in n log n steps); a file that asks for other steps is an error; repeated rows encode alike; an empty
 table gives an empty result; input columns pass through, except ids, n_tokens and decoded, which are replaced.
 """
 
@@ -41,6 +42,19 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def _same_form(about: dict, model: dict) -> None:
+    """Raises where a vocabulary file asks for other steps than this module takes."""
+    steps = [x["type"] for x in (about.get("normalizer") or {}).get("normalizers", [])]
+    before = (about.get("pre_tokenizer") or {}).get("pretokenizers", [{}, {}])
+    split, raw = before[0], before[-1]
+    plain = all(model.get(k) in (None, False, "", 0) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    cut = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")
+    bytes_ = raw.get("type") == "ByteLevel" and not raw.get("add_prefix_space") and not raw.get("use_regex", True)
+    marks = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in about["added_tokens"])
+    if steps != ["NFC", "Replace", "Lowercase"] or len(before) != 2 or not (cut and bytes_ and plain and marks) or model["type"] != "BPE" or about.get("decoder"):
+        raise ValueError("the vocabulary file asks for another normalizer, cut, model or decoder than this operator has")
+
+
 class Vocabulary:
     """Ids, merges and cutting rules of a vocabulary file."""
 
@@ -49,6 +63,7 @@ class Vocabulary:
 
         about = json.loads(open(path, encoding="utf-8").read())
         model = about["model"]
+        _same_form(about, model)
         ids: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in about["added_tokens"]}
         self.token = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}

@@ -57,6 +57,36 @@ def test_sql(spark, name):
     assert sorted(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()) == sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
+def awkward(spark, folder):
+    """A folder with awkward documents and a small benchmark; returns the expected ids of what stays before the last stage."""
+    word = lambda d: " ".join(f"the {d}w{k} of" for k in range(30))
+    rows = [
+        (1, word("a"), "x", None), (1, word("a"), "x", None), (2, word("a").upper() + ".", "y", 1), (None, word("a"), "x", 2), (None, word("b"), "x", 3), (None, word("b"), "x", 3), (3, None, "x", 4), (4, "", "x", 5), (5, " \n\t", "x", 6),
+        (6, "too short", "x", 7), (7, word("c") + " alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "x", 8), (8, "\n".join(f"the a{k} b{k} of c{k} d{k} and e{k} f{k}" for k in range(20_000)), "x", 9), (9, word("d"), None, 10),
+    ]
+    docs = spark.createDataFrame([(d, t, a, b, len(t or ""), "p", None) for d, t, a, b in rows], "doc_id long, text string, lang string, source long, n_chars long, fingerprint string, spans string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, None), (None, "no such words here at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_awkward_rows_and_empty_tables(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    awkward(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = docs
+    for _, stage in cp.STAGES[:-1]:
+        out = cp.stored(stage(spark, out, folder), "test")
+        assert out.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 1), (False, 8), (False, 9), (True, 0)]
+    assert sorted(str(r.doc_id) for r in cp.run(spark, folder).collect()) == ["1", "8", "9", "None"]
+    none = docs.filter("false")
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, folder).count() == 0
+    bench = str(tmp_path / "none")
+    spark.read.parquet(f"{folder}/benchmark.parquet").filter("false").write.parquet(f"{bench}/benchmark.parquet")
+    assert cp.STAGES[3][1](spark, docs, bench).count() == docs.count()
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     import shutil
     import subprocess

@@ -105,3 +105,24 @@ def test_similar_documents_of_awkward_rows(spark):
     assert out.columns == docs.columns
     assert sorted((r.fingerprint, r.doc_id) for r in out.collect()) == [(1, 1), (4, None), (5, 5), (8, 8), (10, 10)]
     assert simhash.keep_similar(docs.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_vocabularies_are_refused(name):
+    from evidentia.llm import segment_bpe
+
+    with pytest.raises(ValueError, match="vocabulary file"):
+        segment_bpe.Vocabulary(queries.vocabulary(name))
+
+
+@pytest.mark.parametrize("size", [3_000, 20_000])
+def test_caches_are_bounded(size):
+    from evidentia.llm.common import Memo
+
+    memo = Memo(size)
+    for a in range(0, 3000, 50):
+        keys = [b"k%d" % k for k in range(a, a + 50)] + [b"long" * 100 + b"%d" % a]
+        new = memo.missing(keys)
+        memo.young.update(dict.fromkeys(new, 1))
+        assert all(k in memo.young for k in keys)
+    assert len(memo.young) + len(memo.old) < 2 * size / 150 + 120
