@@ -17,7 +17,7 @@ def _claims(x):
     )
 
 
-@query("K4 J23 A37 K3 K5", """
+@query("K4 J23 A37", """
 WITH c AS (SELECT l_orderkey AS draft, 'C' || CAST(l_linenumber AS VARCHAR) AS claim_id, CAST(l_partkey % 40 AS BIGINT) AS facet, l_suppkey, l_quantity FROM lineitem),
 s AS (SELECT *, list_filter([l_suppkey, l_suppkey + 3, CASE WHEN l_quantity > 25 THEN l_suppkey + 90 END], lambda v: v IS NOT NULL AND l_quantity > 2) AS sources, count(*) OVER (PARTITION BY draft, claim_id) AS copies FROM c),
 bad AS (SELECT DISTINCT draft, claim_id FROM (SELECT draft, claim_id, unnest(sources) AS source FROM s) q WHERE source NOT IN (SELECT l_suppkey FROM lineitem l WHERE l.l_orderkey = q.draft) AND source NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)),
@@ -35,7 +35,7 @@ def claim_rejects(x):
     return v.groupBy("draft", "verdict").agg(F.count("*").alias("n"))
 
 
-@query("F33 J24 W6 PF11 C2 C24", """
+@query("F33 W6", """
 WITH f AS (SELECT l_orderkey AS answer, l_suppkey AS source, min(l_linenumber) AS first_use FROM lineitem GROUP BY ALL), l AS (SELECT *, 'S' || CAST(row_number() OVER (PARTITION BY answer ORDER BY first_use, source) AS VARCHAR) AS label FROM f)
 SELECT answer, string_agg('[' || label || ']', '' ORDER BY first_use, source) AS citations, count(*) AS n FROM l GROUP BY answer""")
 def citation_labels(x):
@@ -45,7 +45,7 @@ def citation_labels(x):
     return g.select("answer", F.array_join(F.transform("s.label", lambda v: F.concat(F.lit("["), v, F.lit("]"))), "").alias("citations"), "n")
 
 
-@query("A16 S7", """
+@query("A16", """
 WITH f AS (SELECT l_orderkey AS draft, l_partkey % 6 AS facet FROM lineitem), w AS (SELECT DISTINCT draft, unnest([0, 1, 2, 3, 4, 5]) AS facet FROM f)
 SELECT draft, string_agg(CAST(facet AS VARCHAR), ',' ORDER BY facet) AS gaps FROM (SELECT draft, facet FROM w EXCEPT SELECT draft, facet FROM f) GROUP BY draft""")
 def facet_gaps(x):
@@ -54,7 +54,7 @@ def facet_gaps(x):
     return g.select("draft", F.array_join(F.transform(gaps, lambda v: v.cast("string")), ",").alias("gaps")).filter("gaps <> ''")
 
 
-@query("A17 A18 C38", """
+@query("A17 A18", """
 WITH b AS (SELECT l_orderkey AS doc, l_linenumber AS block, l_quantity >= 10 AS presented_whole FROM lineitem)
 SELECT o_custkey AS question, count(DISTINCT doc) AS documents_read, count(DISTINCT CASE WHEN fully THEN doc END) AS fully_read, CAST(sum(n) AS BIGINT) AS blocks FROM (SELECT doc, bool_and(presented_whole) AS fully, count(*) AS n FROM b GROUP BY doc) JOIN orders ON doc = o_orderkey GROUP BY o_custkey""")
 def coverage_summary(x):
@@ -63,7 +63,7 @@ def coverage_summary(x):
     return j.groupBy("question").agg(F.countDistinct("doc").alias("documents_read"), F.countDistinct(F.when(F.col("fully"), F.col("doc"))).alias("fully_read"), F.sum("n").alias("blocks"))
 
 
-@query("PF24 C38 C19", """
+@query("PF24 C38", """
 SELECT o_orderkey, CASE WHEN c > 0 AND g = 0 AND clear AND NOT (ex AND e > 0) THEN 'answer' WHEN c > 0 THEN 'partial' WHEN e > 0 THEN 'error' ELSE 'not_found' END AS status
 FROM (SELECT o_orderkey, o_orderkey % 4 AS c, o_custkey % 3 AS g, o_orderstatus <> 'P' AS clear, o_custkey % 2 AS e, o_orderkey % 5 = 0 AS ex FROM orders)""")
 def answer_statuses(x):
@@ -83,13 +83,13 @@ def eval_grouping_sets(x):
     return a.rates(_checks(x), F.col("passed"))
 
 
-@query("A27 K10 J28 S4", f"WITH {_CHECKS} SELECT o_orderkey AS case_id, count(c.case_id) AS checks, count(*) FILTER (passed) AS passed, coalesce(bool_and(passed), false) AS all_passed, count(c.case_id) = 0 AS missing FROM orders LEFT JOIN c ON c.case_id = o_orderkey GROUP BY o_orderkey")
+@query("A27 J28 S4", f"WITH {_CHECKS} SELECT o_orderkey AS case_id, count(c.case_id) AS checks, count(*) FILTER (passed) AS passed, coalesce(bool_and(passed), false) AS all_passed, count(c.case_id) = 0 AS missing FROM orders LEFT JOIN c ON c.case_id = o_orderkey GROUP BY o_orderkey")
 def eval_checks(x):
     j = x.orders.select(F.col("o_orderkey").alias("case_id")).join(_checks(x), "case_id", "left")
     return j.groupBy("case_id").agg(F.count("passed").alias("checks"), F.count_if("passed").alias("passed"), F.coalesce(F.bool_and("passed"), F.lit(False)).alias("all_passed"), (F.count("passed") == 0).alias("missing"))
 
 
-@query("A24 A25", """
+@query("A24", """
 SELECT o_custkey, count(DISTINCT o_orderkey) AS blocks, count(DISTINCT sha256(o_orderstatus || o_orderpriority)) AS claims, round(least(1, greatest(0, count(*) / greatest(1, 20.0))), 6) AS progress FROM orders GROUP BY o_custkey""")
 def evidence_progress(x):
     sig = F.sha2(F.concat("o_orderstatus", "o_orderpriority").cast("binary"), 256)
@@ -118,12 +118,12 @@ def discounted_returns(x):
     return s.groupBy("user_id").agg(F.round(F.sum(F.pow(F.lit(0.9), F.col("k")) * (F.col("value") - 0.05)), 4).alias("ret"), F.count("*").alias("steps"))
 
 
-@query("A33 A35 C27 RL6", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS scopes FROM orders GROUP BY ALL")
+@query("A33 A35 C27", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS scopes FROM orders GROUP BY ALL")
 def status_counts(x):
     return x.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("scopes"))
 
 
-@query("C20 C22 C23", r"""
+@query("C23", r"""
 WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda v: trim(v) <> '') AS l FROM documents)
 SELECT doc_id, sha256(substr(array_to_string(l[1:3], chr(10)), 1, 1600)) AS lead_sha, CASE WHEN len(l) > 20 THEN 'long' ELSE 'short' END AS note FROM l""")
 def manifest_leads(x):

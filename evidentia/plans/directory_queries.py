@@ -47,7 +47,7 @@ def role_scd2(x):
     return d.successor_chain(_roles(x), ["person"], "f", ["role_id"]).select("role_id", "f", "valid_until", "current")
 
 
-@query("A8 PF14", "SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ' | ' ORDER BY c_mktsegment) AS aliases, CASE WHEN c_nationkey % 2 = 0 THEN count(*) END AS visible FROM customer GROUP BY c_nationkey")
+@query("A8", "SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ' | ' ORDER BY c_mktsegment) AS aliases, CASE WHEN c_nationkey % 2 = 0 THEN count(*) END AS visible FROM customer GROUP BY c_nationkey")
 def alias_lists(x):
     g = x.customer.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_set("c_mktsegment")), " | ").alias("aliases"), F.count("*").alias("n"))
     return g.select("c_nationkey", "aliases", F.when(F.col("c_nationkey") % 2 == 0, F.col("n")).alias("visible"))
@@ -86,7 +86,7 @@ def video_import_issues(x):
     return d.import_issues(own.filter("p_size > 10"), c, own.filter("p_size <= 3"))
 
 
-@query("PF13 F34", """
+@query("F34", """
 SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'https://media.example/' || CAST(s_suppkey AS VARCHAR) ELSE '' END AS uri, s_name || ' (' || n_name || ')' || CASE WHEN s_acctbal > 0 THEN '' ELSE ' [locked]' END AS line FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def masked_locators(x):
     s = x.supplier.join(x.nation, F.col("s_nationkey") == F.col("n_nationkey"))

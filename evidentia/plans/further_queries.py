@@ -39,7 +39,7 @@ def card_admission(x):
     return c.withColumn("running", F.sum("size").over(w)).filter("running <= 5000000").select("scope", "card", "turn")
 
 
-@query("F28 F19", r"""
+@query("F28", r"""
 WITH t AS (SELECT doc_id, substr(text, 1, 1) || text || ' [S' || CAST(doc_id % 7 AS VARCHAR) || '][S2]' AS t FROM documents)
 SELECT doc_id, array_to_string(regexp_extract_all(t, '\[S([0-9]+)\]', 1), ',') AS ids, sha256(trim(regexp_replace(t, '[ ]*\[S[0-9]+\]', '', 'g'))) AS plain_sha FROM t""")
 def citation_markers(x):
@@ -101,14 +101,14 @@ def user_additions(x):
     return x.customer.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("subject"), F.inline(rows))
 
 
-@query("SK10 D24 C26", """
+@query("SK10 D24", """
 SELECT l_returnflag, '| ' || l_returnflag || ' | ' || CAST(count(*) AS VARCHAR) || ' | ' || CAST(count(DISTINCT l_orderkey) AS VARCHAR) || ' |' AS line FROM lineitem GROUP BY l_returnflag""")
 def report_lines(x):
     r = x.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("c"))
     return r.select("l_returnflag", F.format_string("| %s | %d | %d |", "l_returnflag", "n", "c").alias("line"))
 
 
-@query("SK1 SK4 U1", """
+@query("SK1 SK4", """
 SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')""")
 def cache_misses(x):
     """Texts whose vectors must be made: once for each content, without those in the cache."""

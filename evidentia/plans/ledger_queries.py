@@ -25,7 +25,7 @@ def work_dedup(x):
     return g.unique_work(e, ["user_id", "event_type", "target"], ["event_id"])
 
 
-@query("RL3 W16 ST2", """
+@query("RL3 W16", """
 WITH i AS (SELECT user_id, event_id, CASE event_id % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'claimed' ELSE 'done' END AS status, CAST(value AS DOUBLE) AS lease_until FROM events),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM i WHERE status = 'queued' OR (status = 'claimed' AND lease_until < 50))
 SELECT user_id, event_id, status FROM k WHERE n = 1""")
@@ -70,7 +70,7 @@ def json_checks(x):
     return x.events.select("event_id", k.alias("k"), F.when(k <= 50, "lte").otherwise("gt").alias("check_"))
 
 
-@query("C3 A30", "SELECT user_id, sum(CAST(value AS DOUBLE)) > 0 AS used, round(count(*) / nullif(sum(value), 0), 6) AS rate, round(sum(value) / 1e9, 12) AS seconds FROM events GROUP BY user_id")
+@query("C3", "SELECT user_id, sum(CAST(value AS DOUBLE)) > 0 AS used, round(count(*) / nullif(sum(value), 0), 6) AS rate, round(sum(value) / 1e9, 12) AS seconds FROM events GROUP BY user_id")
 def call_metrics(x):
     g_ = x.events.groupBy("user_id").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
     return g_.select("user_id", (F.col("v") > 0).alias("used"), F.round(F.try_divide(F.col("n").cast("double"), F.col("v")), 6).alias("rate"), F.round(F.col("v") / 1e9, 12).alias("seconds"))

@@ -16,9 +16,9 @@ TEXTS = ("documents", "pages")
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """`table`, dealt out anew only where its files split into fewer partitions than there are cores."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """`table` dealt out to the cores of a single machine, where a small file is one split; a cluster reads its splits as they are."""
+    context = table.sparkSession.sparkContext
+    return table.repartition(context.defaultParallelism) if context.master.startswith("local") and "cluster" not in context.master else table
 
 
 class Tables:

@@ -44,7 +44,7 @@ def bm25_topk(x):
     return _shown(r.bm25(x.documents, _queries(x)))
 
 
-@query("PF1 A3 A4 J6 J5", f"WITH {_BM25.format(docs=_SCOPED)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lex")
+@query("PF1 A3 A4 J5", f"WITH {_BM25.format(docs=_SCOPED)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lex")
 def bm25_topk_scoped(x):
     """Statistics and ranks within the authorized documents only."""
     return _shown(r.bm25(_scoped(x), _queries(x)))
@@ -66,7 +66,7 @@ def dense_topk(x):
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("PF22 M4", """
+@query("PF22", """
 SELECT vec_id, len(embedding) = 64 AS shape_ok, abs(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v))) - 1) <= 0.002 AS norm_ok,
   round(list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v))), 6) AS top FROM embeddings""")
 def embedding_checks(x):
@@ -87,7 +87,7 @@ def rrf_fusion(x):
     return out.select("query_id", "key", F.round("score", 6).alias("score"), "n_lanes", "rank")
 
 
-@query("W4 W5 A13", f"""WITH {_DENSE.format(where='q.vec_id % 20 = 0')},
+@query("W5", f"""WITH {_DENSE.format(where='q.vec_id % 20 = 0')},
 h AS (SELECT query_id, vec_id, score, lane.rank, label, row_number() OVER (PARTITION BY query_id, label ORDER BY lane.rank) - 1 AS nth FROM lane JOIN embeddings USING (vec_id)),
 a AS (SELECT *, round(score / (1 + 0.12 * nth), 9) AS adjusted FROM h)
 SELECT query_id, vec_id, CAST(label AS BIGINT) AS label, round(adjusted, 6) AS adjusted, nth = 0 AS first_of_label, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, rank) AS new_rank FROM a""")
@@ -104,12 +104,12 @@ p AS (SELECT doc_id, w, unnest(generate_series(0, greatest(1, CAST(ceil((len(w)
 pw AS (SELECT doc_id, seq, seq * 128 AS word_start, least(seq * 128 + 160, len(w)) AS word_end, array_to_string(w[seq * 128 + 1:seq * 128 + 160], ' ') AS passage_text FROM p)"""
 
 
-@query("F26 D9 H2", f"WITH {_WINDOWS} SELECT doc_id, seq, word_start, word_end, sha256(passage_text) AS text_sha256 FROM pw")
+@query("F26 D9", f"WITH {_WINDOWS} SELECT doc_id, seq, word_start, word_end, sha256(passage_text) AS text_sha256 FROM pw")
 def passage_windows(x):
     return r.passages(x.documents).select("doc_id", "seq", "word_start", "word_end", F.sha2(F.col("passage_text").cast("binary"), 256).alias("text_sha256"))
 
 
-@query("J20 W7", f"WITH {_WINDOWS} SELECT doc_id, seq, lag(seq) OVER d AS previous_seq, lead(seq) OVER d AS next_seq, word_start < coalesce(lag(word_end) OVER d, 0) AS overlaps FROM pw WINDOW d AS (PARTITION BY doc_id ORDER BY seq)")
+@query("W7", f"WITH {_WINDOWS} SELECT doc_id, seq, lag(seq) OVER d AS previous_seq, lead(seq) OVER d AS next_seq, word_start < coalesce(lag(word_end) OVER d, 0) AS overlaps FROM pw WINDOW d AS (PARTITION BY doc_id ORDER BY seq)")
 def neighbor_context(x):
     d = Window.partitionBy("doc_id").orderBy("seq")
     return r.passages(x.documents).select("doc_id", "seq", F.lag("seq").over(d).alias("previous_seq"), F.lead("seq").over(d).alias("next_seq"), (F.col("word_start") < F.coalesce(F.lag("word_end").over(d), F.lit(0))).alias("overlaps"))
@@ -140,7 +140,7 @@ def bundle_order(x):
     return p.select("doc", "bundle", "sel_pos", F.row_number().over(Window.partitionBy("doc").orderBy("first_pos", "sel_pos")).cast("long").alias("shown"))
 
 
-@query("W22 F24 A36", """
+@query("W22 A36", """
 SELECT l_orderkey, l_linenumber, running FROM (SELECT l_orderkey, l_linenumber, CAST(sum(32 + CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM lineitem) WHERE running <= 200""")
 def prefix_fit(x):
     rows = x.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (32 + F.col("l_quantity").cast("long")).alias("cost"))
@@ -156,7 +156,7 @@ def discover_all(x):
     return r.match_documents(x.documents, _TOKENS, "all")
 
 
-@query("PF9 C14", f"WITH w AS ({_MATCH}) SELECT doc_id, CAST(len(list_intersect(w, ['the', 'of', 'that'])) AS BIGINT) AS n_matched FROM w WHERE list_has_any(w, ['the', 'of', 'that'])")
+@query("PF9", f"WITH w AS ({_MATCH}) SELECT doc_id, CAST(len(list_intersect(w, ['the', 'of', 'that'])) AS BIGINT) AS n_matched FROM w WHERE list_has_any(w, ['the', 'of', 'that'])")
 def discover_any(x):
     return r.match_documents(x.documents, _TOKENS, "any")
 

@@ -148,7 +148,7 @@ def section_descendants(x):
       SELECT root, count(*) AS members, CAST(max(depth) AS BIGINT) AS depth FROM d GROUP BY root""")
 
 
-@query("PF8 J26", f"""WITH {_BLOCKS} SELECT item_id, doc_id, ordinal FROM (SELECT item_id, item_id % 7 AS lo, item_id % 7 + item_id % 5 AS hi FROM benchmark) q JOIN b ON b.doc_id = q.item_id AND ordinal BETWEEN lo AND hi""")
+@query("PF8", f"""WITH {_BLOCKS} SELECT item_id, doc_id, ordinal FROM (SELECT item_id, item_id % 7 AS lo, item_id % 7 + item_id % 5 AS hi FROM benchmark) q JOIN b ON b.doc_id = q.item_id AND ordinal BETWEEN lo AND hi""")
 def subtree_blocks(x):
     """Blocks of a section's interval; the document is the equi key of the range join."""
     q = x.benchmark.select("item_id", (F.col("item_id") % 7).alias("lo"), (F.col("item_id") % 7 + F.col("item_id") % 5).alias("hi"))

@@ -26,7 +26,7 @@ def token_estimates(x):
     return x.documents.select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("F21 F22 F23", r"""
+@query("F21", r"""
 WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[ \t\n\r\f\x0B]+|[^A-Za-z0-9 \t\n\r\f\x0B]+')) AS p FROM documents),
 c AS (SELECT doc_id, CASE
    WHEN regexp_matches(p, '^[A-Za-z0-9]') THEN CASE WHEN regexp_matches(p, '[0-9]') THEN length(p) ELSE CAST(ceil(length(p) / 4.0) AS BIGINT) END
@@ -78,7 +78,7 @@ def question_anchors(x):
     return x.conversations.filter("role = 'user'").select("conv_id", "turn", F.posexplode(found).alias("position", "anchor"))
 
 
-@query("F9 D7 A37", r"""
+@query("D7 A37", r"""
 WITH s AS (""" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS surface FROM documents" for k, p in t.SURFACES.items()) + r"""
   UNION ALL SELECT doc_id, 'acronym', unnest(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: regexp_matches(w, '^[A-Z][A-Z0-9]{1,9}$'))) FROM documents)
 SELECT doc_id, kind, lower(surface) AS term, count(*) AS n, min(surface) AS first_surface FROM s GROUP BY ALL""")
@@ -107,7 +107,7 @@ def text_screens(x):
     return x.documents.select("doc_id", c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]").alias("has_control"), c.rlike(r"\[[EPS][0-9]+\]").alias("has_marker"), t.has_credential(c).alias("has_credential"), F.sha2(t.escaped(c).cast("binary"), 256).alias("escaped_sha"))
 
 
-@query("PF17 PF18 PF19 T5", r"""
+@query("PF17 PF18 PF19", r"""
 SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\b(?:all|every|each|list)\b') THEN 'exhaustive' WHEN regexp_matches(lower(text), '\b(?:overview|summary|summarize|about)\b') THEN 'overview' ELSE 'targeted' END AS mode,
   coalesce(nullif(array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '\b(?:than|versus|compare|difference)\b') THEN 'comparison' END, CASE WHEN regexp_matches(lower(text), '\b(?:when|before|after|date|year)\b') THEN 'temporal' END,
      CASE WHEN regexp_matches(lower(text), '\b(?:how|step|process)\b') THEN 'procedure' END, CASE WHEN regexp_matches(lower(text), '[0-9]') THEN 'exact' END], lambda v: v IS NOT NULL), ','), ''), 'general') AS shape,
@@ -196,7 +196,7 @@ def ordered_unique_words(x):
     return x.benchmark.select("item_id", F.array_join(d, " ").alias("words"), F.size(d).cast("long").alias("n"))
 
 
-@query("F29", r"""
+@query("D20", r"""
 SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b(?:section|version|chapter|page)[ ]+([0-9]+(?:\.[0-9]+)*)', 1)) AS label FROM documents""")
 def section_labels(x):
     return x.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:section|version|chapter|page)[ ]+([0-9]+(?:\.[0-9]+)*)"), F.lit(1))).alias("label"))
