@@ -137,6 +137,31 @@ def _named(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("surface"))
 
 
+#: What a release must not hold: keys by their form, and paths of a machine or its secrets.
+CREDENTIALS = {
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "bearer": r"[Bb]earer [A-Za-z0-9._-]{20,}",
+    "assigned": r"(?i:password|token|secret|api_key)[ ]*[=:][ ]*[\"']?[A-Za-z0-9]{8,}",
+    "home_path": r"(?:/home/|/Users/|C:\\Users\\)[A-Za-z0-9_.-]+",
+    "url_login": r"[a-z]+://[^/ :@]+:[^/ @]+@",
+}
+#: Suffixes that a release may have, and parts of a path that keep a file out of it.
+RELEASED, KEPT_BACK = ("py", "md", "json", "txt", "toml"), (".git", "__pycache__", ".env", "secrets", "node_modules")
+
+
+def credential_kinds(text: Column) -> Column:
+    """The kinds of CREDENTIALS that a text holds, comma-joined."""
+    return F.concat_ws(",", *[F.when(plain(text).rlike(p), F.lit(k)) for k, p in CREDENTIALS.items()])
+
+
+def releasable(path: Column) -> Column:
+    """Whether a relative path may go into a release: a known suffix, no hidden or private part, no way upwards."""
+    parts = F.split(path, "/")
+    clean = ~F.exists(parts, lambda p: p.isin("", "..", *KEPT_BACK))
+    return ~path.startswith("/") & clean & F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1).isin(*RELEASED)
+
+
 CREDENTIAL = r"(?:AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?:password|token|secret|api_key)[ ]*=[ ]*[\"']?[A-Za-z0-9]{8,})"
 
 

@@ -11,7 +11,7 @@ from ..session import materialized
 def closure(spark, seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(seed, node, hop): the nodes reachable from each seed within `hops`, at their least distance.
 
-    Each step expands only the nodes found last. Steps are tables of their own, so that the plan does not double with
+    Runs jobs when called. Each step expands only the nodes found last. Steps are tables of their own, so that the plan does not double with
     each one, and an empty step ends the search.
     """
     frontier = materialized(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop")), "closure")

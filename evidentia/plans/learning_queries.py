@@ -61,21 +61,21 @@ _STAGES = ["F", "O", "P"]
 
 
 @query("C33 A25", """
-WITH o AS (SELECT o_custkey AS run, max_by(o_orderstatus, o_orderkey) AS stage, count(*) AS n, count(DISTINCT o_orderpriority) AS facets, count(*) FILTER (o_orderstatus = 'F') AS done, sum(o_totalprice) AS cost FROM orders GROUP BY o_custkey),
+WITH o AS (SELECT o_custkey AS run, max_by(o_orderstatus, o_orderkey) AS stage, count(*) AS n, count(DISTINCT o_orderpriority) AS facets, count(*) FILTER (o_orderstatus = 'F') AS done, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cost FROM orders GROUP BY o_custkey),
 l AS (SELECT o_custkey AS run, count(*) AS blocks, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS sources, count(*) FILTER (l_returnflag = 'R') AS returned, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey)
-SELECT run, list_transform([1.0, CASE WHEN stage = 'F' THEN 1 ELSE 0 END, CASE WHEN stage = 'O' THEN 1 ELSE 0 END, CASE WHEN stage = 'P' THEN 1 ELSE 0 END, n / 20.0, facets / 5.0, done / greatest(1.0, n), cost / 5000000.0, coalesce(blocks, 0) / 100.0, coalesce(parts, 0) / greatest(1.0, coalesce(blocks, 0)),
+SELECT run, list_transform([1.0, CASE WHEN stage = 'F' THEN 1 ELSE 0 END, CASE WHEN stage = 'O' THEN 1 ELSE 0 END, CASE WHEN stage = 'P' THEN 1 ELSE 0 END, n / 20.0, facets / 5.0, done / greatest(1.0, n), CAST(cost AS DOUBLE) / 500000000.0, coalesce(blocks, 0) / 100.0, coalesce(parts, 0) / greatest(1.0, coalesce(blocks, 0)),
   coalesce(sources, 0) / 50.0, coalesce(returned, 0) / greatest(1.0, coalesce(blocks, 0)), coalesce(quantity, 0) / 3000.0], lambda v: round(least(1.0, greatest(0.0, CAST(v AS DOUBLE))), 6)) AS features, true AS valid FROM o LEFT JOIN l USING (run)""")
 def state_features(x):
     """A run's state as features: its stage and nine clamped fractions."""
     o = x.orders.groupBy(F.col("o_custkey").alias("run")).agg(
-        F.max_by("o_orderstatus", "o_orderkey").alias("stage"), F.count("*").alias("n"), F.countDistinct("o_orderpriority").alias("facets"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.sum("o_totalprice").alias("cost"),
+        F.max_by("o_orderstatus", "o_orderkey").alias("stage"), F.count("*").alias("n"), F.countDistinct("o_orderpriority").alias("facets"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cost"),
     )
     l = x.lineitem.join(x.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("run")), "l_orderkey").groupBy("run").agg(
         F.count("*").alias("blocks"), F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("sources"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.sum("l_quantity").alias("quantity"),
     )
     j = o.join(l, "run", "left").fillna(0, ["blocks", "parts", "sources", "returned", "quantity"])
     part = lambda p, w: g.fraction(F.col(p), F.lit(w) if not isinstance(w, str) else F.col(w))
-    nine = [part("n", 20), part("facets", 5), part("done", "n"), part("cost", 5_000_000), part("blocks", 100), part("parts", "blocks"), part("sources", 50), part("returned", "blocks"), part("quantity", 3000)]
+    nine = [part("n", 20), part("facets", 5), part("done", "n"), part("cost", 500_000_000), part("blocks", 100), part("parts", "blocks"), part("sources", 50), part("returned", "blocks"), part("quantity", 3000)]
     f = g.encoded(F.col("stage"), _STAGES, nine)
     return j.select("run", F.transform(f, lambda v: F.round(v, 6)).alias("features"), g.valid_context(f, 13).alias("valid"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +17,40 @@ def conflicts(rows: DataFrame, existing: DataFrame, key: list[str], digest: str)
     return rows.join(existing.select(*key, F.col(digest).alias("_old")), key).filter(F.col(digest) != F.col("_old")).select(*key)
 
 
+def _pointers(spark: SparkSession, root: str) -> list:
+    """(number, generation) of every publication; a root without any has none."""
+    try:
+        rows = spark.read.schema("number long, generation string").json(f"{root}/pointer").collect()  # one short row a publication
+    except AnalysisException:
+        return []
+    return sorted((r.number, r.generation) for r in rows)
+
+
 def publish(table: DataFrame, root: str, generation: str) -> str:
-    """Writes a generation and then points to it; readers see the old one until the pointer's file is complete."""
+    """Writes a generation and then points to it; readers see the old one until the pointer's file is complete.
+
+    A generation is written once: its name must be new. Pointers are numbered, so that the last one is known whatever the
+    clock says; one writer publishes at a time. A table whose write failed has no pointer and is never seen.
+    """
     spark, path = table.sparkSession, f"{root}/generation={generation}"
+    number = max((n for n, _ in _pointers(spark, root)), default=0) + 1
     table.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("append").json(f"{root}/pointer")
+    spark.createDataFrame([(number, generation)], "number long, generation string").coalesce(1).write.mode("append").json(f"{root}/pointer")
     return path
 
 
+def rolled_back(spark: SparkSession, root: str) -> str:
+    """Points back to the generation before the current one, by a pointer of its own."""
+    known = _pointers(spark, root)
+    if len(known) < 2:
+        raise ValueError("there is no generation to go back to")
+    spark.createDataFrame([(known[-1][0] + 1, known[-2][1])], "number long, generation string").coalesce(1).write.mode("append").json(f"{root}/pointer")
+    return known[-2][1]
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The generation that the last pointer names."""
-    last = spark.read.json(f"{root}/pointer").select("generation", F.col("_metadata.file_modification_time").alias("at"))
-    name = last.orderBy(F.desc("at"), F.desc("generation")).first()[0]
-    return spark.read.parquet(f"{root}/generation={name}")
+    return spark.read.parquet(f"{root}/generation={_pointers(spark, root)[-1][1]}")
 
 
 #: What each trace mode keeps.
