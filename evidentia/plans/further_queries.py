@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..operators import drafts
-from ..operators import graph as g
 from ..sources import documents as docs
 from ..sources import generations
 from .registry import query
@@ -116,20 +115,7 @@ def cache_misses(x):
     return generations.insert_missing(keyed.select("key"), keyed.filter("lang = 'en'"), ["key"])
 
 
-@query("G15 D22")
-def closure_cases(x):
-    """Generated chains of 1, 2, 3 and 5 references, three budgets each: whether a closure in the budget is complete."""
-    cases = x.spark.range(60).select(F.col("id").alias("case_id"), F.element_at(F.array(*map(F.lit, (1, 2, 3, 5))), (F.col("id") % 4 + 1).cast("int")).alias("hops"), (F.floor(F.col("id") / 4) % 3).alias("regime"))
-    nodes = cases.select("case_id", F.explode(F.sequence(F.lit(0), F.col("hops"))).alias("k"))
-    name = lambda k: F.format_string("%d:%d", "case_id", k.cast("long"))
-    edges = nodes.filter("k > 0").select(name(F.col("k") - 1).alias("src"), name(F.col("k")).alias("dst"))
-    found = g.closure(x.spark, cases.select(name(F.lit(0)).alias("seed")), edges, 5).groupBy("seed").agg(F.count("*").alias("found"))
-    done = cases.withColumn("seed", name(F.lit(0))).join(found, "seed")
-    budget = F.when(F.col("regime") == 0, F.col("found")).when(F.col("regime") == 1, F.col("found") - 1).otherwise(1)
-    return done.select("case_id", "hops", "regime", "found", (budget >= F.col("found")).alias("complete"))
-
-
-@query("F17 F18 C29")
+@query("F17 C29")
 def answer_units(x):
     def units(text):
         return (("unit", str(a), str(b), text[a:b]) for a, b in spans.answer_units(text))
