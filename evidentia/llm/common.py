@@ -43,6 +43,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a sieve; its table has at most a row for 64 of them, a million rows of 16 bytes.
+SIEVE_BITS = 1 << 26
+
+
+def sifted(rows: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(may be wanted, are not): `rows` parted by whether their `key` (long) may be among the only column of `wanted`.
+
+    The wanted keys set bits of a table of bounded size, which is broadcast, so that rows that nobody wants, with their long
+    texts, need not be shuffled to find that out. A bit that another key has set costs a row its exact join and no more;
+    with far more keys than bits all rows take that way.
+    """
+    at = F.pmod(wanted[wanted.columns[0]], F.lit(SIEVE_BITS))
+    bit = F.expr("shiftleft(1L, CAST(_s_at & 63 AS INT))")
+    words = wanted.select(at.alias("_s_at")).groupBy(F.shiftright("_s_at", 6).alias("_s_word")).agg(F.bit_or(bit).alias("_s_bits"))
+    words = stored(words, "sieve")
+    flagged = rows.withColumn("_s_at", F.pmod(key, F.lit(SIEVE_BITS))).withColumn("_s_word", F.shiftright("_s_at", 6)).join(F.broadcast(words), "_s_word", "left")
+    hit = F.coalesce(F.col("_s_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return tuple(flagged.filter(c).select(*[F.col(f"`{x}`") for x in rows.columns]) for c in (hit, ~hit))
+
+
 def let(value: Column, body) -> Column:
     """Bind `value` to a lambda variable, so that `body` evaluates it once."""
     return F.transform(F.array(value), body)[0]

@@ -3,13 +3,13 @@
 Lines are hashed, and a rolling hash over the last `WINDOW` line hashes ends a chunk where it is divisible by
 `DIVISOR` and the chunk has `MIN_LINES`. Boundaries thus depend on nearby lines only, and text that is put in or taken
 out elsewhere does not move them. A chunk counts if it has several lines with a word among them, or `min_words` words.
-Chunks meet by hash, by digest and by their bytes: grouping by the bytes is the comparison. Of a chunk that occurs more
+Chunks meet by digest and by their bytes: grouping by the bytes is the comparison. Of a chunk that occurs more
 than once the first occurrence stays, by document and then by place; all others are removed.
 
 Where a passage is cut depends on the lines before it, so its ends may differ from copy to copy. With `runs` all runs
 of consecutive lines that reach `min_words` words are compared as well, from every start and to every end; longer runs
 are unions of these, so every line of a repeated passage of `min_words` words goes. Runs overlap, and their bytes would
-be many times the text's; they meet by hash, length and SHA-256 instead. A line goes where any repeated chunk or run
+be many times the text's; they meet by 128 bits of SHA-256 instead. A line goes where any repeated chunk or run
 holds it, and always has an earlier copy; of one document's overlapping copies the first stays. n_removed_chunks counts
 chunks alone.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_texts, stored
+from .common import byte_slices, map_texts, sifted, stored
 
 WINDOW = 2
 DIVISOR = 2
@@ -81,8 +81,10 @@ def run_bounds(words: list[int], min_words: int = MIN_WORDS) -> set[tuple[int, i
     return found
 
 
-def passages(text: bytes, min_words: int = MIN_WORDS, runs: bool = False) -> list[tuple[int, int, int, bytes, bool]]:
-    """(first line, end, hash, bytes, whether a chunk) of all chunks that count and, with `runs`, of the runs."""
+def passages(text: bytes, min_words: int = MIN_WORDS, runs: bool = False) -> list[tuple[int, int, bytes, bytes, bool]]:
+    """(first line, end, digest, bytes, whether a chunk) of all chunks that count and, with `runs`, of the runs."""
+    import hashlib
+
     from xxhash import xxh64_intdigest
 
     lines = text.split(b"\n")
@@ -105,7 +107,7 @@ def passages(text: bytes, min_words: int = MIN_WORDS, runs: bool = False) -> lis
     out = []
     for a, b, chunk in sorted(places):
         body = text[starts[a] : starts[b] - 1]
-        out.append((a, b, xxh64_intdigest(body, 1), body, chunk))
+        out.append((a, b, hashlib.sha256(body).digest()[:16], body, chunk))
     return out
 
 
@@ -115,13 +117,11 @@ def _document(doc_id: str, text: str) -> list:
 
 
 def spread(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
-    """One row for each passage: doc_id, text_key, start and end (lines), chunk, hash, digest, and for chunks body."""
+    """One row for each passage: doc_id, text_key, start and end (lines), chunk, digest, and for chunks body."""
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(*_document(doc_id, text), F.col(f"`{text}`").cast("binary").alias("text"))
 
     def run(batches):
-        import hashlib
-
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -130,37 +130,40 @@ def spread(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
             for a, b in byte_slices(sizes, 1 << 20):
                 part = batch.slice(a, b - a)
                 rows: list[int] = []
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(5)]
                 for i, t in enumerate(part.column(2).to_pylist()):
-                    for first, end, h, body, chunk in passages(t or b"", min_words, runs):
+                    for first, end, digest, body, chunk in passages(t or b"", min_words, runs):
                         rows.append(i)
-                        digest = hashlib.sha256(body).digest()
-                        for column, value in zip(out, (first, end, chunk, h - (1 << 64) if h >> 63 else h, digest, body if chunk else None), strict=True):
+                        for column, value in zip(out, (first, end, chunk, digest, body if chunk else None), strict=True):
                             column.append(value)
                 at = pa.array(rows, pa.int32())
-                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *[pa.array(v, t) for v, t in zip(out, kinds, strict=True)]], names=["doc_id", "text_key", "start", "end", "chunk", "hash", "digest", "body"])
+                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *[pa.array(v, t) for v, t in zip(out, kinds, strict=True)]], names=["doc_id", "text_key", "start", "end", "chunk", "digest", "body"])
 
-    return own.mapInArrow(run, f"doc_id {kind}, text_key long, start int, end int, chunk boolean, hash long, digest binary, body binary")
+    return own.mapInArrow(run, f"doc_id {kind}, text_key long, start int, end int, chunk boolean, digest binary, body binary")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """(chunk, hash, digest, first) of the passages that occur more than once; first: where the occurrence is that stays."""
+    """(chunk, digest, first) of the passages that occur more than once; first: where the occurrence is that stays."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"), F.col("end"))
-    same = found.groupBy("chunk", "hash", "digest", "body").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    return same.filter("n > 1").select("chunk", "hash", "digest", "first")
+    same = found.groupBy("chunk", "digest", "body").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    return same.filter("n > 1").select("chunk", "digest", "first")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """`docs` with its text without repeated chunks (and `runs`), and n_lines, n_removed_lines and n_removed_chunks (long)."""
     found = stored(spread(docs, doc_id, text, min_words, runs), "passages")
     # a table of its own, so that the join's sides are both plain exchanges and a hot passage's rows can be split
-    met = found.drop("body").join(stored(repeated(found), "repeated"), ["chunk", "hash", "digest"])
+    met = found.drop("body").join(stored(repeated(found), "repeated"), ["chunk", "digest"])
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     gone = met.filter(~own | (F.col("start") >= F.col("first.end")))
     gone = gone.groupBy(F.col("doc_id").alias("_l_id"), F.col("text_key").alias("_l_key")).agg(F.collect_set(F.struct("start", "end", "chunk")).alias("_l_gone"))
+    gone = stored(gone, "gone")
     held = docs.select("*", *[c.alias(n) for c, n in zip(_document(doc_id, text), ("_l_doc", "_l_text_key"), strict=True)])
-    held = held.join(gone, held["_l_doc"].eqNullSafe(gone["_l_id"]) & (held["_l_text_key"] == gone["_l_key"]), "left")
+    # texts that lose nothing stay where they are
+    some, none = sifted(held, F.col("_l_text_key"), gone.select("_l_key"))
+    some = some.join(gone, some["_l_doc"].eqNullSafe(gone["_l_id"]) & (some["_l_text_key"] == gone["_l_key"]), "left").select(*[some[f"`{c}`"] for c in some.columns], "_l_gone")
+    held = some.unionAll(none.withColumn("_l_gone", F.lit(None).cast(gone.schema["_l_gone"].dataType)))
     held = held.withColumn("_l_text", F.col(f"`{text}`"))
 
     def start():
