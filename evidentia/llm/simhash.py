@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import map_texts, sifted, stored
 from .decontaminate import split_words
 
 SHARD = 2048
@@ -250,13 +250,16 @@ def _first_of_each(docs: DataFrame, doc_id: str, prints: DataFrame, found: DataF
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
     named = stored(rooted.join(first, "root").select("fingerprint", "first"), "firsts")
     out = prints.join(named, "fingerprint").filter(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_g"), F.col("_g_key").alias("_k")).distinct()
-    keyed = docs.withColumn("_g_key", _row_key(docs))
+    out = stored(out, "out")
+    twice = stored(prints.groupBy(F.col("doc_id").alias("_g"), F.col("_g_key").alias("_k")).count().filter("count > 1").select("_g", "_k"), "twice")
+    # rows that neither go nor repeat stay where they are
+    some, rest = sifted(docs.withColumn("_g_key", _row_key(docs)), F.col("_g_key"), out.select("_k").unionAll(twice.select("_k")))
     same = lambda d: F.col(f"`{doc_id}`").eqNullSafe(d["_g"]) & (F.col("_g_key") == d["_k"])
-    left = keyed.join(out, same(out), "left_anti")
+    left = some.join(out, same(out), "left_anti")
     # equal rows share id and hash: one of them stays
-    twice = stored(prints.groupBy(F.col("doc_id").alias("_g"), F.col("_g_key").alias("_k")).count().filter("count > 1").select("_g", "_k"), "twice")
     single, copies = left.join(twice, same(twice), "left_anti"), left.join(twice, same(twice), "left_semi")
-    return single.unionByName(copies.dropDuplicates([doc_id, "_g_key"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rest.unionByName(single).unionByName(copies.dropDuplicates([doc_id, "_g_key"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: Bands of minimum hashes and the hashes of a band; bits of a wide fingerprint in words of 64; its radius.
@@ -392,7 +395,8 @@ def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     # one row stands for each fingerprint that has a candidate; its text is looked up by id and row hash
     stand = prints.join(ends, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "_g_key")).alias("r"))
     stand = stored(stand.select("fingerprint", F.col("r.doc_id").alias("_s_id"), F.col("r._g_key").alias("_s_key")), "stand")
-    texts = keyed.join(stand, keyed["_g_key"] == stand["_s_key"]).filter(F.col("doc_id").eqNullSafe(F.col("_s_id")))
+    some, _ = sifted(keyed, F.col("_g_key"), stand.select("_s_key"))
+    texts = some.join(stand, some["_g_key"] == stand["_s_key"]).filter(F.col("doc_id").eqNullSafe(F.col("_s_id")))
     texts = stored(texts.select("fingerprint", "text").dropDuplicates(["fingerprint"]), "texts")
     found = components(confirmed(pairs, texts, shingle, similarity))
     return _first_of_each(docs, doc_id, prints, found)
