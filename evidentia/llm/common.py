@@ -68,6 +68,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Bytes of a batch that Spark sends to a Python worker; JVM and worker each hold a few at once.
+ARROW_BYTES = 4 << 20
+
+
+def byte_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to `ARROW_BYTES`, so that long texts fit small executors.
+
+    The setting has no effect on results; Spark reads it when a plan runs, so it cannot be set for one plan alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"([0-9]+)([a-z]*)", spark.conf.get(name).strip().lower()).groups()
+    if int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20}.get(unit, 30) > ARROW_BYTES:
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 def byte_slices(sizes: list[int], limit: int = BATCH_BYTES):
     """(start, end) runs of about `limit` bytes each; a longer row is a run of its own."""
     start = total = 0
@@ -87,6 +102,7 @@ def map_texts(docs: DataFrame, text: str, added: dict[str, str], start, keep: li
     reaches it as b"". `keep` names the columns that go on (default: all but those that `added` replaces); the columns
     `also` reach f as further lists.
     """
+    byte_batches(docs.sparkSession)
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in added]
     names, at = [f"c{i}" for i in range(len(keep))], len(keep)
     # columns travel under names of their own, so that no name can clash on the way
