@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_texts, sifted, stored
+from .common import byte_batches, byte_slices, map_texts, sifted, stored
 
 WINDOW = 2
 DIVISOR = 2
@@ -118,6 +118,7 @@ def _document(doc_id: str, text: str) -> list:
 
 def spread(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """One row for each passage: doc_id, text_key, start and end (lines), chunk, digest, and for chunks body."""
+    byte_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(*_document(doc_id, text), F.col(f"`{text}`").cast("binary").alias("text"))
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import byte_batches, shared_path, stored
 
 BLOCK_ROWS = 1000
 #: Archived bytes and captures that one task of an index or a lookup takes.
@@ -114,6 +114,7 @@ def _page(name: str = "page_id"):
 
 def write(pages: DataFrame, folder: str, dedup_from: int = 0) -> DataFrame:
     """Writes the archives below `folder`; returns captures: key, page (see `_page`), file, offset, length."""
+    byte_batches(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", body.alias("payload")).withColumn("same", F.concat(F.sha2("payload", 256), F.octet_length("payload").cast("string")))
     order = F.when(F.col("page_id").isNotNull(), F.struct(F.col("page_id"), F.coalesce("url", F.lit(""))))
