@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, pii, quality_rules, segment_bpe, simhash, token_counts, warc
+from . import chat_format, chunk_table, decontaminate, hard_negatives, license_scan, line_dedup, pii, quality_rules, segment_bpe, simhash, token_counts, warc, whitening
 from .common import read
 
 
 #: A tokenizer's vocabulary file; a parameter of the operators, never copied.
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -108,6 +109,24 @@ def op10_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4, scale=256)
+    # a deviation beyond long is null here; the operator has it as a decimal
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = chunk_table.encode(docs, vocabulary(PIECES), begin=True, end=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label=label, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
 OP8_SQL = f"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
@@ -134,5 +153,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_simhash, op4_warc, op5_token_counts, op6_decontaminate, op7_pii, op8_quality_rules, op9_license_scan, op10_segment_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_simhash, op4_warc, op5_token_counts, op6_decontaminate, op7_pii, op8_quality_rules, op9_license_scan, op10_segment_bpe, op11_whitening, op12_sentencepiece, op13_hard_negatives)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op8_quality_rules": OP8_SQL}
