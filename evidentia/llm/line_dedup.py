@@ -9,20 +9,22 @@ than once the first occurrence stays, by document and then by place; all others
 Where a passage is cut depends on the lines before it, so its ends may differ from copy to copy. With `runs` all runs
 of consecutive lines that reach `min_words` words are compared as well, from every start and to every end; longer runs
 are unions of these, so every line of a repeated passage of `min_words` words goes. Runs overlap, and their bytes would
-be many times the text's; they meet by 128 bits of SHA-256 instead. A line goes where any repeated chunk or run
+be many times the text's; they meet by 128 bits instead, polynomials over 128 bits of SHA-256 of each line, which sums
+over the text give in one step a run. A line goes where any repeated chunk or run
 holds it, and always has an earlier copy; of one document's overlapping copies the first stays. n_removed_chunks counts
 chunks alone.
 
 Texts are cut once; the passages are a table of their own, from which the repeated ones give the lines to remove.
 
 Defined results: null and empty texts have no chunks and stay as they are; a document is a doc_id (null: last) with its
-text, so rows that repeat both count as one whose first occurrence stays in each row; a text of any length is cut whole
-and a chunk or run is at most the text; an empty table gives an empty result; other columns pass through, except the
+text, so rows that repeat both count as one whose first occurrence stays in each row; a text of any length is cut whole,
+in memory and time that grow with its lines and bytes; an empty table gives an empty result; other columns pass through, except the
 added ones. Calling the operator runs jobs.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,57 +60,64 @@ def boundaries(hashes: list[int]) -> list[int]:
     return ends
 
 
-def run_bounds(words: list[int], min_words: int = MIN_WORDS) -> set[tuple[int, int]]:
-    """(first line, end) of the runs of lines that reach `min_words` words: the shortest from each start and to each end."""
-    found: set[tuple[int, int]] = set()
-    total, b = 0, 0
-    for a in range(len(words)):
-        while b < len(words) and total < min_words:
-            total, b = total + words[b], b + 1
-        if total < min_words:
-            break
-        found.add((a, b))
-        total -= words[a]
-    total, a = 0, len(words)
-    for b in range(len(words), 0, -1):
-        while a > 0 and total < min_words:
-            a -= 1
-            total += words[a]
-        if total < min_words:
-            break
-        found.add((a, b))
-        total -= words[b - 1]
-    return found
-
-
-def passages(text: bytes, min_words: int = MIN_WORDS, runs: bool = False) -> list[tuple[int, int, bytes, bytes, bool]]:
-    """(first line, end, digest, bytes, whether a chunk) of all chunks that count and, with `runs`, of the runs."""
+def run_bounds(words: list[int], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and ends of the runs of lines that reach `min_words` words: the shortest from each start and to each end."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    n = len(words)
+    ends = np.searchsorted(total, total[:-1] + min_words)
+    starts = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    first = np.concatenate([np.flatnonzero(ends <= n), starts[starts >= 0]])
+    last = np.concatenate([ends[ends <= n], 1 + np.flatnonzero(starts >= 0)])
+    return tuple(np.divmod(np.unique(first * (n + 1) + last), n + 1))
+
+
+#: Odd multipliers of the two polynomials that a run's lines make, and their inverses.
+_BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_INVERSES = np.array([pow(int(b), -1, 1 << 64) for b in _BASES], np.uint64)
+
+
+def run_digests(lines: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """16 bytes for each run of lines [first, last), from sums over the text: lines are two 64-bit words each."""
+    with np.errstate(over="ignore"):
+        powers = [np.cumprod(np.concatenate([np.ones((1, 2), np.uint64), np.tile(x, (len(lines), 1))]), axis=0, dtype=np.uint64) for x in (_INVERSES, _BASES)]
+        sums = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(lines * powers[0][:-1], axis=0, dtype=np.uint64)])
+        return (sums[last] - sums[first]) * powers[1][first] + (last - first).astype(np.uint64)[:, None]
+
+
+def _cut(text: bytes, min_words: int, runs: bool) -> tuple[list[tuple], tuple]:
+    """Chunks (first line, end, digest, bytes) and runs (first lines, ends, digests)."""
     import hashlib
 
     from xxhash import xxh64_intdigest
 
+    none = np.array([], np.int64)
     lines = text.split(b"\n")
     words = [len(x.split()) for x in lines]
     total = sum(words)
     if not total:
-        return []
-    places, a = [], 0
+        return [], (none, none, np.zeros((0, 2), np.uint64))
+    # a chunk is a slice of the text, by where its lines begin
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+    chunks, a = [], 0
     for b in boundaries([xxh64_intdigest(x) for x in lines]):
         n = sum(words[a:b])
         if n >= min_words or (b - a > 1 and n > 0):
-            places.append((a, b, True))
+            body = text[starts[a] : starts[b] - 1]
+            chunks.append((a, b, hashlib.sha256(body).digest()[:16], body))
         a = b
-    if runs and total >= min_words:
-        places += [(a, b, False) for a, b in run_bounds(words, min_words)]
-    # a passage is a slice of the text, by where its lines begin
-    starts = [0]
-    for x in lines:
-        starts.append(starts[-1] + len(x) + 1)
-    out = []
-    for a, b, chunk in sorted(places):
-        body = text[starts[a] : starts[b] - 1]
-        out.append((a, b, hashlib.sha256(body).digest()[:16], body, chunk))
-    return out
+    if not runs or total < min_words:
+        return chunks, (none, none, np.zeros((0, 2), np.uint64))
+    first, last = run_bounds(words, min_words)
+    hashes = np.frombuffer(b"".join([hashlib.sha256(x).digest()[:16] for x in lines]), np.uint64).reshape(-1, 2)
+    return chunks, (first, last, run_digests(hashes, first, last))
+
+
+def passages(text: bytes, min_words: int = MIN_WORDS, runs: bool = False) -> list[tuple]:
+    """(first line, end, digest, bytes, whether a chunk) of all chunks that count and, with `runs`, of the runs (bytes: None)."""
+    chunks, (first, last, digests) = _cut(text, min_words, runs)
+    return sorted([(*c, True) for c in chunks] + [(a, b, d.tobytes(), None, False) for a, b, d in zip(first.tolist(), last.tolist(), digests, strict=True)], key=lambda x: (x[0], x[1], x[4]))
 
 
 def _document(doc_id: str, text: str) -> list:
@@ -130,16 +139,18 @@ def spread(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
             for a, b in byte_slices(sizes, 1 << 20):
                 part = batch.slice(a, b - a)
-                rows: list[int] = []
-                out: list[list] = [[] for _ in range(5)]
-                for i, t in enumerate(part.column(2).to_pylist()):
-                    for first, end, digest, body, chunk in passages(t or b"", min_words, runs):
-                        rows.append(i)
-                        for column, value in zip(out, (first, end, chunk, digest, body if chunk else None), strict=True):
-                            column.append(value)
-                at = pa.array(rows, pa.int32())
-                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *[pa.array(v, t) for v, t in zip(out, kinds, strict=True)]], names=["doc_id", "text_key", "start", "end", "chunk", "digest", "body"])
+                cut = [_cut(t or b"", min_words, runs) for t in part.column(2).to_pylist()]
+                chunks = [(i, *c) for i, (own_chunks, _) in enumerate(cut) for c in own_chunks]
+                whose = np.repeat(np.arange(len(cut)), [len(r[0]) for _, r in cut])
+                first, last, digests = (np.concatenate([r[k] for _, r in cut]) for k in range(3))
+                at = pa.concat_arrays([pa.array([c[0] for c in chunks], pa.int64()), pa.array(whose)])
+                arrays = [pa.concat_arrays([pa.array([c[k] for c in chunks], pa.int32()), pa.array(x.astype(np.int32))]) for k, x in ((1, first), (2, last))]
+                packed = pa.Array.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(np.ascontiguousarray(digests))]).cast(pa.binary())
+                arrays += [pa.array(np.arange(len(at)) < len(chunks)), pa.concat_arrays([pa.array([c[3] for c in chunks], pa.binary()), packed])]
+                arrays.append(pa.concat_arrays([pa.array([c[4] for c in chunks], pa.binary()), pa.nulls(len(first), pa.binary())]))
+                made = pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *arrays], names=["doc_id", "text_key", "start", "end", "chunk", "digest", "body"])
+                for k in range(0, made.num_rows, 1 << 17):
+                    yield made.slice(k, 1 << 17)
 
     return own.mapInArrow(run, f"doc_id {kind}, text_key long, start int, end int, chunk boolean, digest binary, body binary")
 

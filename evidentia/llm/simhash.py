@@ -15,9 +15,12 @@ queries. A task emits a spanning forest of its links, never all pairs.
 
 `keep_similar` is for similarities that no small radius reaches. Its fingerprints have 256 bits, of five-word shingles
 of folded words; shards are keyed by `BANDS` bands of `ROWS` minimum hashes, in which documents of a Jaccard similarity
-of 0.8 meet with a probability of 0.998; the trees find links within a wide radius, of which the closest that join a
-shard stay (a minimum spanning forest) and are then confirmed by the exact similarity of the two documents. Shards
-beyond `SHARD` are dealt into trees of about that size, which share `PIVOTS` documents.
+of 0.8 meet with a probability of 0.998; the trees find links within a wide radius (such documents differ in 39 bits,
+give or take 6), of which the closest that join a shard stay (a minimum spanning forest) and are then confirmed by the
+exact similarity of the two documents. Shards beyond `SHARD` are dealt into trees of about that size, which share
+`PIVOTS` documents. Where a link fails, or a dealt shard holds several components, rounds follow in which documents of
+different components of a shard offer each other their closest untried links, twice as many each time, until all are
+tried; large shards then meet in blocks, but for blocks of one component. So no link of a shard within the radius is lost.
 
 Components come from alternating large-star and small-star steps on tables in the shared folder.
 
@@ -201,9 +204,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = sign(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # tables of their own, so that a join's sides are plain exchanges and a hot root's rows can be split
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = large.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         e = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         after = sign(e)
@@ -222,7 +227,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
 def _labelled(prints: DataFrame, found: DataFrame) -> DataFrame:
     own = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     rooted = own.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = stored(rooted, "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = rooted.join(least, "root").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
@@ -247,7 +253,8 @@ def _first_of_each(docs: DataFrame, doc_id: str, prints: DataFrame, found: DataF
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_g_key"))
     own = prints.groupBy("fingerprint").agg(F.min(rank).alias("least"))
     rooted = own.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    rooted = stored(rooted, "rooted")
+    first = stored(rooted.groupBy("root").agg(F.min("least").alias("first")), "first")
     named = stored(rooted.join(first, "root").select("fingerprint", "first"), "firsts")
     out = prints.join(named, "fingerprint").filter(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_g"), F.col("_g_key").alias("_k")).distinct()
     out = stored(out, "out")
@@ -263,7 +270,7 @@ def _first_of_each(docs: DataFrame, doc_id: str, prints: DataFrame, found: DataF
 
 
 #: Bands of minimum hashes and the hashes of a band; bits of a wide fingerprint in words of 64; its radius.
-BANDS, ROWS, WIDE, WIDE_RADIUS = 16, 5, 4, 64
+BANDS, ROWS, WIDE, WIDE_RADIUS = 16, 5, 4, 72
 #: Documents that all trees of a dealt shard share, about.
 PIVOTS = 256
 _ODD = (np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -319,32 +326,82 @@ def _known(known: dict) -> dict:
     return known
 
 
-def similar_links(prints: DataFrame, radius: int = WIDE_RADIUS, shard: int = SHARD, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b): candidate links between distinct wide fingerprints (fingerprint binary, bands array<long>) of shared bands."""
+def shards(prints: DataFrame) -> DataFrame:
+    """The stored table (band, fingerprint, n) of distinct wide fingerprints that share a band of minimum hashes with n - 1 others."""
     keyed = prints.groupBy("fingerprint").agg(F.min("bands").alias("bands")).select("fingerprint", F.explode("bands").alias("band"))
     sizes = stored(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
-    met = keyed.join(sizes, "band")
-    trees = F.ceil(F.col("n") / shard).cast("int")
-    pivot = (F.col("n") > shard) & (F.pmod(F.xxhash64("fingerprint", "band"), F.ceil(F.col("n") / pivots)) == 0)
-    dealt = F.when(pivot, F.sequence(F.lit(0), trees - 1)).otherwise(F.array(F.pmod(F.xxhash64("fingerprint"), trees).cast("int")))
-    rows = met.select("band", "fingerprint", F.explode(dealt).alias("tree_no"))
-    # the same documents meet in many bands: each set of them is searched once
-    packed = rows.groupBy("band", "tree_no").agg(F.sort_array(F.collect_list("fingerprint")).alias("tree")).filter("size(tree) > 1").select("tree").distinct()
+    return stored(keyed.join(sizes, "band"), "shards")
+
+
+def _searched(packed: DataFrame, search) -> DataFrame:
+    """(a, b, more) of search(fingerprints, labels) -> [(number, number, more)] for each set `tree` of (fingerprint, label)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a: list[bytes] = []
-            b: list[bytes] = []
+            out: list[list] = [[], [], []]
             for tree in batch.column(0).to_pylist():
-                own = np.frombuffer(b"".join(tree), "<u8").reshape(len(tree), -1)
-                for x, y in closest(own, radius):
-                    a.append(tree[x])
-                    b.append(tree[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                names = [x["fingerprint"] for x in tree]
+                for x, y, more in search(np.frombuffer(b"".join(names), "<u8").reshape(len(names), -1), np.array([x["label"] for x in tree])):
+                    for column, value in zip(out, (names[x], names[y], more), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["a", "b", "more"])
+
+    found = packed.mapInArrow(run, "a binary, b binary, more boolean")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
+
+
+def similar_links(met: DataFrame, radius: int = WIDE_RADIUS, shard: int = SHARD, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b, more): the closest links that join what lies within the radius in a shard; large shards are dealt into trees that share some documents."""
+    trees = F.ceil(F.col("n") / shard).cast("int")
+    pivot = (F.col("n") > shard) & (F.pmod(F.xxhash64("fingerprint", "band"), F.ceil(F.col("n") / pivots)) == 0)
+    dealt = F.when(pivot, F.sequence(F.lit(0), trees - 1)).otherwise(F.array(F.pmod(F.xxhash64("fingerprint"), trees).cast("int")))
+    rows = met.select("band", F.struct("fingerprint", F.lit(0).alias("label")).alias("f"), F.explode(dealt).alias("tree_no"))
+    # the same documents meet in many bands: each set of them is searched once
+    packed = rows.groupBy("band", "tree_no").agg(F.sort_array(F.collect_list("f")).alias("tree")).filter("size(tree) > 1").select("tree").distinct()
+    return _searched(packed, lambda values, _: [(x, y, False) for x, y in closest(values, radius)])
+
+
+def offered(values: np.ndarray, labels: np.ndarray, radius: int, most: int) -> list[tuple[int, int, bool]]:
+    """For each value its `most` closest links to values of other labels, and whether it has more of them."""
+    out = []
+    for node, near, d in BKTree(values).search(values, radius):
+        other = labels[near] != labels[node]
+        near, d = near[other], d[other]
+        more = len(near) > most
+        if more:
+            first = np.argsort(d, kind="stable")[:most]
+            near = near[first]
+        out += [(node, int(x), more) for x in near]
+    return out
 
-    return packed.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def open_links(met: DataFrame, found: DataFrame, most: int, radius: int = WIDE_RADIUS, shard: int = SHARD) -> DataFrame:
+    """(a, b, more): the closest links between the components `found` (node, root) that share a shard, `most` for each document.
+
+    Shards of one component are done. A large shard is cut into blocks: components of half a block or more into blocks of
+    their own, the others together; two blocks meet in one task unless they are of one component.
+    """
+    half = shard // 2
+    rows = met.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.xxhash64(F.coalesce("root", "fingerprint")))
+    mixed = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("band")
+    rows = stored(rows.join(mixed, "band", "left_semi").select("band", "n", "fingerprint", "label"), "open")
+    rest = rows.filter(F.col("n") > shard)
+    sizes = rest.groupBy("band", "label").agg(F.count("*").alias("own"))
+    pools = sizes.groupBy("band").agg(F.sum(F.when(F.col("own") < half, F.col("own")).otherwise(0)).alias("pooled"))
+    sizes = stored(sizes.join(pools, "band"), "sizes")
+    pure = F.col("own") >= half
+    number = F.when(pure, F.pmod(F.xxhash64("fingerprint"), F.ceil(F.col("own") / half))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.ceil(F.col("pooled") / half))))
+    rest = stored(rest.join(sizes, ["band", "label"]).select("band", "fingerprint", "label", F.when(pure, F.col("label")).alias("of"), F.xxhash64(F.when(pure, F.col("label")), number).alias("block")), "blocks")
+    blocks = rest.select("band", "block", "of").distinct()
+    two = blocks.select("band", F.col("block").alias("other"), F.col("of").alias("other_of"))
+    meet = blocks.join(two, "band").filter("block <= other AND NOT coalesce(of = other_of, false)").select("band", "block", "other")
+    sides = meet.select("band", "block", "block", "other").toDF("band", "block", "x", "y").unionByName(meet.filter("block < other").select("band", "other", "block", "other").toDF("band", "block", "x", "y"))
+    pairs = rest.join(stored(sides, "meet"), ["band", "block"]).select("band", "x", "y", "fingerprint", "label")
+    whole = rows.filter(F.col("n") <= shard).select("band", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "fingerprint", "label")
+    packed = whole.unionByName(pairs).groupBy("band", "x", "y").agg(F.sort_array(F.collect_list(F.struct("fingerprint", "label"))).alias("tree")).filter("size(tree) > 1").select("tree").distinct()
+    return _searched(packed, lambda values, labels: offered(values, labels, radius, most))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -372,7 +429,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = 5, similarity:
     return met.mapInArrow(run, "a binary, b binary")
 
 
-def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, shard: int = SHARD) -> DataFrame:
     """One row of each group of documents of that similarity, chosen as by `keep_one`, in the columns of `docs`."""
 
     def start():
@@ -390,13 +447,39 @@ def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
     keyed = _keyed(docs, text, doc_id)
     prints = stored(map_texts(keyed, "text", {"fingerprint": "binary", "bands": "array<long>"}, start, ["doc_id", "_g_key"]), "prints")
-    pairs = stored(similar_links(prints), "pairs")
+    met = shards(prints)
+    pairs = stored(similar_links(met, shard=shard, pivots=max(1, min(PIVOTS, shard // 8))), "pairs")
+    texts = edges = tried = None
+    most = 1
+    while True:
+        new = _texts_of(pairs, texts, prints, keyed)
+        texts = new if texts is None else texts.unionByName(new)
+        good = stored(confirmed(pairs.select("a", "b"), texts, shingle, similarity), "confirmed")
+        edges = good if edges is None else edges.unionByName(good)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        found = components(edges)
+        # a link that failed may have hidden longer ones between its components: these offer twice as many in each round
+        while True:
+            near = stored(open_links(met, found, most, shard=shard), "pairs")
+            pairs = stored(near.join(tried, ["a", "b"], "left_anti"), "pairs")
+            if not pairs.isEmpty():
+                break
+            if near.filter("more").isEmpty():
+                return _first_of_each(docs, doc_id, prints, found)
+            most *= 2
+        most *= 2
+
+
+def _texts_of(pairs: DataFrame, known: DataFrame | None, prints: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The stored texts (fingerprint, text) of the ends of `pairs` that `known` lacks."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
+    if known is not None:
+        ends = ends.join(known, "fingerprint", "left_anti")
     # one row stands for each fingerprint that has a candidate; its text is looked up by id and row hash
     stand = prints.join(ends, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "_g_key")).alias("r"))
     stand = stored(stand.select("fingerprint", F.col("r.doc_id").alias("_s_id"), F.col("r._g_key").alias("_s_key")), "stand")
+    if known is not None and stand.isEmpty():
+        return known.limit(0)
     some, _ = sifted(keyed, F.col("_g_key"), stand.select("_s_key"))
-    texts = some.join(stand, some["_g_key"] == stand["_s_key"]).filter(F.col("doc_id").eqNullSafe(F.col("_s_id")))
-    texts = stored(texts.select("fingerprint", "text").dropDuplicates(["fingerprint"]), "texts")
-    found = components(confirmed(pairs, texts, shingle, similarity))
-    return _first_of_each(docs, doc_id, prints, found)
+    found = some.join(stand, some["_g_key"] == stand["_s_key"]).filter(F.col("doc_id").eqNullSafe(F.col("_s_id")))
+    return stored(found.select("fingerprint", "text").dropDuplicates(["fingerprint"]), "texts")

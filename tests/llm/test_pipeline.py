@@ -98,3 +98,13 @@ def test_entry_works_without_the_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; n = e.queries(); assert 'vocabulary_df' in n and not any(x.startswith('op') or x == 'pipeline' for x in n); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": os.environ["PATH"], "HOME": str(tmp_path)})
+
+
+def test_columns_of_any_name_pass_the_line_stage(spark):
+    same = "\n".join(f"line {k} " + "word " * 30 for k in range(4))
+    rows = [(1, same, 777, "x", 9), (2, same + "\nown line of this one", 888, "y", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, `a.b` string, n_removed_chunks int")
+    out = cp.lines(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id, r.n_lines, r["a.b"], r.n_removed_chunks, r.text) for r in out.collect())
+    assert got == [(1, 777, "x", 9, same), (2, 888, "y", 9, "own line of this one")]

@@ -89,7 +89,7 @@ def test_a_large_group_of_near_copies(spark):
     rng = random.Random(6)
     docs = [(i, t) for i, t in enumerate(copies(rng, [f"w{k}" for k in range(300)], 300, 2))]
     prints = simhash.map_texts(spark.createDataFrame(docs, "doc_id long, text string"), "text", {"fingerprint": "binary", "bands": "array<long>"}, lambda: lambda ts: [*zip(*[simhash.wide_print(simhash.shingle_hashes(simhash.split_words(t), 5, {})) for t in ts])], ["doc_id"])
-    dealt = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.similar_links(prints, shard=40, pivots=10).collect()}
+    dealt = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.similar_links(simhash.shards(prints), shard=40, pivots=10).collect()}
     parent = {bytes(r.fingerprint): bytes(r.fingerprint) for r in prints.collect()}
     for a, b in map(sorted, dealt):
         x, y = ref.find(parent, a), ref.find(parent, b)
@@ -97,6 +97,59 @@ def test_a_large_group_of_near_copies(spark):
     assert len({ref.find(parent, x) for x in parent}) == 1
 
 
+@pytest.mark.parametrize("shard", [simhash.SHARD, 16])
+def test_links_that_fail_hide_no_others(spark, shard):
+    """Families on both sides of the threshold, whose closest links often fail; with small shards they meet in blocks."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for g in range(25):
+        words = [f"g{g}w{k}" for k in range(rng.choice([40, 120]))]
+        rows += [t for changes in (1, 2, 3, 4, 5) for t in copies(rng, words, 4, changes)]
+    docs = [(i, " ".join(f"{w}" for w in t.split())) for i, t in enumerate(rows)]
+    kept = {r.doc_id for r in simhash.keep_similar(spark.createDataFrame(docs, "doc_id long, text string"), shard=shard).collect()}
+    group = ref.similar(docs)
+    assert kept == {d for d in group if group[d] == d} and 25 < len(kept) < len(docs)
+
+
+def test_offers_are_the_closest_and_all_in_the_end():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 8, (60, 1)).astype(np.uint64)
+    labels = rng.integers(0, 3, 60)
+    apart = lambda a, b: int(values[a, 0] ^ values[b, 0]).bit_count()
+    want = {a: sorted(apart(a, b) for b in range(60) if labels[a] != labels[b] and apart(a, b) <= 3) for a in range(60)}
+    for most in (1, 2, 64):
+        got = {a: [] for a in range(60)}
+        for a, b, more in simhash.offered(values, labels, 3, most):
+            got[a].append(apart(a, b))
+            assert labels[a] != labels[b] and more == (len(want[a]) > most)
+        assert {a: sorted(x) for a, x in got.items()} == {a: x[:most] for a, x in want.items()}
+
+
+def test_blank_lines_cost_no_more_than_others():
+    import tracemalloc
+
+    text = b"\n" * 200_000 + b"w " * 60
+    tracemalloc.start()
+    found = line_dedup._cut(text, 50, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[1][0]) == 200_001 and peak < 150 << 20
+
+
+def test_runs_of_blank_lines_by_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    line = lambda: "" if rng.random() < 0.5 else f"w{rng.randrange(4)} " * rng.choice([10, 30])
+    docs = [(d, "\n".join(line() for _ in range(rng.randrange(12)))) for d in range(120)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), runs=True)
+    assert {r.doc_id: r.text for r in out.collect()} == ref.dedup_lines(docs, runs=True)
+
+
 def test_similar_documents_of_awkward_rows(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
     rows = [(1, a, 1), (1, a, 1), (2, a.upper() + "!", 2), (None, a, 3), (None, b, 4), (None, b, 4), (5, None, 5), (6, "", 6), (7, " .. ", 7), (8, "one", 8), (9, "One.", 9), (10, "x " * 300_000, 10)]
