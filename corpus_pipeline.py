@@ -28,10 +28,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines and runs of 50 words go, and documents that held nothing else; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, runs=True)
-    out = out.filter((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    # columns travel under names of their own, which the operator's added ones cannot clash with
+    own = {c: f"k{i}" for i, c in enumerate(docs.columns)}
+    out = line_dedup.dedup_lines(docs.toDF(*own.values()), own["doc_id"], own["text"], runs=True)
+    text = F.col(own["text"])
+    out = out.filter((F.col("n_removed_lines") == 0) | text.rlike(r"[^\x20\x09-\x0D]"))
+    if n := own.get("n_chars"):
+        out = out.withColumn(n, F.when(F.col("n_removed_lines") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*own.values()).toDF(*own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
