@@ -97,39 +97,45 @@ def greedy_select(hits: DataFrame, question: str, budget: int) -> DataFrame:
     return by_group(hits, question, step, f"{question} {kinds[question]}, facet {kinds['facet']}, passage {kinds['passage']}, doc {kinds['doc']}, position long, reason string, cost long")
 
 
-def close_over(seeds: list, edges: dict) -> list:
-    """Nodes reachable from the seeds, in order."""
-    seen, open_ = set(), list(seeds)
-    while open_:
-        n = open_.pop()
-        if n not in seen:
-            seen.add(n)
-            open_ += edges.get(n, ())
-    return sorted(seen)
-
-
-def pack(costs: dict, edges: dict, seeds: list, budget: int) -> list[tuple[list, list]]:
-    """Packets (nodes, issues) of at most `budget`: bundles of a seed with all that it refers to, in order of the seeds.
-
-    If everything fits it is one packet. A bundle beyond the budget is its seed alone, with an issue that says so; a
-    seed beyond the budget is an error.
+def pack(bundles: list[tuple[int, list[tuple[int, int]]]], costs: list[int], budget: int, overhead: int = 0) -> Iterator[tuple[int, list[int], list[int], list[str]]]:
+    """Packets (number, places, seeds, issues) of at most `budget` from bundles (seed, intervals of places that it needs), in the order of the seeds.
+
+    If everything fits it is one packet. A bundle beyond the budget is its seed alone, with an issue that says so; a seed
+    beyond it is a packet of its own, with an issue too.
     """
-    total = lambda nodes: sum(costs[n] for n in nodes)
-    if big := [s for s in seeds if costs[s] > budget]:
-        raise ValueError(f"blocks beyond the budget: {big[:5]}")
-    if total(whole := close_over(seeds, edges)) <= budget:
-        return [(whole, [])] if whole else []
-    packets, held, issues = [], set(), []
-    for s in sorted(set(seeds)):
-        bundle, note = close_over([s], edges), []
-        if total(bundle) > budget:
-            bundle, note = [s], [f"budget exceeded: {s}"]
-        if held and total(held | {*bundle}) > budget:
-            packets.append((sorted(held), issues))
-            held, issues = set(), []
-        held |= {*bundle}
-        issues = issues + note
-    return [*packets, (sorted(held), issues)] if held else packets
+    places = lambda own: {p for a, b in own for p in range(a, b + 1)}
+    sums = [0]
+    for c in costs:
+        sums.append(sums[-1] + c)
+    weigh = lambda own: overhead + sum(sums[b + 1] - sums[a] for a, b in own)
+    every = sorted({i for _, own in bundles for i in own})
+    whole: list[tuple[int, int]] = []
+    for a, b in every:
+        if whole and a <= whole[-1][1] + 1:
+            whole[-1] = (whole[-1][0], max(b, whole[-1][1]))
+        else:
+            whole.append((a, b))
+    if whole and weigh(whole) <= budget:
+        yield 1, sorted(places(whole)), [s for s, _ in sorted(bundles)], []
+        return
+    number, held, cost, seeds, issues = 1, set(), overhead, [], []
+    for seed, own in sorted(bundles):
+        note = []
+        if weigh([(seed, seed)]) > budget:
+            own, note = [(seed, seed)], [f"seed_exceeds_budget:{seed}"]
+        elif weigh(own) > budget:
+            own, note = [(seed, seed)], [f"budget_exceeded:{seed}"]
+        new = places(own) - held
+        if held and cost + sum(costs[p] for p in new) > budget:
+            yield number, sorted(held), seeds, issues
+            number, held, cost, seeds, issues = number + 1, set(), overhead, [], []
+            new = places(own)
+        held |= new
+        cost += sum(costs[p] for p in new)
+        seeds.append(seed)
+        issues += note
+    if held:
+        yield number, sorted(held), seeds, issues
 
 
 def budget_ledger(calls: list[dict], most_calls: int, most_tokens: int, reserves: dict[str, int]) -> Iterator[dict]:

@@ -1,6 +1,6 @@
-"""A hundred generated cases of references with known answers: chains, broken and circular ones, and direct controls.
+"""A case of references with a known answer for every part: chains, broken and circular ones, and direct controls.
 
-Case n below 60 is a chain of 1, 2, 3 or 5 references in one of five wordings or numberings under one of three budgets;
+The last two digits of a part's key say which. A case below 60 is a chain of 1, 2, 3 or 5 references in one of five wordings or numberings under one of three budgets;
 the next 20 lack a target, name two, lack a step, name a range, or run in a circle; the last 20 refer to nothing.
 """
 
@@ -15,23 +15,23 @@ _HOPS = (1, 2, 3, 5)
 _SPECIAL = ("missing_target", "ambiguous_target", "missing_intermediate", "section_range", "cycle")
 
 
-def cases(spark):
-    """case_id, category, hops, mutation, regime (0 ample, 1 one unit short, 2 the seed alone)."""
-    n = F.col("case_id")
+def cases(part):
+    """case_id (the part's key), category, hops, mutation, regime (0 ample, 1 one unit short, 2 the seed alone)."""
+    n = F.col("p_partkey") % 100
     kinds = F.array(*map(F.lit, _SPECIAL))
     special, direct = (n >= 60) & (n < 80), n >= 80
     category = F.when(special, F.get(kinds, F.floor((n - 60) / 4).cast("int"))).when(direct, "direct").otherwise("chain")
     hops = F.when(special, 2).when(direct, 0).otherwise(F.get(F.array(*map(F.lit, _HOPS)), F.floor(n / 15).cast("int")))
     regime = F.when(n < 60, n % 3).otherwise(n % 2 * 2)
-    return spark.range(100).withColumnRenamed("id", "case_id").select("case_id", category.alias("category"), hops.alias("hops"), F.when(n < 60, F.floor(n / 3) % 5).otherwise(0).alias("mutation"), regime.alias("regime"))
+    return part.select(F.col("p_partkey").alias("case_id"), category.alias("category"), hops.alias("hops"), F.when(n < 60, F.floor(n / 3) % 5).otherwise(0).alias("mutation"), regime.alias("regime"))
 
 
 def blocks(made):
-    """doc (the case, or beyond 1000 a document beside it), block, position, number (of its section) and text."""
+    """doc (the case, or below zero a document beside it), block, position, number (of its section) and text."""
     p, c = F.col("position"), F.col("category")
     rows = made.select("*", F.explode(F.sequence(F.lit(0), F.col("hops"))).alias("position"))
     # renumbered chains leave gaps between their numbers; an ambiguous label is the one that two sections have
-    number = lambda q: 20 + F.col("case_id") * 7 + F.when(F.col("mutation") == 1, 13 * q).otherwise(q)
+    number = lambda q: 20 + F.col("case_id") % 100 * 7 + F.when(F.col("mutation") == 1, 13 * q).otherwise(q)
     see = F.when(F.col("mutation") == 3, F.format_string("Eligibility is conditional. See Section %d for the exception.", number(p + 1))).otherwise(F.format_string("Staff are eligible subject to Section %d.", number(p + 1)))
     text = (
         F.when(c == "direct", "The training room is located on the second floor.").when((c == "section_range") & (p == 0), F.format_string("Staff are eligible subject to Sections %d-%d.", number(p + 1), number(p + 2)))
@@ -40,21 +40,21 @@ def blocks(made):
     )
     lost = ((c == "missing_target") & (p == 2)) | ((c == "missing_intermediate") & (p == 1))
     own = rows.filter(~lost).select("case_id", F.col("case_id").alias("doc"), p.cast("long").alias("position"), F.when((c == "ambiguous_target") & (p == 2), number(F.lit(1))).otherwise(number(p)).alias("number"), text.alias("text"), F.when(F.col("mutation") == 2, F.col("hops") - p).otherwise(p).cast("long").alias("block"))
-    beside = own.join(made.filter("mutation = 4").select("case_id"), "case_id", "left_semi").select("case_id", (F.col("doc") + 1000).alias("doc"), "position", "number", F.lit("Contractors are included under this unrelated policy.").alias("text"), "block")
+    beside = own.join(made.filter("mutation = 4").select("case_id"), "case_id", "left_semi").select("case_id", (-1 - F.col("doc")).alias("doc"), "position", "number", F.lit("Contractors are included under this unrelated policy.").alias("text"), "block")
     filler = made.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("case_id", F.col("case_id").alias("doc"), F.lit(None).cast("long").alias("position"), (5000 + F.col("k")).cast("long").alias("number"), F.lit("This unrelated paragraph describes furniture.").alias("text"), (10 + F.col("k")).cast("long").alias("block"))
     return own.unionByName(beside).unionByName(filler)
 
 
 @query("G15 C7 G5 A28", """
-WITH n AS (SELECT unnest(generate_series(0, 99)) AS id),
-c AS (SELECT id, CASE WHEN id < 60 THEN 'chain' WHEN id < 80 THEN (['missing_target', 'ambiguous_target', 'missing_intermediate', 'section_range', 'cycle'])[(id - 60) // 4 + 1] ELSE 'direct' END AS category, CASE WHEN id < 60 THEN ([1, 2, 3, 5])[id // 15 + 1] WHEN id < 80 THEN 2 ELSE 0 END AS hops, CASE WHEN id < 60 THEN id % 3 ELSE id % 2 * 2 END AS regime FROM n),
+WITH n AS (SELECT p_partkey AS part, p_partkey % 100 AS id FROM part),
+c AS (SELECT part, id, CASE WHEN id < 60 THEN 'chain' WHEN id < 80 THEN (['missing_target', 'ambiguous_target', 'missing_intermediate', 'section_range', 'cycle'])[(id - 60) // 4 + 1] ELSE 'direct' END AS category, CASE WHEN id < 60 THEN ([1, 2, 3, 5])[id // 15 + 1] WHEN id < 80 THEN 2 ELSE 0 END AS hops, CASE WHEN id < 60 THEN id % 3 ELSE id % 2 * 2 END AS regime FROM n),
 f AS (SELECT *, CASE category WHEN 'missing_target' THEN 2 WHEN 'ambiguous_target' THEN 1 WHEN 'missing_intermediate' THEN 1 ELSE hops + 1 END AS whole, category IN ('missing_target', 'ambiguous_target', 'missing_intermediate') AS open FROM c)
-SELECT id AS case_id, category, method, CASE method WHEN 'seed' THEN 1 WHEN 'two_hops' THEN least(whole, 3) ELSE whole END AS found,
+SELECT part AS case_id, category, method, CASE method WHEN 'seed' THEN 1 WHEN 'two_hops' THEN least(whole, 3) ELSE whole END AS found,
   NOT open AND CASE method WHEN 'seed' THEN 1 WHEN 'two_hops' THEN least(whole, 3) ELSE whole END = whole AND (regime = 0 OR whole = 1) AS complete, method = 'closure' AND open AS reported
 FROM f, (VALUES ('seed'), ('two_hops'), ('closure')) m(method)""")
 def closure_cases(x):
-    """Three methods over the generated cases: what each finds, whether that is all and fits the budget, and whether it says what is open."""
-    made = cases(x.spark)
+    """Three methods over the cases: what each finds, whether that is all and fits the budget, and whether it says what is open."""
+    made = cases(x.part)
     b = blocks(made)
     sections = b.select("doc", F.concat(F.lit("Section "), F.col("number").cast("string"), F.lit(" Eligibility")).alias("heading"), F.col("block").alias("first"), F.col("block").alias("last"))
     found = r.resolved(r.references(b), r.targets(b, sections))

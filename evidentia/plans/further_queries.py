@@ -26,7 +26,7 @@ def disjoint_hashes(x):
     return x.documents.filter("lang = 'en'").select(sha).intersect(x.benchmark.select(sha)).agg(F.count("*").alias("shared"))
 
 
-@query("W21 G14", """
+@query("W21", """
 WITH c AS (SELECT o_custkey AS scope, o_orderkey AS card, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn FROM orders),
 r AS (SELECT *, sum(size) OVER (PARTITION BY scope % 10 ORDER BY turn, scope, card ROWS UNBOUNDED PRECEDING) AS running FROM c)
 SELECT scope, card, turn FROM r WHERE running <= 5000000""")

@@ -13,21 +13,7 @@ from ..streaming import runs
 from .registry import query
 
 
-@query("G4 G7 G8 U5")
-def pack_closed(x):
-    """Packets of an order's lines, each with the line that it refers to (half its number)."""
-    rows = x.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("cost"))
-
-    def step(order, lines):
-        costs = {x["l_linenumber"]: x["cost"] for x in lines}
-        edges = {n: [n // 2] if n // 2 in costs else [] for n in costs}
-        packets = q.pack(costs, edges, sorted(costs), 100)
-        return [(order, k, len(nodes), sum(costs[n] for n in nodes), len(issues)) for k, (nodes, issues) in enumerate(packets)]
-
-    return q.by_group(rows, "l_orderkey", step, "l_orderkey long, packet long, nodes long, cost long, issues long")
-
-
-@query("F25 G12")
+@query("F25")
 def block_splits(x):
     """Documents in pieces of at most 384 estimated tokens."""
 

@@ -30,12 +30,56 @@ def test_order_of_rows_does_not_matter():
 
 
 def test_pack_bundles():
-    costs, edges = {1: 10, 2: 10, 3: 10, 4: 30}, {2: [1], 3: [2], 4: [3]}
-    assert q.pack(costs, edges, [1, 2, 3, 4], 60) == [([1, 2, 3, 4], [])]
-    assert q.pack(costs, edges, [1, 2, 3, 4], 30) == [([1, 2, 3], []), ([4], ["budget exceeded: 4"])]
-    assert q.pack({}, {}, [], 5) == []
-    with pytest.raises(ValueError):
-        q.pack(costs, edges, [4], 20)
+    costs, bundles = [10, 10, 10, 30], [(0, [(0, 0)]), (1, [(0, 1)]), (2, [(0, 2)]), (3, [(0, 3)])]
+    assert [*q.pack(bundles, costs, 60)] == [(1, [0, 1, 2, 3], [0, 1, 2, 3], [])]
+    assert [*q.pack(bundles, costs, 30)] == [(1, [0, 1, 2], [0, 1, 2], []), (2, [3], [3], ["budget_exceeded:3"])]
+    assert [*q.pack(bundles, costs, 33, 5)] == [(1, [0, 1], [0, 1], []), (2, [2], [2], ["budget_exceeded:2"]), (3, [3], [3], ["seed_exceeds_budget:3"])]
+    assert [*q.pack([], [], 5)] == []
+
+
+def test_packets_of_closures_by_brute_force(spark):
+    """Every line with all that its references lead to, from the resolved labels, which SQL holds."""
+    from evidentia.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    edges, issues, costs = {}, {}, {}
+    for r in catalog.QUERIES["label_resolution"](spark, sf).collect():
+        if r.target:
+            edges.setdefault((r.doc, r.block), set()).add(r.target)
+        if r.issue:
+            issues.setdefault((r.doc, r.block), set()).add(f"{r.issue}:{r.block}:{r.label}")
+    lines = sorted((r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_quantity) for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect())
+    for doc, *_, quantity in lines:
+        own = costs.setdefault(doc, {})
+        own[len(own) + 1] = int(quantity)
+    want = []
+    for doc, own in costs.items():
+        def reach(seed):
+            seen, line = {seed}, [seed]
+            for b in line:
+                line += [x for x in edges.get((doc, b), ()) if x not in seen and not seen.add(x)]
+            return seen
+
+        total = lambda blocks: sum(own[b] for b in blocks)
+        if total(own) <= 150:
+            packets = [(set(own), {i for b in own for i in issues.get((doc, b), ())})]
+        else:
+            packets, held, notes = [], set(), set()
+            for seed in sorted(own):
+                needs = reach(seed)
+                said = {i for b in needs for i in issues.get((doc, b), ())}
+                bundle = needs
+                if total(needs) > 150:
+                    bundle, said = {seed}, said | {f"budget_exceeded:{seed}"} | {("lacks", b) for b in needs}
+                if held and total(held | bundle) > 150:
+                    packets.append((held, notes))
+                    held, notes = set(), set()
+                held, notes = held | bundle, notes | said
+            packets.append((held, notes))
+        for k, (blocks, notes) in enumerate(packets, 1):
+            want.append((doc, k, len(blocks), total(blocks), len({n for n in notes if not (isinstance(n, tuple) and n[1] in blocks)})))
+    got = sorted((r.doc, r.packet, r.blocks, r.cost, r.issues) for r in catalog.QUERIES["pack_closed"](spark, sf).collect())
+    assert got == sorted(want) and any(k > 1 for _, k, *_ in got)
 
 
 def test_budget_ledger_charges():
