@@ -14,7 +14,8 @@ over the text give in one step a run. A line goes where any repeated chunk or ru
 holds it, and always has an earlier copy; of one document's overlapping copies the first stays. n_removed_chunks counts
 chunks alone.
 
-Texts are cut once; the passages are a table of their own, from which the repeated ones give the lines to remove.
+The passages are a table of their own, without their bytes; those whose digests repeat give the lines to remove, chunks
+once their bytes, cut out of the texts again, have been compared.
 
 Defined results: null and empty texts have no chunks and stay as they are; a document is a doc_id (null: last) with its
 text, so rows that repeat both count as one whose first occurrence stays in each row; a text of any length is cut whole,
@@ -125,8 +126,8 @@ def _document(doc_id: str, text: str) -> list:
     return [F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key")]
 
 
-def spread(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
-    """One row for each passage: doc_id, text_key, start and end (lines), chunk, digest, and for chunks body."""
+def spread(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False, bodies: bool = False) -> DataFrame:
+    """One row for each passage: doc_id, text_key, start and end (lines), chunk, digest, and with `bodies` (of chunks alone) body."""
     byte_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(*_document(doc_id, text), F.col(f"`{text}`").cast("binary").alias("text"))
@@ -147,26 +148,32 @@ def spread(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                 arrays = [pa.concat_arrays([pa.array([c[k] for c in chunks], pa.int32()), pa.array(x.astype(np.int32))]) for k, x in ((1, first), (2, last))]
                 packed = pa.Array.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(np.ascontiguousarray(digests))]).cast(pa.binary())
                 arrays += [pa.array(np.arange(len(at)) < len(chunks)), pa.concat_arrays([pa.array([c[3] for c in chunks], pa.binary()), packed])]
-                arrays.append(pa.concat_arrays([pa.array([c[4] for c in chunks], pa.binary()), pa.nulls(len(first), pa.binary())]))
-                made = pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *arrays], names=["doc_id", "text_key", "start", "end", "chunk", "digest", "body"])
+                arrays += [pa.array([c[4] for c in chunks], pa.binary())] if bodies else []
+                made = pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *arrays], names=["doc_id", "text_key", "start", "end", "chunk", "digest", *["body"][: bodies]])
                 for k in range(0, made.num_rows, 1 << 17):
                     yield made.slice(k, 1 << 17)
 
-    return own.mapInArrow(run, f"doc_id {kind}, text_key long, start int, end int, chunk boolean, digest binary, body binary")
+    return own.mapInArrow(run, f"doc_id {kind}, text_key long, start int, end int, chunk boolean, digest binary" + (", body binary" if bodies else ""))
 
 
 def repeated(found: DataFrame) -> DataFrame:
     """(chunk, digest, first) of the passages that occur more than once; first: where the occurrence is that stays."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"), F.col("end"))
-    same = found.groupBy("chunk", "digest", "body").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    same = found.groupBy("chunk", "digest", *[c for c in found.columns if c == "body"]).agg(F.count("*").alias("n"), F.min(place).alias("first"))
     return same.filter("n > 1").select("chunk", "digest", "first")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """`docs` with its text without repeated chunks (and `runs`), and n_lines, n_removed_lines and n_removed_chunks (long)."""
     found = stored(spread(docs, doc_id, text, min_words, runs), "passages")
-    # a table of its own, so that the join's sides are both plain exchanges and a hot passage's rows can be split
-    met = found.drop("body").join(stored(repeated(found), "repeated"), ["chunk", "digest"])
+    same = stored(repeated(found), "repeated")
+    key = F.xxhash64("digest")
+    # only the chunks whose digests repeat are cut out of the texts again, and compared by their bytes
+    chunks, _ = sifted(spread(docs, doc_id, text, min_words, bodies=True), key, same.filter("chunk").select(key.alias("k")))
+    same = stored(repeated(chunks).unionByName(same.filter("not chunk")), "compared")
+    # tables of their own, so that the join's sides are both plain exchanges and a hot passage's rows can be split
+    wanted, _ = sifted(found, key, same.select(key.alias("k")))
+    met = wanted.join(same, ["chunk", "digest"])
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     gone = met.filter(~own | (F.col("start") >= F.col("first.end")))
     gone = gone.groupBy(F.col("doc_id").alias("_l_id"), F.col("text_key").alias("_l_key")).agg(F.collect_set(F.struct("start", "end", "chunk")).alias("_l_gone"))
