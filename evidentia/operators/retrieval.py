@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..session import materialized
+from ..session import file_system, materialized
 
 #: Fixed values of the ranking formulas.
 K1, B, RRF_K, LANE = 1.2, 0.75, 60, 128
-#: A block of query vectors that one broadcast may hold, and the scores that a task computes at once.
-QUERY_BLOCK, SCORES = 4096, 1 << 22
+#: Query vectors of a block, vectors of a slab, and scores that a task computes at once.
+QUERY_BLOCK, SLAB, SCORES = 4096, 1 << 15, 1 << 22
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 160, overlap: int = 32) -> DataFrame:
@@ -34,12 +34,13 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(t.words(F.col(text)))).alias("term"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", lane: int = LANE) -> DataFrame:
-    """The lexical lane: query_id, doc_id, score and rank, the best `lane` documents of each query.
+def scored_terms(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stored tables: (doc_id, own: the query terms that a document has with their parts of a score), and (query_id, term, most).
 
     Texts are tokenised once: each gives its terms and a mark (the empty term), so that one aggregation has the
     frequencies of the queries' terms and the lengths of all documents; it is a table of its own, which the document
-    frequencies, the mean length and the scores read. Terms are a semi-join, not a broadcast by hand.
+    frequencies, the mean length and the parts read. Terms are a semi-join, not a broadcast by hand. `most` is the largest
+    part that any document has of a term.
     """
     terms = query_terms(queries)
     wanted = terms.select("term").unionByName(queries.sparkSession.sql("SELECT '' AS term")).distinct()
@@ -52,8 +53,41 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str
     average = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
-    scores = weighted.withColumn("part", part).join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    return ranked(scores.withColumn("score", F.round("score", 9)), "doc_id", lane)
+    own = materialized(weighted.groupBy("doc_id").agg(F.collect_list(F.struct("term", part.alias("part"))).alias("own")), "parts")
+    most = own.select(F.inline("own")).groupBy("term").agg(F.max("part").alias("most"))
+    return own, materialized(terms.join(most, "term").select("query_id", "term", "most"), "terms")
+
+
+def lexical_candidates(own: DataFrame, terms: DataFrame, lane: int) -> DataFrame:
+    """(query_id, doc_id, score, rest): the documents that can be among a query's best `lane`, scored but for the terms `rest`.
+
+    A sample of documents, scored in full, gives each query a floor that its last place cannot fall below. Terms whose
+    largest parts together stay below the floor, the common ones, cannot bring a document in by themselves: only the
+    others make candidates, and of these go on those that all of the rest could lift to the floor.
+    """
+    n = own.count()
+    share = min(4, max(1, n // (64 * lane))) if n < 256 * lane else min(256, n // (64 * lane))
+    sample = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if share > 1 else own
+    parts = lambda d, q: d.select("doc_id", F.inline("own")).join(q, "term")
+    tried = parts(sample, terms.select("query_id", "term")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    floor = tried.withColumn("nth", nth).filter(F.col("nth") == lane).select("query_id", (F.col("score") - 1e-6).alias("floor"))
+    w = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    split = terms.join(floor, "query_id", "left").withColumn("rest", F.coalesce(F.sum("most").over(w) < F.col("floor"), F.lit(False)))
+    split = materialized(split, "split")
+    plan = split.groupBy("query_id").agg(F.first("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("rest"), F.col("most"))), F.lit(0.0)).alias("more"), F.collect_list(F.when(F.col("rest"), F.col("term"))).alias("rest"))
+    found = parts(own, split.filter("not rest").select("query_id", "term")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    return found.join(plan, "query_id").filter(F.col("floor").isNull() | (F.col("score") + F.col("more") >= F.col("floor"))).select("query_id", "doc_id", "score", "rest")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", lane: int = LANE) -> DataFrame:
+    """The lexical lane: query_id, doc_id, score and rank, the best `lane` documents of each query."""
+    own, terms = scored_terms(docs, queries, doc_id, text)
+    found = lexical_candidates(own, terms, lane)
+    left = F.aggregate(F.filter("own", lambda x: F.array_contains("rest", x["term"])), F.lit(0.0), lambda a, x: a + x["part"])
+    whole = found.filter("size(rest) = 0").select("query_id", "doc_id", "score")
+    more = found.filter("size(rest) > 0").join(own, "doc_id").select("query_id", "doc_id", (F.col("score") + left).alias("score"))
+    return ranked(whole.unionByName(more).withColumn("score", F.round("score", 9)), "doc_id", lane)
 
 
 def ranked(scores: DataFrame, key: str, lane: int) -> DataFrame:
@@ -65,64 +99,71 @@ def ranked(scores: DataFrame, key: str, lane: int) -> DataFrame:
 def dense(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", lane: int = LANE, block: int = QUERY_BLOCK) -> DataFrame:
     """The dense lane, exact: query_id, vec_id, score, rank. `queries` has query_id and embedding.
 
-    Queries are broadcast in blocks of at most `block` vectors; each Arrow batch is one matrix product, of which every
-    task passes on the best `lane` of each query.
+    Queries are a stored table, of which a task reads one block of `block` vectors after the other for each slab of its
+    vectors: one matrix product for each pair, of which the best `lane` of each query go on. So one scan of the vectors
+    serves any number of queries, and none passes through the driver.
     """
-    spark = vectors.sparkSession
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    n = -(-asked.count() // block) or 1
+    asked = materialized(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")), "queries")
     own = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    lanes = []
-    for b in range(n):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).collect()
-        lanes.append(_dense_block(own, spark.sparkContext.broadcast([(r.query_id, r.embedding) for r in rows]), lane))
-    out = lanes[0]
-    for x in lanes[1:]:
-        out = out.unionByName(x)
-    return ranked(out.withColumn("score", F.round("score", 9)), "vec_id", lane)
+    key = own.schema["vec_id"].dataType.simpleString()
+    files = asked.inputFiles()
 
+    def blocks():
+        import pyarrow.parquet as pq
 
-def _dense_block(vectors: DataFrame, shared, lane: int) -> DataFrame:
-    key = vectors.schema["vec_id"].dataType.simpleString()
+        for file in files:
+            system, path = file_system(file)
+            with system.open_input_file(path) as f:
+                for part in pq.ParquetFile(f).iter_batches(block):
+                    if part.num_rows:
+                        yield part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        if not shared.value:
-            return
-        ids = [q for q, _ in shared.value]
-        matrix = np.array([v for _, v in shared.value])
-        step = max(1, SCORES // len(ids))
-        # the best of each query so far: query number, score, vector id
-        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))
+        held, rows = [], 0
+
+        def found():
+            names = pa.concat_arrays([b.column(0) for b in held])
+            order = np.argsort(np.array(names.to_pylist(), object), kind="stable") if len(names) else np.zeros(0, np.int64)
+            every = np.concatenate([_matrix(b.column(1)) for b in held])[order]
+            step = max(1, SCORES // len(every))
+            for ids, asked_ in blocks():
+                for a in range(0, len(ids), step):
+                    score = np.round(asked_[a : a + step] @ every.T, 9)
+                    if score.shape[1] > lane:
+                        # what reaches the lane-th score of its query, ties included
+                        q, v = np.nonzero(score >= np.partition(score, -lane, axis=1)[:, -lane, None])
+                    else:
+                        q, v = np.indices(score.shape).reshape(2, -1)
+                    s = score[q, v]
+                    # ties fall to the smaller key: vectors are in the order of their keys
+                    order_ = np.lexsort((v, -s, q))
+                    q, v, s = q[order_], v[order_], s[order_]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < lane
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + q[best]], pa.int64()), names.take(pa.array(order[v[best]], pa.int64())), pa.array(s[best])], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            every, own = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a in range(0, len(every), step):
-                score = np.round(matrix @ np.array(every[a : a + step]).T, 9)
-                if score.shape[1] > lane:
-                    # what reaches the lane-th score of its query, ties included
-                    least = np.partition(score, -lane, axis=1)[:, -lane]
-                    q, v = np.nonzero(score >= least[:, None])
-                else:
-                    q, v = np.indices(score.shape).reshape(2, -1)
-                names = np.array(own[a : a + step], object)[v]
-                q, s, names = (np.concatenate(x) for x in zip(best, (q, score[q, v], names), strict=True))
-                order = np.lexsort((names, -s, q))
-                q, s, names = q[order], s[order], names[order]
-                nth = np.arange(len(q)) - np.searchsorted(q, q)
-                best = (q[nth < lane], s[nth < lane], names[nth < lane])
-        kind = vectors_kind(key)
-        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in best[0]], pa.int64()), pa.array(best[2].tolist(), kind), pa.array(best[1])], names=["query_id", "vec_id", "score"])
-
-    return vectors.mapInArrow(run, f"query_id long, vec_id {key}, score double")
-
-
-def vectors_kind(simple: str):
-    """The Arrow type of a key: integers or text."""
-    import pyarrow as pa
-
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= SLAB:
+                yield from found()
+                held, rows = [], 0
+        if rows:
+            yield from found()
+
+    out = own.mapInArrow(run, f"query_id long, vec_id {key}, score double")
+    return ranked(out, "vec_id", lane)
+
+
+def _matrix(column):
+    """An Arrow list column of vectors of one length as rows."""
+    import numpy as np
+
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(flat.reshape(len(column), -1))
 
 
 def fuse(lanes: list[DataFrame], limit: int = LANE, k: int = RRF_K) -> DataFrame:

@@ -120,3 +120,60 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Spark())
+
+
+def test_dense_lanes_in_blocks_scan_once(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    from evidentia.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    path = str(tmp_path / "v")
+    rows = [(k, [float(x) for x in rng.integers(-3, 4, 6)]) for k in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(path)
+    v = spark.read.parquet(path)
+    asked = v.filter("vec_id % 9 = 0").select(v["vec_id"].alias("query_id"), "embedding")
+    want = set()
+    for q, e in rows[::9]:
+        scores = sorted(((-round(float(np.dot(e, x)), 9), k) for k, x in rows))[:10]
+        want |= {(q, k, -s, n) for n, (s, k) in enumerate(scores, 1)}
+    monkeypatch.setattr(retrieval, "SLAB", 64)
+    monkeypatch.setattr(retrieval, "SCORES", 500)
+    out = retrieval.dense(v, asked, lane=10, block=7)
+    assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in out.collect()} == want
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") == 1
+    assert retrieval.dense(v, asked.limit(0)).count() == 0 and retrieval.dense(v.limit(0), asked).count() == 0
+
+
+def test_lexical_lanes_with_bounded_candidates(spark):
+    import math
+    import random
+
+    from evidentia.operators import retrieval
+
+    rng = random.Random(9)
+    word = lambda: "the" if rng.random() < 0.4 else f"w{int(rng.paretovariate(0.7)) % 900}"
+    docs = [(k, " ".join(word() for _ in range(rng.randrange(0, 60)))) for k in range(900)]
+    asked = [(q, "the " + " ".join(word() for _ in range(rng.randrange(1, 9)))) for q in range(25)] + [(99, ""), (100, "the"), (101, "nowhere")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    tokens = {d: t.split() for d, t in docs}
+    mean = sum(map(len, tokens.values())) / len(tokens)
+    df = {}
+    for t in tokens.values():
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    want = set()
+    for q, text in asked:
+        scores = {}
+        for d, t in tokens.items():
+            parts = [math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(text.split()) if w in t]
+            if parts:
+                scores[d] = round(sum(parts), 9)
+        want |= {(q, d, s, n) for n, (s, d) in enumerate(sorted((-s, d) for d, s in scores.items())[:20], 1)}
+    got = {(r.query_id, r.doc_id, -r.score, r["rank"]) for r in retrieval.bm25(frame, queries, lane=20).collect()}
+    close = lambda rows: {(q, d, round(s, 7), n) for q, d, s, n in rows}
+    assert close(got) == close(want)
+    pairs = retrieval.lexical_candidates(*retrieval.scored_terms(frame, queries), 20)
+    every = sum(1 for q, text in asked for t in tokens.values() if set(text.split()) & set(t))
+    assert pairs.count() < every / 3
