@@ -202,6 +202,28 @@ def search(passages: DataFrame, queries: DataFrame, encode: Callable[[Column], C
     return g.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
 
 
+def neighbours(passages: DataFrame, row: Column) -> DataFrame:
+    """`passages` with near: the `row` structs of the passages that give one its context, nearest first.
+
+    passages: key, doc, block (an ordinal), section (null: none), kind and seq (a passage's place in its block). Near are
+    the passages before and after it in its block, the last one of the block before and the first one of the block after,
+    these where they are of the same section or a table's header.
+    """
+    own = passages.withColumn("_row", row)
+    w = Window.partitionBy("doc", "block").orderBy("seq")
+    own = own.withColumns({"_before": F.lag("_row").over(w), "_after": F.lead("_row").over(w)})
+    edges = passages.withColumn("_row", row).groupBy("doc", "block").agg(F.min_by("_row", "seq").alias("first"), F.max_by("_row", "seq").alias("last"), F.first("section").alias("section"), F.first("kind").alias("kind"))
+    b = Window.partitionBy("doc").orderBy("block")
+
+    def beside(step, edge: str) -> Column:
+        fits = F.col("section").eqNullSafe(step("section").over(b)) | (step("kind").over(b) == "table_header")
+        return F.when(fits, step(edge).over(b))
+
+    links = edges.select("doc", "block", beside(F.lag, "last").alias("_previous"), beside(F.lead, "first").alias("_next"))
+    near = F.array_compact(F.array("_before", "_after", "_previous", "_next"))
+    return own.join(links, ["doc", "block"]).withColumn("near", near).drop("_row", "_before", "_after", "_previous", "_next")
+
+
 def letter_vector(size: int = 16) -> Callable[[Column], Column]:
     """An encoder without a model, for fixtures: how many words have each length (modulo `size`), plus 0.2, as a unit vector."""
 

@@ -188,6 +188,21 @@ def split_block(text: str, most: int) -> list[str]:
     return [*packed(sentences, most, lambda s: packed(s.split(), most))]
 
 
+def preformatted_slices(text: str, most: int) -> Iterator[tuple[int, int]]:
+    """[start, end) of slices of at most `most` estimated tokens that together are the text, cut after a line end where there is one."""
+    at = 0
+    while at < len(text):
+        # the next token that would be one too many, or the characters that are worth `most`
+        words = re.compile(r"\w+|[^\w\s]").finditer(text, at)
+        over = next((m.start() for k, m in enumerate(words) if k == most), len(text))
+        end = min(over, at + 4 * most)
+        if end < len(text):
+            line = text.rfind("\n", at, end)
+            end = line + 1 if line >= 0 else end
+        yield at, end
+        at = end
+
+
 def strict_json(text: str):
     """A JSON value; duplicate keys and non-finite numbers are errors."""
 
@@ -221,13 +236,17 @@ def salvage(text: str, array: str) -> list:
     return out
 
 
-def token_windows(text: str, size: int = 160, overlap: int = 32) -> list[tuple[int, int]]:
-    """[start, end) of windows over white-space tokens, contiguous slices of the text: a window ends where the next token begins."""
-    at = [m.start() for m in re.finditer(r"\S+", text)]
+def windows(starts: list[int], length: int, size: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of windows of `size` tokens that begin at `starts` in a text: a window ends where the next token begins."""
     out = []
-    for a in range(0, len(at), size - overlap):
-        b = min(len(at), a + size)
-        out.append((0 if a == 0 else at[a], len(text) if b == len(at) else at[b]))
-        if b == len(at):
+    for a in range(0, len(starts), size - overlap):
+        b = min(len(starts), a + size)
+        out.append((starts[a] if a else 0, starts[b] if b < len(starts) else length, b - a))
+        if b == len(starts):
             break
     return out
+
+
+def token_windows(text: str, size: int = 160, overlap: int = 32) -> list[tuple[int, int]]:
+    """[start, end) of windows over white-space tokens, contiguous slices of the text."""
+    return [(a, b) for a, b, _ in windows([m.start() for m in re.finditer(r"\S+", text)], len(text), size, overlap)]

@@ -117,11 +117,9 @@ def cache_misses(x):
 
 @query("F17 C29")
 def answer_units(x):
-    def units(text):
-        return (("unit", str(a), str(b), text[a:b]) for a, b in spans.answer_units(text))
-
-    u = docs.parsed(x.documents, "doc_id", "text", units)
-    return u.select("doc_id", "ordinal", F.col("section_path").cast("long").alias("start"), F.col("locator").cast("long").alias("end"))
+    """Sentences of every text, and the paragraphs that are code, tables, headings or unclear, by their places."""
+    found = spans.applied(lambda v: [{"start": a, "end": b, "reason": r} for a, b, r in spans.answer_units(v)], "array<struct<start:long,end:long,reason:string>>", F.col("text"))
+    return x.documents.select("doc_id", F.posexplode(found).alias("ordinal", "u")).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "u.start", "u.end", "u.reason")
 
 
 @query("F1", r"""

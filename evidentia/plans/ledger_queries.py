@@ -35,7 +35,7 @@ def work_claim_next(x):
     return g.claim_next(items, "user_id", F.lit(50.0), ["event_id"]).select("user_id", "event_id", "status")
 
 
-@query("SK6 ST8", """
+@query("SK6", """
 WITH f AS (SELECT o_custkey, o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS age, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders),
 r AS (SELECT *, sum(size) OVER (PARTITION BY o_custkey ORDER BY age, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS running FROM f WHERE age <= 1500)
 SELECT o_custkey, o_orderkey, CAST(age AS BIGINT) AS age FROM r WHERE running <= 1000000""")

@@ -6,13 +6,13 @@ items. Passages are word windows of documents; a document is one block in the co
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import answers as a
 from ..operators import retrieval as r
 from ..operators import sequential as q
+from ..session import materialized
 from .registry import query
 from .retrieval_queries import _SCOPED, _scoped
 
@@ -20,7 +20,7 @@ _SIZE = 16
 _PASSAGES = rf"""
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM ({_SCOPED}) q),
 p AS (SELECT doc_id, w, unnest(generate_series(0, greatest(1, CAST(ceil((len(w) - 32) / 128.0) AS BIGINT)) - 1)) AS seq FROM w WHERE len(w) > 0),
-pw AS (SELECT doc_id * 10000 + seq AS key, doc_id, seq, w[seq * 128 + 1:seq * 128 + 160] AS w, array_to_string(w[seq * 128 + 1:seq * 128 + 160], ' ') AS text FROM p),
+pw AS (SELECT doc_id * 1048576 + seq AS key, doc_id, seq, w[seq * 128 + 1:seq * 128 + 160] AS w, array_to_string(w[seq * 128 + 1:seq * 128 + 160], ' ') AS text FROM p),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM pw),
 tf AS (SELECT key, term, count(*) AS tf, max(dl) AS dl FROM (SELECT key, unnest(w) AS term, len(w) AS dl FROM pw) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -39,7 +39,7 @@ g AS (SELECT query_id // 2 AS question, key, round(sum(part), 9) AS score, strin
 def _passages(x):
     """key, doc_id, seq, text of the passages that the asker may see."""
     p = r.passages(_scoped(x))
-    return p.select((F.col("doc_id") * 10000 + F.col("seq")).alias("key"), "doc_id", "seq", "word_start", "word_end", F.col("passage_text").alias("text"))
+    return p.select((F.col("doc_id") * (1 << 20) + F.col("seq")).alias("key"), "doc_id", "seq", "word_start", "word_end", F.col("passage_text").alias("text"))
 
 
 def _variants(x):
@@ -59,16 +59,34 @@ def passage_search(x):
     return s.select("question", "key", F.round("score", 6).alias("score"), F.array_join(one, " ").alias("found"), "rank")
 
 
+def _placed(p):
+    """Passages with a block of four each, a section of two blocks, and every fifth block a table's header."""
+    block = F.floor(F.col("seq") / 4)
+    return p.withColumns({"doc": F.col("doc_id"), "block": block, "section": F.floor(block / 2), "kind": F.when(block % 5 == 4, "table_header").otherwise("prose")})
+
+
+@query("J20 W7", f"""WITH {_PASSAGES.split("st AS")[0].rstrip().rstrip(",")},
+b AS (SELECT key, doc_id, seq, seq // 4 AS block, seq // 8 AS section, (seq // 4) % 5 = 4 AS header FROM pw),
+e AS (SELECT doc_id, block, min(section) AS section, bool_or(header) AS header, min(key) AS first, max(key) AS last FROM b GROUP BY ALL)
+SELECT b.key, array_to_string(list_filter([p.key, n.key, CASE WHEN q.section = b.section OR q.header THEN q.last END, CASE WHEN r.section = b.section OR r.header THEN r.first END], lambda v: v IS NOT NULL), ',') AS near
+FROM b LEFT JOIN b p ON p.doc_id = b.doc_id AND p.block = b.block AND p.seq = b.seq - 1 LEFT JOIN b n ON n.doc_id = b.doc_id AND n.block = b.block AND n.seq = b.seq + 1
+LEFT JOIN e q ON q.doc_id = b.doc_id AND q.block = b.block - 1 LEFT JOIN e r ON r.doc_id = b.doc_id AND r.block = b.block + 1""")
+def neighbor_passages(x):
+    """Each passage with those beside it in its block and across the block's edges."""
+    out = r.neighbours(_placed(_passages(x).drop("text")), F.struct("key"))
+    return out.select("key", F.array_join(F.transform("near", lambda v: v["key"].cast("string")), ",").alias("near"))
+
+
 def _hits(x):
     """The hits of each question with their spans, costs and the passages next to them; facets are questions of an answer."""
-    p = _passages(x)
-    row = F.struct(F.col("key").alias("passage"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("block"), F.col("word_start").alias("start"), F.col("word_end").alias("end"), "cost")
+    p = _placed(_passages(x))
+    place = F.struct("doc", "block")
+    row = F.struct(F.col("key").alias("passage"), F.col("doc"), place.alias("block"), F.col("word_start").alias("start"), F.col("word_end").alias("end"), "cost")
     title = x.documents.select("doc_id", F.col("source").alias("title"))
-    w = Window.partitionBy("doc_id").orderBy("seq")
     p = p.join(title, "doc_id").withColumn("cost", t.passage_cost(F.col("text"), F.col("title"), F.concat(F.lit("words "), F.col("word_start").cast("string")), F.array().cast("array<string>"))).drop("text", "title")
-    near = p.withColumn("near", F.filter(F.array(F.lag(row).over(w), F.lead(row).over(w)), lambda v: v.isNotNull()))
+    near = materialized(r.neighbours(p, row), "passages")
     return _search(x).select("question", "key", "score", "rank").join(near, "key").select(
-        F.floor(F.col("question") / 4).alias("answer"), F.col("question").alias("facet"), "rank", "score", F.col("key").alias("passage"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("block"),
+        F.floor(F.col("question") / 4).alias("answer"), F.col("question").alias("facet"), "rank", "score", F.col("key").alias("passage"), "doc", place.alias("block"),
         F.col("word_start").alias("start"), F.col("word_end").alias("end"), "cost", "near",
     )
 

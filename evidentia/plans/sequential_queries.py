@@ -6,7 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import spans
+from ..functions import text as functions_text
 from ..operators import sequential as q
+from ..operators import tokens
 from ..sources import documents as docs
 from ..session import shared_dir
 from ..streaming import runs
@@ -23,6 +26,53 @@ def block_splits(x):
     return docs.parsed(x.documents, "doc_id", "text", pieces).select("doc_id", "ordinal", F.char_length("block_text").cast("long").alias("chars"), F.sha2(F.col("block_text").cast("binary"), 256).alias("sha"))
 
 
+@query("F25", r"""
+WITH RECURSIVE t AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE text <> ''),
+w(doc_id, part, start, "end", rest) AS (
+  SELECT doc_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), t FROM t
+  UNION ALL SELECT doc_id, part + 1, "end", "end" + n, substr(rest, n + 1) FROM (
+    SELECT *, CASE WHEN low < length(rest) AND contains(left(rest, low), chr(10)) THEN low - strpos(reverse(left(rest, low)), chr(10)) + 1 ELSE low END AS n
+    FROM (SELECT *, length(regexp_extract(left(rest, 384), '^(?:[ \t\n\r\f\x0B]*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f\x0B])){0,96}[ \t\n\r\f\x0B]*')) AS low FROM w WHERE rest <> '') a) b)
+SELECT w.doc_id, part, start, "end", sha256(substr(t, start + 1, "end" - start)) AS sha FROM w JOIN t USING (doc_id) WHERE part >= 0""")
+def preformatted_slices(x):
+    """Texts as preformatted blocks in slices of at most 96 estimated tokens, cut after lines where they can be."""
+    t = functions_text.preformatted(F.col("text"))
+    found = spans.applied(lambda v: [{"start": a, "end": b} for a, b in q.preformatted_slices(v, 96)], "array<struct<start:long,end:long>>", F.col("t"))
+    p = x.documents.filter("text is not null").select("doc_id", t.alias("t")).select("doc_id", "t", F.posexplode(found).alias("part", "s"))
+    own = F.substr("t", (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int"))
+    return p.select("doc_id", F.col("part").cast("long").alias("part"), "s.start", "s.end", F.sha2(own.cast("binary"), 256).alias("sha"))
+
+
+@query("F26 D9")
+def token_passages(x):
+    """Passages of 384 tokens of a public tokenizer, 64 shared: slices of the text by its offsets."""
+    import public_tokenizers
+
+    w = tokens.passage_windows(x.documents, public_tokenizers.path("word_bpe_49k.json"))
+    j = w.join(x.documents.select("doc_id", "text"), "doc_id")
+    own = F.substr("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return j.select("doc_id", "ordinal", "start", "end", "tokens", F.sha2(own.cast("binary"), 256).alias("sha"))
+
+
+_POOLED = r"""
+WITH n AS (SELECT count(*) AS n FROM embeddings),
+w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:64] AS w FROM conversations),
+t AS (SELECT conv_id, turn, (unicode(v) * 7 + length(v)) % n AS token FROM (SELECT conv_id, turn, unnest(w) AS v FROM w), n),
+d AS (SELECT conv_id, turn, d, avg(CAST(e[d] AS DOUBLE)) AS m FROM (SELECT t.*, embedding AS e, unnest(generate_series(1, 64)) AS d FROM t JOIN embeddings ON vec_id = token) GROUP BY ALL),
+l AS (SELECT conv_id, turn, list(m ORDER BY d) AS m FROM d GROUP BY ALL)
+SELECT c.conv_id, c.turn, coalesce(round(m[1] / sqrt(list_sum(list_transform(m, lambda v: v * v))), 6), 0) AS first, coalesce(round(m[64] / sqrt(list_sum(list_transform(m, lambda v: v * v))), 6), 0) AS last, m IS NOT NULL AS any_token FROM conversations c LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = c.turn"""
+
+
+@query("M4", _POOLED)
+def pooled_vectors(x):
+    """Turns as the unit mean of the vectors of their first 64 words; a word's token is one of the embeddings."""
+    n = x.embeddings.agg(F.count("*").alias("n"))
+    word = lambda v, n: (F.ascii(v) * 7 + F.char_length(v)) % n
+    rows = x.conversations.crossJoin(F.broadcast(n)).select(F.struct("conv_id", "turn").alias("row"), F.transform(functions_text.words(F.col("text")), lambda v: word(v, F.col("n"))).alias("tokens"))
+    out = tokens.pooled(rows, x.embeddings.select(F.col("vec_id").alias("token"), "embedding"), 64)
+    return out.select("row.conv_id", "row.turn", F.round(F.col("pooled")[0], 6).alias("first"), F.round(F.col("pooled")[63], 6).alias("last"), F.exists("pooled", lambda v: v != 0).alias("any_token"))
+
+
 @query("F26 D9", r"""
 WITH t AS (SELECT doc_id, text, length(text) - length(regexp_replace(text, '^[ \t\n\r\f\x0B]+', '')) AS lead, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+[ \t\n\r\f\x0B]*') AS w FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS n FROM t), p AS (SELECT u.doc_id, n, lead + coalesce(sum(length(u.w)) OVER (PARTITION BY u.doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM u JOIN t USING (doc_id)),
@@ -126,3 +176,16 @@ SELECT c.user_id, c.event_id, least(6, n - cleared) AS remembered, CASE WHEN n >
 def stream_recent(x):
     """How much of a session is remembered after each event, and its oldest part."""
     return _drain(x, runs.recent)
+
+
+@query("ST8", """
+WITH n AS (SELECT max(ts) AS newest FROM events), f AS (SELECT user_id, event_id, ts, 50 + CAST(floor(value) AS BIGINT) AS size FROM events, n WHERE ts >= newest - INTERVAL 10 DAY),
+r AS (SELECT *, sum(size) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS running FROM f)
+SELECT user_id, event_id FROM r WHERE running <= 1500""")
+def stream_retention(x):
+    """Traces of a user of the last ten days, 1500 bytes of them at most, swept as the files of a stream come in."""
+    base = f"{shared_dir(x.spark)}/retention-{uuid.uuid4().hex}"
+    rows = x.events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (50 + F.floor("value")).cast("long").alias("size"))
+    rows.repartition(4, "event_id").write.parquet(f"{base}/in")
+    files = x.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return runs.swept(files, f"{base}/state", "user_id", "event_id", days=10, most_bytes=1500).select("user_id", "event_id")

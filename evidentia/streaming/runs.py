@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: When the row that ends a stream happens: later than any watermark that a real event could need.
@@ -103,6 +103,44 @@ def expired_jobs(events: DataFrame, ttl: str = "1 hour", delay: str = "1 hour")
     return g.filter("n_jobs > 0").select("user_id", F.col("window.start").alias("hour"), (F.col("window.end") + F.expr(f"INTERVAL {ttl}")).alias("expires"), "n_jobs", "last_job")
 
 
+def swept(traces: DataFrame, base: str, group: str, key: str, days: int, most_bytes: int) -> DataFrame:
+    """What a retention sweep after every batch of a stream leaves (group, key, ts, size): not older than `days` before the
+    newest trace so far, and of each group the newest that fit `most_bytes`.
+
+    A sweep is a table of its own below `base`, named by its batch, with what is kept and, for each group, the newest trace
+    that size has driven out: a trace that comes late and is older than that one is not kept either, as if all had come at
+    once. A batch that is run again reads the table before its own and overwrites its own, so a restart changes nothing.
+    """
+    spark = traces.sparkSession
+    schema = f"{group} {traces.schema[group].dataType.simpleString()}, {key} {traces.schema[key].dataType.simpleString()}, ts timestamp, size long, kept boolean"
+    order = F.struct("ts", key)
+
+    def sweep(batch: DataFrame, number: int) -> None:
+        new = batch.select(group, key, "ts", F.col("size").cast("long").alias("size"), F.lit(True).alias("kept"))
+        own = new if number == 0 else new.unionByName(spark.read.schema(schema).parquet(f"{base}/sweep={number - 1}"))
+        last = own.agg((F.max("ts") - F.expr(f"INTERVAL {int(days)} DAYS")).alias("since"))
+        own = own.crossJoin(F.broadcast(last))  # one row
+        of = Window.partitionBy(group)
+        own = own.withColumn("floor", F.max(F.when(~F.col("kept"), order)).over(of))
+        # what was driven out stays as a mark only, and counts no bytes
+        own = own.filter(~F.col("kept") | ((F.col("ts") >= F.col("since")) & (F.col("floor").isNull() | (order > F.col("floor")))))
+        running = F.sum(F.when(F.col("kept"), F.col("size")).otherwise(0)).over(of.orderBy(F.desc("ts"), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0))
+        own = own.withColumn("kept", F.col("kept") & (running <= most_bytes))
+        marks = F.row_number().over(Window.partitionBy(group, "kept").orderBy(F.desc("ts"), F.desc(key)))
+        left = own.withColumn("n", marks).filter(F.col("kept") | (F.col("n") == 1)).select(group, key, "ts", "size", "kept")
+        left.write.mode("overwrite").parquet(f"{base}/sweep={number}")
+
+    q = traces.writeStream.foreachBatch(sweep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    done = q.lastProgress
+    if done is None:
+        return spark.createDataFrame([], schema).drop("kept")
+    return spark.read.schema(schema).parquet(f"{base}/sweep={done['batchId']}").filter("kept").drop("kept")
+
+
 def drained(events: DataFrame, make: Callable[[DataFrame], DataFrame], base: str) -> DataFrame:
     """What `make(events)` gives for the events that there are, as a Parquet table below `base`, a shared folder.
 

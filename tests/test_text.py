@@ -38,7 +38,7 @@ def test_clock(spark):
 def test_spans():
     text = "He said:  a\n quote. Dr. Who left! Then?"
     assert text[slice(*spans.locate_quote(text, "a quote."))] == "a\n quote." and spans.locate_quote(text, " ") is None
-    assert [text[a:b] for a, b in spans.answer_units(text)] == ["He said:  a", "quote.", "Dr. Who left!", "Then?"]
+    assert [text[a:b] for a, b, _ in spans.answer_units(text)] == ["He said:  a\n quote.", "Dr.", "Who left!", "Then?"]
     assert spans.complete_part("One. Two. Thr") == "One. Two." and spans.complete_part("none") == ""
     assert spans.expand_markers("x [E:a, C2] y [C9].", {"a": ["P1", "P2"], "C2": ["P2", "P3"]}) == "x [P1][P2][P3] y ."
     assert spans.folded_words("ﬁne STRASSE Straße") == ["fine", "strasse", "strasse"]
