@@ -66,19 +66,6 @@ def identity_targets(x):
     return j.select("id", F.when(F.col("approved"), "approved").otherwise("hint").alias("status"), F.when(F.col("ok"), F.col("other")).alias("distinct_from"))
 
 
-@query("C10 C9 D25", """
-WITH s AS (SELECT l_orderkey AS audit, l_linenumber AS n, l_partkey AS k, CASE WHEN l_quantity < 3 THEN 'too short' WHEN l_suppkey % 10 = 0 THEN 'no source' WHEN l_extendedprice > 50000 THEN 'too large' END AS reason FROM lineitem),
-o AS (SELECT *, CASE WHEN reason IS NULL THEN sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY audit ORDER BY n, k ROWS UNBOUNDED PRECEDING) END AS pos FROM s)
-SELECT audit, n, k, coalesce(reason, CASE WHEN pos > 2 THEN 'claim limit' ELSE 'planned' END) AS status FROM o""")
-def plan_audit(x):
-    """The first failing reason of each unit; of those without one, the first two of an audit are planned."""
-    reason = F.when(F.col("l_quantity") < 3, "too short").when(F.col("l_suppkey") % 10 == 0, "no source").when(F.col("l_extendedprice") > 50000, "too large")
-    s = x.lineitem.select(F.col("l_orderkey").alias("audit"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), reason.alias("reason"))
-    w = Window.partitionBy("audit").orderBy("n", "k").rowsBetween(Window.unboundedPreceding, 0)
-    pos = F.sum(F.col("reason").isNull().cast("int")).over(w)
-    return s.withColumn("pos", pos).select("audit", "n", "k", F.coalesce("reason", F.when(F.col("pos") > 2, "claim limit").otherwise("planned")).alias("status"))
-
-
 @query("C13 RL8", """
 WITH f AS (SELECT user_id, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN CAST(json_extract_string(e.props, '$.k') AS BIGINT) > 90 THEN 'partial' ELSE 'ok' END AS status, CAST(json_extract_string(e.props, '$.k') AS BIGINT) % 4 = CAST(json_extract_string(f.props, '$.k') AS BIGINT) % 4 AS same_epoch FROM events e JOIN f USING (user_id)""")

