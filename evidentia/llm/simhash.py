@@ -17,9 +17,9 @@ queries. A task emits a spanning forest of its links, never all pairs.
 of folded words; shards are keyed by `BANDS` bands of `ROWS` minimum hashes, in which documents of a Jaccard similarity
 of 0.8 meet with a probability of 0.998; the trees find links within a wide radius (such documents differ in 39 bits,
 give or take 6), of which the closest that join a shard stay (a minimum spanning forest) and are then confirmed by the
-exact similarity of the two documents. Shards beyond `SHARD` are dealt into trees of about that size, which share
+exact similarity of the two documents. Shards beyond `TREE` are dealt into trees of about that size, which share
 `PIVOTS` documents. Where a link fails, or a dealt shard holds several components, rounds follow in which documents of
-different components of a shard offer each other their closest untried links, twice as many each time, until all are
+different components of a shard offer each other their closest untried links, more of them each time, until all are
 tried; large shards then meet in blocks, but for blocks of one component. So no link of a shard within the radius is lost.
 
 Components come from alternating large-star and small-star steps on tables in the shared folder.
@@ -218,6 +218,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of components `found` and further links (a, b), which join their roots."""
+    if links.isEmpty():
+        return found
+    of = lambda d, c: d.join(found.select(F.col("node").alias(c), F.col("root").alias("r")), c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
+    roots = stored(components(of(of(links.select("a", "b"), "a"), "b")), "roots")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("root"))
+    new = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return stored(found.unionByName(ends).join(new, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "found")
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (long) and component_id (the smallest doc_id reachable) for each row of `docs`."""
     prints = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle), "prints")
@@ -273,6 +284,10 @@ def _first_of_each(docs: DataFrame, doc_id: str, prints: DataFrame, found: DataF
 BANDS, ROWS, WIDE, WIDE_RADIUS = 16, 5, 4, 72
 #: Documents that all trees of a dealt shard share, about.
 PIVOTS = 256
+#: Links that a document offers in the first round after links have failed, and times as many in each further one.
+OFFERED = 16
+#: Documents of a tree of wide fingerprints, whose links a task holds at once.
+TREE = 1024
 _ODD = (np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -377,17 +392,8 @@ def offered(values: np.ndarray, labels: np.ndarray, radius: int, most: int) -> l
     return out
 
 
-def open_links(met: DataFrame, found: DataFrame, most: int, radius: int = WIDE_RADIUS, shard: int = SHARD) -> DataFrame:
-    """(a, b, more): the closest links between the components `found` (node, root) that share a shard, `most` for each document.
-
-    Shards of one component are done. A large shard is cut into blocks: components of half a block or more into blocks of
-    their own, the others together; two blocks meet in one task unless they are of one component.
-    """
-    half = shard // 2
-    rows = met.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.xxhash64(F.coalesce("root", "fingerprint")))
-    mixed = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("band")
-    rows = stored(rows.join(mixed, "band", "left_semi").select("band", "n", "fingerprint", "label"), "open")
-    rest = rows.filter(F.col("n") > shard)
+def _in_blocks(rest: DataFrame, half: int) -> DataFrame:
+    """(band, x, y, fingerprint, label): the rows of large shards, once for each two blocks x and y that meet."""
     sizes = rest.groupBy("band", "label").agg(F.count("*").alias("own"))
     pools = sizes.groupBy("band").agg(F.sum(F.when(F.col("own") < half, F.col("own")).otherwise(0)).alias("pooled"))
     sizes = stored(sizes.join(pools, "band"), "sizes")
@@ -398,9 +404,23 @@ def open_links(met: DataFrame, found: DataFrame, most: int, radius: int = WIDE_R
     two = blocks.select("band", F.col("block").alias("other"), F.col("of").alias("other_of"))
     meet = blocks.join(two, "band").filter("block <= other AND NOT coalesce(of = other_of, false)").select("band", "block", "other")
     sides = meet.select("band", "block", "block", "other").toDF("band", "block", "x", "y").unionByName(meet.filter("block < other").select("band", "other", "block", "other").toDF("band", "block", "x", "y"))
-    pairs = rest.join(stored(sides, "meet"), ["band", "block"]).select("band", "x", "y", "fingerprint", "label")
+    return rest.join(stored(sides, "meet"), ["band", "block"]).select("band", "x", "y", "fingerprint", "label")
+
+
+def open_links(met: DataFrame, found: DataFrame, most: int, radius: int = WIDE_RADIUS, shard: int = SHARD) -> DataFrame:
+    """(a, b, more): the closest links between the components `found` (node, root) that share a shard, `most` for each document.
+
+    Shards of one component are done. A large shard is cut into blocks: components of half a block or more into blocks of
+    their own, the others together; two blocks meet in one task unless they are of one component.
+    """
+    rows = met.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.xxhash64(F.coalesce("root", "fingerprint")))
+    mixed = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("band")
+    rows = stored(rows.join(mixed, "band", "left_semi").select("band", "n", "fingerprint", "label"), "open")
     whole = rows.filter(F.col("n") <= shard).select("band", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "fingerprint", "label")
-    packed = whole.unionByName(pairs).groupBy("band", "x", "y").agg(F.sort_array(F.collect_list(F.struct("fingerprint", "label"))).alias("tree")).filter("size(tree) > 1").select("tree").distinct()
+    rest = rows.filter(F.col("n") > shard)
+    if not rest.isEmpty():
+        whole = whole.unionByName(_in_blocks(rest, shard // 2))
+    packed = whole.groupBy("band", "x", "y").agg(F.sort_array(F.collect_list(F.struct("fingerprint", "label"))).alias("tree")).filter("size(tree) > 1").select("tree").distinct()
     return _searched(packed, lambda values, labels: offered(values, labels, radius, most))
 
 
@@ -429,7 +449,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = 5, similarity:
     return met.mapInArrow(run, "a binary, b binary")
 
 
-def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, shard: int = SHARD) -> DataFrame:
+def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, shard: int = TREE) -> DataFrame:
     """One row of each group of documents of that similarity, chosen as by `keep_one`, in the columns of `docs`."""
 
     def start():
@@ -449,16 +469,15 @@ def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     prints = stored(map_texts(keyed, "text", {"fingerprint": "binary", "bands": "array<long>"}, start, ["doc_id", "_g_key"]), "prints")
     met = shards(prints)
     pairs = stored(similar_links(met, shard=shard, pivots=max(1, min(PIVOTS, shard // 8))), "pairs")
-    texts = edges = tried = None
-    most = 1
+    texts = tried = found = None
+    most = OFFERED
     while True:
         new = _texts_of(pairs, texts, prints, keyed)
         texts = new if texts is None else texts.unionByName(new)
         good = stored(confirmed(pairs.select("a", "b"), texts, shingle, similarity), "confirmed")
-        edges = good if edges is None else edges.unionByName(good)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        found = components(edges)
-        # a link that failed may have hidden longer ones between its components: these offer twice as many in each round
+        found = components(good) if found is None else _joined(found, good)
+        # a link that failed may have hidden longer ones between its components: these offer more in each round
         while True:
             near = stored(open_links(met, found, most, shard=shard), "pairs")
             pairs = stored(near.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -466,8 +485,8 @@ def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
                 break
             if near.filter("more").isEmpty():
                 return _first_of_each(docs, doc_id, prints, found)
-            most *= 2
-        most *= 2
+            most *= OFFERED
+        most *= OFFERED
 
 
 def _texts_of(pairs: DataFrame, known: DataFrame | None, prints: DataFrame, keyed: DataFrame) -> DataFrame:
