@@ -141,11 +141,10 @@ d AS (SELECT node AS root, node, 0 AS depth FROM e UNION ALL SELECT d.root, e.no
 SELECT root, CAST(count(*) AS BIGINT) AS members, CAST(max(depth) AS BIGINT) AS depth FROM d GROUP BY root""")
 def section_descendants(x):
     """Members and depth of every subtree of a ternary tree, by a recursive query."""
-    x.nation.createOrReplaceTempView("_sections")
     return x.spark.sql("""
-      WITH RECURSIVE e AS (SELECT n_nationkey AS node, IF(n_nationkey = 0, NULL, (n_nationkey - 1) DIV 3) AS parent FROM _sections),
+      WITH RECURSIVE e AS (SELECT n_nationkey AS node, IF(n_nationkey = 0, NULL, (n_nationkey - 1) DIV 3) AS parent FROM {sections}),
       d AS (SELECT node AS root, CAST(node AS BIGINT) AS node, 0 AS depth FROM e UNION ALL SELECT d.root, CAST(e.node AS BIGINT), depth + 1 FROM d JOIN e ON e.parent = d.node)
-      SELECT root, count(*) AS members, CAST(max(depth) AS BIGINT) AS depth FROM d GROUP BY root""")
+      SELECT root, count(*) AS members, CAST(max(depth) AS BIGINT) AS depth FROM d GROUP BY root""", sections=x.nation)
 
 
 @query("PF8", f"""WITH {_BLOCKS} SELECT item_id, doc_id, ordinal FROM (SELECT item_id, item_id % 7 AS lo, item_id % 7 + item_id % 5 AS hi FROM benchmark) q JOIN b ON b.doc_id = q.item_id AND ordinal BETWEEN lo AND hi""")
