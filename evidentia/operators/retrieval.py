@@ -58,6 +58,11 @@ def scored_terms(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", te
     return own, materialized(terms.join(most, "term").select("query_id", "term", "most"), "terms")
 
 
+def _parts(own: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): what the terms (query_id, term) add to the score of every document that has one."""
+    return own.select("doc_id", F.inline("own")).join(terms.select("query_id", "term"), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+
+
 def lexical_candidates(own: DataFrame, terms: DataFrame, lane: int) -> DataFrame:
     """(query_id, doc_id, score, rest): the documents that can be among a query's best `lane`, scored but for the terms `rest`.
 
@@ -65,24 +70,28 @@ def lexical_candidates(own: DataFrame, terms: DataFrame, lane: int) -> DataFrame
     largest parts together stay below the floor, the common ones, cannot bring a document in by themselves: only the
     others make candidates, and of these go on those that all of the rest could lift to the floor.
     """
-    n = own.count()
-    share = min(4, max(1, n // (64 * lane))) if n < 256 * lane else min(256, n // (64 * lane))
-    sample = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if share > 1 else own
-    parts = lambda d, q: d.select("doc_id", F.inline("own")).join(q, "term")
-    tried = parts(sample, terms.select("query_id", "term")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    # a sixteenth at least, of large tables as few as give a lane 64 times over
+    share = min(256, max(16, own.count() // (64 * lane)))
+    tried = _parts(own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), terms)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     floor = tried.withColumn("nth", nth).filter(F.col("nth") == lane).select("query_id", (F.col("score") - 1e-6).alias("floor"))
     w = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     split = terms.join(floor, "query_id", "left").withColumn("rest", F.coalesce(F.sum("most").over(w) < F.col("floor"), F.lit(False)))
     split = materialized(split, "split")
     plan = split.groupBy("query_id").agg(F.first("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("rest"), F.col("most"))), F.lit(0.0)).alias("more"), F.collect_list(F.when(F.col("rest"), F.col("term"))).alias("rest"))
-    found = parts(own, split.filter("not rest").select("query_id", "term")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    found = _parts(own, split.filter("not rest"))
     return found.join(plan, "query_id").filter(F.col("floor").isNull() | (F.col("score") + F.col("more") >= F.col("floor"))).select("query_id", "doc_id", "score", "rest")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", lane: int = LANE) -> DataFrame:
-    """The lexical lane: query_id, doc_id, score and rank, the best `lane` documents of each query."""
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", lane: int = LANE, small: int = 512) -> DataFrame:
+    """The lexical lane: query_id, doc_id, score and rank, the best `lane` documents of each query.
+
+    Of `small` times a lane of documents or fewer all are candidates, as a floor would cost more than it spares; the
+    result is the same either way.
+    """
     own, terms = scored_terms(docs, queries, doc_id, text)
+    if own.count() <= small * lane:
+        return ranked(_parts(own, terms).withColumn("score", F.round("score", 9)), "doc_id", lane)
     found = lexical_candidates(own, terms, lane)
     left = F.aggregate(F.filter("own", lambda x: F.array_contains("rest", x["term"])), F.lit(0.0), lambda a, x: a + x["part"])
     whole = found.filter("size(rest) = 0").select("query_id", "doc_id", "score")
