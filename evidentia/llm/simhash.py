@@ -224,9 +224,9 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
         return found
     of = lambda d, c: d.join(found.select(F.col("node").alias(c), F.col("root").alias("r")), c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
     roots = stored(components(of(of(links.select("a", "b"), "a"), "b")), "roots")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("root"))
-    new = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
-    return stored(found.unionByName(ends).join(new, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "found")
+    up = found.join(roots.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left")
+    # a root is no node of its own component, so those that have one now come to the others
+    return stored(up.select("node", F.coalesce("up", "root").alias("root")).unionByName(roots), "found")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, radius: int = 3) -> DataFrame:

@@ -113,6 +113,25 @@ def test_links_that_fail_hide_no_others(spark, shard):
     assert kept == {d for d in group if group[d] == d} and 25 < len(kept) < len(docs)
 
 
+def test_components_grow_link_by_link(spark):
+    import random
+
+    rng = random.Random(2)
+    links = [(rng.randrange(40), rng.randrange(40)) for _ in range(30)]
+    frame = lambda part: spark.createDataFrame(part, "a long, b long")
+    found = simhash.components(frame(links[:8]))
+    for k in range(8, 30, 6):
+        found = simhash._joined(found, frame(links[k : k + 6]).filter("a <> b"))
+        root = {n: n for n in range(40)} | {r.node: r.root for r in found.collect()}
+        parent = {n: n for n in range(40)}
+        for a, b in links[: k + 6]:
+            x, y = sorted((ref.find(parent, a), ref.find(parent, b)))
+            parent[y] = x
+        assert root == {n: ref.find(parent, n) for n in range(40)}
+        assert found.count() == found.select("node").distinct().count()
+    assert simhash._joined(found, frame([])).collect() == found.collect()
+
+
 def test_offers_are_the_closest_and_all_in_the_end():
     import numpy as np
 
