@@ -89,13 +89,6 @@ def eval_checks(x):
     return j.groupBy("case_id").agg(F.count("passed").alias("checks"), F.count_if("passed").alias("passed"), F.coalesce(F.bool_and("passed"), F.lit(False)).alias("all_passed"), (F.count("passed") == 0).alias("missing"))
 
 
-@query("A24", """
-SELECT o_custkey, count(DISTINCT o_orderkey) AS blocks, count(DISTINCT sha256(o_orderstatus || o_orderpriority)) AS claims, round(least(1, greatest(0, count(*) / greatest(1, 20.0))), 6) AS progress FROM orders GROUP BY o_custkey""")
-def evidence_progress(x):
-    sig = F.sha2(F.concat("o_orderstatus", "o_orderpriority").cast("binary"), 256)
-    return x.orders.groupBy("o_custkey").agg(F.countDistinct("o_orderkey").alias("blocks"), F.countDistinct(sig).alias("claims"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.count("*") / 20.0)), 6).alias("progress"))
-
-
 @query("A29 A31 J29", """
 WITH p AS (SELECT o_custkey % 50 AS scope, b.l_extendedprice AS base, c.l_extendedprice AS cand, b.l_quantity AS bq, c.l_quantity AS cq FROM orders JOIN lineitem b ON b.l_orderkey = o_orderkey AND b.l_linenumber = 1 JOIN lineitem c ON c.l_orderkey = o_orderkey AND c.l_linenumber = 2)
 SELECT scope, count(*) AS pairs, round(sum(cand) / sum(base), 6) AS ratio, count(*) FILTER (cand < base) AS wins, count(*) >= 8 AND avg(CASE WHEN cq >= bq THEN 1.0 ELSE 0.0 END) >= 0.5 AND sum(cand) / sum(base) <= 1.0 AS promoted FROM p GROUP BY scope""")

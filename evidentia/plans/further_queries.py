@@ -20,10 +20,10 @@ def revisit_merge(x):
     return x.lineitem.join(read, "l_partkey", "left_anti").groupBy(F.col("l_orderkey").alias("packet")).agg(F.count("*").alias("blocks"), F.sum("l_partkey").alias("total"))
 
 
-@query("S10", "SELECT count(*) AS shared FROM (SELECT sha256(text) FROM documents WHERE lang = 'en' INTERSECT SELECT sha256(text) FROM benchmark)")
+@query("S10", "SELECT count(*) AS shared FROM (SELECT sha256(text) FROM documents INTERSECT SELECT sha256(text) FROM benchmark)")
 def disjoint_hashes(x):
     sha = F.sha2(F.col("text").cast("binary"), 256).alias("h")
-    return x.documents.filter("lang = 'en'").select(sha).intersect(x.benchmark.select(sha)).agg(F.count("*").alias("shared"))
+    return x.documents.select(sha).intersect(x.benchmark.select(sha)).agg(F.count("*").alias("shared"))
 
 
 @query("W21", """
@@ -118,12 +118,12 @@ def folded_vocabulary(x):
 
 
 @query("F14", """
-WITH q AS (SELECT doc_id, text, trim(substr(text, 31, 40)) AS quote FROM documents WHERE length(text) > 80)
+WITH q AS (SELECT doc_id, text, trim(CASE WHEN length(text) > 80 THEN substr(text, 31, 40) ELSE substr(text, 1, 40) END) AS quote FROM documents)
 SELECT doc_id, CAST(strpos(text, quote) - 1 AS BIGINT) AS start, CAST(strpos(text, quote) - 1 + length(quote) AS BIGINT) AS "end" FROM q WHERE quote <> '' AND NOT regexp_matches(quote, '\\s{2}|[\\t\\n\\r]')""")
 def quote_places(x):
     """Where a piece of each document stands in it first, asked for with wider blanks than it has."""
-    piece = F.trim(F.substring("text", 31, 40))
-    q = x.documents.filter("length(text) > 80").select("doc_id", "text", piece.alias("piece")).filter((F.col("piece") != "") & ~F.col("piece").rlike(r"\s{2}|[\t\n\r]"))
+    piece = F.trim(F.when(F.char_length("text") > 80, F.substring("text", 31, 40)).otherwise(F.substring("text", 1, 40)))
+    q = x.documents.select("doc_id", "text", piece.alias("piece")).filter((F.col("piece") != "") & ~F.col("piece").rlike(r"\s{2}|[\t\n\r]"))
     wide = q.select("doc_id", "text", F.replace("piece", F.lit(" "), F.lit("  ")).alias("quote"))
     return drafts.parsed(wide, "doc_id", ["text", "quote"], lambda d, t, v: [(d, *(drafts.find_quote(t, v) or (None, None)))], "doc_id long, start long, end long")
 

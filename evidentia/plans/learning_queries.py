@@ -178,7 +178,7 @@ def time_windows(x):
     return e.select("event_id", F.round(a.screening_cutoff(F.col("now"), F.col("deadline"), F.col("need")), 6).alias("cutoff"), F.round(a.reader_window(F.col("now"), F.col("deadline"), F.col("soft"), F.col("need"), F.col("packets")), 6).alias("reader_window"))
 
 
-@query("C19 C22 C20 C38", """
+@query("C19 C20 C38", """
 WITH d AS (SELECT l_orderkey AS run, l_linenumber AS n, l_partkey % 3 AS screened, l_quantity > 10 AS done, l_suppkey % 9 = 0 AS warned FROM lineitem),
 r AS (SELECT run, count(*) AS planned, bool_and(screened = 2) AS all_unlikely, bool_and(done) AS all_done, count(*) FILTER (NOT done) AS remaining, bool_or(warned AND done) AS gaps FROM d GROUP BY run)
 SELECT run, all_unlikely, all_done AND run % 4 <> 0 AS complete, concat_ws(' ', CASE WHEN gaps THEN 'extraction' END, CASE WHEN remaining > 0 AND run % 2 = 0 THEN 'window:' || remaining WHEN run % 4 = 0 THEN 'catalogue' END, CASE WHEN run % 6 = 0 THEN 'errors' END) AS notes FROM r""")

@@ -147,12 +147,12 @@ def section_descendants(x):
       SELECT root, count(*) AS members, CAST(max(depth) AS BIGINT) AS depth FROM d GROUP BY root""", sections=x.nation)
 
 
-@query("PF8", f"""WITH {_BLOCKS} SELECT item_id, doc_id, ordinal FROM (SELECT item_id, item_id % 7 AS lo, item_id % 7 + item_id % 5 AS hi FROM benchmark) q JOIN b ON b.doc_id = q.item_id AND ordinal BETWEEN lo AND hi""")
+@query("PF8", f"""WITH {_BLOCKS} SELECT q.doc_id, ordinal FROM (SELECT doc_id, doc_id % 7 AS lo, doc_id % 7 + doc_id % 5 AS hi FROM documents) q JOIN b ON b.doc_id = q.doc_id AND ordinal BETWEEN lo AND hi""")
 def subtree_blocks(x):
     """Blocks of a section's interval; the document is the equi key of the range join."""
-    q = x.benchmark.select("item_id", (F.col("item_id") % 7).alias("lo"), (F.col("item_id") % 7 + F.col("item_id") % 5).alias("hi"))
+    q = x.documents.select("doc_id", (F.col("doc_id") % 7).alias("lo"), (F.col("doc_id") % 7 + F.col("doc_id") % 5).alias("hi"))
     b = s.line_blocks(x.documents).withColumn("ordinal", F.col("ordinal").cast("long"))
-    return b.join(q, (F.col("doc_id") == F.col("item_id")) & F.col("ordinal").between(F.col("lo"), F.col("hi"))).select("item_id", "doc_id", "ordinal")
+    return b.join(q, (b["doc_id"] == q["doc_id"]) & F.col("ordinal").between(F.col("lo"), F.col("hi"))).select(b["doc_id"], "ordinal")
 
 
 @query("SC15", """
