@@ -183,3 +183,21 @@ def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     value = F.struct(*[c for c in rows.columns if c not in key])
     g = rows.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias("v"))
     return g.select(*key, "v.*")
+
+
+def added_users(requests: DataFrame, existing: DataFrame, block: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """The writes that requests to add users come to, and the requests that are refused.
+
+    requests: nth (a unique integer, their order), actor, user, name, role; existing: user. A new user is written, gets its
+    role, and may ask questions of anything, which alone shows it no document. Writes: nth, actor, user, step (1 to 3),
+    kind, value, revision (one a write, in order: also the number of its audit entry) and last (of its kind and user).
+    Refused: nth, user and issue (user_exists, also for all but the first request for a user; unknown_role).
+    """
+    first = F.min("nth").over(Window.partitionBy("user"))
+    known = existing.select("user").distinct().withColumn("there", F.lit(True))
+    j = requests.withColumn("first", first).join(known, "user", "left")
+    issue = F.when(~F.coalesce(F.col("role").isin(*ROLE_PERMISSIONS), F.lit(False)), "unknown_role").when(F.col("there") | (F.col("nth") > F.col("first")), "user_exists")
+    j = j.withColumn("issue", issue)
+    steps = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), value.alias("value")) for k, (kind, value) in enumerate((("user", F.col("name")), ("role", F.col("role")), ("grant", F.lit("*:*:question.ask"))), 1)])
+    writes = j.filter("issue is null").select("nth", "actor", "user", F.inline(steps)).withColumn("order", F.col("nth") * 3 + F.col("step"))
+    return revised(writes, "order", ["user", "kind"], block).drop("order"), j.filter("issue is not null").select("nth", "user", "issue")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
-from ..operators import drafts
+from ..operators import access, drafts
 from ..sources import documents as docs
 from ..sources import generations
 from .registry import query
@@ -80,11 +80,19 @@ def call_status(x):
 
 
 @query("C39 AC6", """
-SELECT 'u' || CAST(c_custkey AS VARCHAR) AS subject, kind, value FROM customer, (VALUES ('user', 'active'), ('role', 'reader'), ('grant', 'question.ask')) t(kind, value)""")
+WITH q AS (SELECT c_custkey AS nth, c_custkey // 2 * 2 AS u, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'owner' WHEN 'MACHINERY' THEN 'administrator' ELSE 'corpus_manager' END AS role, c_acctbal < 0 AS old FROM customer),
+r AS (SELECT *, CASE WHEN role NOT IN (SELECT unnest(%s)) THEN 'unknown_role' WHEN u IN (SELECT u FROM q WHERE old) OR nth > min(nth) OVER (PARTITION BY u) THEN 'user_exists' END AS issue FROM q),
+w AS (SELECT nth, u, step, kind, CASE kind WHEN 'user' THEN name WHEN 'role' THEN role ELSE '*:*:question.ask' END AS value FROM r, (VALUES (1, 'user'), (2, 'role'), (3, 'grant')) t(step, kind) WHERE issue IS NULL)
+SELECT 'u' || u AS subject, kind, value, row_number() OVER (ORDER BY nth, step) AS revision, row_number() OVER (PARTITION BY u, kind ORDER BY nth DESC) = 1 AS last FROM w
+UNION ALL SELECT 'u' || u, 'refused', issue, nth, NULL FROM r WHERE issue IS NOT NULL""" % [*access.ROLE_PERMISSIONS])
 def user_additions(x):
-    """The three appends that add a user."""
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in (("user", "active"), ("role", "reader"), ("grant", "question.ask"))])
-    return x.customer.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("subject"), F.inline(rows))
+    """Customers in pairs ask for one user each; those of a pair with debts exist already."""
+    role = F.when(F.col("c_mktsegment") == "BUILDING", "owner").when(F.col("c_mktsegment") == "MACHINERY", "administrator").otherwise("corpus_manager")
+    user = F.concat(F.lit("u"), (F.floor(F.col("c_custkey") / 2) * 2).cast("string"))
+    q = x.customer.select(F.col("c_custkey").alias("nth"), F.lit("admin").alias("actor"), user.alias("user"), F.col("c_name").alias("name"), role.alias("role"))
+    writes, refused = access.added_users(q, x.customer.filter("c_acctbal < 0").select(user.alias("user")))
+    out = writes.select(F.col("user").alias("subject"), "kind", "value", "revision", "last")
+    return out.unionByName(refused.select(F.col("user").alias("subject"), F.lit("refused").alias("kind"), F.col("issue").alias("value"), F.col("nth").alias("revision"), F.lit(None).cast("boolean").alias("last")))
 
 
 @query("SK10 D24", """
