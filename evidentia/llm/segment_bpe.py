@@ -29,7 +29,7 @@ INFINITE = 1 << 62
 #: Words beyond this length have a tree of their own.
 SIDE_BY_SIDE = 32
 #: Bytes of words, and of chunks, that a worker remembers in each of two generations.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 16 << 20
 
 
 def byte_symbols() -> list[str]:
