@@ -117,3 +117,45 @@ def test_document_scopes(spark):
     assert seen([own("document", "*", "allow", "*"), own("*", "*", "deny", "document.search")]) == 0
     assert seen([own("document", "*", "allow", "document.read"), own("document", "*", "allow", "document.search")]) == 0
     assert seen([own("document", "*", "allow", "document.read"), own("document", "*", "allow", "document.search"), own("document", "s", "allow", "document.cite")]) == 1
+
+
+def most_rows(df):
+    """The most rows that an operator of the executed plan put out."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            rows = node.metrics().get("numOutputRows")
+            most = max(most, rows.get().value() if rows.isDefined() else 0)
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+        return most
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_grants_of_a_group_are_not_multiplied_by_its_members(spark):
+    import pyspark.sql.functions as F
+
+    n, none = 300, "CAST(NULL AS TIMESTAMP)"
+    t = F.lit("2025-06-01").cast("timestamp")
+    users = spark.range(n).select(F.concat(F.lit("u"), "id").alias("user_id"), F.lit(True).alias("active"))
+    members = users.select("user_id", F.lit("g").alias("group_id"), F.lit(True).alias("group_active"), F.expr(none).alias("valid_from"), F.expr(none).alias("valid_until"))
+    roles = users.select(F.lit("user").alias("principal_type"), F.col("user_id").alias("principal_id"), F.lit("viewer").alias("role_name"), F.expr(none).alias("valid_from"), F.expr(none).alias("valid_until"))
+    things = spark.range(n).select(F.lit("document").alias("resource_type"), F.concat(F.lit("r"), "id").alias("resource_id"), F.lit(True).alias("active"), F.lit(None).cast("string").alias("owner"))
+    grants = [("group", "g", "document", f"r{k}", "allow", "*") for k in range(n)] + [("user", "u1", "*", "r1", "deny", "*"), ("group", "g", "document", "r2", "deny", "document.read"), ("user", "u2", "document", "*", "allow", "*")]
+    grants = grants_of(spark, grants)
+    keys = access.principal_keys(users, members, t)
+    held = access.permissions(keys, roles, t)
+    sizes = access.scope_sizes(users, access.document_scope(keys, held, grants, t), things)
+    assert most_rows(sizes) < n * 20
+    assert {r.user_id: r.n_documents for r in sizes.collect()} == {f"u{k}": n - (2 if k == 1 else 1) for k in range(n)}
+    asked = spark.range(n).select(F.concat(F.lit("u"), "id").alias("user_id"), F.lit("document").alias("resource_type"), F.concat(F.lit("r"), "id").alias("resource_id"))
+    may = access.can(asked, keys, held, things, grants, "document.read", t)
+    assert most_rows(may) < n * 20
+    assert {r.user_id for r in may.filter("not allowed").collect()} == {"u1", "u2"}
+    opened = asked.select(F.lit(1).alias("answer"), "*", F.lit(False).alias("opened"))
+    assert most_rows(access.reauthorized(opened, keys, held, things, grants, t)) < n * 20
