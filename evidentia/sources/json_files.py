@@ -51,7 +51,9 @@ def registry_entities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     absent = F.expr("variant_get(value, '$.entities', 'variant')").isNull()
     issue = F.coalesce("issue", F.when(~whole | ~(listed.isNotNull() | absent), "not_a_registry"))
     p = p.withColumn("issue", issue)
-    rows = p.filter("issue is null").select("path", F.coalesce(_get(F.col("value"), "$.version", "int"), F.lit(1)).alias("version"), F.explode(listed).alias("e")).filter(_kind(F.col("e")).startswith("OBJECT"))
+    # the file's value stays below the explode, else every entity would carry it
+    lists = p.filter("issue is null").select("path", F.coalesce(_get(F.col("value"), "$.version", "int"), F.lit(1)).alias("version"), listed.alias("listed"))
+    rows = lists.select("path", "version", F.explode("listed").alias("e")).filter(_kind(F.col("e")).startswith("OBJECT"))
     one = lambda c, path: F.trim(F.coalesce(_get(c, path, "string"), F.lit("")))
     e = F.col("e")
     entry = lambda text, mode: F.struct(text.alias("text"), mode.alias("mode"))

@@ -159,3 +159,17 @@ def test_grants_of_a_group_are_not_multiplied_by_its_members(spark):
     assert {r.user_id for r in may.filter("not allowed").collect()} == {"u1", "u2"}
     opened = asked.select(F.lit(1).alias("answer"), "*", F.lit(False).alias("opened"))
     assert most_rows(access.reauthorized(opened, keys, held, things, grants, t)) < n * 20
+
+
+def test_a_large_registry_is_not_copied_to_each_of_its_entities(spark):
+    import json
+
+    from evidentia.sources import json_files
+
+    n = 6000
+    text = json.dumps({"version": 3, "entities": [{"id": f"{k}", "name": f"name {k} " + "x" * 100} for k in range(n)]})
+    found, _ = json_files.registry_entities(spark.createDataFrame([("p", text)], "path string, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate ")]
+    assert "try_parse_json" not in above and "value#" not in above
+    assert found.count() == n and {r.version for r in found.collect()} == {3}
