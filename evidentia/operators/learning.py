@@ -11,6 +11,12 @@ def fraction(part: Column, whole: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), part / F.greatest(whole.cast("double"), F.lit(1.0))))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A number that is not negative, rounded as the binary value that it is; F.round takes its shortest decimal form, which may be a half where the value is below one."""
+    scaled = value * F.lit(10.0**places)
+    return (F.floor(scaled) + F.when(scaled - F.floor(scaled) >= 0.5, 1).otherwise(0)) / F.lit(10.0**places)
+
+
 def encoded(stage: Column, stages: list[str], fractions: list[Column]) -> Column:
     """A context as features: a constant, one of `stages` as ones and zeros, and fractions."""
     return F.array(F.lit(1.0), *[F.when(stage == s, 1.0).otherwise(0.0) for s in stages], *[f.cast("double") for f in fractions])

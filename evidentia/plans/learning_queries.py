@@ -77,7 +77,7 @@ def state_features(x):
     part = lambda p, w: g.fraction(F.col(p), F.lit(w) if not isinstance(w, str) else F.col(w))
     nine = [part("n", 20), part("facets", 5), part("done", "n"), part("cost", 500_000_000), part("blocks", 100), part("parts", "blocks"), part("sources", 50), part("returned", "blocks"), part("quantity", 3000)]
     f = g.encoded(F.col("stage"), _STAGES, nine)
-    return j.select("run", F.transform(f, lambda v: F.round(v, 6)).alias("features"), g.valid_context(f, 13).alias("valid"))
+    return j.select("run", F.transform(f, lambda v: g.rounded(v, 6)).alias("features"), g.valid_context(f, 13).alias("valid"))
 
 
 @query("RL6", """
