@@ -104,9 +104,9 @@ FROM documents d CROSS JOIN region r""")
 def alias_occurrence(x):
     """Known aliases, a bounded registry, in every text: anywhere, and as whole words."""
     d = x.documents.select("doc_id", F.lower("text").alias("t"))
-    d = d.withColumn("w", F.concat(F.lit(" "), F.regexp_replace("t", "[^a-z0-9_]+", " "), F.lit(" ")))
-    r = x.region.select("r_regionkey", F.lower("r_name").alias("a"))
-    whole = F.contains("w", F.concat(F.lit(" "), F.split("a", " ")[0], F.lit(" ")))
+    r = x.region.select("r_regionkey", F.lower("r_name").alias("a")).withColumn("first", F.split("a", " ")[0])
+    # an expression looks only at the few texts that hold the word at all
+    whole = F.contains("t", "first") & F.rlike("t", F.concat(F.lit(r"(?:^|[^a-z0-9_])\Q"), "first", F.lit(r"\E(?:$|[^a-z0-9_])")))
     return d.join(F.broadcast(r), F.lit(True)).select("doc_id", "r_regionkey", F.when(F.contains("t", "a"), 2.0).otherwise(0.0).alias("bonus"), whole.alias("whole_word"))  # five rows
 
 
