@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import structure as s
-from .registry import query
+from .registry import dealt, query
 
 _BLOCKS = r"""
 l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(v)), lambda v: v <> '') AS l FROM documents),
@@ -118,7 +118,7 @@ def parsed_structures(x):
     md = F.concat(name, F.lit("\n=====\n\nabout "), seg, F.lit(" and more\n\n## Part "), n, F.lit(" ##\n| Key | Nation |\n|:--|--:|\n| "), k, F.lit(" | "), n, F.lit(" |\n\n- one\n- two "), n, F.lit("\n\nend\n"))
     out = None
     for form, text, parser in (("html", html, d.html_blocks), ("md", md, d.markdown_blocks)):
-        found = d.parsed(x.customer.select("c_custkey", text.alias("t")), "c_custkey", "t", parser).select(F.col("doc_id").alias("k"), F.lit(form).alias("form"), "ordinal", F.concat("kind", F.lit(":"), "block_text").alias("block"))
+        found = d.parsed(dealt(x.customer).select("c_custkey", text.alias("t")), "c_custkey", "t", parser).select(F.col("doc_id").alias("k"), F.lit(form).alias("form"), "ordinal", F.concat("kind", F.lit(":"), "block_text").alias("block"))
         out = found if out is None else out.unionByName(found)
     return out
 

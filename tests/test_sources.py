@@ -215,3 +215,24 @@ def test_aliases_as_whole_words_without_rewriting_the_texts(spark, tmp_path):
     assert [repr(r) for r in got] == [repr(r) for r in want]
     plan = catalog.QUERIES["alias_occurrence"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_short_documents_are_parsed_many_to_a_batch(spark):
+    import pandas as pd
+
+    from evidentia.sources import documents as d
+
+    class Docs:
+        schema = spark.range(1).selectExpr("id").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+
+    run = d.parsed(Docs(), "id", "t", lambda text: (("prose", "", "", p) for p in text.split()))
+    batches = list(run([pd.DataFrame({"k": [k, k + 500], "t": [f"a b{k}", None]}) for k in range(500)]))
+    assert len(batches) == 1 and list(batches[0].itertuples(index=False))[2:4] == [(1, 0, "prose", "", "", "a"), (1, 1, "prose", "", "", "b1")]
+    long = list(run([pd.DataFrame({"k": [1], "t": ["x" * 1000 + " "]}) for k in range(5000)]))
+    assert sum(map(len, long)) == 5000 and max(map(len, long)) * 1000 <= d.BATCH_CHARS + 2000
