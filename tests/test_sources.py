@@ -236,3 +236,16 @@ def test_short_documents_are_parsed_many_to_a_batch(spark):
     assert len(batches) == 1 and list(batches[0].itertuples(index=False))[2:4] == [(1, 0, "prose", "", "", "a"), (1, 1, "prose", "", "", "b1")]
     long = list(run([pd.DataFrame({"k": [1], "t": ["x" * 1000 + " "]}) for k in range(5000)]))
     assert sum(map(len, long)) == 5000 and max(map(len, long)) * 1000 <= d.BATCH_CHARS + 2000
+
+
+def test_references_keep_the_parts_that_their_number_asks_for(spark, monkeypatch):
+    from evidentia.plans import graph_queries
+    from evidentia.plans.registry import Tables
+
+    x = Tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(graph_queries, "_ROWS", 400)
+    parts = graph_queries._parts(x)
+    assert parts == -(-x.lineitem.count() // 400) > 4
+    blocks, found = graph_queries._resolved(x)
+    assert blocks.rdd.getNumPartitions() == parts and found.rdd.getNumPartitions() == parts
+    assert graph_queries._closed(x)[1].rdd.getNumPartitions() == parts
