@@ -6,12 +6,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Groups that `by_group` works on at once.
+GROUPS = 256
+
 
 def select_evidence(hits: list[dict], budget: int, overlap: float = 0.65, share: float = 0.8, weight: float = 0.12) -> list[dict]:
     """Chooses hits (facet, rank, score, passage, doc, block, start, end, cost, near) within the budget.
@@ -79,11 +82,40 @@ def by_group(rows: DataFrame, key: str, step, schema: str) -> DataFrame:
 
         kinds = to_arrow_schema(out_type)
         for batch in batches:
-            out = [t for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in step(k, own)]
+            # a batch holds many groups, of which a few at a time become Python's objects
+            for a in range(0, batch.num_rows, GROUPS):
+                part = batch.slice(a, GROUPS)
+                out = [t for k, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for t in step(k, own)]
+                columns = [*zip(*out, strict=True)] or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    return packed_.mapInArrow(run, schema)
+
+
+def in_order(rows: DataFrame, key: str, order: str, start, schema: str) -> DataFrame:
+    """start(key) -> a step(row dict) -> tuple, applied to each group's rows in their order. For groups of any size: Spark
+    sorts the rows, and a task holds one batch of them and the state of the group that it is in."""
+    names = rows.columns
+    sorted_ = rows.repartition(key).sortWithinPartitions(key, order)
+    out_type = T._parse_datatype_string(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(out_type)
+        group, step = None, None
+        for batch in batches:
+            out = []
+            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                row = dict(zip(names, values, strict=True))
+                if step is None or row[key] != group:
+                    group, step = row[key], start(row[key])
+                out.append(step(row))
             columns = [*zip(*out, strict=True)] or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    return packed_.mapInArrow(run, schema)
+    return sorted_.mapInArrow(run, schema)
 
 
 def greedy_select(hits: DataFrame, question: str, budget: int) -> DataFrame:
@@ -138,24 +170,32 @@ def pack(bundles: list[tuple[int, list[tuple[int, int]]]], costs: list[int], bud
         yield number, sorted(held), seeds, issues
 
 
-def budget_ledger(calls: list[dict], most_calls: int, most_tokens: int, reserves: dict[str, int]) -> Iterator[dict]:
-    """Admission of calls (kind, requested, measured or None, failed) in order.
+class Ledger:
+    """Admission of calls (kind, requested, measured or None, failed) one after the other.
 
     Reserves of kinds not yet called are kept back from the others. A call is charged what it measured, or its ceiling
     if it failed or did not measure; one that cannot be admitted is denied and costs nothing.
     """
-    reserves, made, charged = dict(reserves), 0, 0
-    for c in calls:
-        kept = {k: v for k, v in reserves.items() if k != c["kind"]}
-        room = most_tokens - charged - sum(kept.values())
-        if most_calls - made - len(kept) < 1 or room < 1:
-            yield c | {"admitted": False, "charged": 0, "total": charged}
-            continue
-        reserves.pop(c["kind"], None)
+
+    def __init__(self, most_calls: int, most_tokens: int, reserves: dict[str, int]):
+        self.most_calls, self.most_tokens, self.reserves = most_calls, most_tokens, dict(reserves)
+        self.made = self.charged = 0
+
+    def call(self, c: dict) -> dict:
+        kept = {k: v for k, v in self.reserves.items() if k != c["kind"]}
+        room = self.most_tokens - self.charged - sum(kept.values())
+        if self.most_calls - self.made - len(kept) < 1 or room < 1:
+            return c | {"admitted": False, "charged": 0, "total": self.charged}
+        self.reserves.pop(c["kind"], None)
         ceiling = min(c["requested"], room)
         cost = ceiling if c["failed"] or c["measured"] is None else c["measured"]
-        made, charged = made + 1, charged + cost
-        yield c | {"admitted": True, "charged": cost, "total": charged}
+        self.made, self.charged = self.made + 1, self.charged + cost
+        return c | {"admitted": True, "charged": cost, "total": self.charged}
+
+
+def budget_ledger(calls: Iterable[dict], most_calls: int, most_tokens: int, reserves: dict[str, int]) -> Iterator[dict]:
+    """The calls in order, as a `Ledger` admits them."""
+    yield from map(Ledger(most_calls, most_tokens, reserves).call, calls)
 
 
 def estimate(text: str) -> int:

@@ -251,9 +251,14 @@ def budget_ledger(x):
 
     e = x.events.select("user_id", "event_id", "event_type", F.floor("value").alias("requested"))
 
-    def step(user, rows):
-        calls = [{"event_id": r["event_id"], "kind": r["event_type"], "requested": max(1, r["requested"]), "measured": None if r["event_id"] % 3 else r["requested"], "failed": r["event_id"] % 7 == 0} for r in rows]
-        out = q.budget_ledger(sorted(calls, key=lambda c: c["event_id"]), 12, 600, {"view": 50})
-        return [(user, c["event_id"], c["admitted"], c["charged"], c["total"]) for c in out]
+    def start(user):
+        ledger = q.Ledger(12, 600, {"view": 50})
 
-    return q.by_group(e, "user_id", step, "user_id long, event_id long, admitted boolean, charged long, total long")
+        def step(r):
+            own = r["requested"]
+            c = ledger.call({"kind": r["event_type"], "requested": max(1, own), "measured": None if r["event_id"] % 3 else own, "failed": r["event_id"] % 7 == 0})
+            return user, r["event_id"], c["admitted"], c["charged"], c["total"]
+
+        return step
+
+    return q.in_order(e, "user_id", "event_id", start, "user_id long, event_id long, admitted boolean, charged long, total long")

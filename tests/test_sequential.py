@@ -167,3 +167,25 @@ def test_token_windows_are_contiguous_slices():
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     assert all(b > a for a, b in spans) and all(c < b for (_, b), (c, _) in zip(spans, spans[1:]))
     assert q.token_windows("   ") == []
+
+
+def test_ledger_streams_groups_over_batches(spark):
+    """No group is held whole: a batch has three rows, a user two hundred, and the charges are those of the whole sequence."""
+    from evidentia.plans import catalog
+
+    class X:
+        events = spark.range(600).selectExpr("id as event_id", "id % 3 as user_id", "if(id % 5 = 0, 'view', 'click') as event_type", "cast(id % 40 as double) as value").repartition(3)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = catalog.QUERIES["budget_ledger"].__closure__[0].cell_contents(X)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in plan
+    want = []
+    for user in range(3):
+        calls = [{"event_id": k, "kind": "view" if k % 5 == 0 else "click", "requested": max(1, k % 40), "measured": None if k % 3 else k % 40, "failed": k % 7 == 0} for k in range(user, 600, 3)]
+        want += [(user, c["event_id"], c["admitted"], c["charged"], c["total"]) for c in q.budget_ledger(calls, 12, 600, {"view": 50})]
+    assert got == want
