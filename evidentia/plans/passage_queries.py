@@ -46,8 +46,9 @@ def _variants(x):
     return x.benchmark.select(F.floor(F.col("item_id") / 2).alias("question"), F.col("item_id").alias("query_id"), "text")
 
 
-def _search(x):
-    return r.search(_passages(x), _variants(x), r.letter_vector(_SIZE))
+def _search(x, passages=None):
+    """Both lanes read the passages, so these are a table of their own."""
+    return r.search(materialized(_passages(x), "passages") if passages is None else passages, _variants(x), r.letter_vector(_SIZE))
 
 
 @query("J17 J18 J19 A6 A7 W3 U1 M4 PF1 D9", f"WITH {_PASSAGES} SELECT question, key, round(score, 6) AS score, found, row_number() OVER (PARTITION BY question ORDER BY score DESC, key) AS rank FROM g QUALIFY rank <= 32")
@@ -79,13 +80,16 @@ def neighbor_passages(x):
 
 def _hits(x):
     """The hits of each question with their spans, costs and the passages next to them; facets are questions of an answer."""
-    p = _placed(_passages(x))
+    every = materialized(_passages(x), "passages")
+    hits = materialized(_search(x, every).select("question", "key", "score", "rank"), "hits")
+    # neighbours are of the same document, so only documents with a hit are placed
+    found = hits.join(every.select("key", "doc_id"), "key").select("doc_id").distinct()
+    p = _placed(every.join(found, "doc_id", "left_semi"))
     place = F.struct("doc", "block")
     row = F.struct(F.col("key").alias("passage"), F.col("doc"), place.alias("block"), F.col("word_start").alias("start"), F.col("word_end").alias("end"), "cost")
     title = x.documents.select("doc_id", F.col("source").alias("title"))
     p = p.join(title, "doc_id").withColumn("cost", t.passage_cost(F.col("text"), F.col("title"), F.concat(F.lit("words "), F.col("word_start").cast("string")), F.array().cast("array<string>"))).drop("text", "title")
-    near = materialized(r.neighbours(p, row), "passages")
-    return _search(x).select("question", "key", "score", "rank").join(near, "key").select(
+    return hits.join(r.neighbours(p, row), "key").select(
         F.floor(F.col("question") / 4).alias("answer"), F.col("question").alias("facet"), "rank", "score", F.col("key").alias("passage"), "doc", place.alias("block"),
         F.col("word_start").alias("start"), F.col("word_end").alias("end"), "cost", "near",
     )

@@ -178,3 +178,32 @@ def test_lexical_lanes_with_bounded_candidates(spark, small):
     pairs = retrieval.lexical_candidates(*retrieval.scored_terms(frame, queries), 20)
     every = sum(1 for q, text in asked for t in tokens.values() if set(text.split()) & set(t))
     assert pairs.count() < every / 2
+
+
+def test_words_of_a_passage_are_taken_once(spark):
+    """The words of a text are one expression of the plan, outside of every lambda that runs for each window or length."""
+    from evidentia.operators import retrieval
+
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(300))), (2, ""), (3, None), (4, "One two")], "doc_id long, text string")
+    p = retrieval.passages(docs)
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r.doc_id, r.seq, r.word_start, r.word_end) for r in p.collect()) == [(1, 0, 0, 160), (1, 1, 128, 288), (1, 2, 256, 300), (4, 0, 0, 2)]
+    e = docs.select("doc_id", retrieval.letter_vector(4)(docs["text"]).alias("e"))
+    assert "lambdafunction(regexp_extract_all" not in e._jdf.queryExecution().analyzed().toString().replace("size(", "")
+    got = {r.doc_id: r.e for r in e.collect()}
+    norm = (3 * 0.2**2 + 2.2**2) ** 0.5
+    assert got[4] == [0.2 / norm, 0.2 / norm, 0.2 / norm, 2.2 / norm] and got[2] == got[3] == [0.5] * 4
+
+
+def test_only_documents_with_a_hit_are_placed(spark, monkeypatch):
+    """Neighbours are sought for the documents of hits alone."""
+    from evidentia.operators import retrieval
+    from evidentia.plans import passage_queries
+    from evidentia.plans.registry import Tables
+
+    seen = []
+    plain = retrieval.neighbours
+    monkeypatch.setattr(retrieval, "neighbours", lambda p, row: seen.append(p) or plain(p, row))
+    monkeypatch.setattr(passage_queries.r, "search", lambda p, q, e, limit=32, k=60: p.selectExpr("0L as question", "key", "1.0D as score", "1L as rank").filter("key = (select min(key) from {p})".replace("{p}", "_p")) if p.createOrReplaceTempView("_p") is None else None)
+    hits = passage_queries._hits(Tables(spark, "/root/testdata/sf0.001")).collect()
+    assert len(hits) == 1 and {r.doc for r in seen[0].select("doc").distinct().collect()} == {hits[0].doc}
