@@ -207,3 +207,18 @@ def test_only_documents_with_a_hit_are_placed(spark, monkeypatch):
     monkeypatch.setattr(passage_queries.r, "search", lambda p, q, e, limit=32, k=60: p.selectExpr("0L as question", "key", "1.0D as score", "1L as rank").filter("key = (select min(key) from {p})".replace("{p}", "_p")) if p.createOrReplaceTempView("_p") is None else None)
     hits = passage_queries._hits(Tables(spark, "/root/testdata/sf0.001")).collect()
     assert len(hits) == 1 and {r.doc for r in seen[0].select("doc").distinct().collect()} == {hits[0].doc}
+
+
+def test_lexical_lane_by_matrix_products(spark):
+    """Slabs and blocks of queries of any size give the lane of the joins, ties included; documents without a term stay out."""
+    from evidentia.operators import retrieval
+
+    words = [f"w{k}" for k in range(12)]
+    docs = spark.createDataFrame([(d, " ".join(words[(d * k) % 12] for k in range(1, 2 + d % 5)) if d % 9 else "none") for d in range(120)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{(q + 3) % 12} w5") for q in range(12)], "query_id long, text string")
+    rows = lambda d: sorted((r.query_id, r.doc_id, round(r.score, 8), r["rank"]) for r in d.collect())
+    want = rows(retrieval.bm25(docs, asked, lane=7, small=1000))
+    assert rows(retrieval.bm25(docs, asked, lane=7, small=0)) == want
+    own, terms = retrieval.scored_terms(docs, asked)
+    assert rows(retrieval.ranked(retrieval.lexical_lane(own, terms, 7, block=5, slab=11), "doc_id", 7)) == want
+    assert "rest" not in retrieval.bm25(docs, asked, lane=7, small=0)._jdf.queryExecution().optimizedPlan().toString()
