@@ -18,9 +18,10 @@ of folded words; shards are keyed by `BANDS` bands of `ROWS` minimum hashes, in
 of 0.8 meet with a probability of 0.998; the trees find links within a wide radius (such documents differ in 39 bits,
 give or take 6), of which the closest that join a shard stay (a minimum spanning forest) and are then confirmed by the
 exact similarity of the two documents. Shards beyond `TREE` are dealt into trees of about that size, which share
-`PIVOTS` documents. Where a link fails, or a dealt shard holds several components, rounds follow in which documents of
-different components of a shard offer each other their closest untried links, more of them each time, until all are
-tried; large shards then meet in blocks, but for blocks of one component. So no link of a shard within the radius is lost.
+`PIVOTS` documents. A link that fails may have hidden others, and a dealt shard holds several trees; so what is then still
+in different components of a shard is compared by the exact similarity inside the tasks, every pair within the radius until
+it is joined: a task emits the links that hold, a forest, and not the pairs that it tried. Large shards meet in blocks, but
+for blocks of one component. So no link of a shard within the radius is lost.
 
 Components come from alternating large-star and small-star steps on tables in the shared folder.
 
@@ -284,8 +285,6 @@ def _first_of_each(docs: DataFrame, doc_id: str, prints: DataFrame, found: DataF
 BANDS, ROWS, WIDE, WIDE_RADIUS = 16, 5, 4, 72
 #: Documents that all trees of a dealt shard share, about.
 PIVOTS = 256
-#: Links that a document offers in the first round after links have failed, and times as many in each further one.
-OFFERED = 16
 #: Documents of a tree of wide fingerprints, whose links a task holds at once.
 TREE = 1024
 _ODD = (np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -348,34 +347,70 @@ def shards(prints: DataFrame) -> DataFrame:
     return stored(keyed.join(sizes, "band"), "shards")
 
 
-def _searched(packed: DataFrame, search) -> DataFrame:
-    """(a, b, more) of search(fingerprints, labels) -> [(number, number, more)] for each set `tree` of (fingerprint, label)."""
+def _arrow_links(packed: DataFrame, run) -> DataFrame:
+    """(a, b) of run(batches) over `packed`, each pair once and in order."""
+    found = packed.mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for tree in batch.column(0).to_pylist():
-                names = [x["fingerprint"] for x in tree]
-                for x, y, more in search(np.frombuffer(b"".join(names), "<u8").reshape(len(names), -1), np.array([x["label"] for x in tree])):
-                    for column, value in zip(out, (names[x], names[y], more), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["a", "b", "more"])
+def _links_batch(a: list, b: list):
+    import pyarrow as pa
 
-    found = packed.mapInArrow(run, "a binary, b binary, more boolean")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def similar_links(met: DataFrame, radius: int = WIDE_RADIUS, shard: int = SHARD, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b, more): the closest links that join what lies within the radius in a shard; large shards are dealt into trees that share some documents."""
+    """(a, b): the closest links that join what lies within the radius in a shard; large shards are dealt into trees that share some documents."""
     trees = F.ceil(F.col("n") / shard).cast("int")
     pivot = (F.col("n") > shard) & (F.pmod(F.xxhash64("fingerprint", "band"), F.ceil(F.col("n") / pivots)) == 0)
     dealt = F.when(pivot, F.sequence(F.lit(0), trees - 1)).otherwise(F.array(F.pmod(F.xxhash64("fingerprint"), trees).cast("int")))
-    rows = met.select("band", F.struct("fingerprint", F.lit(0).alias("label")).alias("f"), F.explode(dealt).alias("tree_no"))
+    rows = met.select("band", "fingerprint", F.explode(dealt).alias("tree_no"))
     # the same documents meet in many bands: each set of them is searched once
-    packed = rows.groupBy("band", "tree_no").agg(F.sort_array(F.collect_list("f")).alias("tree")).filter("size(tree) > 1").select("tree").distinct()
-    return _searched(packed, lambda values, _: [(x, y, False) for x, y in closest(values, radius)])
+    packed = rows.groupBy("band", "tree_no").agg(F.sort_array(F.collect_list("fingerprint")).alias("tree")).filter("size(tree) > 1").select("tree").distinct()
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for tree in batch.column(0):
+                names = tree.as_py()
+                for x, y in closest(np.frombuffer(b"".join(names), "<u8").reshape(len(names), -1), radius):
+                    a.append(names[x])
+                    b.append(names[y])
+            yield _links_batch(a, b)
+
+    return _arrow_links(packed, run)
+
+
+def alike(values: np.ndarray, labels: np.ndarray, grams: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Numbers of linked values, enough links to join the labels of one tree: within the radius, and of a Jaccard similarity
+    of their `grams` (distinct hashes) of `similarity` or more. Every pair of different labels is compared until they are joined."""
+    label, out = labels.copy(), []
+    sizes = np.array([len(g) for g in grams], np.int64)
+    ids = np.unique(np.concatenate(grams), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(len(ids) + 1, bool)
+    for node, near, _ in BKTree(values).search(values, radius):
+        other = near[label[near] != label[node]]
+        # sizes alone rule out what is too short or too long
+        other = other[np.minimum(sizes[other], sizes[node]) >= similarity * np.maximum(sizes[other], sizes[node])]
+        if not len(other):
+            continue
+        own = ids[starts[node] : starts[node + 1]]
+        mark[own] = True
+        for a in range(0, len(other), 256):
+            part = other[a : a + 256]
+            part = part[label[part] != label[node]]
+            if not len(part):
+                continue
+            at = np.concatenate([ids[starts[k] : starts[k + 1]] for k in part])
+            shared = np.bincount(np.repeat(np.arange(len(part)), sizes[part]), weights=mark[at], minlength=len(part))
+            good = part[shared >= similarity * (sizes[part] + sizes[node] - shared)]
+            if len(good):
+                found, first = np.unique(label[good], return_index=True)
+                out += [(node, int(good[k])) for k in first]
+                label[np.isin(label, found)] = label[node]
+        mark[own] = False
+    return out
 
 
 def offered(values: np.ndarray, labels: np.ndarray, radius: int, most: int) -> list[tuple[int, int, bool]]:
@@ -393,8 +428,8 @@ def offered(values: np.ndarray, labels: np.ndarray, radius: int, most: int) -> l
 
 
 def _in_blocks(rest: DataFrame, half: int) -> DataFrame:
-    """(band, x, y, fingerprint, label): the rows of large shards, once for each two blocks x and y that meet."""
-    sizes = rest.groupBy("band", "label").agg(F.count("*").alias("own"))
+    """(band, x, y, fingerprint, label): the rows of large shards, once for each two blocks x and y that meet; `weight` counts against `half`."""
+    sizes = rest.groupBy("band", "label").agg(F.sum("weight").alias("own"))
     pools = sizes.groupBy("band").agg(F.sum(F.when(F.col("own") < half, F.col("own")).otherwise(0)).alias("pooled"))
     sizes = stored(sizes.join(pools, "band"), "sizes")
     pure = F.col("own") >= half
@@ -407,21 +442,47 @@ def _in_blocks(rest: DataFrame, half: int) -> DataFrame:
     return rest.join(stored(sides, "meet"), ["band", "block"]).select("band", "x", "y", "fingerprint", "label")
 
 
-def open_links(met: DataFrame, found: DataFrame, most: int, radius: int = WIDE_RADIUS, shard: int = SHARD) -> DataFrame:
-    """(a, b, more): the closest links between the components `found` (node, root) that share a shard, `most` for each document.
-
-    Shards of one component are done. A large shard is cut into blocks: components of half a block or more into blocks of
-    their own, the others together; two blocks meet in one task unless they are of one component.
-    """
+def mixed_shards(met: DataFrame, found: DataFrame) -> DataFrame:
+    """The stored table (band, fingerprint, label) of the shards that hold several of the components `found` (node, root)."""
     rows = met.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.xxhash64(F.coalesce("root", "fingerprint")))
     mixed = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("band")
-    rows = stored(rows.join(mixed, "band", "left_semi").select("band", "n", "fingerprint", "label"), "open")
-    whole = rows.filter(F.col("n") <= shard).select("band", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "fingerprint", "label")
-    rest = rows.filter(F.col("n") > shard)
-    if not rest.isEmpty():
-        whole = whole.unionByName(_in_blocks(rest, shard // 2))
-    packed = whole.groupBy("band", "x", "y").agg(F.sort_array(F.collect_list(F.struct("fingerprint", "label"))).alias("tree")).filter("size(tree) > 1").select("tree").distinct()
-    return _searched(packed, lambda values, labels: offered(values, labels, radius, most))
+    return stored(rows.join(mixed, "band", "left_semi").select("band", "fingerprint", "label"), "open")
+
+
+#: Hashes of shingles that count as one document against the size of a block, so that a tree has 16 MB of them at most, or two texts.
+WEIGHT = 2048
+
+
+def open_links(rows: DataFrame, grams: DataFrame, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard: int = SHARD) -> DataFrame:
+    """(a, b): links that join the labels of the shards `rows` (band, fingerprint, label), confirmed by the hashes of their shingles.
+
+    grams: (fingerprint, grams binary, size). A task holds the fingerprints and hashes of one tree and compares all pairs of
+    different labels within the radius, but emits a forest of the links that hold, not the pairs that it tried. A large
+    shard is cut into blocks: components of half a block or more into blocks of their own, the others together; two blocks
+    meet in one task unless they are of one component.
+    """
+    sized = stored(rows.join(grams.select("fingerprint", F.ceil((F.col("size") + 1) / WEIGHT).alias("weight")), "fingerprint"), "sized")
+    large = stored(sized.groupBy("band").agg(F.sum("weight").alias("n")).filter(F.col("n") > shard), "large").select("band")
+    zero = F.lit(0).cast("long")
+    whole = sized.join(large, "band", "left_anti").select("band", zero.alias("x"), zero.alias("y"), "fingerprint", "label")
+    if not large.isEmpty():
+        whole = whole.unionByName(_in_blocks(sized.join(large, "band", "left_semi"), shard // 2))
+    # the same documents meet in many bands: each set of them is searched once, and only then are their hashes fetched
+    sets = whole.groupBy("band", "x", "y").agg(F.sort_array(F.collect_list(F.struct("fingerprint", "label"))).alias("tree"), (F.min("label") != F.max("label")).alias("open"))
+    sets = stored(sets.filter("open").select("tree").distinct().withColumn("id", F.expr("uuid()")), "sets")
+    members = sets.select("id", F.inline("tree")).join(grams.select("fingerprint", "grams"), "fingerprint")
+    packed = members.groupBy("id").agg(F.collect_list(F.struct("fingerprint", "label", "grams")).alias("tree")).select("tree")
+
+    def run(batches):
+        for batch in batches:
+            for tree in batch.column(0):
+                names = [x.as_py() for x in tree.values.field("fingerprint")]
+                labels = tree.values.field("label").to_numpy()
+                own = [np.frombuffer(x.as_buffer(), "<u8") if len(x.as_buffer()) else np.zeros(0, "<u8") for x in tree.values.field("grams")]
+                links_ = alike(np.frombuffer(b"".join(names), "<u8").reshape(len(names), -1), labels, own, radius, similarity)
+                yield _links_batch([names[x] for x, _ in links_], [names[y] for _, y in links_])
+
+    return _arrow_links(packed, run)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -469,36 +530,37 @@ def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     prints = stored(map_texts(keyed, "text", {"fingerprint": "binary", "bands": "array<long>"}, start, ["doc_id", "_g_key"]), "prints")
     met = shards(prints)
     pairs = stored(similar_links(met, shard=shard, pivots=max(1, min(PIVOTS, shard // 8))), "pairs")
-    texts = tried = found = None
-    most = OFFERED
-    while True:
-        new = _texts_of(pairs, texts, prints, keyed)
-        texts = new if texts is None else texts.unionByName(new)
-        good = stored(confirmed(pairs.select("a", "b"), texts, shingle, similarity), "confirmed")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        found = components(good) if found is None else _joined(found, good)
-        # a link that failed may have hidden longer ones between its components: these offer more in each round
-        while True:
-            near = stored(open_links(met, found, most, shard=shard), "pairs")
-            pairs = stored(near.join(tried, ["a", "b"], "left_anti"), "pairs")
-            if not pairs.isEmpty():
-                break
-            if near.filter("more").isEmpty():
-                return _first_of_each(docs, doc_id, prints, found)
-            most *= OFFERED
-        most *= OFFERED
-
-
-def _texts_of(pairs: DataFrame, known: DataFrame | None, prints: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The stored texts (fingerprint, text) of the ends of `pairs` that `known` lacks."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
-    if known is not None:
-        ends = ends.join(known, "fingerprint", "left_anti")
+    good = stored(confirmed(pairs, _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")), prints, keyed), shingle, similarity), "confirmed")
+    found = components(good)
+    # a link that failed may have hidden longer ones between its components: tasks compare what is left of their shards
+    rows = mixed_shards(met, found)
+    if not rows.isEmpty():
+        found = _joined(found, stored(open_links(rows, _grams_of(rows, prints, keyed, shingle), similarity, shard=shard), "confirmed"))
+    return _first_of_each(docs, doc_id, prints, found)
+
+
+def _grams_of(rows: DataFrame, prints: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
+    """The stored table (fingerprint, grams, size) of the distinct hashes of the shingles of the fingerprints of `rows`."""
+
+    def start():
+        known: dict = {}
+
+        def run(texts):
+            made = [shingle_hashes(split_words(t), shingle, _known(known)) for t in texts]
+            return [[g.tobytes() for g in made], [len(g) for g in made]]
+
+        return run
+
+    texts = _texts_of(rows.select("fingerprint"), prints, keyed)
+    return stored(map_texts(texts, "text", {"grams": "binary", "size": "long"}, start, ["fingerprint"]), "grams")
+
+
+def _texts_of(ends: DataFrame, prints: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The stored texts (fingerprint, text) of the fingerprints `ends`."""
+    ends = ends.distinct()
     # one row stands for each fingerprint that has a candidate; its text is looked up by id and row hash
     stand = prints.join(ends, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "_g_key")).alias("r"))
     stand = stored(stand.select("fingerprint", F.col("r.doc_id").alias("_s_id"), F.col("r._g_key").alias("_s_key")), "stand")
-    if known is not None and stand.isEmpty():
-        return known.limit(0)
     some, _ = sifted(keyed, F.col("_g_key"), stand.select("_s_key"))
     found = some.join(stand, some["_g_key"] == stand["_s_key"]).filter(F.col("doc_id").eqNullSafe(F.col("_s_id")))
     return stored(found.select("fingerprint", "text").dropDuplicates(["fingerprint"]), "texts")

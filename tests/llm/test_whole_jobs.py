@@ -198,3 +198,45 @@ def test_caches_are_bounded(size):
         memo.young.update(dict.fromkeys(new, 1))
         assert all(k in memo.young for k in keys)
     assert len(memo.young) + len(memo.old) < 2 * size / 150 + 120
+
+
+def test_links_are_confirmed_inside_tasks(spark):
+    """Of a group whose pairs lie on both sides of the similarity a task emits a forest, and the same components as all pairs give."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    n, texts = 90, []
+    base = [f"w{k}" for k in range(60)]
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(60), 3 + k % 3):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    sets = [simhash.shingle_hashes(t.encode().split(), 3, {}) for t in texts]
+    values = np.zeros((n, 4), "<u8")
+    values[:, 0] = np.arange(n)
+    names = [v.tobytes() for v in values]
+    alike = {(i, j) for i in range(n) for j in range(i) if len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 0.6 * len({*sets[i].tolist()} | {*sets[j].tolist()})}
+    assert 0 < len(alike) < n * (n - 1) / 2
+    root = list(range(n))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, j in alike:
+        root[top(i)] = top(j)
+    want = {frozenset(k for k in range(n) if top(k) == r) for r in map(top, range(n))}
+    rows = spark.createDataFrame([(1, bytearray(names[k]), k) for k in range(n)], "band long, fingerprint binary, label long")
+    grams = spark.createDataFrame([(bytearray(names[k]), bytearray(sets[k].tobytes()), len(sets[k])) for k in range(n)], "fingerprint binary, grams binary, size long")
+    for shard in (1000, 16):
+        got = [(names.index(bytes(r.a)), names.index(bytes(r.b))) for r in simhash.open_links(rows, grams, 0.6, radius=256, shard=shard).collect()]
+        assert all((max(p), min(p)) in alike for p in got)
+        root[:] = range(n)
+        for i, j in got:
+            root[top(i)] = top(j)
+        assert {frozenset(k for k in range(n) if top(k) == r) for r in map(top, range(n))} == want
+        assert shard == 16 or len(got) <= n - 1
