@@ -222,3 +222,16 @@ def test_lexical_lane_by_matrix_products(spark):
     own, terms = retrieval.scored_terms(docs, asked)
     assert rows(retrieval.ranked(retrieval.lexical_lane(own, terms, 7, block=5, slab=11), "doc_id", 7)) == want
     assert "rest" not in retrieval.bm25(docs, asked, lane=7, small=0)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_folded_words_come_a_few_texts_at_a_time(spark):
+    """The words of a text are rows as they are found: no column holds the word lists of a batch."""
+    from evidentia.plans import catalog
+
+    class X:
+        documents = spark.createDataFrame([(d, t) for d, t in enumerate(["Straße STRASSE", None, "", *["ﬁn fin a"] * 150])], "doc_id long, text string").repartition(1)
+
+    df = catalog.QUERIES["folded_vocabulary"].__closure__[0].cell_contents(X)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.term, r.df) for r in df.collect()} == {("strasse", 1), ("fin", 150), ("a", 150)}
+    assert "ArrowEvalPython" not in plan
