@@ -8,8 +8,33 @@ from pyspark.sql import functions as F
 
 def line_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", apart: str = "\n") -> DataFrame:
     """Non-blank pieces between `apart`: doc_id, ordinal (from 0, blank pieces not counted), block_text."""
-    kept = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), apart), lambda x: F.trim(x)), lambda x: x != "")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(kept).alias("ordinal", "block_text"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(_pieces(text, apart)).alias("ordinal", "block_text"))
+
+
+def _pieces(text: str, apart: str) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), apart), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _from_heads(lines: Column, most: int) -> Column:
+    """`lines` cut before each of at most `most` characters: an array of (at, part)."""
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def cut(v: Column) -> Column:
+        heads = F.filter(F.transform(v, lambda t, i: F.when(F.char_length(t) <= most, i)), lambda i: i.isNotNull())
+        starts = F.array_distinct(F.concat(F.array(F.lit(0)), heads))
+        return let(starts, lambda s: F.transform(s, lambda a, k: F.struct(a.alias("at"), F.slice(v, a + 1, F.coalesce(F.get(s, k + 1), F.size(v)) - a).alias("part"))))
+
+    return let(lines, cut)
+
+
+def headed_blocks(docs: DataFrame, head: int, top: int, *more: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`line_blocks` with section and top, and the columns `more`: the ordinals of the last blocks so far of at most `head`, and of at most `top`
+    characters (`top` <= `head`; null: none). A document's lines are cut where they stand, so that no text is shuffled."""
+    from_ = lambda n: F.when(F.char_length(F.get("s.part", 0)) <= n, F.col("at"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), *more, F.explode(_from_heads(_pieces(text, "\n"), top)).alias("s")).withColumn("at", F.col("s.at"))
+    d = d.select("doc_id", *more, from_(top).alias("top"), F.col("at").alias("before"), F.explode(_from_heads(F.col("s.part"), head)).alias("s")).withColumn("at", F.col("before") + F.col("s.at"))
+    d = d.select("doc_id", *more, "top", from_(head).alias("section"), "at", F.posexplode("s.part").alias("k", "block_text"))
+    return d.select("doc_id", (F.col("at") + F.col("k")).alias("ordinal"), "block_text", "section", "top", *more)
 
 
 def linked(blocks: DataFrame, gap: int = 2) -> DataFrame:
