@@ -185,9 +185,21 @@ REFUSAL = "A referenced condition needed for this point is unresolved; I cannot
 BRACKETS, MARKS = "[]【】［］", "`*_~"
 
 
+#: White space of `\\s`; a set of characters to trim costs one look at each end, a regular expression one at every character.
+BLANKS = " \t\n\x0b\f\r"
+
+
+def _trimmed(text: Column) -> Column:
+    return F.trim(text, F.lit(BLANKS))
+
+
+def _blank(text: Column) -> Column:
+    return F.ltrim(text, F.lit(BLANKS)) == ""
+
+
 def quotation(text: Column, prose: Column) -> Column:
     """A block as a quotation whose marks can neither cite nor format; prose is reflowed, other line ends are shown."""
-    plain = F.when(prose, F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")).otherwise(text)
+    plain = F.when(prose, F.regexp_replace(_trimmed(text), r"\s+", " ")).otherwise(text)
     pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((c, f"&#{ord(c)};") for c in BRACKETS), ("\\", "\\\\"), ("\r", "\\r"), ("\n", "\\n"), *((c, "\\" + c) for c in MARKS)]
     for a, b in pairs:
         plain = F.replace(plain, F.lit(a), F.lit(b))
@@ -200,15 +212,14 @@ def answer_parts(answers: DataFrame) -> DataFrame:
     rows = answers.select("answer", F.posexplode(lines).alias("line", "t"))
     w = Window.partitionBy("answer").orderBy("line")
     at = F.coalesce(F.sum(F.char_length("t") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blank = F.regexp_replace("t", r"\s", "") == ""
-    lead = F.split(F.regexp_replace("t", r"^\s+", ""), r"\s", 2)[0]
-    item = lead.isin("-", "*") | (F.endswith(lead, F.lit(".")) & F.rtrim(lead, F.lit(".")).rlike("^[0-9]+$") & (F.length(lead) - F.length(F.rtrim(lead, F.lit("."))) == 1))
+    blank = _blank(F.col("t"))
+    item = F.col("t").rlike(r"\A\s*(?:[-*]|[0-9]+\.)(?:\s|\z)")
     rows = rows.withColumns({"at": at, "blank": blank, "item": item}).withColumn("fresh", F.col("item") | F.coalesce(F.lag("blank").over(w), F.lit(True)))
     rows = rows.withColumn("unit", F.sum(F.when(F.col("fresh") & ~F.col("blank"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("not blank")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n")
     units = rows.groupBy("answer", "unit").agg(F.min("at").alias("at"), whole.alias("raw"))
-    lead_blanks = F.char_length("raw") - F.char_length(F.regexp_replace("raw", r"^\s+", ""))
-    return units.select("answer", "unit", (F.col("at") + lead_blanks).alias("start"), F.regexp_replace("raw", r"^\s+|\s+$", "").alias("text"))
+    lead_blanks = F.char_length("raw") - F.char_length(F.ltrim(F.col("raw"), F.lit(BLANKS)))
+    return units.select("answer", "unit", (F.col("at") + lead_blanks).alias("start"), _trimmed(F.col("raw")).alias("text"))
 
 
 def _cited(units: DataFrame) -> DataFrame:
@@ -223,7 +234,7 @@ def _sources(cards: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     once = cards.withColumn("n_same", F.count("*").over(Window.partitionBy("answer", "card"))).filter("n_same = 1")
     rows = once.select("answer", "card", "doc", "open", F.posexplode_outer("blocks").alias("nth", "block"))
-    b = blocks.select("block", F.col("doc").alias("b_doc"), F.char_length("text").alias("n"), quotation(F.col("text"), F.col("kind").isin("prose", "paragraph")).alias("quote"), ((F.regexp_replace("text", r"\s", "") != "") & (F.char_length(F.regexp_replace("text", r"^\s+|\s+$", "")) <= MOST_BLOCK_CHARS) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha256"))).alias("fit"))
+    b = blocks.select("block", F.col("doc").alias("b_doc"), F.char_length("text").alias("n"), quotation(F.col("text"), F.col("kind").isin("prose", "paragraph")).alias("quote"), (~_blank(F.col("text")) & (F.char_length(_trimmed(F.col("text"))) <= MOST_BLOCK_CHARS) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha256"))).alias("fit"))
     j = rows.join(b, "block", "left")
     good = F.coalesce((F.col("b_doc") == F.col("doc")) & F.col("fit"), F.lit(False))
     return j.groupBy("answer", "card").agg(F.first("doc").alias("doc"), F.bool_or("open").alias("open"), F.bool_and(good).alias("valid"), F.array_sort(F.collect_list(F.struct("nth", "block", "n", "quote"))).alias("sources"))

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from evidentia.operators import evidence as e
+from evidentia.operators import packets as p
 from evidentia.operators import structure as s
 
 
@@ -46,3 +47,10 @@ def test_evidence_moves_a_text_once(spark):
             assert sum("quote#" in c for c in moved) <= 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_units_of_answers_are_trimmed_of_white_space_alone(spark):
+    text = "\n".join([" one \x85", "", "\t- two", "3. three", "3.. four", "12.", "- ", "-five"])
+    rows = p.answer_parts(spark.createDataFrame([(1, text)], "answer long, text string")).orderBy("unit").collect()
+    # white space that ends a unit goes; U+0085 is none here, and what stands before it stays
+    assert [(r.start, r.text) for r in rows] == [(1, "one \x85"), (9, "- two"), (15, "3. three\n3.. four"), (33, "12."), (37, "- \n-five")]
