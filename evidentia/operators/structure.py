@@ -29,7 +29,7 @@ def _from_heads(lines: Column, most: int) -> Column:
 
 def headed_blocks(docs: DataFrame, head: int, top: int, *more: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`line_blocks` with section and top, and the columns `more`: the ordinals of the last blocks so far of at most `head`, and of at most `top`
-    characters (`top` <= `head`; null: none). A document's lines are cut where they stand, so that no text is shuffled."""
+    characters (`top` <= `head`; null: none). A document's lines are cut where they stand, so that no text is shuffled; rows that share an id are cut each by itself."""
     from_ = lambda n: F.when(F.char_length(F.get("s.part", 0)) <= n, F.col("at"))
     d = docs.select(F.col(doc_id).alias("doc_id"), *more, F.explode(_from_heads(_pieces(text, "\n"), top)).alias("s")).withColumn("at", F.col("s.at"))
     d = d.select("doc_id", *more, from_(top).alias("top"), F.col("at").alias("before"), F.explode(_from_heads(F.col("s.part"), head)).alias("s")).withColumn("at", F.col("before") + F.col("s.at"))
