@@ -6,7 +6,7 @@ their JSON types (VARIANT) until a field says what it must be, so a list of mixe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MB = 1 << 20
@@ -111,16 +111,33 @@ def manifest_issues(files: DataFrame, found: DataFrame, pinned: dict[str, str],
     v = F.col("value")
     wrong = F.array_compact(F.array(*[F.when(~F.coalesce(_get(v, f"$.{k}", "string") == F.lit(x), F.lit(False)), f"unrecognized:{k}") for k, x in pinned.items()]))
     entry = "array<struct<path:string,bytes:bigint,sha256:string>>"
-    listed = p.filter("issue is null").select("path", F.explode(F.coalesce(_get(v, "$.files", entry), F.array().cast(entry))).alias("f")).select("path", F.col("f.path").alias("name"), F.col("f.bytes").alias("l_bytes"), F.col("f.sha256").alias("l_sha"))
-    own = listed.groupBy("path", "name").agg(F.count("*").alias("n"), F.first("l_bytes").alias("l_bytes"), F.first("l_sha").alias("l_sha"))
-    j = own.join(found.select("path", "name", "bytes", "sha256", F.lit(True).alias("there")), ["path", "name"], "full")
-    harmless = F.lower("name").isin(*HARMLESS_NAMES) | F.lower("name").endswith(".md") | (F.col("name").startswith("provenance_") & F.col("name").endswith(".json"))
-    code = (
-        F.when(F.col("n") > 1, "listed_twice").when(F.col("there").isNull(), "missing").when(F.col("n").isNull() & ~harmless, "unlisted")
-        .when(F.col("n").isNotNull() & (~F.col("bytes").eqNullSafe(F.col("l_bytes")) | ~F.col("sha256").eqNullSafe(F.col("l_sha"))), "changed")
+    file = "struct<bytes:bigint,sha256:string>"
+    nothing = F.lit(None)
+
+    def fact(name=nothing, listed=nothing, there=nothing, asked=False, known=False, issues=nothing):
+        own = {"name": name.cast("string"), "listed": listed.cast(file), "there": there.cast(file), "asked": F.lit(asked), "known": F.lit(known), "issues": issues.cast("array<string>")}
+        return F.struct(*[c.alias(n) for n, c in own.items()])
+
+    # all that a manifest says is rows of one pass, which meet the files that there are by name
+    named = F.transform(F.coalesce(_get(v, "$.files", entry), F.array().cast(entry)), lambda f: fact(f["path"], F.struct(f["bytes"], f["sha256"])))
+    whole = F.concat(F.array(fact(known=True, issues=wrong)), named, *[F.array(fact(F.lit(x), asked=True)) for x in required])
+    said = p.select("path", F.when(F.col("issue").isNull(), whole).otherwise(F.array(fact(issues=F.array("issue")))).alias("facts")).select("path", F.inline("facts"))
+    rows = said.unionByName(found.select("path", F.inline(F.array(fact(F.col("name"), there=F.struct("bytes", "sha256"))))))
+    own = rows.groupBy("path", "name").agg(
+        F.count("listed").alias("n"), F.first("listed", ignorenulls=True).alias("listed"), F.collect_list("there").alias("there"),
+        F.max("asked").alias("asked"), F.max("known").alias("known"), F.flatten(F.collect_list("issues")).alias("issues"),
     )
-    known = p.filter("issue is null").select("path")
-    files_ = j.join(known, "path", "left_semi").select("path", F.concat(code, F.lit(":"), F.col("name")).alias("issue")).filter("issue is not null")
-    names = own.groupBy("path").agg(F.collect_set("name").alias("names"))
-    omitted = known.join(names, "path", "left").select("path", F.explode(F.array_except(F.array(*map(F.lit, required)), F.coalesce("names", F.array().cast("array<string>")))).alias("name")).select("path", F.concat(F.lit("omits:"), "name").alias("issue"))
-    return p.filter("issue is not null").select("path", "issue").unionByName(p.filter("issue is null").select("path", F.explode(wrong).alias("issue"))).unionByName(files_).unionByName(omitted)
+    n, name, listed = F.col("n"), F.col("name"), F.col("listed")
+    harmless = F.lower("name").isin(*HARMLESS_NAMES) | F.lower("name").endswith(".md") | (name.startswith("provenance_") & name.endswith(".json"))
+
+    def code(f: Column) -> Column:
+        changed = ~f["bytes"].eqNullSafe(listed["bytes"]) | ~f["sha256"].eqNullSafe(listed["sha256"])
+        return F.when(n > 1, "listed_twice").when(n == 0, F.when(~harmless, "unlisted")).when(changed, "changed")
+
+    absent = F.when(n > 1, F.array(F.lit("listed_twice"))).when(n == 1, F.array(F.lit("missing"))).otherwise(F.array().cast("array<string>"))
+    codes = F.concat(F.when(F.size("there") > 0, F.transform("there", code)).otherwise(absent), F.array(F.when(F.col("asked") & (n == 0), "omits")))
+    every = F.concat("issues", F.array_compact(F.transform(codes, lambda c: F.concat(c, F.lit(":"), name))))
+    # files of a folder without a readable manifest count for nothing
+    told = own.select("path", "name", "known", every.alias("issues")).filter(F.col("known") | (F.size("issues") > 0))
+    told = told.withColumn("known", F.max("known").over(Window.partitionBy("path"))).filter(F.col("known") | name.isNull())
+    return told.select("path", F.explode("issues").alias("issue"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import evidence as e
 from evidentia.operators import packets as p
 from evidentia.operators import structure as s
+from evidentia.sources import json_files as j
 
 
 def exchanges(df) -> list[str]:
@@ -73,3 +74,26 @@ def test_cases_keep_the_parts_that_their_number_asks_for(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     # no step sorts or gathers a fixed share of all blocks
     assert {int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan)} == {parts}
+
+
+def test_manifests_and_their_files_meet_where_the_lines_are_dealt(spark, monkeypatch):
+    from evidentia.plans import graph_queries, source_queries
+    from evidentia.plans.registry import Tables
+
+    x = Tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(graph_queries, "_ROWS", 400)
+    out = source_queries.manifest_issues(x)
+    # lines move, by their order's path; no digest or text of a manifest does
+    moved = exchanges(out)
+    assert moved and len(set(map(lambda c: re.sub(r"#\d+L?", "", c), moved))) == 1
+    assert all("l_partkey" in c and "sha256" not in c and "text" not in c for c in moved)
+    assert out.rdd.getNumPartitions() == graph_queries._parts(x) > 4
+
+
+def test_manifests_of_any_layout_meet_their_files_by_name(spark):
+    files = spark.createDataFrame([("m", '{"files": [{"path": "a", "bytes": 1, "sha256": "s"}, {"path": "b"}]}'), ("n", "{,}"), ("o", "{}")], "path string, text string")
+    found = spark.createDataFrame([("m", "a", 1, "s"), ("m", "c", 1, "s"), ("m", None, 1, "s"), ("n", "a", 1, "s"), ("o", "a", 1, "s"), ("q", "a", 1, "s"), (None, "a", 1, "s")], "path string, name string, bytes long, sha256 string")
+    out = j.manifest_issues(files.repartition(3), found.repartition(5), {}, ("c", "d"))
+    assert len(exchanges(out)) <= 4
+    want = [("m", "missing:b"), ("m", "omits:c"), ("m", "omits:d"), ("m", "unlisted:c"), ("n", "invalid_json"), ("o", "omits:c"), ("o", "omits:d"), ("o", "unlisted:a")]
+    assert sorted(tuple(r) for r in out.collect()) == want
