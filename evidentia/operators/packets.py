@@ -150,17 +150,19 @@ def recovered_excerpts(requests: DataFrame, blocks: DataFrame) -> DataFrame:
 
     requests: request, doc, role, selected (block ids), known (block ids recovered before), cards, chars (what is left of
     the budgets); blocks: block, doc, ordinal, kind, flags, text, sha256. One selected block that is unknown, of another
-    document, blank or changed rejects the whole selection. A block that is too long, or does not fit what is left, is
-    passed over; those after it may still fit.
+    document, blank or changed rejects the whole selection. An id selects all blocks that bear it. A block that is too
+    long, or does not fit what is left, is passed over; those after it may still fit.
     """
+    limit = "source_excerpt_selection_limit"
     r = requests.withColumn("ids", F.array_distinct("selected"))
-    many = (F.size("ids") == 0) | (F.size("ids") > MOST_SELECTED)
-    r = r.withColumn("reject", F.when(many, "source_excerpt_selection_limit").when(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), "source_excerpt_invalid_role"))
+    r = r.withColumn("reject", F.when((F.size("ids") == 0) | (F.size("ids") > MOST_SELECTED), limit))
     b = blocks.select("block", F.col("doc").alias("b_doc"), "ordinal", F.char_length("text").alias("n"), F.col("kind").isin(*PROSE_KINDS).alias("prose"), F.arrays_overlap("flags", F.array(*map(F.lit, DOUBTFUL_FLAGS))).alias("doubt"), (F.trim(F.regexp_replace("text", r"\s", "")) != "").alias("filled"), (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha256")).alias("same"))
     rows = r.filter("reject is null").select("request", "doc", "role", "known", "cards", "chars", F.explode("ids").alias("block")).join(b, "block", "left")
     good = F.coalesce((F.col("b_doc") == F.col("doc")) & F.col("filled") & F.col("same"), F.lit(False))
     item = F.struct("ordinal", "block", "n", (F.coalesce(F.col("prose"), F.lit(False)) & ~F.coalesce(F.col("doubt"), F.lit(False))).alias("speaks"), F.array_contains("known", F.col("block")).alias("old"))
     one = rows.groupBy("request").agg(F.first("role").alias("role"), F.first("cards").alias("cards"), F.first("chars").alias("chars"), F.bool_and(good).alias("good"), F.array_sort(F.collect_list(item)).alias("items"))
+    known_role = F.coalesce(F.col("role").isin(*ROLES), F.lit(False))
+    failed = F.when(F.size("items") > MOST_SELECTED, limit).when(~known_role, "source_excerpt_invalid_role").when(~F.col("good"), "source_excerpt_unverified_selection")
     kind = f"struct<block:{dict(blocks.dtypes)['block']},role:string>"
     start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(0).alias("used"), F.array().cast("array<string>").alias("notes"))
 
@@ -173,7 +175,7 @@ def recovered_excerpts(requests: DataFrame, blocks: DataFrame) -> DataFrame:
 
     done = F.aggregate("items", start, step)
     none = F.array().cast(f"array<{kind}>")
-    kept = one.select("request", F.when(F.col("good"), done).otherwise(F.struct(none.alias("out"), F.lit(0).alias("used"), F.array(F.lit("source_excerpt_unverified_selection")).alias("notes"))).alias("d"))
+    kept = one.withColumn("failed", failed).select("request", F.when(F.col("failed").isNull(), done).otherwise(F.struct(none.alias("out"), F.lit(0).alias("used"), F.array("failed").alias("notes"))).alias("d"))
     kept = kept.select("request", F.col("d.out").alias("excerpts"), F.array_distinct("d.notes").alias("warnings"))
     return kept.unionByName(r.filter("reject is not null").select("request", none.alias("excerpts"), F.array("reject").alias("warnings")))
 
