@@ -19,7 +19,7 @@ def folder(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["bound_evidence", "validated_evidence", "recovered_excerpts"])
+@pytest.mark.parametrize("name", ["bound_evidence", "validated_evidence", "recovered_excerpts", "excerpt_overrides", "qualified_answers"])
 def test_blocks_that_share_an_id(spark, folder, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem", "documents"):
