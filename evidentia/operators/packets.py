@@ -7,9 +7,12 @@ over the whole numbers of one group (a document's blocks, an answer's citations)
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from . import sequential
 
 #: What a packet costs beside its blocks, and a block beside its text.
@@ -208,20 +211,33 @@ def quotation(text: Column, prose: Column) -> Column:
     return F.concat(F.lit(QUOTE_LEAD), plain, F.lit(QUOTE_TAIL))
 
 
+#: What begins a list item of an answer: a dash, a star, or a number and a full stop, with white space after it.
+ITEM = re.compile(r"[ \t\n\x0b\f\r]*(?:[-*]|[0-9]+\.)(?:[ \t\n\x0b\f\r]|\Z)")
+
+
+def _units(text: str) -> list[dict]:
+    """Start and text of the parts between blank lines of a text, and of its list items."""
+    out: list[tuple[int, list[str]]] = []
+    at, apart = 0, True
+    for line in text.split("\n"):
+        blank = not line.strip(BLANKS)
+        if not blank and (apart or ITEM.match(line)):
+            out.append((at, [line]))
+        elif not blank:
+            out[-1][1].append(line)
+        at, apart = at + len(line) + 1, blank
+    raw = ((start, "\n".join(own)) for start, own in out)
+    return [{"start": start + len(r) - len(r.lstrip(BLANKS)), "text": r.strip(BLANKS)} for start, r in raw]
+
+
+def _parts(text: str) -> Column:
+    return spans.applied(_units, "array<struct<start:long,text:string>>", F.col(text))
+
+
 def answer_parts(answers: DataFrame) -> DataFrame:
-    """answer, unit, start (characters) and text of the units of each text: parts between empty lines, and list items."""
-    lines = F.split("text", "\n")
-    rows = answers.select("answer", F.posexplode(lines).alias("line", "t"))
-    w = Window.partitionBy("answer").orderBy("line")
-    at = F.coalesce(F.sum(F.char_length("t") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blank = _blank(F.col("t"))
-    item = F.col("t").rlike(r"\A\s*(?:[-*]|[0-9]+\.)(?:\s|\z)")
-    rows = rows.withColumns({"at": at, "blank": blank, "item": item}).withColumn("fresh", F.col("item") | F.coalesce(F.lag("blank").over(w), F.lit(True)))
-    rows = rows.withColumn("unit", F.sum(F.when(F.col("fresh") & ~F.col("blank"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("not blank")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n")
-    units = rows.groupBy("answer", "unit").agg(F.min("at").alias("at"), whole.alias("raw"))
-    lead_blanks = F.char_length("raw") - F.char_length(F.ltrim(F.col("raw"), F.lit(BLANKS)))
-    return units.select("answer", "unit", (F.col("at") + lead_blanks).alias("start"), _trimmed(F.col("raw")).alias("text"))
+    """answer, unit, start (characters) and text of the units of each text: parts between empty lines, and list items. A text is cut where it stands."""
+    rows = answers.select("answer", F.posexplode(_parts("text")).alias("unit", "u"))
+    return rows.select("answer", (F.col("unit") + 1).cast("long").alias("unit"), "u.start", "u.text")
 
 
 def _cited(units: DataFrame) -> DataFrame:
@@ -229,17 +245,27 @@ def _cited(units: DataFrame) -> DataFrame:
     return units.withColumn("ids", F.regexp_extract_all("text", F.lit(r"\[E:([A-Za-z0-9_.:-]+)\]"), F.lit(1)))
 
 
-def _sources(cards: DataFrame, blocks: DataFrame) -> DataFrame:
-    """answer, card, open, valid, and sources (nth, block, n, quote) of the cards whose id is unique in their answer.
+def _quoted() -> Column:
+    return quotation(F.col("text"), F.col("kind").isin("prose", "paragraph"))
+
+
+def _sources(cards: DataFrame, blocks: DataFrame, **more: Column) -> DataFrame:
+    """answer, card, open, valid, and sources (nth, block, n, and `more` of a block) of the cards whose id is unique in their answer.
 
-    valid: all blocks are known, of the card's document, unchanged, neither blank nor too long.
+    valid: all blocks are known, of the card's document, unchanged, neither blank nor too long. No text leaves its block.
     """
     once = cards.withColumn("n_same", F.count("*").over(Window.partitionBy("answer", "card"))).filter("n_same = 1")
     rows = once.select("answer", "card", "doc", "open", F.posexplode_outer("blocks").alias("nth", "block"))
-    b = blocks.select("block", F.col("doc").alias("b_doc"), F.char_length("text").alias("n"), quotation(F.col("text"), F.col("kind").isin("prose", "paragraph")).alias("quote"), (~_blank(F.col("text")) & (F.char_length(_trimmed(F.col("text"))) <= MOST_BLOCK_CHARS) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha256"))).alias("fit"))
+    fit = ~_blank(F.col("text")) & (F.char_length(_trimmed(F.col("text"))) <= MOST_BLOCK_CHARS) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha256"))
+    b = blocks.select("block", F.col("doc").alias("b_doc"), F.char_length("text").alias("n"), fit.alias("fit"), *[c.alias(k) for k, c in more.items()])
     j = rows.join(b, "block", "left")
     good = F.coalesce((F.col("b_doc") == F.col("doc")) & F.col("fit"), F.lit(False))
-    return j.groupBy("answer", "card").agg(F.first("doc").alias("doc"), F.bool_or("open").alias("open"), F.bool_and(good).alias("valid"), F.array_sort(F.collect_list(F.struct("nth", "block", "n", "quote"))).alias("sources"))
+    return j.groupBy("answer", "card").agg(F.first("doc").alias("doc"), F.bool_or("open").alias("open"), F.bool_and(good).alias("valid"), F.array_sort(F.collect_list(F.struct("nth", "block", "n", *more))).alias("sources"))
+
+
+def _digest(text: Column) -> Column:
+    """The first half of SHA-256, in 16 bytes."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
 def excerpt_overrides(answers: DataFrame, cards: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -249,11 +275,16 @@ def excerpt_overrides(answers: DataFrame, cards: DataFrame, blocks: DataFrame) -
     quotations count in their order against the limits of recovered excerpts; one that does not fit is passed over.
     """
     units = _cited(answer_parts(answers)).filter("size(ids) = 1").withColumn("card", F.col("ids")[0])
-    j = units.join(_sources(cards, blocks).filter("valid"), ["answer", "card"])
+    # what a unit says before its mark meets the quotations by its digest, and no text goes further
     mark = F.concat(F.lit(" [E:"), F.col("card"), F.lit("]"))
-    shown = lambda s: F.concat(s["quote"], mark, F.when(F.col("open"), F.lit(" " + OPEN_NOTE)).otherwise(""))
-    hit = F.filter("sources", lambda s: shown(s) == F.col("text"))
-    found = j.withColumn("s", F.get(hit, 0)).filter("s is not null").select("answer", "unit", "doc", "open", (F.col("start") + F.char_length("s.quote") + 1).alias("position"), F.col("s.block").alias("block"), F.col("s.n").alias("n"))
+    noted = F.concat(mark, F.lit(" " + OPEN_NOTE))
+    end = F.when(F.endswith("text", noted), noted).when(F.endswith("text", mark), mark)
+    said = F.substr("text", F.lit(1), F.char_length("text") - F.char_length(end))
+    units = units.filter(end.isNotNull()).select("answer", "unit", "start", "card", F.endswith("text", noted).alias("open"), _digest(said).alias("said"))
+    known = _sources(cards, blocks, digest=_digest(_quoted()), chars=F.char_length(_quoted())).filter("valid")
+    j = units.join(known, ["answer", "card", "open"])
+    hit = F.filter("sources", lambda s: s["digest"] == F.col("said"))
+    found = j.withColumn("s", F.get(hit, 0)).filter("s is not null").select("answer", "unit", "doc", "open", (F.col("start") + F.col("s.chars") + 1).alias("position"), F.col("s.block").alias("block"), F.col("s.n").alias("n"))
     keys = found.groupBy("answer", "doc", "block", "open").agg(F.min("unit").alias("unit"), F.first("n").alias("n"))
     kinds = dict(found.dtypes)
 
@@ -272,14 +303,14 @@ def qualified_answers(answers: DataFrame, cards: DataFrame, blocks: DataFrame) -
     """answer, text, warnings: units that cite a card with unresolved references give way to quotations of all cards they cite.
 
     A card's blocks that are not quoted yet go together or, if they do not fit the limits, not at all; an unresolved card
-    without a quotation is refused once. Answers without unresolved cards stay as they are.
+    without a quotation is refused once. Answers without unresolved cards stay as they are. What is quoted is settled by
+    lengths; then a block meets those who quote it, and an answer what has changed in it, so that a text moves once.
     """
     kinds = dict(answers.dtypes)
     units = _cited(answer_parts(answers))
     open_ = cards.filter("open").select("answer").distinct()
     cited = units.select("answer", "unit", F.posexplode(F.array_distinct("ids")).alias("nth", "card")).join(open_, "answer", "left_semi")
-    known = _sources(cards, blocks)
-    rows = cited.join(known, ["answer", "card"]).select("answer", "unit", "nth", "card", "doc", "open", "valid", F.transform("sources", lambda s: F.struct(s["block"].alias("block"), s["n"].alias("n"))).alias("own"))
+    rows = cited.join(_sources(cards, blocks), ["answer", "card"]).select("answer", "unit", "nth", "card", "doc", "open", "valid", F.transform("sources", lambda s: F.struct(s["block"].alias("block"), s["n"].alias("n"))).alias("own"))
 
     def step(answer, found):
         used, emitted, refused = 0, set(), set()
@@ -295,28 +326,30 @@ def qualified_answers(answers: DataFrame, cards: DataFrame, blocks: DataFrame) -
                 if r["valid"] and used + sum(fresh.values()) <= MOST_CHARS and len(emitted) + len(fresh) <= MOST_CARDS:
                     emitted |= {(r["doc"], b, r["open"]) for b in fresh}
                     used += sum(fresh.values())
-                    yield answer, unit, r["nth"], r["card"], [*fresh], False
+                    yield answer, unit, r["nth"], r["card"], r["open"], [*fresh], False
                 elif r["open"] and r["card"] not in refused:
                     refused.add(r["card"])
-                    yield answer, unit, r["nth"], r["card"], [], True
+                    yield answer, unit, r["nth"], r["card"], r["open"], [], True
                 else:
-                    yield answer, unit, r["nth"], r["card"], [], False
+                    yield answer, unit, r["nth"], r["card"], r["open"], [], False
 
     block = dict(blocks.dtypes)["block"]
-    acts = sequential.by_group(rows, "answer", step, f"answer {kinds['answer']}, unit long, nth int, card string, fresh array<{block}>, refused boolean")
-    quotes = known.select("answer", "card", "open", "sources")
+    acts = sequential.by_group(rows, "answer", step, f"answer {kinds['answer']}, unit long, nth int, card string, open boolean, fresh array<{block}>, refused boolean")
     mark = F.concat(F.lit(" [E:"), F.col("card"), F.lit("]"))
-    shown = F.transform(F.filter("sources", lambda s: F.array_contains("fresh", s["block"])), lambda s: F.concat(s["quote"], mark, F.when(F.col("open"), F.lit(" " + OPEN_NOTE)).otherwise("")))
-    said = acts.join(quotes, ["answer", "card"]).withColumn("parts", F.when(F.col("refused"), F.array(F.concat(F.lit(REFUSAL), mark))).otherwise(F.array_distinct(shown)))
-    note = F.when(F.col("refused"), "reference_unresolved_card:source_excerpt_unavailable").when(F.size("parts") > 0, "reference_unresolved_card:complete_source_excerpt_retained")
-    instead = said.groupBy("answer", "unit").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "parts"))), lambda x: x["parts"])).alias("parts"), F.collect_set(note).alias("notes"))
-    out = units.join(instead, ["answer", "unit"], "left").withColumn("parts", F.coalesce("parts", F.array("text")))
-    joined = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unit", "parts"))), lambda x: x["parts"])), "\n\n")
-    changed = F.when(F.bool_or(F.col("notes").isNotNull()), F.array(F.lit("reference_unresolved_card:answer_unit_qualified"))).otherwise(F.array().cast("array<string>"))
-    warnings = F.array_sort(F.array_distinct(F.concat(changed, F.flatten(F.collect_list(F.coalesce("notes", F.array().cast("array<string>")))))))
-    new = out.groupBy("answer").agg(joined.alias("new"), warnings.alias("warnings"))
-    j = answers.join(new, "answer", "left").join(open_.withColumn("has_open", F.lit(True)), "answer", "left")
-    return j.select("answer", F.when(F.col("has_open"), F.coalesce("new", F.lit(""))).otherwise(F.col("text")).alias("text"), F.coalesce(F.when(F.col("has_open"), F.col("warnings")), F.array().cast("array<string>")).alias("warnings"))
+    quote = F.concat("quote", mark, F.when(F.col("open"), F.lit(" " + OPEN_NOTE)).otherwise(""))
+    said = acts.select("answer", "unit", "nth", "card", "open", "refused", F.posexplode_outer("fresh").alias("k", "block")).join(blocks.select("block", _quoted().alias("quote"), F.char_length("text").alias("n")), "block", "left")
+    said = said.select("answer", "unit", "nth", "refused", "k", "n", F.when(F.col("refused"), F.concat(F.lit(REFUSAL), mark)).otherwise(quote).alias("part"))
+    part = F.when(F.col("part").isNotNull(), F.struct("k", "n", "part"))
+    note = F.when(F.col("refused"), "reference_unresolved_card:source_excerpt_unavailable").when(F.col("part").isNotNull(), "reference_unresolved_card:complete_source_excerpt_retained")
+    own = said.repartition("answer").groupBy("answer", "unit", "nth").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["part"])).alias("parts"), F.max(note).alias("note"))
+    per = own.groupBy("answer", "unit").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "parts"))), lambda x: x["parts"])).alias("parts"), F.collect_set("note").alias("notes"))
+    instead = per.groupBy("answer").agg(F.map_from_entries(F.collect_list(F.struct("unit", "parts"))).alias("by"), F.array_distinct(F.flatten(F.collect_list("notes"))).alias("notes"))
+    j = answers.join(open_.withColumn("has_open", F.lit(True)), "answer", "left").join(instead, "answer", "left")
+    j = j.withColumn("by", F.coalesce("by", F.create_map().cast("map<bigint,array<string>>"))).withColumn("units", F.when(F.col("has_open"), _parts("text")))
+    new = F.array_join(F.flatten(F.transform("units", lambda u, i: F.coalesce(F.try_element_at("by", (i + 1).cast("long")), F.array(u["text"])))), "\n\n")
+    none = F.array().cast("array<string>")
+    warnings = F.array_sort(F.concat(F.array(F.lit("reference_unresolved_card:answer_unit_qualified")), F.col("notes")))
+    return j.select("answer", F.when(F.col("has_open"), F.coalesce(new, F.lit(""))).otherwise(F.col("text")).alias("text"), F.coalesce(warnings, none).alias("warnings"))
 
 
 def scoped_evidence(items: DataFrame, budget: int) -> DataFrame:
