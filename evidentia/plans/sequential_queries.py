@@ -94,6 +94,10 @@ def html_blocks(x):
     return docs.parsed(x.pages, "page_id", "html", docs.html_blocks)
 
 
+#: Folders that `extracted_files` deals its files to, so that many tasks list them.
+_FOLDERS = 1000
+
+
 @query("SC1 SC2 SC3 SC4", r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents), p AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\n[ \t\f\x0B\n]*\n')) AS p FROM t),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(p, chr(160), ' '), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS p FROM p)
@@ -109,11 +113,15 @@ def extracted_files(x):
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(folder) if re.match(r"[a-z0-9]+:", folder) else (fs.LocalFileSystem(), folder)
+        made: set[int] = set()
         for batch in batches:
-            system.create_dir(base, recursive=True)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codec = ("utf-8", "utf-16", "utf-32", "utf-8-sig")[doc % 4]
-                with system.open_output_stream(f"{base}/{doc}.txt", compression=None) as out:
+                own = doc % _FOLDERS
+                if own not in made:
+                    system.create_dir(f"{base}/{own}", recursive=True)
+                    made.add(own)
+                with system.open_output_stream(f"{base}/{own}/{doc}.txt", compression=None) as out:
                     out.write((text or "").encode(codec))
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["doc_id"])
 

@@ -44,6 +44,21 @@ def test_collect_files(spark, tmp_path):
     assert [r.block_text for r in blocks.orderBy("ordinal").collect()] == ["one", "two"]
 
 
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    for name, body in (("a.md", "# A"), ("in/c.txt", "one"), ("in/deep/er/C.TXT", "two"), ("in/_b.txt", "x"), (".h/d.txt", "x"), ("in/e f.html", ""), ("a/b.bin", "x")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    want = {f"file:{tmp_path}/{n}": b for n, b in (("a.md", b"# A"), ("in/c.txt", b"one"), ("in/deep/er/C.TXT", b"two"), ("in/e f.html", b""))}
+    for folder in (f"{tmp_path}/", f"file://{tmp_path}"):
+        files = d.collect_files(spark, folder)
+        # no list of the files is in the plan, hence none on the driver
+        assert not files.inputFiles() and "FileScan" not in files._jdf.queryExecution().toString()
+        assert {r.path: bytes(r.content) for r in files.collect()} == want
+        assert {r.suffix for r in files.collect()} == {"md", "txt", "html"}
+    (tmp_path / "none").mkdir()
+    assert d.collect_files(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_generations(spark, tmp_path):
     one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, sha string")
     g.publish(one, str(tmp_path / "t"), "g1")
