@@ -189,3 +189,22 @@ def test_ledger_streams_groups_over_batches(spark):
         calls = [{"event_id": k, "kind": "view" if k % 5 == 0 else "click", "requested": max(1, k % 40), "measured": None if k % 3 else k % 40, "failed": k % 7 == 0} for k in range(user, 600, 3)]
         want += [(user, c["event_id"], c["admitted"], c["charged"], c["total"]) for c in q.budget_ledger(calls, 12, 600, {"view": 50})]
     assert got == want
+
+
+def test_arrow_values_are_those_of_to_pylist():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.list_(pa.string())), ("c", pa.struct([("d", pa.bool_())]))]))
+    rows = [[{"a": 1, "b": ["x", None], "c": {"d": True}}, None], None, [], [{"a": None, "b": None, "c": None}], [{"a": 2, "b": [], "c": {"d": None}}]]
+    column = pa.array(rows, kind)
+    assert q.values(column) == column.to_pylist() == rows
+    assert q.values(column.slice(2, 3)) == rows[2:] and q.values(column[:0]) == []
+
+
+def test_packets_need_no_second_look_at_the_blocks(spark):
+    from evidentia.operators import references as r
+
+    result = spark.createDataFrame([(1, 1, [(0, 0, 0), (1, 1, 1)], ["i"]), (1, 2, [(1, 1, 0)], []), (1, 3, [(2, 2, 0)], [])], "doc long, seed long, intervals array<struct<first:int,last:int,hop:int>>, issues array<string>")
+    costs = spark.createDataFrame([(1, 1, 4), (1, 2, 3), (1, 3, 9)], "doc long, block long, cost long")
+    got = [tuple(x) for x in r.packed(result, costs, 10).orderBy("packet", "block").collect()]
+    assert got == [(1, 1, 1, 4, ["i"]), (1, 1, 2, 3, ["i"]), (1, 2, 3, 9, [])]
