@@ -208,3 +208,11 @@ def test_packets_need_no_second_look_at_the_blocks(spark):
     costs = spark.createDataFrame([(1, 1, 4), (1, 2, 3), (1, 3, 9)], "doc long, block long, cost long")
     got = [tuple(x) for x in r.packed(result, costs, 10).orderBy("packet", "block").collect()]
     assert got == [(1, 1, 1, 4, ["i"]), (1, 1, 2, 3, ["i"]), (1, 2, 3, 9, [])]
+
+
+def test_closures_are_run_once_for_needs_and_issues(spark):
+    from evidentia.plans import evidence_queries
+    from evidentia.plans.registry import Tables
+
+    plan = evidence_queries.referenced_cards(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
